@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import os
+
+from .packing import pack
 from .recompression import substring_dedup
+from .sstable import read_sstables, write_sstables
 
 #: A word, as SQL text for both engines.
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+#: Folder of the public tokenizer files; None takes that of the installed package.
+TOKENIZERS = os.environ.get("WEAKSPOT_TOKENIZERS")
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -16,6 +32,14 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_sstable(spark, sf_dir):
+    return read_sstables(write_sstables(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
+def op10_packing(spark, sf_dir):
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
 win AS (SELECT doc_id, i AS pos, array_to_string(ws[i:i + 49], ' ') AS win FROM w, unnest(generate_series(1, len(ws) - 49)) AS t(i)),
@@ -29,5 +53,9 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op8_sstable": op8_sstable,
+    "op10_packing": op10_packing,
+}
 SQL = {"op2_substring_dedup": OP2_SQL}
