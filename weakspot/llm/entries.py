@@ -6,6 +6,7 @@ import os
 
 from .packing import pack
 from .recompression import substring_dedup
+from .sentencepieces import encode_decode
 from .sstable import read_sstables, write_sstables
 
 #: A word, as SQL text for both engines.
@@ -36,6 +37,10 @@ def op8_sstable(spark, sf_dir):
     return read_sstables(write_sstables(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op9_sentencepiece(spark, sf_dir):
+    return encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -56,6 +61,7 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op8_sstable": op8_sstable,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
 }
 SQL = {"op2_substring_dedup": OP2_SQL}
