@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from .crf import quality_scores
 from .packing import pack
 from .recompression import substring_dedup
 from .sentencepieces import encode_decode
@@ -33,6 +34,10 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark, sf_dir):
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_sstable(spark, sf_dir):
     return read_sstables(write_sstables(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
@@ -60,6 +65,7 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op6_quality": op6_quality,
     "op8_sstable": op8_sstable,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
