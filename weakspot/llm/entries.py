@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from .crf import quality_scores
+from .host_rules import host_rules
 from .packing import pack
 from .recompression import substring_dedup
 from .sentencepieces import encode_decode
@@ -34,6 +35,33 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_host_rules(spark, sf_dir):
+    return host_rules(_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win FROM w, unnest(generate_series(1, len(ws) - 4)) AS t(i)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM win),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(generate_series(0, 4)) AS t(k) WHERE n > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
+base AS (
+  SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+hosts AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS k FROM judged WHERE host IS NOT NULL GROUP BY host),
+total AS (SELECT count(*) AS hosts, sum(n)::DOUBLE AS nn, sum(k)::DOUBLE AS kk, sum(n::DOUBLE * n) AS n2, sum(k::DOUBLE * k / n) AS k2 FROM hosts),
+m AS (SELECT *, kk / nn AS mean, (k2 - nn * (kk / nn) * (kk / nn) - (hosts - 1) * (kk / nn) * (1 - kk / nn)) / nullif(nn - n2 / nn, 0e0) AS between_hosts FROM total),
+prior AS (SELECT mean, CASE WHEN between_hosts > 0 THEN greatest(2e0, least(1000e0, mean * (1 - mean) / nullif(between_hosts, 0e0) - 1)) ELSE 1000e0 END AS weight FROM m),
+verdict AS (SELECT host, (k + mean * weight) / (n + weight) > 0.5e0 AND (k + mean * weight) / (n + weight) > 2e0 * mean AS rejected FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM judged LEFT JOIN verdict USING (host)
+"""
+
+
 def op6_quality(spark, sf_dir):
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -65,9 +93,10 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_host_rules": op4_host_rules,
     "op6_quality": op6_quality,
     "op8_sstable": op8_sstable,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
 }
-SQL = {"op2_substring_dedup": OP2_SQL}
+SQL = {"op2_substring_dedup": OP2_SQL, "op4_host_rules": OP4_SQL}
