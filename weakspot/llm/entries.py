@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from .chosen_path import jaccard_join
 from .crf import quality_scores
 from .host_rules import host_rules
 from .packing import pack
@@ -41,14 +42,17 @@ def op4_host_rules(spark, sf_dir):
 
 OP4_SQL = r"""
 WITH w AS (
-  SELECT doc_id, source AS host, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS ws FROM documents),
+  SELECT doc_id, source AS host, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^ 	-
+]+'), []) AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win FROM w, unnest(generate_series(1, len(ws) - 4)) AS t(i)),
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM win),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(generate_series(0, 4)) AS t(k) WHERE n > 1 GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id),
 base AS (
-  SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-]+', '', 'g')) AS BIGINT) AS word_chars,
+  SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
@@ -66,6 +70,10 @@ def op6_quality(spark, sf_dir):
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op8_sstable(spark, sf_dir):
     return read_sstables(write_sstables(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
@@ -95,6 +103,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_host_rules": op4_host_rules,
     "op6_quality": op6_quality,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_sstable": op8_sstable,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
