@@ -11,6 +11,7 @@ from .packing import pack
 from .recompression import substring_dedup
 from .sentencepieces import encode_decode
 from .sstable import read_sstables, write_sstables
+from .suffix_sort import suffix_dedup
 
 #: A word, as SQL text for both engines.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -66,6 +67,10 @@ FROM judged LEFT JOIN verdict USING (host)
 """
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark, sf_dir):
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -102,6 +107,7 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_host_rules": op4_host_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_sstable": op8_sstable,
