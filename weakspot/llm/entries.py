@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from .ball_tree import top_k
 from .chosen_path import jaccard_join
 from .crf import quality_scores
 from .host_rules import host_rules
@@ -37,6 +38,22 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark, sf_dir):
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op4_host_rules(spark, sf_dir):
     return host_rules(_table(spark, sf_dir, "documents"))
 
@@ -106,6 +123,7 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_top_k": op3_top_k,
     "op4_host_rules": op4_host_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
@@ -114,4 +132,4 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
 }
-SQL = {"op2_substring_dedup": OP2_SQL, "op4_host_rules": OP4_SQL}
+SQL = {"op2_substring_dedup": OP2_SQL, "op3_top_k": OP3_SQL, "op4_host_rules": OP4_SQL}
