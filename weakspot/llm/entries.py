@@ -8,6 +8,7 @@ from .ball_tree import top_k
 from .chosen_path import jaccard_join
 from .crf import quality_scores
 from .host_rules import host_rules
+from .html_tree import extract
 from .packing import pack
 from .recompression import substring_dedup
 from .sentencepieces import encode_decode
@@ -34,6 +35,10 @@ def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_html_extraction(spark, sf_dir):
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -122,6 +127,7 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_top_k": op3_top_k,
     "op4_host_rules": op4_host_rules,
