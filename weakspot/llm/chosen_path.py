@@ -17,17 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, Words, chunks, materialize, mix
+from .common import BROADCAST_IDS, U64, Rolling, Words, chunks, materialize, mix, without_ids
 from .graphs import components, forest, in_blocks, together, whole_groups
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 WIDTH, BUCKET, DEPTH, BLOCK = 128, 64, 4, 256
 #: Columns of the exact check's incidence matrix at once, and n-grams that a block of sets holds.
 COLUMNS = 1 << 15
-#: Above this many texts, those of candidate groups are found by a shuffle join instead of a broadcast of their ids.
-BROADCAST_IDS = 500_000
-
-
 def runs_for(recall: float, depth: int = 2) -> int:
     """Runs after which two sets at the threshold have met with the given probability, split `depth` times."""
     meet = 1.0
@@ -254,3 +250,9 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
         F.when(lone, F.col("doc_id")).otherwise(F.col("class")).alias("class_id"),
         F.when(lone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
     )
+
+
+def one_of_each_class(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs, unchanged, of the smallest doc_id of each class of jaccard_join; rows of null doc_id stay."""
+    others = jaccard_join(docs, n, threshold).where("doc_id <> class_id").select("doc_id")
+    return without_ids(docs, materialize(others, "others"))

@@ -23,6 +23,15 @@ CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
 
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """A public tokenizer file in `folder`, or in the installed package of such files."""
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: spark.checkpoint.dir, or a new local one where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,6 +64,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Sets of ids up to this size are broadcast; larger ones are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't among ids (one column doc_id, written out by now); null is an id like others."""
+    name = "doc_id"
+    while name in docs.columns:
+        name += "_"
+    ids = ids.select(F.col("doc_id").alias(name)).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids[name]), "left_anti")
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

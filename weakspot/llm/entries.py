@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import corpus_pipeline
 
 from .ball_tree import top_k
 from .chosen_path import jaccard_join
+from .common import tokenizer_path
 from .crf import quality_scores
 from .host_rules import host_rules
 from .html_tree import extract
@@ -15,22 +16,6 @@ from .sentencepieces import encode_decode
 from .sstable import read_sstables, write_sstables
 from .suffix_sort import suffix_dedup
 
-#: A word, as SQL text for both engines.
-WORDS = r"[^\x20\x09-\x0D]+"
-
-
-#: Folder of the public tokenizer files; None takes that of the installed package.
-TOKENIZERS = os.environ.get("WEAKSPOT_TOKENIZERS")
-
-
-def tokenizer_path(name: str) -> str:
-    if TOKENIZERS:
-        return os.path.join(TOKENIZERS, name)
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -137,5 +122,8 @@ QUERIES = {
     "op8_sstable": op8_sstable,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op2_substring_dedup": OP2_SQL, "op3_top_k": OP3_SQL, "op4_host_rules": OP4_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

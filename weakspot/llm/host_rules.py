@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, without_ids
 
 #: A word, and symbols that the rules count.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,3 +104,8 @@ def host_rules(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).alias("kept"),
     )
+
+
+def without_failures(docs: DataFrame) -> DataFrame:
+    """Rows of docs, unchanged, but for those of a doc_id that host_rules doesn't keep (in any of its rows)."""
+    return without_ids(docs, materialize(host_rules(docs).where(~F.col("kept")).select("doc_id"), "failed"))

@@ -22,10 +22,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LANES, Rolling, U64, Words, chunks, covered, id_and_text, materialize, mix, ranges
+from .common import BROADCAST_IDS, LANES, Rolling, U64, Words, chunks, covered, id_and_text, materialize, mix, ranges
 
 WINDOW, ROUNDS = 50, 4
 FAR = 1 << 40
@@ -151,7 +152,7 @@ def _stretches(part, words, window):
     return (firsts + words.first[rows])[fits], counts[fits], rows[fits]
 
 
-def _kept_rows(window: int, texts: bool):
+def _kept_rows(window: int, texts: bool, names: list[str] | None = None):
     def run(batches):
         for batch in batches:
             for part, raw, offsets in chunks(batch):
@@ -170,6 +171,9 @@ def _kept_rows(window: int, texts: bool):
                     else:
                         keep = np.flatnonzero(~gone[a:b]) + a
                         kept.append(_joined(data, start, end, single, keep))
+                if names is not None:
+                    yield _replaced(part.column("row"), names, removed, kept)
+                    continue
                 out = {"doc_id": part.column("doc_id"), "n_words": pa.array(n), "n_removed": pa.array(removed)}
                 if texts:
                     out["kept_text"] = pa.array([x.decode() for x in kept], pa.string())
@@ -180,6 +184,17 @@ def _kept_rows(window: int, texts: bool):
     return run
 
 
+def _replaced(rows: pa.StructArray, names: list[str], removed, kept) -> pa.RecordBatch:
+    """The rows with the kept words as text, and their length as n_chars, where words were removed."""
+    columns = dict(zip(names, rows.flatten(), strict=True))
+    changed = pa.array(removed > 0)
+    new = pa.array([x.decode() if r else None for x, r in zip(kept, removed, strict=True)], columns["text"].type)
+    columns["text"] = pc.if_else(changed, new, columns["text"])
+    if "n_chars" in columns:
+        columns["n_chars"] = pc.if_else(changed, pc.utf8_length(new).cast(columns["n_chars"].type), columns["n_chars"])
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+
 def _joined(data, start, end, single, keep) -> bytes:
     """The kept words joined by one space; stretches that are so joined already are copied whole."""
     if not len(keep):
@@ -193,9 +208,6 @@ def _by_document(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("at"))
 
 
-#: Above this many documents, those that name windows one by one are found by a shuffle join instead of a broadcast of their ids.
-BROADCAST_IDS = 500_000
-
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """Removes each word covered by a window of `window` consecutive words that also starts in a document of smaller doc_id.
@@ -206,6 +218,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     Rows of null doc_id keep all words. Other columns are ignored.
     """
     docs = id_and_text(docs)
+    schema = "doc_id long, n_words long, n_removed long, " + ("kept_text string" if texts else "kept_sha256 string")
+    return docs.join(repeated_windows(docs, window), "doc_id", "left").mapInArrow(_kept_rows(window, texts), schema)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with the words that substring_dedup removes taken out of text, and n_chars set anew; other texts stay as they are.
+
+    A changed text is its kept words joined by one space. All rows and columns of docs stay.
+    """
+    slim = id_and_text(docs)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    return whole.join(repeated_windows(slim, window), "doc_id", "left").mapInArrow(_kept_rows(window, True, docs.columns), docs.schema)
+
+
+def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id, at: stretches (first, count) of windows that also start in a document of smaller doc_id."""
     known = docs.where("doc_id is not null and text is not null")
     rows = materialize(known.mapInArrow(_anchor_rows(window), "key long, whole long, doc_id long, first int, count int"), "stretches")
     keys = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
@@ -221,5 +249,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     windows = materialize(asked.join(ask, "doc_id").mapInArrow(_window_rows(window), "h1 long, h2 long, doc_id long, first int"), "windows")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     single = windows.join(materialize(least, "least"), ["h1", "h2"]).where("doc_id > least").select("doc_id", "first", F.lit(1).alias("count"))
-    schema = "doc_id long, n_words long, n_removed long, " + ("kept_text string" if texts else "kept_sha256 string")
-    return docs.join(_by_document(marked.union(single)), "doc_id", "left").mapInArrow(_kept_rows(window, texts), schema)
+    return _by_document(marked.union(single))

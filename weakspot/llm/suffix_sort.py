@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LANES, U64, Rolling, chunks, id_and_text, materialize, mix, ranges
+from .common import BROADCAST_IDS, LANES, U64, Rolling, chunks, id_and_text, materialize, mix, ranges
 from .graphs import together, whole_groups
 
 LENGTH, GRAM = 400, 100
 #: A gram with more different stretches is resolved window by window, so that no task gathers an unbounded shard.
 MOST_STRETCHES = 2000
-#: Above this many documents, those whose bytes are gathered are found by a shuffle join instead of a broadcast of their ids.
-BROADCAST_IDS = 500_000
 PLACE_BITS = 28
 
 
