@@ -1,13 +1,16 @@
-"""All registered queries of the engine and their SQL."""
+"""All registered queries of the engine and their SQL, gathered from the modules of `plans`."""
 
 from __future__ import annotations
 
-FLAGSHIP = "frontier"
+from .plans import basics, evidence, inference, leaves, search
+
+MODULES = (basics, inference, search, leaves, evidence)
+FLAGSHIP = "s01_weakness_frontier"
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, (q, _) in m.REGISTRY.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.REGISTRY.items() if sql}
