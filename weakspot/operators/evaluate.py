@@ -69,14 +69,14 @@ def cluster_summary(rows: DataFrame, cluster: str, y: str, loss: str) -> DataFra
     """Each cluster against the rest: n, share, brier, rest_brier, excess, gap, se, low, high, inflation, prevalence."""
     squared = F.sum(F.col(loss) * F.col(loss))
     part = rows.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(loss).alias("s"), squared.alias("q"), F.avg(y).alias("prevalence"))
-    out = part.crossJoin(F.broadcast(rows.agg(F.count("*").alias("N"), F.sum(loss).alias("S"), squared.alias("Q"))))
-    n, rest = F.col("n"), F.col("N") - F.col("n")
-    b1, b0 = F.col("s") / n, ratio(F.col("S") - F.col("s"), rest.cast("double"))
+    out = part.crossJoin(F.broadcast(rows.agg(F.count("*").alias("all_n"), F.sum(loss).alias("all_s"), squared.alias("all_q"))))
+    n, rest = F.col("n"), F.col("all_n") - F.col("n")
+    b1, b0 = F.col("s") / n, ratio(F.col("all_s") - F.col("s"), rest.cast("double"))
     v1 = ratio(F.col("q") - n * b1 * b1, (n - 1).cast("double"))
-    v0 = ratio(F.col("Q") - F.col("q") - rest * b0 * b0, (rest - 1).cast("double"))
+    v0 = ratio(F.col("all_q") - F.col("q") - rest * b0 * b0, (rest - 1).cast("double"))
     se = F.sqrt(v1 / n + ratio(v0, rest.cast("double")))
     return out.select(
-        cluster, "n", (n / F.col("N")).alias("share"), b1.alias("brier"), b0.alias("rest_brier"), (b1 - F.col("S") / F.col("N")).alias("excess"),
+        cluster, "n", (n / F.col("all_n")).alias("share"), b1.alias("brier"), b0.alias("rest_brier"), (b1 - F.col("all_s") / F.col("all_n")).alias("excess"),
         (b1 - b0).alias("gap"), se.alias("se"), (b1 - b0 - 1.96 * se).alias("low"), (b1 - b0 + 1.96 * se).alias("high"), (ratio(b1, b0) - 1).alias("inflation"), "prevalence",
     )
 
@@ -114,8 +114,8 @@ def cluster_weakness(rows: DataFrame, cluster: str, y: str, p: str, base_p: str,
 def cluster_error_report(rows: DataFrame, cluster: str, y: str, p: str) -> DataFrame:
     """cluster, n, share, event_rate, mean_pred, logloss, logloss_ratio; worst first."""
     part = rows.groupBy(cluster).agg(F.count("*").alias("n"), F.avg(y).alias("event_rate"), F.avg(p).alias("mean_pred"), F.avg(log_score(y, p)).alias("logloss"))
-    out = part.crossJoin(F.broadcast(rows.agg(F.count("*").alias("N"), F.avg(log_score(y, p)).alias("mean"))))
-    out = out.select(cluster, "n", (F.col("n") / F.col("N")).alias("share"), "event_rate", "mean_pred", "logloss", ratio(F.col("logloss"), F.col("mean")).alias("logloss_ratio"))
+    out = part.crossJoin(F.broadcast(rows.agg(F.count("*").alias("all_n"), F.avg(log_score(y, p)).alias("mean"))))
+    out = out.select(cluster, "n", (F.col("n") / F.col("all_n")).alias("share"), "event_rate", "mean_pred", "logloss", ratio(F.col("logloss"), F.col("mean")).alias("logloss_ratio"))
     return out.orderBy(F.desc("logloss"), cluster)
 
 

@@ -76,7 +76,7 @@ def weakness_frontier(rows: DataFrame, loss: str, masks: dict[str, Column], leas
 
 def owners(scores: DataFrame, delta: float = 0.0) -> DataFrame:
     """cond, cand of the candidates within delta of a condition's best score."""
-    return scores.where(F.col("score") >= F.max("score").over(Window.partitionBy("cond")) - delta).select("cond", "cand")
+    return scores.withColumn("_top", F.max("score").over(Window.partitionBy("cond"))).where(F.col("score") >= F.col("_top") - delta).select("cond", "cand")
 
 
 def coverage_shares(scores: DataFrame, weights: DataFrame | None = None, delta: float = 0.0) -> DataFrame:

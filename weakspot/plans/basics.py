@@ -295,7 +295,7 @@ def energy(spark, sf_dir):
 
 @query("c21_crosstab", SCORED + " SELECT grp, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'discovery') AS discovery, count(*) FILTER (split = 'confirm') AS confirm FROM scored GROUP BY grp")
 def crosstab(spark, sf_dir):
-    return scored(spark, sf_dir).groupBy("grp").pivot("split", ["train", "discovery", "confirm"]).agg(F.count("*"))
+    return scored(spark, sf_dir).groupBy("grp").pivot("split", ["train", "discovery", "confirm"]).agg(F.count("id"))
 
 
 @query("c22_named_aggregates", SCORED + " SELECT split, count(*) AS cases, sum(y)::BIGINT AS events, round(max(loss), 6) AS worst FROM scored GROUP BY split")
@@ -362,9 +362,9 @@ def hash_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", hash_number(F.col("event_id").cast("string"), F.lit("s")).alias("h"))
 
 
-@query("g01_bin_grid", SCORED + " SELECT list_sort(list_distinct(quantile_cont(x1, [0.2, 0.4, 0.6, 0.8]))) AS edges FROM scored")
+@query("g01_bin_grid", SCORED + " SELECT list_transform(list_sort(list_distinct(quantile_cont(x1, [0.2, 0.4, 0.6, 0.8]))), lambda e: round(e, 6)) AS edges FROM scored")
 def bin_grid(spark, sf_dir):
-    return R.bin_grid(scored(spark, sf_dir), "x1", 5)
+    return R.bin_grid(scored(spark, sf_dir), "x1", 5).select(F.transform("edges", lambda e: F.round(e, 6)).alias("edges"))
 
 
 @query("g01_bin_grid_few", SCORED + ", v AS (SELECT DISTINCT x2 AS v FROM scored), m AS (SELECT v, lead(v) OVER (ORDER BY v) AS w FROM v) SELECT list((v + w) / 2 ORDER BY v) AS edges FROM m WHERE w IS NOT NULL")

@@ -1 +1,175 @@
+"""Queries over frozen trees: leaf codes, kernels, medoids, routers, region scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import trees as T
+from .registry import r, registrar, rounded
+from .scored import SCORED, members_sql, scored
+from .search import members
+
 REGISTRY: dict = {}
+query = registrar(REGISTRY)
+
+TREES = [
+    T.Split("x1", 40, T.Split("x2", 8, T.Leaf(0, 0.02), T.Leaf(1, -0.01)), T.Split("x1", 100, T.Leaf(2, 0.05), T.Leaf(3, 0.12))),
+    T.Split("x2", 12, T.Split("x3", 3, T.Leaf(0, -0.03), T.Leaf(1, 0.01)), T.Split("x1", 60, T.Leaf(2, 0.02), T.Leaf(3, 0.07))),
+    T.Split("x3", 5, T.Split("x1", 25, T.Leaf(0, 0.0), T.Leaf(1, 0.04)), T.Split("x2", 18, T.Leaf(2, -0.02), T.Leaf(3, 0.03))),
+]
+WEIGHTS = [0.5, 0.3, 0.2]
+MEDOIDS = [[0, 0, 0], [2, 2, 1], [3, 3, 3], [1, 2, 2]]
+MEDOID_VALUES = [[0.02, -0.03, 0.0], [0.05, 0.02, 0.04], [0.12, 0.07, 0.03], [-0.01, 0.02, -0.02]]
+
+CODED = SCORED + ", coded AS (SELECT id, y, x1, x2, x3, loss, " + ", ".join(f"{T.sql(t)} AS c{i}, {T.sql(t, 'value')} AS v{i}" for i, t in enumerate(TREES)) + " FROM scored)"
+LONG = CODED + ", emb AS (" + " UNION ALL ".join(f"SELECT id, {i} AS tree, c{i} AS leaf, v{i} AS value FROM coded" for i in range(len(TREES))) + ")"
+
+
+def coded(spark, sf_dir):
+    return scored(spark, sf_dir).withColumn("codes", T.codes(TREES)).withColumn("vals", F.array(*map(T.value, TREES)))
+
+
+@query("l02_leaf_codes", CODED + " SELECT id, c0, c1, c2 FROM coded")
+def leaf_codes(spark, sf_dir):
+    return coded(spark, sf_dir).select("id", *[F.get("codes", F.lit(i)).alias(f"c{i}") for i in range(3)])
+
+
+@query("l03_additive_score", CODED + " SELECT id, round(0.1e0 + v0 + v1 + v2, 6) + 0e0 AS score FROM coded")
+def additive(spark, sf_dir):
+    return rounded(scored(spark, sf_dir).select("id", T.additive(TREES, 0.1).alias("score")))
+
+
+@query("l03_leaf_table", LONG + " SELECT tree, leaf, round(value, 6) + 0e0 AS value, count(*) AS n FROM emb GROUP BY ALL")
+def leaf_table(spark, sf_dir):
+    n = T.embedding(scored(spark, sf_dir), "id", TREES).groupBy("tree", "leaf").agg(F.count("*").alias("n"))
+    return rounded(T.leaf_table(spark, TREES).join(n, ["tree", "leaf"]))
+
+
+@query("l04_embedding", LONG + " SELECT id, tree, leaf, round(value, 6) + 0e0 AS value FROM emb")
+def embedding(spark, sf_dir):
+    return rounded(T.embedding(scored(spark, sf_dir), "id", TREES))
+
+
+@query("j03_leaf_kernel", LONG + " SELECT a.id AS a, b.id AS b, round(count(*) / 3e0, 6) AS similarity FROM emb AS a JOIN emb AS b USING (tree, leaf) WHERE a.id < 150 AND b.id < 150 GROUP BY ALL")
+def leaf_kernel(spark, sf_dir):
+    return rounded(T.kernel(T.embedding(scored(spark, sf_dir).where("id < 150"), "id", TREES), "id", 3))
+
+
+def nearest_sql(distances: list[str]) -> str:
+    names = [f"d{i}" for i in range(len(distances))]
+    pick = " ".join(f"WHEN {n} = least({', '.join(names)}) THEN {i}" for i, n in enumerate(names))
+    return ", dd AS (SELECT id, loss, " + ", ".join(f"round({d}, 10) AS d{i}" for i, d in enumerate(distances)) + f" FROM coded), near AS (SELECT id, loss, CAST(CASE {pick} END AS INT) AS medoid, least({', '.join(names)}) AS distance FROM dd)"
+
+
+def mismatch_sql(medoid, weights):
+    return "(" + " + ".join(f"CASE WHEN c{i} <> {m} THEN {w}e0 ELSE 0e0 END" for i, (m, w) in enumerate(zip(medoid, weights, strict=True))) + f") / {sum(weights)}e0"
+
+
+@query("j04_medoid_assignment", CODED + nearest_sql([mismatch_sql(m, [1, 1, 1]) for m in MEDOIDS]) + " SELECT id, medoid, round(distance, 6) AS distance FROM near")
+def medoids(spark, sf_dir):
+    return rounded(T.assign(coded(spark, sf_dir), "id", "codes", MEDOIDS))
+
+
+@query("l05_gain_weighted", CODED + nearest_sql([mismatch_sql(m, WEIGHTS) for m in MEDOIDS]) + " SELECT medoid, count(*) AS n, round(avg(distance), 6) AS distance FROM near GROUP BY medoid")
+def gain_weighted(spark, sf_dir):
+    a = T.assign(coded(spark, sf_dir), "id", "codes", MEDOIDS, WEIGHTS)
+    return rounded(a.groupBy("medoid").agg(F.count("*").alias("n"), F.avg("distance").alias("distance")))
+
+
+@query("l05_embedded_distance", CODED + " SELECT id, round(sqrt(" + " + ".join(f"CASE WHEN c{i} <> {m} THEN v{i} * v{i} + {v * v!r} ELSE 0e0 END" for i, (m, v) in enumerate(zip(MEDOIDS[1], MEDOID_VALUES[1], strict=True))) + "), 6) AS distance FROM coded")
+def embedded_distance(spark, sf_dir):
+    return rounded(coded(spark, sf_dir).select("id", T.embedded_distance(F.col("codes"), F.col("vals"), MEDOIDS[1], MEDOID_VALUES[1]).alias("distance")))
+
+
+@query(
+    "w04_b16_leaf_neighbours",
+    CODED
+    + f""", sm AS (SELECT 0 AS anchor, id, x1, round(1 - {mismatch_sql(MEDOIDS[1], [1, 1, 1])}, 10) AS similarity FROM coded UNION ALL SELECT 1, id, x1, round(1 - {mismatch_sql(MEDOIDS[2], [1, 1, 1])}, 10) FROM coded)
+SELECT anchor, id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY similarity DESC, round(abs(x1 - 50e0), 10), id) AS k FROM sm) WHERE k <= 120""",
+)
+def leaf_neighbours(spark, sf_dir):
+    return rounded(T.leaf_neighbours(coded(spark, sf_dir), "id", "codes", {0: MEDOIDS[1], 1: MEDOIDS[2]}, 120, F.round(F.abs(F.col("x1") - 50.0), 10)))
+
+
+@query("b16_leaf_region", CODED + f" SELECT id FROM coded WHERE round(1 - {mismatch_sql(MEDOIDS[2], [1, 1, 1])}, 10) >= 0.6")
+def leaf_region(spark, sf_dir):
+    return coded(spark, sf_dir).where(F.round(1 - T.distance_to(F.col("codes"), MEDOIDS[2]), 10) >= 0.6).select("id")
+
+
+@query(
+    "l06_leaf_router",
+    LONG
+    + """, lb AS (SELECT id, CAST(grp AS INT) AS cluster FROM scored WHERE split = 'train'), sz AS (SELECT cluster, count(*) AS k FROM lb GROUP BY cluster),
+me AS (SELECT cluster, tree, leaf, count(*) / any_value(k)::DOUBLE AS w FROM emb JOIN lb USING (id) JOIN sz USING (cluster) GROUP BY ALL),
+sc AS (SELECT id, cluster, round(sum(w), 10) AS s FROM emb JOIN me USING (tree, leaf) GROUP BY ALL)
+SELECT id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, cluster) AS k FROM sc) WHERE k = 1""",
+)
+def leaf_router(spark, sf_dir):
+    d = scored(spark, sf_dir)
+    e = T.embedding(d, "id", TREES)
+    return T.route(e, T.router(e, d.where("split = 'train'").select("id", F.col("grp").alias("cluster")), "id"), "id")
+
+
+@query("l08_region_score", members_sql() + ", p AS (SELECT id, 0.1e0 + " + " + ".join(T.sql(t, "value") for t in TREES) + " AS s FROM scored) SELECT cand, round(avg(s), 6) AS score FROM members JOIN p USING (id) GROUP BY cand")
+def region_score(spark, sf_dir):
+    s = scored(spark, sf_dir).select("id", T.additive(TREES, 0.1).alias("s"))
+    return rounded(members(spark, sf_dir).join(s, "id").groupBy("cand").agg(F.avg("s").alias("score")))
+
+
+@query("t02_interactions", "SELECT * FROM (VALUES ('x1', 'x2', 2e0 + 1e0 / 3 + 2e0 / 3), ('x1', 'x3', 1e0), ('x2', 'x3', 1e0)) AS t(f, g, gain)")
+def interactions(spark, sf_dir):
+    return T.interactions(spark, TREES, [2.0, 1.0, 2.0]).withColumn("gain", F.round("gain", 12))
+
+
+@query("l10_medoids")
+def pam(spark, sf_dir):
+    import numpy as np
+
+    pool = coded(spark, sf_dir).where("id < 300").orderBy("id").select("codes").collect()  # a bounded pool
+    found, total = T.pam(T.dissimilarity(np.array([x["codes"] for x in pool])), 4)
+    return spark.createDataFrame([(i, m, total) for i, m in enumerate(found)], "place int, row int, inertia double")
+
+
+@query("c06_medoid_clusters", CODED + nearest_sql([mismatch_sql(m, [1, 1, 1]) for m in MEDOIDS]) + f" SELECT medoid, count(*) AS n, {r('brier')} FROM (SELECT medoid, loss, avg(loss) OVER (PARTITION BY medoid) AS brier FROM near) GROUP BY medoid, brier")
+def medoid_clusters(spark, sf_dir):
+    d = coded(spark, sf_dir)
+    return rounded(T.assign(d, "id", "codes", MEDOIDS).join(d.select("id", "loss"), "id").groupBy("medoid").agg(F.count("*").alias("n"), F.avg("loss").alias("brier")))
+
+
+@query("l01_error_model")
+def error_model(spark, sf_dir):
+    from ..operators.models import fit_error_model
+
+    d = scored(spark, sf_dir)
+    model = fit_error_model(d.where("split = 'train'"), ["x1", "x2", "x3"], "loss", trees=8)
+    return model.score(d.where("split = 'confirm'")).select("id", "score")
+
+
+@query("l20_logistic")
+def logistic(spark, sf_dir):
+    from ..operators.models import fit_logistic
+
+    d = scored(spark, sf_dir)
+    return fit_logistic(d.where("split = 'train'"), ["x1", "x2", "x3"], "y").score(d.where("split = 'confirm'")).select("id", "score")
+
+
+@query("l14_monotone_mixture")
+def monotone_mixture(spark, sf_dir):
+    from ..operators.models import fit_monotone_mixture
+
+    d = scored(spark, sf_dir)
+    return fit_monotone_mixture(d.where("split = 'train'"), ["x1", "x2"], "y", {"x1": 1}, experts=2, trees=4).score(d.where("split = 'confirm'")).select("id", "score")
+
+
+@query("g06_twin_folds")
+def twin_folds(spark, sf_dir):
+    from ..operators.twinning import twin_folds
+
+    return twin_folds(scored(spark, sf_dir).where("id < 2000"), "id", ["x1", "x2"], 5).select("id", "fold")
+
+
+@query("l11_kmeans")
+def kmeans(spark, sf_dir):
+    from ..operators.models import kmeans
+
+    return kmeans(scored(spark, sf_dir), ["x1", "x2"], 4, starts=2).select("id", "cluster")
