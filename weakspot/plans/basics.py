@@ -362,14 +362,14 @@ def hash_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", hash_number(F.col("event_id").cast("string"), F.lit("s")).alias("h"))
 
 
-@query("g01_bin_grid", SCORED + " SELECT list_transform(list_sort(list_distinct(quantile_cont(x1, [0.2, 0.4, 0.6, 0.8]))), lambda e: round(e, 6)) AS edges FROM scored")
+@query("g01_bin_grid", SCORED + " SELECT round(unnest(list_distinct(quantile_cont(x1, [0.2, 0.4, 0.6, 0.8]))), 6) AS edge FROM scored")
 def bin_grid(spark, sf_dir):
-    return R.bin_grid(scored(spark, sf_dir), "x1", 5).select(F.transform("edges", lambda e: F.round(e, 6)).alias("edges"))
+    return R.bin_grid(scored(spark, sf_dir), "x1", 5).select(F.explode("edges").alias("edge")).select(F.round("edge", 6).alias("edge"))
 
 
-@query("g01_bin_grid_few", SCORED + ", v AS (SELECT DISTINCT x2 AS v FROM scored), m AS (SELECT v, lead(v) OVER (ORDER BY v) AS w FROM v) SELECT list((v + w) / 2 ORDER BY v) AS edges FROM m WHERE w IS NOT NULL")
+@query("g01_bin_grid_few", SCORED + ", v AS (SELECT DISTINCT x2 AS v FROM scored), m AS (SELECT v, lead(v) OVER (ORDER BY v) AS w FROM v) SELECT (v + w) / 2 AS edge FROM m WHERE w IS NOT NULL")
 def bin_grid_few(spark, sf_dir):
-    return R.bin_grid(scored(spark, sf_dir), "x2", 24)
+    return R.bin_grid(scored(spark, sf_dir), "x2", 24).select(F.explode("edges").alias("edge"))
 
 
 @query("g02_freeze_box", SCORED + " SELECT count(*) AS support, round(avg(loss), 6) AS mean FROM scored WHERE x1 >= 20e0 AND x1 <= 160e0 AND x2 <= 20e0")

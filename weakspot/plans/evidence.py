@@ -1 +1,216 @@
+"""Queries over evidence: stores, claims, packets, plans, reports. Facts are made of the nations' customers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evidence as V
+from .registry import registrar
+from .scored import table
+
 REGISTRY: dict = {}
+query = registrar(REGISTRY)
+
+FACTS = """
+WITH n AS (SELECT n_name AS entity, count(*) AS c, CAST(CAST(avg(c_acctbal) AS DECIMAL(18, 2)) AS VARCHAR) AS b, min(n_nationkey) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name),
+facts AS (
+  SELECT 'bank/' || entity || '/customers' AS id, CAST(c AS VARCHAR) AS value, 'int' AS vtype, '/' || entity || '/customers' AS pointer, k FROM n
+  UNION ALL SELECT 'bank/' || entity || '/balance', b, 'float', '/' || entity || '/balance', k FROM n
+  UNION ALL SELECT 'bank/' || entity || '/name', entity, 'str', '/' || entity || '/name', k FROM n)"""
+
+
+def nations(spark, sf_dir):
+    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy(F.col("n_name").alias("entity")).agg(F.count("*").alias("c"), F.avg("c_acctbal").cast("decimal(18,2)").cast("string").alias("b"), F.min("n_nationkey").alias("k"))
+
+
+def store(spark, sf_dir):
+    pair = lambda v, t: F.struct(v.cast("string").alias("value"), F.lit(t).alias("vtype"))
+    fields = F.create_map(F.lit("customers"), pair(F.col("c"), "int"), F.lit("balance"), pair(F.col("b"), "float"), F.lit("name"), pair(F.col("entity"), "str"))
+    docs = nations(spark, sf_dir).select("entity", F.col("entity").alias("source"), F.col("entity").alias("content"), fields.alias("fields"))
+    return V.build_store(docs, "bank")
+
+
+@query("e01_build_store", FACTS + " SELECT id, value, vtype, split_part(pointer, '/', 2) AS source, sha256(split_part(pointer, '/', 2)) AS sha256, pointer FROM facts")
+def build_store(spark, sf_dir):
+    return store(spark, sf_dir)
+
+
+@query("e02_audit", FACTS + " SELECT 3 * count(*) AS drifted, 0::BIGINT AS misplaced, 0::BIGINT AS rebound, 0::BIGINT AS repeated FROM n WHERE k % 5 = 0")
+def audit(spark, sf_dir):
+    now = nations(spark, sf_dir).select(F.col("entity").alias("source"), F.sha2(F.when(F.col("k") % 5 == 0, F.lit("x")).otherwise(F.col("entity")).cast("binary"), 256).alias("sha256"))
+    return V.audit(store(spark, sf_dir), now, "bank")
+
+
+CASES = FACTS + """, cl AS (
+  SELECT 'exact|' || id AS claim, 'exact' AS attack, CASE WHEN true THEN 'Supported' END AS expected, value AS stored FROM facts
+  UNION ALL SELECT 'altered|' || id, 'altered', 'Contradicted', value FROM facts UNION ALL SELECT 'unknown|' || id || '#', 'unknown', 'Absent', NULL FROM facts
+  UNION ALL SELECT 'as_text|' || id, 'as_text', CASE WHEN vtype = 'str' THEN 'Supported' ELSE 'Unscorable' END, value FROM facts
+  UNION ALL SELECT 'no_value|' || id, 'no_value', 'Unscorable', value FROM facts)"""
+
+
+@query("e03_j08_verify", CASES + " SELECT claim, expected AS verdict, stored FROM cl")
+def verify(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return V.verify(V.mutations(s), s)
+
+
+@query("e04_verify_loose", CASES + " SELECT claim, CASE WHEN attack = 'as_text' AND expected = 'Unscorable' THEN 'Contradicted' ELSE expected END AS verdict FROM cl")
+def verify_loose(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return V.verify(V.mutations(s), s, strict_types=False).drop("stored")
+
+
+@query("e06_verdict_counts", CASES + " SELECT expected AS verdict, count(*) AS n FROM cl GROUP BY expected")
+def verdict_counts(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return V.verify(V.mutations(s), s).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("e07_mutation_grid", CASES + " SELECT attack, count(*) AS cases, count(*) FILTER (expected <> expected) AS false_accepts FROM cl GROUP BY attack")
+def mutation_grid(spark, sf_dir):
+    s = store(spark, sf_dir)
+    m = V.mutations(s)
+    judged = m.join(V.verify(m, s), "claim")
+    return judged.groupBy("attack").agg(F.count("*").alias("cases"), F.count_if((F.col("verdict") == "Supported") & (F.col("expected") != "Supported")).alias("false_accepts"))
+
+
+TRIPLES = FACTS + ", tr AS (SELECT entity AS head, 'region' AS relation, r_name AS tail, k AS pos FROM n JOIN nation ON n_name = entity JOIN region ON r_regionkey = n_regionkey)"
+
+
+def triples(spark, sf_dir):
+    t = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return nations(spark, sf_dir).join(t, F.col("entity") == F.col("n_name")).select(F.col("entity").alias("head"), F.lit("region").alias("relation"), F.col("r_name").alias("tail"), F.col("k").alias("pos"))
+
+
+@query(
+    "e05_triples",
+    TRIPLES
+    + """ SELECT 'r' || head AS claim, 'Supported' AS verdict, 'text' AS rule FROM tr UNION ALL SELECT 'w' || head, 'Contradicted', 'text' FROM tr
+UNION ALL SELECT 'n' || head, 'Supported', 'number' FROM tr UNION ALL SELECT 'm' || head, 'Contradicted', 'number' FROM tr UNION ALL SELECT 'a' || head, 'Absent', NULL FROM tr UNION ALL SELECT 'u' || head, 'Unscorable', 'text' FROM tr""",
+)
+def verify_triples(spark, sf_dir):
+    t = triples(spark, sf_dir)
+    n = nations(spark, sf_dir).select(F.col("entity").alias("head"), F.lit("customers").alias("relation"), F.col("c").cast("double").alias("number"))
+    one = lambda tag, df, relation, value: df.select(F.concat(F.lit(tag), "head").alias("claim"), "head", F.lit(relation).alias("relation"), value.cast("string").alias("value"))
+    claims = one("r", t, "region", F.concat(F.lit(" "), F.lower("tail"))).union(one("w", t, "region", F.lit("nowhere"))).union(one("n", n, "customers", F.format_number("number", 1))).union(one("m", n, "customers", F.col("number") + 1))
+    claims = claims.union(one("a", t, "ruler", F.lit("x"))).union(one("u", t, "region", F.lit(None)))
+    return V.verify_triples(claims, t, n)
+
+
+@query("e11_j09_first_span", TRIPLES + " SELECT head AS claim, head || ':' || tail AS span FROM tr")
+def first_span(spark, sf_dir):
+    t = triples(spark, sf_dir).withColumn("span", F.concat_ws(":", "head", "tail"))
+    other = t.withColumns({"tail": F.lit("elsewhere"), "span": F.lit("other"), "pos": F.col("pos") - 100})
+    claims = t.select(F.col("head").alias("claim"), "head", "relation", F.col("tail").alias("value"))
+    return V.first_span(t.union(other), claims)
+
+
+def needs(spark, sf_dir):
+    n = nations(spark, sf_dir)
+    fields = F.explode(F.array(F.lit("customers"), F.lit("balance"), F.lit("ruler"))).alias("f")
+    return n.select("entity", fields).select(F.col("entity").alias("section"), F.concat(F.lit("bank/"), "entity", F.lit("/"), "f").alias("id"))
+
+
+@query("e08_j10_packets", FACTS + " SELECT entity AS section, string_agg(id || '=' || value, ',' ORDER BY id) AS facts, 'bank/' || entity || '/ruler' AS gaps FROM n JOIN facts USING (k) WHERE id NOT LIKE '%/name' GROUP BY entity")
+def packets(spark, sf_dir):
+    p = V.packets(needs(spark, sf_dir), store(spark, sf_dir))
+    return p.select("section", F.concat_ws(",", F.transform("facts", lambda x: F.concat(x["id"], F.lit("="), x["value"]))).alias("facts"), F.concat_ws(",", "gaps").alias("gaps"))
+
+
+@query("e18_required_facts", FACTS + " SELECT count(*) AS missing FROM n")
+def required(spark, sf_dir):
+    return needs(spark, sf_dir).join(store(spark, sf_dir), "id", "left_anti").agg(F.count("*").alias("missing"))
+
+
+@query(
+    "e09_f05_section_scores",
+    FACTS + " SELECT entity AS section, 0.5e0 AS faithfulness, 1e0 AS completeness, 1e0 AS qualification, round(2.5e0 / 3, 6) AS overall FROM n",
+)
+def section_scores(spark, sf_dir):
+    s = nations(spark, sf_dir).select(
+        F.col("entity").alias("section"),
+        F.concat(F.lit("In all "), F.col("c").cast("string"), F.lit(" customers, about 0.12345 of them. Only A SAMPLE.")).alias("text"),
+        F.array(F.col("c").cast("string")).alias("numbers"), F.array(F.col("c").cast("string")).alias("required"), F.array(F.lit("a sample")).alias("qualifiers"),
+    )
+    return V.section_scores(s).withColumn("overall", F.round("overall", 6))
+
+
+@query("f06_missing_phrases", "SELECT item_id, contains(lower(text), 'not available') OR contains(lower(text), 'no evidence') OR contains(lower(text), 'not measured') OR contains(lower(text), 'missing') OR contains(lower(text), 'not reported') OR contains(lower(text), 'unknown') AS missing FROM benchmark")
+def missing(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", V.says_missing(F.col("text")).alias("missing"))
+
+
+@query("f04_numbers", "SELECT c_custkey, CAST(replace(trim(' ' || CAST(c_custkey * 1000 AS VARCHAR) || ' '), ',', '') AS DOUBLE) AS x FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey % 7 = 0")
+def numbers(spark, sf_dir):
+    text = F.when(F.col("c_custkey") % 7 == 0, F.lit("nan")).otherwise(F.concat(F.lit(" "), F.format_number(F.col("c_custkey") * 1000, 0), F.lit(" ")))
+    return table(spark, sf_dir, "customer").select("c_custkey", V.number_of(text).alias("x"))
+
+
+@query("e10_u03_plans", FACTS + " SELECT 'all' AS plan, true AS valid, 1e0 AS coverage, true AS admissible, count(*)::INT AS cost FROM facts UNION ALL SELECT 'half', true, round(count(*) FILTER (vtype = 'int') / count(*)::DOUBLE, 6), false, count(*) FILTER (vtype = 'int')::INT FROM facts UNION ALL SELECT 'odd', false, 0e0, false, 2::INT")
+def plans(spark, sf_dir):
+    s = store(spark, sf_dir)
+    packet = s.agg(F.collect_list("id").alias("facts"), F.collect_list(F.when(F.col("vtype") == "str", F.col("id"))).alias("qualifiers"))
+    every = s.agg(F.lit("all").alias("plan"), F.collect_list("id").alias("facts")).union(s.where("vtype = 'int'").agg(F.lit("half").alias("plan"), F.collect_list("id").alias("facts")))
+    every = every.union(spark.createDataFrame([("odd", ["x", "x"])], "plan string, facts array<string>"))
+    return V.evaluate_plans(every, packet).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("e10_render", FACTS + " SELECT entity AS plan, 'bank/' || entity || '/name = ' || entity || '; bank/' || entity || '/customers = ' || c AS text FROM n")
+def render(spark, sf_dir):
+    p = nations(spark, sf_dir).select(F.col("entity").alias("plan"), F.array(F.concat(F.lit("bank/"), "entity", F.lit("/name")), F.concat(F.lit("bank/"), "entity", F.lit("/customers"))).alias("facts"))
+    return V.render(p, store(spark, sf_dir))
+
+
+@query(
+    "e12_answers",
+    FACTS + " SELECT 'c' || entity AS answer, 'correct' AS verdict, true AS provenance FROM n UNION ALL SELECT 'w' || entity, 'wrong', false FROM n UNION ALL SELECT 'a' || entity, 'abstained', false FROM n UNION ALL SELECT 'b' || entity, 'malformed', true FROM n UNION ALL SELECT 'x' || entity, 'malformed', false FROM n",
+)
+def answers(spark, sf_dir):
+    n = nations(spark, sf_dir)
+    one = lambda tag, raw: n.select(F.concat(F.lit(tag), "entity").alias("answer"), raw.alias("raw"), F.col("c").cast("double").alias("expected"), F.array(F.lit("s")).alias("sources"))
+    rows = one("c", F.concat(F.lit('{"answer": '), F.col("c").cast("string"), F.lit(', "sources": ["s"]}'))).union(one("w", F.lit('{"answer": -1, "sources": ["t"]}'))).union(one("a", F.lit('{"answer": null, "sources": []}'))).union(one("b", F.lit('{"answer": true, "sources": ["s"]}'))).union(one("x", F.lit("{oops")))
+    return V.score_answers(rows)
+
+
+@query("u10_distinct_facts", "SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY ALL")
+def distinct_facts(spark, sf_dir):
+    return V.distinct_facts(table(spark, sf_dir, "conversations").select("conv_id", "role", "turn"), ["conv_id", "role"], "turn")
+
+
+@query("e14_context", TRIPLES + " SELECT tail AS query, string_agg(head || ' region ' || tail, chr(10) ORDER BY pos) AS context FROM tr GROUP BY tail UNION ALL SELECT 'NOBODY', 'no facts'")
+def context(spark, sf_dir):
+    t = triples(spark, sf_dir)
+    heads = t.select(F.col("tail").alias("query"), "head").union(spark.createDataFrame([("NOBODY", "none")], "query string, head string"))
+    return V.context(heads.union(heads), t)
+
+
+@query("e16_drafts", FACTS + " SELECT 'g' || entity AS draft, true AS valid FROM n UNION ALL SELECT 'b' || entity, false FROM n")
+def drafts(spark, sf_dir):
+    n = nations(spark, sf_dir)
+    good, bad = '{"title": "t", "text": "x", "facts": ["f2", "f1"], "qualifiers": ["q"]}', '{"title": "t", "text": "x", "facts": ["f1", "f1"], "qualifiers": ["q"]}'
+    rows = n.select(F.concat(F.lit("g"), "entity").alias("draft"), F.lit(good).alias("raw")).union(n.select(F.concat(F.lit("b"), "entity"), F.lit(bad)))
+    return V.draft_check(rows, ["f1", "f2"], ["q"])
+
+
+@query("e17_tasks", FACTS + ", nu AS (SELECT id, CAST(value AS DOUBLE) AS v FROM facts WHERE vtype <> 'str'), ne AS (SELECT id, v, lead(id) OVER (ORDER BY id) AS i2, lead(v) OVER (ORDER BY id) AS v2 FROM nu) SELECT 'recall ' || id AS task, round(v, 6) AS expected FROM nu UNION ALL SELECT 'minus ' || id || ' ' || i2, round(v - v2, 6) FROM ne WHERE i2 IS NOT NULL")
+def tasks(spark, sf_dir):
+    return V.tasks(store(spark, sf_dir)).withColumn("expected", F.round("expected", 6))
+
+
+@query("e19_f07_pointers", "SELECT event_id AS source, '/k' AS pointer, json_extract_string(props, '$.k') AS value FROM events")
+def pointers(spark, sf_dir):
+    return V.pointers(table(spark, sf_dir, "events").select(F.col("event_id").alias("source"), F.col("props").alias("content")), ["/k"])
+
+
+@query("e13_t07_ranked_instructions", FACTS + " SELECT entity AS instruction, CAST(b AS DOUBLE) AS overall FROM n ORDER BY CAST(b AS DOUBLE) DESC, entity LIMIT 5")
+def ranked(spark, sf_dir):
+    return nations(spark, sf_dir).select(F.col("entity").alias("instruction"), F.col("b").cast("double").alias("overall")).orderBy(F.desc("overall"), "instruction").limit(5)
+
+
+@query("s13_proposals", FACTS + " SELECT entity AS id, k % 3 <> 0 AND k % 2 = 0 AS admitted FROM n")
+def proposals(spark, sf_dir):
+    n = nations(spark, sf_dir)
+    rows = n.select(F.col("entity").alias("id"), F.when(F.col("k") % 3 != 0, F.lit("base")).alias("parent"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("bank/"), "entity", F.lit("/name"))).otherwise(F.lit("none")).alias("fact"))
+    held = rows.join(store(spark, sf_dir).select(F.col("id").alias("fact"), F.lit(True).alias("known")), "fact", "left")
+    return held.select("id", (F.col("parent").isNotNull() & F.coalesce("known", F.lit(False))).alias("admitted"))
