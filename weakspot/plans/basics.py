@@ -195,8 +195,13 @@ def error_report(spark, sf_dir):
     return rounded(E.cluster_error_report(scored(spark, sf_dir), "grp", "y", "p"))
 
 
-MASKS = {"late": F.col("x2") >= 18, "large": F.col("x1") > 90, "both": (F.col("x2") >= 12) & (F.col("x1") > 60), "buyers": F.col("y") == 1, "few": F.col("id") < 20, "none": F.lit(False)}
 MASK_SQL = {"late": "x2 >= 18", "large": "x1 > 90", "both": "x2 >= 12 AND x1 > 60", "buyers": "y = 1", "few": "id < 20", "none": "false"}
+
+
+def masks() -> dict:
+    return {name: F.expr(text) for name, text in MASK_SQL.items()}
+
+
 LIFTS = (
     SCORED
     + ", b AS (SELECT avg(loss) AS base FROM scored), t AS (SELECT sum(greatest(loss - base, 0)) AS total FROM scored, b), lifts AS ("
@@ -209,7 +214,7 @@ LIFTS = (
 
 @query("c10_lift_coverage", LIFTS + f" SELECT region, support, {r('lift', 'coverage')} FROM lifts")
 def lift_coverage(spark, sf_dir):
-    return rounded(E.lift_and_coverage(scored(spark, sf_dir), "loss", MASKS))
+    return rounded(E.lift_and_coverage(scored(spark, sf_dir), "loss", masks()))
 
 
 @query("c11_auc", SCORED + AUC_ALL + " SELECT round(auc, 6) AS auc FROM auc")

@@ -12,7 +12,7 @@ REGISTRY: dict = {}
 query = registrar(REGISTRY)
 
 FACTS = """
-WITH n AS (SELECT n_name AS entity, count(*) AS c, CAST(CAST(avg(c_acctbal) AS DECIMAL(18, 2)) AS VARCHAR) AS b, min(n_nationkey) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name),
+WITH n AS (SELECT n_name AS entity, count(*) AS c, CAST(CAST(max(c_acctbal) AS DECIMAL(18, 2)) AS VARCHAR) AS b, min(n_nationkey) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name),
 facts AS (
   SELECT 'bank/' || entity || '/customers' AS id, CAST(c AS VARCHAR) AS value, 'int' AS vtype, '/' || entity || '/customers' AS pointer, k FROM n
   UNION ALL SELECT 'bank/' || entity || '/balance', b, 'float', '/' || entity || '/balance', k FROM n
@@ -21,7 +21,7 @@ facts AS (
 
 def nations(spark, sf_dir):
     joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy(F.col("n_name").alias("entity")).agg(F.count("*").alias("c"), F.avg("c_acctbal").cast("decimal(18,2)").cast("string").alias("b"), F.min("n_nationkey").alias("k"))
+    return joined.groupBy(F.col("n_name").alias("entity")).agg(F.count("*").alias("c"), F.max("c_acctbal").cast("decimal(18,2)").cast("string").alias("b"), F.min("n_nationkey").alias("k"))
 
 
 def store(spark, sf_dir):

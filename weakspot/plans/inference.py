@@ -12,7 +12,11 @@ REGISTRY: dict = {}
 query = registrar(REGISTRY)
 
 Z19 = C.critical_value(19)
-MASK = F.col("x1") > 60
+
+
+def mask():
+    return F.col("x1") > 60
+
 
 
 def influence_sql(mask: str, z: float) -> str:
@@ -27,7 +31,7 @@ SELECT n, {r('share', 'mean_in', 'mean_out', 'gap', 'se')}, round(gap - {z!r} *
 
 @query("i01_influence_interval", influence_sql("x1 > 60", Z19))
 def influence(spark, sf_dir):
-    return rounded(C.influence_interval(scored(spark, sf_dir), MASK, "loss", Z19))
+    return rounded(C.influence_interval(scored(spark, sf_dir), mask(), "loss", Z19))
 
 
 @query(
@@ -40,7 +44,7 @@ ci AS (SELECT any_value(d) AS difference, stddev_samp(psi) / sqrt(count(*)) AS s
 SELECT {r('difference', 'se')}, round(difference - {Z19!r} * se, 6) AS low, round(difference + {Z19!r} * se, 6) AS high FROM ci""",
 )
 def paired(spark, sf_dir):
-    return rounded(C.paired_interval(scored(spark, sf_dir), MASK, F.col("x2") > 12, "loss", Z19))
+    return rounded(C.paired_interval(scored(spark, sf_dir), mask(), F.col("x2") > 12, "loss", Z19))
 
 
 BOOTS = 100
@@ -57,12 +61,12 @@ ra AS (SELECT boot, (sum(w * loss) FILTER (i) / sum(w) FILTER (i)) / (sum(w * lo
 
 @query("g09_bootstrap_conditions", BOOT + " SELECT CAST(boot AS INT) AS boot, round(theta, 6) + 0e0 AS theta FROM ra")
 def bootstrap(spark, sf_dir):
-    return rounded(C.bootstrap_ratios(scored(spark, sf_dir), "id", MASK, "loss", BOOTS))
+    return rounded(C.bootstrap_ratios(scored(spark, sf_dir), "id", mask(), "loss", BOOTS))
 
 
 @query("i03_percentile_bootstrap", BOOT + " SELECT count(*) AS boots, count(*) FILTER (theta IS NULL) AS undefined, round(quantile_cont(theta, 0.025), 6) AS low, round(quantile_cont(theta, 0.975), 6) AS high, quantile_cont(theta, 0.025) > 0 AS passed FROM ra")
 def percentile(spark, sf_dir):
-    return rounded(C.confirm_inflation(scored(spark, sf_dir), "id", MASK, "loss", 0.0, BOOTS))
+    return rounded(C.confirm_inflation(scored(spark, sf_dir), "id", mask(), "loss", 0.0, BOOTS))
 
 
 JACK = (
@@ -75,16 +79,16 @@ a AS (SELECT avg(v) AS mv FROM v), q AS (SELECT any_value(theta) AS theta, any_v
 
 @query("i04_i05_jackknife", JACK + " SELECT round(theta - 1, 6) + 0e0 AS theta, support, round(c / (6 * q ** 1.5e0), 6) + 0e0 AS acceleration FROM q")
 def jackknife(spark, sf_dir):
-    return rounded(C.jackknife(scored(spark, sf_dir), MASK, "loss"))
+    return rounded(C.jackknife(scored(spark, sf_dir), mask(), "loss"))
 
 
 @query("i04_bca")
 def bca(spark, sf_dir):
-    found = C.bca(scored(spark, sf_dir), "id", MASK, "loss", 0.0, 200)
+    found = C.bca(scored(spark, sf_dir), "id", mask(), "loss", 0.0, 200)
     return spark.createDataFrame([tuple(found[k] for k in ("theta", "low", "high", "p", "support"))], "theta double, low double, high double, p double, support long")
 
 
-@query("i06_critical_value", f"SELECT 19 AS claims, round({Z19!r}, 6) AS z UNION ALL SELECT 5, round({C.critical_value(5)!r}, 6)")
+@query("i06_critical_value", f"SELECT 19 AS claims, round({Z19!r}::DOUBLE, 6) AS z UNION ALL SELECT 5, round({C.critical_value(5)!r}::DOUBLE, 6)")
 def critical(spark, sf_dir):
     return rounded(spark.createDataFrame([(k, C.critical_value(k)) for k in (19, 5)], "claims int, z double"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import frontier as P
 from ..operators import regions as R
-from .basics import LIFTS, MASKS, SUMMARY
+from .basics import LIFTS, SUMMARY, masks
 from .registry import r, registrar, rounded
 from .scored import MEASURED, SCORED, candidates, members_sql, scored, table
 
@@ -114,7 +114,7 @@ def confirm_frozen(spark, sf_dir):
 
 @query("s01_weakness_frontier", LIFTS + f", ok AS (SELECT * FROM lifts WHERE support >= 40) SELECT region, support, {r('lift', 'coverage')} FROM ok AS a WHERE NOT EXISTS (SELECT 1 FROM ok AS b WHERE b.lift >= a.lift AND b.coverage >= a.coverage AND (b.lift > a.lift OR b.coverage > a.coverage))")
 def weakness_frontier(spark, sf_dir):
-    return rounded(P.weakness_frontier(scored(spark, sf_dir), "loss", MASKS))
+    return rounded(P.weakness_frontier(scored(spark, sf_dir), "loss", masks()))
 
 
 POINTS = SCORED + ", pts AS (SELECT CAST(id % 50 AS INT) AS id, round(avg(loss), 8) AS contrast, round(count(*) / (SELECT count(*) FROM scored)::DOUBLE + (id % 50) / 1000e0 - avg(loss), 8) AS share FROM scored GROUP BY id % 50)"
