@@ -21,7 +21,9 @@ from .common import BROADCAST_IDS, U64, Rolling, Words, chunks, materialize, mix
 from .graphs import components, forest, in_blocks, together, whole_groups
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
-WIDTH, BUCKET, DEPTH, BLOCK = 128, 64, 4, 256
+WIDTH, BUCKET, DEPTH = 128, 64, 4
+#: Sets in a block: when sketches are compared, and when whole sets are.
+WIDE_BLOCK, BLOCK = 2048, 256
 #: Columns of the exact check's incidence matrix at once, and n-grams that a block of sets holds.
 COLUMNS = 1 << 15
 def runs_for(recall: float, depth: int = 2) -> int:
@@ -146,7 +148,7 @@ def candidates(texts: DataFrame, threshold: float) -> DataFrame:
     for depth in range(DEPTH + 1):
         rows = materialize(rows, "paths")
         small = counts if depth == DEPTH else counts.where(F.col("n") <= BUCKET)
-        blocks = in_blocks(rows, small, "bucket", "id", BUCKET if depth < DEPTH else BLOCK)
+        blocks = in_blocks(rows, small, "bucket", "id", BUCKET if depth < DEPTH else WIDE_BLOCK)
         found.append(materialize(together(blocks, ["bucket", "bi", "bj"], ["id"]).mapInArrow(_compare(threshold), "a long, b long").distinct(), "pairs"))
         large = counts.where(F.col("n") > BUCKET)
         if depth == DEPTH or not large.limit(1).count():
