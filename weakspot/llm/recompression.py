@@ -41,10 +41,11 @@ def recompress(name: np.ndarray, row: np.ndarray, rounds: int = ROUNDS):
         same = (name[1:] == name[:-1]) & (row[1:] == row[:-1])
         head = np.flatnonzero(np.concatenate(([True], ~same)))
         length = np.diff(np.append(head, len(name)))
-        low, high = np.minimum.reduceat(low, head), np.maximum.reduceat(high, head)
+        # a run ends where the next symbol, not the next run, is known to differ
+        wide_low, wide_high = _look(low, high, row, np.ones(len(name), bool), np.ones(len(name), bool))
+        low, high = np.minimum.reduceat(wide_low, head), np.maximum.reduceat(wide_high, head)
         name, row, start = name[head], row[head], start[head]
         name = np.where(length > 1, mix(name ^ mix(length.astype(U64), 31 + r), 41 + r), name)
-        low, high = _look(low, high, row, np.ones(len(name), bool), np.ones(len(name), bool))
         # pairs of a left and a right symbol
         right = (mix(name, 51 + r) >> U64(63)).astype(bool)
         joins = np.zeros(len(name), dtype=bool)
