@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import basics, evidence, inference, leaves, search
+from .plans import basics, evidence, inference, learning, leaves, search, streams
 
-MODULES = (basics, inference, search, leaves, evidence)
+MODULES = (basics, inference, search, leaves, learning, evidence, streams)
 FLAGSHIP = "s01_weakness_frontier"
 
 
