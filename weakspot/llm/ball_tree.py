@@ -17,7 +17,7 @@ from .common import materialize
 from .graphs import together, whole_groups
 
 K, EVERY, SCALE = 20, 20, 64
-SHARD, QUERIES, LEAF = 4096, 512, 64
+SHARD, QUERIES, LEAF = 4096, 512, 128
 NONE = np.iinfo(np.int64).min
 
 
@@ -43,15 +43,19 @@ def build(vectors: np.ndarray, rows: np.ndarray) -> Node:
 class Search:
     """Top k of one shard for one block of queries; ids ascending."""
 
+    ROWS = 1 << 13
+
     def __init__(self, ids, vectors, query_ids, queries, bounds, k: int):
         self.ids, self.query_ids, self.k = ids, query_ids, k
-        exact = max(np.abs(vectors).max(initial=0), 1) * float(max(np.abs(queries).max(initial=0), 1)) * vectors.shape[1] < 2**52
-        # whole numbers under 2**53 are exact as doubles; others are multiplied as integers
-        self.vectors, self.queries = (vectors.astype(float), queries.astype(float)) if exact else (vectors, queries)
+        most = max(np.abs(vectors).max(initial=0), 1) * float(max(np.abs(queries).max(initial=0), 1)) * vectors.shape[1]
+        # whole numbers under 2**53 are exact as doubles; a score and a row then fit one double, larger first, ties to smaller ids
+        self.packed = most * 2 * self.ROWS < 2**53 and len(ids) <= self.ROWS
+        self.vectors, self.queries = (vectors.astype(float), queries.astype(float)) if most < 2**52 else (vectors, queries)
         self.as_float, self.norm = queries.astype(float), np.sqrt((queries.astype(float) ** 2).sum(axis=1))
         self.kth = bounds.copy()
         self.score, self.found = np.full((len(queries), k), NONE), np.full((len(queries), k), np.iinfo(np.int64).max)
         self.slack = 1e-9
+        self.best = np.full((len(queries), k), -np.inf) if self.packed else None
 
     def bound(self, node: Node, at: np.ndarray) -> np.ndarray:
         top = self.as_float[at] @ node.centre + self.norm[at] * node.radius
@@ -71,6 +75,33 @@ class Search:
         self.visit(node.left, at[~first])
 
     def compare(self, rows: np.ndarray, at: np.ndarray) -> None:
+        if not self.packed:
+            self.compare_apart(rows, at)
+            return
+        score = self.queries[at] @ self.vectors[rows].T
+        score[self.query_ids[at][:, None] == self.ids[rows][None, :]] = -np.inf
+        some = (score >= self.kth[at][:, None]).any(axis=1)
+        at = at[some]
+        if len(at):
+            key = np.concatenate((self.best[at], score[some] * self.ROWS + (self.ROWS - 1 - rows)), axis=1)
+            key = np.partition(key, key.shape[1] - self.k, axis=1)[:, -self.k :]
+            self.best[at] = key
+            least = key.min(axis=1)
+            full = np.isfinite(least)
+            self.kth[at[full]] = np.maximum(self.kth[at[full]], np.floor(least[full] / self.ROWS).astype(np.int64))
+
+    def finish(self) -> None:
+        """Sets score and found, best first."""
+        if not self.packed:
+            return
+        key = -np.sort(-self.best, axis=1)
+        have = np.isfinite(key)
+        score = np.floor(np.where(have, key, 0) / self.ROWS)
+        row = (self.ROWS - 1 - (np.where(have, key, 0) - score * self.ROWS)).astype(np.int64)
+        self.score = np.where(have, score.astype(np.int64), NONE)
+        self.found = np.where(have, self.ids[np.where(have, row, 0)], np.iinfo(np.int64).max)
+
+    def compare_apart(self, rows: np.ndarray, at: np.ndarray) -> None:
         score = (self.queries[at] @ self.vectors[rows].T).astype(np.int64)
         score[self.query_ids[at][:, None] == self.ids[rows][None, :]] = NONE
         # an equal score may win by its smaller id
@@ -111,6 +142,7 @@ def _search(k: int):
                 have = have[np.argsort(ids[have], kind="stable")]
                 search = Search(ids[have], vectors[have], ids[want], vectors[want], bound[want], k)
                 search.visit(build(vectors[have].astype(float), np.arange(len(have))), np.arange(len(want)))
+                search.finish()
                 q, r = np.nonzero((search.score > NONE) & (search.score >= bound[want][:, None]))
                 for o, x in zip(out, (ids[want][q], search.found[q, r], search.score[q, r]), strict=True):
                     o.append(x)
