@@ -3,8 +3,8 @@
 Texts with the same set are one text from the start. Each set is embedded as `WIDTH` minhash tokens (place, n-gram). A run
 splits the sets on sampled tokens: a path picks each place with probability 1 / (threshold * WIDTH), and sets that share the
 token there go on together; two sets over the threshold are expected to share one child or more. Buckets of up to `BUCKET` sets
-are compared by brute force, larger ones are split again, and what is still large after `DEPTH` splits is compared in pairs of
-blocks. `runs_for` gives the number of runs that reaches the target recall. What the runs join to one candidate group is then
+are compared by brute force, larger ones are split again unless most of their sets are alike, and what is still large after
+`DEPTH` splits is compared in pairs of blocks. `runs_for` gives the number of runs that reaches the target recall. What the runs join to one candidate group is then
 checked exactly: all pairs of its sets, in pairs of blocks.
 """
 
@@ -24,6 +24,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 WIDTH, BUCKET, DEPTH = 128, 64, 4
 #: Sets in a block: when sketches are compared, and when whole sets are.
 WIDE_BLOCK, BLOCK = 2048, 256
+#: A large bucket of which this share is like its pivot is compared instead of split.
+ALIKE = 0.3
 #: Columns of the exact check's incidence matrix at once, and n-grams that a block of sets holds.
 COLUMNS = 1 << 15
 def runs_for(recall: float, depth: int = 2) -> int:
@@ -91,16 +93,40 @@ def _sketch_rows(n: int, runs: int, threshold: float):
     return run
 
 
-def _likeness(sketch: np.ndarray) -> np.ndarray:
-    out = np.empty((len(sketch), len(sketch)), dtype=np.int16)
-    for i, x in enumerate(sketch):
-        out[i] = (sketch == x).sum(axis=1)
-    return out
+def spanning(sketch: np.ndarray, size: np.ndarray, enough: float, threshold: float) -> np.ndarray:
+    """For each set the first set that likeness leads to; each set is compared with those that nothing led to before."""
+    label = np.arange(len(sketch))
+    left = np.arange(len(sketch))
+    while len(left):
+        root, left, reached = left[0], left[1:], [left[0]]
+        while reached and len(left):
+            x = reached.pop()
+            near = ((sketch[left] == sketch[x]).sum(axis=1) >= enough) & (np.minimum(size[left], size[x]) >= threshold * np.maximum(size[left], size[x]))
+            label[left[near]] = root
+            reached.extend(left[near].tolist())
+            left = left[~near]
+    return label
+
+
+def least_likeness(threshold: float) -> float:
+    """Equal places below which two sets aren't compared exactly: four deviations under the threshold's expectation."""
+    return (threshold - 4 * math.sqrt(threshold * (1 - threshold) / WIDTH)) * WIDTH
+
+
+def _alike(threshold: float):
+    """bucket, alike: whether a row's sketch may be over the threshold with its bucket's pivot."""
+
+    def run(batches):
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, WIDTH) for c in ("sketch", "pivot"))
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(((one == two).sum(axis=1) >= least_likeness(threshold)).astype(np.float64))], names=["bucket", "alike"])
+
+    return run
 
 
 def _compare(threshold: float):
     """Within pairs of blocks: edges of a spanning forest of the sets that may be over the threshold."""
-    enough = (threshold - 4 * math.sqrt(threshold * (1 - threshold) / WIDTH)) * WIDTH
+    enough = least_likeness(threshold)
 
     def run(batches):
         for table, bounds in whole_groups(batches, ["bucket", "bi", "bj"]):
@@ -109,8 +135,7 @@ def _compare(threshold: float):
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(-1, WIDTH)
             one, two = [], []
             for a, b in zip(bounds, bounds[1:], strict=False):
-                near = (_likeness(sketch[a:b]) >= enough) & (np.minimum.outer(size[a:b], size[a:b]) >= threshold * np.maximum.outer(size[a:b], size[a:b]))
-                label = forest(near)
+                label = spanning(sketch[a:b], size[a:b], enough, threshold)
                 at = np.flatnonzero(label != np.arange(b - a))
                 one.append(ids[a + label[at]])
                 two.append(ids[a + at])
@@ -147,14 +172,21 @@ def candidates(texts: DataFrame, threshold: float) -> DataFrame:
     found = []
     for depth in range(DEPTH + 1):
         rows = materialize(rows, "paths")
-        small = counts if depth == DEPTH else counts.where(F.col("n") <= BUCKET)
-        blocks = in_blocks(rows, small, "bucket", "id", BUCKET if depth < DEPTH else WIDE_BLOCK)
-        found.append(materialize(together(blocks, ["bucket", "bi", "bj"], ["id"]).mapInArrow(_compare(threshold), "a long, b long").distinct(), "pairs"))
         large = counts.where(F.col("n") > BUCKET)
-        if depth == DEPTH or not large.limit(1).count():
+        last = depth == DEPTH or not large.limit(1).count()
+        if not last:
+            # splitting doesn't part sets that are all alike; buckets that mostly hold such are compared at once
+            in_large = rows.join(large.select("bucket"), "bucket")
+            pivots = in_large.groupBy("bucket").agg(F.min_by("sketch", "id").alias("pivot"))
+            alike = in_large.join(pivots, "bucket").select("bucket", "sketch", "pivot").mapInArrow(_alike(threshold), "bucket long, alike double")
+            apart = materialize(alike.groupBy("bucket").agg(F.avg("alike").alias("alike")).where(F.col("alike") < ALIKE).select("bucket"), "apart")
+        now = counts if last else counts.join(apart, "bucket", "left_anti")
+        blocks = in_blocks(rows, now, "bucket", "id", WIDE_BLOCK)
+        found.append(materialize(together(blocks, ["bucket", "bi", "bj"], ["id"]).mapInArrow(_compare(threshold), "a long, b long").distinct(), "pairs"))
+        if last:
             break
         # rows of a bucket stay in their partitions: a path's places depend on its name alone
-        rows = materialize(rows.join(large.select("bucket"), "bucket").mapInArrow(_split(depth, threshold), bucket), "split")
+        rows = materialize(rows.join(apart, "bucket").mapInArrow(_split(depth, threshold), bucket), "split")
         counts = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
         rows = rows.join(counts.select("bucket"), "bucket")
     out = found[0]
