@@ -13,6 +13,7 @@ The best solution is dealt to the pieces by their rank among those of the same l
 
 from __future__ import annotations
 
+import bisect
 import json
 import random
 import zlib
@@ -30,61 +31,49 @@ CAPACITY, END = 1024, 2
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 2, 4, 4
 
 
-def best_fit(counts: dict[int, int], capacity: int, dice: random.Random | None = None) -> list:
-    """Groups (contents, bins) that hold all pieces: largest first, each into the bin that it fills best."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    groups = []
-    present = np.flatnonzero(left).tolist()
-    while present:
-        contents: dict[int, int] = {}
-        space = capacity
-        pick = len(present) - 1
-        if dice and dice.random() < 0.2:
-            pick = dice.randrange(len(present))
-        while True:
-            length = present[pick]
-            most = min(int(left[length]) - contents.get(length, 0), space // length)
-            take = most if not dice or most < 2 or dice.random() < 0.7 else dice.randint(1, most)
-            if take:
-                contents[length] = contents.get(length, 0) + take
-                space -= take * length
-            # the largest that fits; where two of those present fill the bin exactly, these
-            fit = np.searchsorted(present, space, side="right") - 1
-            exact = None
-            if 0 <= fit and present[fit] != space:
-                exact = _pair(present, left, contents, space)
-            if exact:
-                for x in exact:
-                    contents[x] = contents.get(x, 0) + 1
-                space = 0
-            while fit >= 0 and left[present[fit]] <= contents.get(present[fit], 0):
-                fit -= 1
-            if fit < 0 or not space:
-                break
-            pick = fit
-        bins = min(int(left[x]) // k for x, k in contents.items())
-        groups.append((tuple(sorted(contents.items(), reverse=True)), bins))
-        for x, k in contents.items():
-            left[x] -= bins * k
-        present = [x for x in present if left[x]]
-    return groups
-
-
-def _pair(present, left, contents, space):
-    low, high = 0, len(present) - 1
-    while low < high:
-        a, b = present[low], present[high]
-        if b >= space or a + b > space:
-            high -= 1
-        elif a + b < space:
-            low += 1
+def best_fit(counts: dict[int, int], capacity: int, dice: random.Random | None = None, groups: list | tuple = ()) -> list:
+    """Groups (contents, bins) that hold all pieces: longest first, each into the open bin that it fills best, else a new one.
+
+    Equal bins are filled together: bins of space s take s // x pieces of length x each, as they would one by one. `groups`
+    are bins to start from; with `dice` the order of lengths is disturbed a little.
+    """
+    open_bins: dict[int, list] = {}
+    spaces: list[int] = []
+    full: list = []
+
+    def keep(contents: tuple, n: int, space: int) -> None:
+        if not space:
+            full.append((contents, n))
+        elif space in open_bins:
+            open_bins[space].append((contents, n))
         else:
-            if left[a] > contents.get(a, 0) and left[b] > contents.get(b, 0):
-                return a, b
-            low += 1
-    return None
+            open_bins[space] = [(contents, n)]
+            bisect.insort(spaces, space)
+
+    for contents, n in groups:
+        keep(contents, n, capacity - sum(x * k for x, k in contents))
+    for x in sorted(counts, key=lambda x: x * (1 + 0.1 * dice.random() if dice else 1), reverse=True):
+        left = counts[x]
+        while left:
+            at = bisect.bisect_left(spaces, x)
+            space = spaces[at] if at < len(spaces) else capacity
+            k = min(space // x, left)
+            m = left // k
+            if at < len(spaces):
+                contents, n = open_bins[space].pop()
+                m = min(m, n)
+                if m < n:
+                    open_bins[space].append((contents, n - m))
+                elif not open_bins[space]:
+                    del open_bins[space], spaces[at]
+                contents = dict(contents)
+                contents[x] = contents.get(x, 0) + k
+                contents = tuple(sorted(contents.items(), reverse=True))
+            else:
+                contents = ((x, k),)
+            keep(contents, m, space - k * x)
+            left -= m * k
+    return full + [g for gs in open_bins.values() for g in gs]
 
 
 def bins(groups) -> int:
@@ -114,7 +103,7 @@ def crossover(one, two, counts: dict[int, int], capacity: int, dice: random.Rand
     dice.shuffle(rest)
     for contents, n in rest[: max(1, len(rest) * 3 // 4)]:
         put(contents, n)
-    child += best_fit({x: n for x, n in left.items() if n}, capacity, dice)
+    child = best_fit({x: n for x, n in left.items() if n}, capacity, dice if dice.random() < 0.5 else None, child)
     merged: dict = {}
     for contents, n in child:
         merged[contents] = merged.get(contents, 0) + n
