@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import edges_at_most, squared_distance
 from ..functions.scoring import entropy, log_score
+from .ordering import running_sums
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -84,12 +85,15 @@ def cluster_summary(rows: DataFrame, cluster: str, y: str, loss: str) -> DataFra
 def auc(rows: DataFrame, y: str, p: str, by: Sequence[str] = (), digits: int = 10) -> DataFrame:
     """ROC AUC from counts of each distinct rounded score, ties averaged; null where one class is missing.
 
-    The running count of negatives is taken over distinct scores, not rows.
+    The running count of negatives is taken over distinct scores, not rows, and without groups over all partitions at once.
     """
     by = list(by)
     level = rows.groupBy(*by, F.round(p, digits).alias("_p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    below = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    level = level.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    if by:
+        below = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        level = level.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    else:
+        level = running_sums(level, ["_p"], {"under": F.col("neg")}).withColumn("under", F.col("under") - F.col("neg"))
     won = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2.0))
     return level.groupBy(*by).agg(ratio(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
@@ -143,8 +147,11 @@ def average_ranks(df: DataFrame, column: str, alias: str, by: Sequence[str] = ()
     """df with the rank of a column, ties averaged. The running count is over distinct values, which join back."""
     by = list(by)
     level = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(column))
-    level = level.select(*by, column, (upto - (F.col("_c") - 1) / 2.0).alias(alias))
+    if by:
+        level = level.withColumn("_u", F.sum("_c").over(Window.partitionBy(*by).orderBy(column)))
+    else:
+        level = running_sums(level, [column], {"_u": F.col("_c")})
+    level = level.select(*by, column, (F.col("_u") - (F.col("_c") - 1) / 2.0).alias(alias))
     return df.join(level, [*by, column], "left")
 
 

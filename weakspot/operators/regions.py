@@ -171,4 +171,6 @@ def stratified_split(df: DataFrame, key: str, target: str, shares: Mapping[str,
 
 def round_robin(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     """df with fold = place in the order, modulo k."""
-    return df.withColumn("fold", ((F.row_number().over(Window.orderBy(*order)) - 1) % k).cast("int"))
+    from .ordering import row_numbers
+
+    return row_numbers(df, order, "_place").withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place")
