@@ -205,3 +205,34 @@ def interactions(spark, trees: Sequence, gains: Sequence[float]) -> DataFrame:
             total[p] = total.get(p, 0.0) + gain / len(pairs)
     rows = [(a, b, g) for (a, b), g in sorted(total.items(), key=lambda x: (-x[1], x[0]))]
     return spark.createDataFrame(rows, "f string, g string, gain double")
+
+
+NODES = "tree int, path string, feature string, threshold double, code int, value double"
+
+
+def save(spark, trees: Sequence, path: str) -> None:
+    """Writes trees as a table of nodes; a node's path is its turns from the root, 0 left and 1 right."""
+    rows: list = []
+
+    def visit(i, at, node):
+        if isinstance(node, Leaf):
+            rows.append((i, at, None, None, node.code, float(node.value)))
+        else:
+            rows.append((i, at, node.feature, float(node.threshold), None, None))
+            visit(i, at + "0", node.left)
+            visit(i, at + "1", node.right)
+
+    for i, t in enumerate(trees):
+        visit(i, "", t)
+    spark.createDataFrame(rows, NODES).write.mode("errorifexists").parquet(path)
+
+
+def load(spark, path: str) -> list:
+    """The trees that save() wrote; their nodes are a model's, not data."""
+    nodes = {(r["tree"], r["path"]): r for r in spark.read.schema(NODES).parquet(path).collect()}
+
+    def build(i, at):
+        r = nodes[i, at]
+        return Leaf(r["code"], r["value"]) if r["feature"] is None else Split(r["feature"], r["threshold"], build(i, at + "0"), build(i, at + "1"))
+
+    return [build(i, "") for i in range(1 + max((i for i, _ in nodes), default=-1))]

@@ -23,6 +23,23 @@ def csv_scan(spark, sf_dir):
     return csv_round_trip(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")).where("c_acctbal > 0")
 
 
+@query("a03_json_documents", "SELECT conv_id, turn, role FROM conversations")
+def json_documents(spark, sf_dir):
+    from ..sources.files import json_round_trip
+
+    c = json_round_trip(table(spark, sf_dir, "conversations"), "text")
+    return c.select(*[F.try_variant_get("document", f"$.{n}", t).alias(n) for n, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"))])
+
+
+@query("a05_a12_result_files", SCORED + " SELECT grp, count(*) AS n, round(sum(loss), 6) AS total FROM scored GROUP BY grp")
+def result_files(spark, sf_dir):
+    from ..sources.files import scratch, write_new
+
+    path = scratch(spark, "result")
+    write_new(rounded(scored(spark, sf_dir).groupBy("grp").agg(F.count("*").alias("n"), F.sum("loss").alias("total"))), path)
+    return spark.read.parquet(path)
+
+
 @query("a04_column_scan", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase'")
 def column_scan(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id")

@@ -173,3 +173,19 @@ def kmeans(spark, sf_dir):
     from ..operators.models import kmeans
 
     return kmeans(scored(spark, sf_dir), ["x1", "x2"], 4, starts=2).select("id", "cluster")
+
+
+@query("a06_model_files", CODED + " SELECT id, round(0.1e0 + v0 + v1 + v2, 6) + 0e0 AS score FROM coded")
+def model_files(spark, sf_dir):
+    from ..sources.files import scratch
+
+    path = scratch(spark, "trees")
+    T.save(spark, TREES, path)
+    return rounded(scored(spark, sf_dir).select("id", T.additive(T.load(spark, path), 0.1).alias("score")))
+
+
+@query("g07_twin_split")
+def twin_split(spark, sf_dir):
+    from ..operators.twinning import twin_split
+
+    return twin_split(scored(spark, sf_dir).where("id < 2000"), "id", ["x1", "x2"], 4).select("id", "twin")

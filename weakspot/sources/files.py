@@ -44,6 +44,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.parse_json("value").alias("document"))
 
 
+def json_round_trip(df: DataFrame, *without: str) -> DataFrame:
+    """document: df's rows written as JSON lines and parsed again, without the named columns. Non-finite numbers are refused."""
+    checks = [F.isnan(c) | (F.abs(c) == float("inf")) for c, t in df.dtypes if t in ("double", "float")]
+    for bad in checks:
+        df = df.where(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("a number isn't finite")).cast("boolean")).otherwise(True))
+    path = scratch(df.sparkSession, "json")
+    df.drop(*without).write.json(path)
+    return df.sparkSession.read.text(path).select(F.parse_json("value").alias("document"))
+
+
 def _refuse(name):
     raise ValueError(f"{name} is no JSON number")
 
