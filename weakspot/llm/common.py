@@ -19,7 +19,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes of text handled at once in one Python worker.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -107,7 +107,7 @@ def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), LANES[lane][1 if inverse else 0], dtype=U64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=U64)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= 8 * CHUNK_BYTES:
             _powers[lane, inverse] = have
     return have[:n]
 

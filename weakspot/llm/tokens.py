@@ -19,7 +19,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a worker's caches; a full cache starts anew, which costs time but changes nothing.
-CACHE = 700_000
+CACHE = 350_000
 LONGEST_CACHED = 48
 PLAIN = regex.compile(r"[^\S \n]|[\x1c-\x1f]|[ \n][ \n]|^[ \n]|[ \n]$")
 
