@@ -41,14 +41,19 @@ def distinct_regions(ranked: list, shared: dict[tuple, float], most: float) -> l
     return kept
 
 
+#: Points that pareto() takes.
+MOST_POINTS = 20_000
+
+
 def pareto(points: DataFrame, objectives: Sequence[str], key: str) -> DataFrame:
     """Points that no other point dominates (as good in all objectives, larger is better, and better in one); equals all stay.
 
-    A theta anti-join for the few points of a frontier; the points' number is checked.
+    A theta anti-join for the few points of a frontier; they are gathered once, and their number is checked.
     """
-    n = points.count()
-    if n > 20_000:
-        raise ValueError(f"{n} points; use skyline() for two objectives")
+    rows = points.limit(MOST_POINTS + 1).collect()
+    if len(rows) > MOST_POINTS:
+        raise ValueError(f"over {MOST_POINTS} points; use skyline() for two objectives")
+    points = points.sparkSession.createDataFrame(rows, points.schema)
     other = points.select(*[F.col(o).alias(f"_{o}") for o in objectives])
     as_good = better = None
     for o in objectives:

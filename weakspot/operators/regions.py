@@ -56,7 +56,7 @@ def membership(rows: DataFrame, candidates: DataFrame, features: Sequence[str],
     key. Ranks are taken on values rounded to `digits`, so engines agree. The rank filter becomes a group limit in the plan:
     each task keeps m rows of a candidate before the shuffle.
     """
-    n = candidates.count()
+    n, most = candidates.agg(F.count("*"), F.max("m")).first()
     if n > MOST_CANDIDATES:
         raise ValueError(f"{n} candidates; give at most {MOST_CANDIDATES} at once")
     gaps = [F.abs(F.col(f) - F.get("z", F.lit(i))) for i, f in enumerate(features)]
@@ -67,7 +67,6 @@ def membership(rows: DataFrame, candidates: DataFrame, features: Sequence[str],
     pairs = pairs.select("cand", "m", key, F.round(u, digits).alias("u"), F.round(euclid, digits).alias("d"))
     order = Window.partitionBy("cand").orderBy("u", "d", key)
     # a literal bound lets the group limit apply; each candidate's own m follows
-    most = candidates.agg(F.max("m")).first()[0]
     ranked = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.lit(most or 0))
     return ranked.where("r <= m").select("cand", key, "u")
 
