@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, U64, Rolling, Words, chunks, materialize, mix, without_ids
+from .common import BROADCAST_IDS, U64, Rolling, Words, chunks, id_and_text, materialize, mix, without_ids
 from .graphs import components, forest, in_blocks, together, whole_groups
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -256,7 +256,7 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     own. Rows of null doc_id get null ids and no links. Repeated rows are copies. Other columns are ignored; an empty
     table gives no rows.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = id_and_text(docs)
     schema = "doc_id long, f1 long, f2 long, size int, sketch binary, roots array<long>"
     rows = materialize(ids.mapInArrow(_sketch_rows(n, runs_for(recall), threshold), schema), "sketches")
     real = rows.where("size > 0 and doc_id is not null")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, Words, chunks, id_and_text, mix
+from .common import U64, Rolling, Words, chunks, id_and_text, mix, small_batches
 
 #: Labelled documents used for training, at most; chosen by a hash of doc_id.
 SAMPLE = 3000
@@ -242,6 +242,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: bool = False, sampl
     speaks against it), and with one label only, that label. Labels of null or other values, and of unknown documents, are
     left aside; of several labels of one document the smaller holds. held_out is false for a null doc_id.
     """
+    small_batches(docs.sparkSession)
     trained = fit(docs, labels, sample)
 
     def score(raw, offsets):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks
+from .common import CHUNK_BYTES, chunks, small_batches
 
 #: Elements that start a block of their own (fixed values of HTML).
 BLOCKS = frozenset(
@@ -405,6 +405,7 @@ def extract(pages: DataFrame, labelled: list[tuple[str, list[str]]] | None = Non
     `labelled`: pages and the texts of their content blocks to train on, instead of those of sample_pages(). Repeated rows are
     judged alike; null ids and urls stay; other columns are ignored; an empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     weights = train(labelled) if labelled else default_weights()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 

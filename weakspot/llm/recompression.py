@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, LANES, Rolling, U64, Words, chunks, covered, id_and_text, materialize, mix, ranges
+from .common import BROADCAST_IDS, Rolling, U64, Words, chunks, covered, id_and_text, materialize, mix, ranges
 
 WINDOW, ROUNDS = 50, 4
 FAR = 1 << 40
