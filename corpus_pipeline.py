@@ -15,6 +15,10 @@ from weakspot.llm.packing import pack
 from weakspot.llm.recompression import without_repeats
 
 
+#: Words that a worker remembers while packing: fewer than in packing alone, as the stages before have filled the JVM's heap.
+WORDS = 250_000
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones."""
     return quality_scores(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"), keep=True)
@@ -37,7 +41,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids and their places in sequences."""
-    return pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), cache=WORDS)
 
 
 STAGES = [

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, id_and_text, materialize
-from .tokens import encoder
+from .tokens import CACHE, encoder
 
 CAPACITY, END = 1024, 2
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 2, 4, 4
@@ -145,9 +145,9 @@ def plan(spark, counts: dict[int, int], capacity: int = CAPACITY, islands: int =
     return max(elites, key=lambda g: fitness(g, capacity), default=[])
 
 
-def _pieces(tokenizer: str, capacity: int):
+def _pieces(tokenizer: str, capacity: int, cache: int):
     def run(batches):
-        encode, end, pid = encoder(tokenizer).encode, np.array([END], dtype="<u4").tobytes(), TaskContext.get().partitionId()
+        encode, end, pid = encoder(tokenizer, cache).encode, np.array([END], dtype="<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64).tolist()
         for batch in batches:
             for part, _, _ in chunks(batch):
@@ -195,17 +195,18 @@ def _places(groups: list, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
     """Packs whole texts into as few sequences of at most `capacity` ids as the search finds.
 
     A text (null: empty) gives its ids and the end id 2; only longer ones are cut, into pieces of `capacity` of which the
     first may be shorter. One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Pieces of one
     sequence lie without gaps from offset 0. Each row of docs is packed, also repeated ones and those of null doc_id. Other
-    columns are ignored. An empty table gives no rows.
+    columns are ignored. An empty table gives no rows. `cache` is how many words a worker remembers, which trades memory for
+    time.
     """
     spark = docs.sparkSession
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
-    pieces = materialize(id_and_text(docs).mapInArrow(_pieces(tokenizer, capacity), schema), "pieces")
+    pieces = materialize(id_and_text(docs).mapInArrow(_pieces(tokenizer, capacity, cache), schema), "pieces")
     tally = materialize(pieces.groupBy("length", "pid").agg(F.count("*").alias("n")), "tally")
     counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     groups = plan(spark, counts, capacity)
