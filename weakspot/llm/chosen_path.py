@@ -167,7 +167,7 @@ def candidates(texts: DataFrame, threshold: float) -> DataFrame:
     slim = texts.select("id", "size", "sketch")
     rows = texts.select("id", F.explode("roots").alias("bucket"))
     counts = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    rows = rows.join(counts.select("bucket"), "bucket").join(slim, "id").select("bucket", "id", "size", "sketch")
+    rows = rows.join(counts.select("bucket").hint("merge"), "bucket").join(slim.hint("merge"), "id").select("bucket", "id", "size", "sketch")
     bucket = "bucket long, id long, size int, sketch binary"
     found = []
     for depth in range(DEPTH + 1):
@@ -276,7 +276,7 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     known = texts.join(links, "id", "left").join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
     known = materialize(known.select("f1", "f2", F.col("id").alias("text_id"), "n_copies", F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "known")
     lone = F.col("doc_id").isNull() | (F.col("size") == 0)
-    out = rows.select("doc_id", "f1", "f2", "size").join(known, ["f1", "f2"], "left")
+    out = rows.select("doc_id", "f1", "f2", "size").join(known.hint("merge"), ["f1", "f2"], "left")
     return out.select(
         "doc_id",
         F.when(lone, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"),

@@ -220,7 +220,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     """
     docs = id_and_text(docs)
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_text string" if texts else "kept_sha256 string")
-    return docs.join(repeated_windows(docs, window), "doc_id", "left").mapInArrow(_kept_rows(window, texts), schema)
+    return docs.join(repeated_windows(docs, window).hint("merge"), "doc_id", "left").mapInArrow(_kept_rows(window, texts), schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -230,7 +230,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     slim = id_and_text(docs)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
-    return whole.join(repeated_windows(slim, window), "doc_id", "left").mapInArrow(_kept_rows(window, True, docs.columns), docs.schema)
+    return whole.join(repeated_windows(slim, window).hint("merge"), "doc_id", "left").mapInArrow(_kept_rows(window, True, docs.columns), docs.schema)
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -238,10 +238,10 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     known = docs.where("doc_id is not null and text is not null")
     rows = materialize(known.mapInArrow(_anchor_rows(window), "key long, whole long, doc_id long, first int, count int"), "stretches")
     keys = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
-    rows = materialize(rows.join(materialize(keys, "keys"), "key"), "shared")
+    rows = materialize(rows.join(materialize(keys, "keys").hint("merge"), "key"), "shared")
     wholes = materialize(rows.groupBy("key", "whole").agg(F.min("doc_id").alias("least")), "wholes")
     mixed = materialize(wholes.groupBy("key").count().where("count > 1").select("key"), "mixed")
-    held = rows.join(wholes, ["key", "whole"])
+    held = rows.join(wholes.hint("merge"), ["key", "whole"])
     marked = held.where("doc_id > least").select("doc_id", "first", "count")
     ask = materialize(_by_document(held.where("doc_id = least").join(mixed, "key").select("doc_id", "first", "count")), "ask")
     asked = known
