@@ -71,20 +71,18 @@ class Model:
 
     def backtrack(self, text: str) -> list[str]:
         """Tokens of a text of known characters."""
-        n, longest = len(text), {}
+        n, longest, fits, shorter = len(text), {}, self.fits, self.shorter
         for end, token in self.find.iter(text):
-            start = end - len(token) + 1
-            if len(token) > len(longest.get(start, "")):
-                longest[start] = token
+            longest[end - len(token) + 1] = token  # matches come by their ends, so the last is the longest
         failed, out, at = 0, [], 0
         token = longest.get(0)
         while at < n:
             before = out[-1] if out else None
             while token is not None:
                 end = at + len(token)
-                if not failed >> end & 1 and (before is None or self.fits[before, token]):
+                if not failed >> end & 1 and (before is None or fits[before, token]):
                     break
-                token = self.shorter[token]
+                token = shorter[token]
             if token is not None:
                 out.append(token)
                 at = end
@@ -97,6 +95,8 @@ class Model:
 
     def ids(self, text: str) -> list[int]:
         """Ids of a normalised text."""
+        if self.known.issuperset(text):
+            return [self.id[x] for x in self.backtrack(text)]
         out, last = [], 0
         for i, c in enumerate(text):
             if c not in self.known:
