@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import struct
 import unicodedata
 
 import numpy as np
@@ -21,13 +22,19 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Entries of a worker's caches; a full cache starts anew, which costs time but changes nothing.
 CACHE = 700_000
 LONGEST_CACHED = 48
-PLAIN = regex.compile(r"[^\S \n]|[\x1c-\x1f]|[ \n][ \n]|^[ \n]|[ \n]$")
+#: White space other than single spaces and line feeds: a text that holds it goes to the byte-level library whole.
+OTHER_SPACE = regex.compile(r"[^\S \n]|[\x1c-\x1f]")
+DOUBLE = ("  ", "\n\n", " \n", "\n ")
 
 
 #: Pieces with characters beyond these Latin ones go to the library, whose Unicode tables may differ from Python's.
 LATIN = "\u024f"
 
 
+class OtherSpace(Exception):
+    pass
+
+
 class Cache(dict):
     def __init__(self, make, most: int = CACHE):
         self.make, self.most = make, most
@@ -63,6 +70,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.model, self.letters = self.library.model, byte_letters()
         pre, normalizer = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         whole = {"add_prefix_space": False, "trim_offsets": True}
@@ -86,13 +94,23 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        return np.array([x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.table))], dtype="<u4").tobytes()
+        # byte letters differ from ASCII only for the space and control characters
+        letters = word if word.isalnum() and word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        return self.pack(*[x.id for x in self.model.tokenize(letters)])
+
+    @staticmethod
+    def pack(*ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() and max(piece) > LATIN or any(s in piece for s in self.special):
+        plain = piece.isascii()
+        if not plain and max(piece) > LATIN or self.marks and self.marks.search(piece):
             return self._library(piece)
-        if self.kind == "words":
-            piece = piece.lower() if piece.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
+        if self.kind == "bytes":
+            if piece != "\n" and OTHER_SPACE.search(piece):
+                raise OtherSpace
+        else:
+            piece = piece.lower() if plain else "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
         found = self.pattern.findall(piece)
         return self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
 
@@ -101,8 +119,14 @@ class Encoder:
             return b""
         if self.kind == "words":
             return b"".join(map(self.first.__getitem__, itertools.chain.from_iterable(line.split(" ") for line in text.split("\n"))))
-        if self.kind != "bytes" or PLAIN.search(text):
+        if self.kind != "bytes" or text[0] in " \n" or text[-1] in " \n" or any(d in text for d in DOUBLE):
+            return self._library(text)
+        try:
+            return self._by_words(text)
+        except OtherSpace:
             return self._library(text)
+
+    def _by_words(self, text: str) -> bytes:
         out, first, later = [], self.first, self.later.__getitem__
         for line in text.split("\n"):
             words = line.split(" ")
