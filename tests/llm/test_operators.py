@@ -213,6 +213,18 @@ def test_jaccard_join(spark, monkeypatch, small):
         assert kept == {i for i, c in found.items() if c[2] == i}
 
 
+def test_runs_reach_the_recall():
+    """Paths that pairs at the threshold still share after DEPTH splits, drawn from the roots as they are."""
+    dice, t, width, pairs = np.random.default_rng(12), chosen_path.THRESHOLD, chosen_path.WIDTH, 200_000
+    equal = dice.random((pairs, width)) < t
+    roots = [i for r in range(chosen_path.runs_for(chosen_path.RECALL, t, chosen_path.DEPTH + 1)) for i in chosen_path.places(r, width, t)]
+    shared = equal[:, roots].sum(axis=1)
+    for _ in range(chosen_path.DEPTH):
+        shared = dice.binomial(shared * equal.sum(axis=1), 1 / (t * width))
+    missed = (shared == 0) | (equal.sum(axis=1) < chosen_path.least_likeness(t))
+    assert missed.mean() <= 1.5 * (1 - chosen_path.RECALL)
+
+
 # -- quality ------------------------------------------------------------------------------------------------------------------
 
 

@@ -28,12 +28,8 @@ WIDE_BLOCK, BLOCK = 2048, 256
 ALIKE = 0.3
 #: Columns of the exact check's incidence matrix at once, and n-grams that a block of sets holds.
 COLUMNS = 1 << 15
-def runs_for(recall: float, depth: int = 2) -> int:
-    """Runs after which two sets at the threshold have met with the given probability, split `depth` times."""
-    meet = 1.0
-    for _ in range(depth):
-        meet = 1 - math.exp(-meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+#: Standard deviations under the threshold's expectation from which on likeness of sketches isn't compared exactly.
+DEVIATIONS = 4.5
 
 
 def places(path: np.ndarray | int, width: int, threshold: float) -> np.ndarray:
@@ -42,6 +38,27 @@ def places(path: np.ndarray | int, width: int, threshold: float) -> np.ndarray:
     return np.flatnonzero(h < U64(int(2**64 / (threshold * width))))
 
 
+def runs_for(recall: float, threshold: float, levels: int) -> int:
+    """Runs after which two sets at the threshold have been compared with the given probability.
+
+    `levels` counts the root bucket and all splits after it: a pair in large buckets is only compared in the last. The number
+    of a pair's equal places is binomial; a pair with too few is never compared, and takes its part of the misses.
+    """
+    equal = np.arange(WIDTH + 1)
+    share = np.array([math.comb(WIDTH, k) * threshold**k * (1 - threshold) ** (WIDTH - k) for k in range(WIDTH + 1)])
+    parted = np.zeros(WIDTH + 1)  # that a pair which shares a bucket shares none of the last level under it
+    for _ in range(levels - 1):
+        parted = (1 - (1 - parted) / (threshold * WIDTH)) ** equal
+    miss = np.where(equal >= least_likeness(threshold), 1 - equal / WIDTH * (1 - parted), 1.0)
+    if share @ (miss == 1) >= 1 - recall:
+        raise ValueError(f"sketches of {WIDTH} places can't reach a recall of {recall} at {threshold}")
+    runs = roots = 0
+    while share @ miss**roots > 1 - recall:
+        roots += len(places(runs, WIDTH, threshold))
+        runs += 1
+    return runs
+
+
 def shingles(words: Words, n: int):
     """Distinct n-grams of each row: row, name; a shorter text's only n-gram is all its words."""
     count = np.diff(words.first)
@@ -109,8 +126,8 @@ def spanning(sketch: np.ndarray, size: np.ndarray, enough: float, threshold: flo
 
 
 def least_likeness(threshold: float) -> float:
-    """Equal places below which two sets aren't compared exactly: four deviations under the threshold's expectation."""
-    return (threshold - 4 * math.sqrt(threshold * (1 - threshold) / WIDTH)) * WIDTH
+    """Equal places below which two sets aren't compared exactly."""
+    return (threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / WIDTH)) * WIDTH
 
 
 def _alike(threshold: float):
@@ -258,7 +275,7 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     """
     ids = id_and_text(docs)
     schema = "doc_id long, f1 long, f2 long, size int, sketch binary, roots array<long>"
-    rows = materialize(ids.mapInArrow(_sketch_rows(n, runs_for(recall), threshold), schema), "sketches")
+    rows = materialize(ids.mapInArrow(_sketch_rows(n, runs_for(recall, threshold, DEPTH + 1), threshold), schema), "sketches")
     real = rows.where("size > 0 and doc_id is not null")
     # equal sets have equal sketches and roots, so any will do
     texts = materialize(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "texts")
