@@ -2,11 +2,13 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weakspot import catalog
 from weakspot.functions import scoring as S
 from weakspot.functions.arrays import edges_at_most, hash_uniform, snap_down, snap_up
 from weakspot.operators import confirm as C
@@ -19,10 +21,12 @@ from weakspot.operators import models as M
 from weakspot.operators import regions as R
 from weakspot.operators import search as Q
 from weakspot.operators import trees as T
-from weakspot.operators.twinning import twin_folds
+from weakspot.operators.twinning import blocks, twin_folds
 from weakspot.sources import files
 from weakspot.streaming.regions import region_totals, stored
 
+EVENTS = "/root/testdata/sf0.01"
+
 
 @pytest.fixture(scope="module")
 def rows(spark):
@@ -195,6 +199,21 @@ def test_trees(spark, rows):
     assert all(r["s"] == pytest.approx(r["w"]) and r["q"] * 2 + 1 == pytest.approx(r["s"]) for r in out)
 
 
+@pytest.mark.skipif(not Path(EVENTS).exists(), reason="the driver's tables aren't here")
+def test_registered_twins_hold_every_event(spark):
+    """10,000 events are several blocks."""
+    for name, column, k in (("g06_twin_folds", "fold", 5), ("g07_twin_split", "twin", 4)):
+        out = catalog.queries()[name](spark, EVENTS).cache()
+        assert out.count() == out.select("id").distinct().count() == spark.read.parquet(f"{EVENTS}/events.parquet").count()
+        share = [r["count"] / out.count() for r in out.groupBy(column).count().collect()]
+        assert min(share) == pytest.approx(1 / k, abs=0.01)
+
+
+def test_plan_of_blocks_grows_with_levels_only(rows):
+    plan = blocks(rows.select("id", "a", "b"), ["a", "b"], 6)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join") == 6
+
+
 def test_pam_finds_blobs():
     dice = np.random.default_rng(1)
     x = np.concatenate([dice.normal(c, 0.3, (60, 2)) for c in ((0, 0), (4, 4), (-4, 4))])

@@ -9,14 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 BLOCK = 2048
 
 
 def blocks(df: DataFrame, features: Sequence[str], levels: int) -> DataFrame:
-    """df with block: `levels` times, each block is cut at the approximate median of its widest feature. One aggregation a level."""
+    """df with block: `levels` times, each block is cut at the approximate median of its widest feature. One aggregation a level.
+
+    A level's medians are written out, so that the next level's plan doesn't hold them twice.
+    """
     out = df.withColumn("block", F.lit(0))
     for _ in range(levels):
         spread = out.groupBy("block").agg(*[(F.max(f) - F.min(f)).alias(f"_w_{f}") for f in features], *[F.percentile_approx(f, 0.5).alias(f"_m_{f}") for f in features])
+        path = scratch(df.sparkSession, "medians")
+        spread.write.parquet(path)
+        spread = df.sparkSession.read.schema(spread.schema).parquet(path)
         widest = F.greatest(*[F.col(f"_w_{f}") for f in features]) if len(features) > 1 else F.col(f"_w_{features[0]}")
         above = F.lit(False)
         for f in reversed(list(features)):

@@ -165,7 +165,7 @@ def monotone_mixture(spark, sf_dir):
 def twin_folds(spark, sf_dir):
     from ..operators.twinning import twin_folds
 
-    return twin_folds(scored(spark, sf_dir).where("id < 2000"), "id", ["x1", "x2"], 5).select("id", "fold")
+    return twin_folds(scored(spark, sf_dir), "id", ["x1", "x2"], 5).select("id", "fold")
 
 
 @query("l11_kmeans")
@@ -188,4 +188,4 @@ def model_files(spark, sf_dir):
 def twin_split(spark, sf_dir):
     from ..operators.twinning import twin_split
 
-    return twin_split(scored(spark, sf_dir).where("id < 2000"), "id", ["x1", "x2"], 4).select("id", "twin")
+    return twin_split(scored(spark, sf_dir), "id", ["x1", "x2"], 4).select("id", "twin")
