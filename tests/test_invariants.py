@@ -22,6 +22,8 @@ from weakspot.operators import regions as R
 from weakspot.operators import search as Q
 from weakspot.operators import trees as T
 from weakspot.operators.twinning import blocks, twin_folds
+from weakspot.plans.leaves import coded
+from weakspot.plans.scored import scored
 from weakspot.sources import files
 from weakspot.streaming.regions import region_totals, stored
 
@@ -193,6 +195,48 @@ def test_twin_folds_are_balanced(rows):
     assert max(means) - min(means) < 0.25
 
 
+def test_pam_of_counts_is_pam_of_all_rows():
+    dice = np.random.default_rng(5)
+    codes = dice.integers(0, 4, (400, 3)) // dice.integers(1, 3, (400, 3))
+    first, counts = np.unique(codes, axis=0, return_index=True, return_counts=True)[1:]
+    order = np.argsort(first)
+    medoids, total = T.pam(T.dissimilarity(codes), 4)
+    found, inertia = T.pam(T.dissimilarity(codes[first[order]]), 4, counts=counts[order])
+    assert inertia == pytest.approx(total)
+    assert [first[order][m] for m in found] == medoids
+
+
+@pytest.mark.skipif(not Path(EVENTS).exists(), reason="the driver's tables aren't here")
+def test_registered_medoids_stand_for_every_event(spark):
+    """Inertia of all 10,000 events to l10's medoids, and s12's pool, by all rows."""
+    out = catalog.queries()["l10_medoids"](spark, EVENTS).collect()
+    codes = {r["id"]: r["codes"] for r in coded(spark, EVENTS).select("id", "codes").collect()}
+    held = np.array(list(codes.values()))
+    nearest = np.min([(held != codes[r["row"]]).mean(axis=1) for r in out], axis=0)
+    assert out[0]["inertia"] == pytest.approx(nearest.sum())
+    pool = sorted({tuple(c) for c in codes.values()})
+    start, _ = T.pam(T.dissimilarity(np.array(pool)), 4, counts=[(held == c).all(axis=1).sum() for c in pool])
+    assert catalog.queries()["s12_medoid_loop"](spark, EVENTS).first()["medoids"] == start
+
+
+def test_required_support_of_rows_counts_late_ones(spark):
+    """The second half of the rows is what makes losses vary."""
+    losses = [0.5] * 3000 + [0.0, 1.0] * 1500
+    rows = spark.createDataFrame(list(enumerate(losses)), "id long, loss double")
+    found = D.required_support_of(rows, "loss", [10, 50, 400], 0.1)
+    assert found == D.required_support(sorted(losses), [10, 50, 400], 0.1) == 50
+    assert D.required_support(losses[:2000], [10, 50, 400], 0.1) == 10
+    assert D.required_support_of(rows.where("id < 0"), "loss", [10], 0.1) is None
+
+
+@pytest.mark.skipif(not Path(EVENTS).exists(), reason="the driver's tables aren't here")
+def test_registered_support_reads_all_of_the_fold(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(D, "required_support_of", lambda rows, *a: held.append(rows.count()) or 25)
+    catalog.queries()["g10_required_support"](spark, EVENTS)
+    assert held == [scored(spark, EVENTS).where("fold = 0").count()]
+
+
 def test_trees(spark, rows):
     trees = [T.Split("a", 0.0, T.Leaf(0, 0.1), T.Split("b", 1.0, T.Leaf(1, 0.2), T.Leaf(2, -0.3)))] * 2
     out = rows.select(T.additive(trees, 1.0).alias("s"), (1 + 2 * T.value(trees[0])).alias("w"), F.expr(T.sql(trees[0], "value").replace("::DOUBLE", "D")).alias("q")).collect()

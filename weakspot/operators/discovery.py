@@ -15,6 +15,7 @@ from . import trees as T
 from .confirm import poisson_weight
 from .evaluate import cluster_summary, measure, ratio
 from .models import kmeans_centres
+from .ordering import row_numbers
 from .regions import membership
 
 
@@ -43,6 +44,28 @@ def required_support(losses: Sequence[float], sizes: Sequence[int], target: floa
     return None
 
 
+def required_support_of(rows: DataFrame, loss: str, sizes: Sequence[int], target: float, draws: int = 400, seed: int = 0) -> int | None:
+    """required_support() of all rows, without gathering them: only the drawn places of the ordered losses come to the driver.
+
+    At most draws x the sum of sizes numbers, whatever the table's size; the result is required_support()'s of the sorted losses.
+    """
+    numbered = row_numbers(rows.where(F.col(loss).isNotNull()).select(loss), [loss], "place")
+    n = numbered.count()
+    if not n:
+        return None
+    dice = np.random.default_rng(seed)
+    drawn = {m: dice.integers(0, n, (draws, m)) for m in sorted(sizes)}
+    places = np.unique(np.concatenate([d.ravel() for d in drawn.values()]))
+    wanted = rows.sparkSession.createDataFrame([(int(p) + 1,) for p in places], "place long")
+    found = numbered.join(wanted, "place").orderBy("place").select(loss).collect()
+    x = np.array([r[loss] for r in found], float)
+    for m, d in drawn.items():
+        means = x[np.searchsorted(places, d)].mean(axis=1)
+        if (np.quantile(means, 0.975) - np.quantile(means, 0.025)) / 2 <= target:
+            return m
+    return None
+
+
 def discover(rows: DataFrame, features: Sequence[str], key: str, loss: str, regions: int, m: int, generations: int = 5, sigma: float = 0.6, seed: int = 0) -> DataFrame:
     """region, centre, weakness: k-means centres moved by one Gaussian try a generation; all regions' tries are one job."""
     dice = random.Random(seed)
@@ -82,14 +105,14 @@ def leaf_contrasts(rows: DataFrame, key: str, codes: str, loss: str, anchors: Ma
     return measure(near, rows, key, loss, math.inf).select(F.col("cand").alias("anchor"), "contrast")
 
 
-def medoid_loop(rows: DataFrame, key: str, y: str, loss: str, codes: str, pool: Sequence[Sequence[int]], k: int = 4, partitions: int = 8, least: int = 30, seed: int = 0) -> list[dict]:
-    """Search over sets of k medoids from a bounded pool. A record a partition: medoids, counts, valid, worst region.
+def medoid_loop(rows: DataFrame, key: str, y: str, loss: str, codes: str, pool: Sequence[Sequence[int]], k: int = 4, partitions: int = 8, least: int = 30, seed: int = 0, counts: Sequence[int] | None = None) -> list[dict]:
+    """Search over sets of k medoids from a bounded pool, of which counts tells the rows each stands for. A record a partition: medoids, counts, valid, worst region.
 
     Seeds are PAM's medoids; later sets restart with probability 0.1, else replace one (0.75) or two of a nondominated
     parent's. Each partition is one distributed assignment and summary.
     """
     dice = random.Random(seed)
-    start, _ = T.pam(T.dissimilarity(np.array(pool)), k)
+    start, _ = T.pam(T.dissimilarity(np.array(pool)), k, counts=counts)
     records: list[dict] = []
     for step in range(partitions):
         good = [r for r in records if r["valid"]]

@@ -149,6 +149,12 @@ def route(embedded: DataFrame, means: DataFrame, key: str) -> DataFrame:
     return score.groupBy(key).agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"))
 
 
+def code_classes(rows: DataFrame, key: str, codes_column: str) -> list[tuple[list[int], int, int]]:
+    """Distinct leaf codes of all rows, the smallest key of each and how many rows have it, by that key; as many as the trees have regions at most."""
+    found = rows.groupBy(codes_column).agg(F.min(key).alias("least"), F.count("*").alias("n")).orderBy("least").collect()
+    return [(list(r[codes_column]), r["least"], r["n"]) for r in found]
+
+
 def dissimilarity(codes_matrix: np.ndarray, block: int = 512) -> np.ndarray:
     """Mismatch shares of a pool's rows; for at most a few thousand rows."""
     n, trees = codes_matrix.shape
@@ -159,13 +165,17 @@ def dissimilarity(codes_matrix: np.ndarray, block: int = 512) -> np.ndarray:
     return out / trees
 
 
-def pam(distance: np.ndarray, k: int, rounds: int = 100) -> tuple[list[int], float]:
-    """k medoids of a pool by BUILD and steepest SWAP; earliest row among equals. Returns medoids and total distance."""
+def pam(distance: np.ndarray, k: int, rounds: int = 100, counts: Sequence[int] | None = None) -> tuple[list[int], float]:
+    """k medoids of a pool by BUILD and steepest SWAP; earliest row among equals. Returns medoids and total distance.
+
+    With counts, a row stands for so many equal ones.
+    """
     n = len(distance)
-    medoids = [int(distance.sum(axis=0).argmin())]
+    weight = np.ones(n) if counts is None else np.asarray(counts, float)
+    medoids = [int((weight @ distance).argmin())]
     near = distance[:, medoids[0]].copy()
     while len(medoids) < min(k, n):
-        gain = np.maximum(near[:, None] - distance, 0).sum(axis=0)
+        gain = weight @ np.maximum(near[:, None] - distance, 0)
         gain[medoids] = -1
         medoids.append(int(gain.argmax()))
         near = np.minimum(near, distance[:, medoids[-1]])
@@ -176,7 +186,7 @@ def pam(distance: np.ndarray, k: int, rounds: int = 100) -> tuple[list[int], flo
         best, move = -1e-12, None
         for j in range(len(medoids)):
             without = np.where(order[:, 0] == j, second, first)
-            change = (np.minimum(without[:, None], distance) - first[:, None]).sum(axis=0)
+            change = weight @ (np.minimum(without[:, None], distance) - first[:, None])
             change[medoids] = np.inf
             c = int(change.argmin())
             if change[c] < best:
@@ -184,7 +194,7 @@ def pam(distance: np.ndarray, k: int, rounds: int = 100) -> tuple[list[int], flo
         if move is None:
             break
         medoids[move[0]] = move[1]
-    return medoids, float(distance[:, medoids].min(axis=1).sum())
+    return medoids, float(weight @ distance[:, medoids].min(axis=1))
 
 
 def interactions(spark, trees: Sequence, gains: Sequence[float]) -> DataFrame:

@@ -32,8 +32,7 @@ def archive(spark, sf_dir):
 
 @query("g10_required_support")
 def required_support(spark, sf_dir):
-    sample = scored(spark, sf_dir).where("fold = 0").orderBy("id").limit(2000).select("loss").collect()
-    return spark.createDataFrame([(D.required_support([r["loss"] for r in sample], [25, 50, 100, 200, 400], 0.05),)], "m int")
+    return spark.createDataFrame([(D.required_support_of(scored(spark, sf_dir).where("fold = 0"), "loss", [25, 50, 100, 200, 400], 0.05),)], "m int")
 
 
 @query("s07_bayes_search")
@@ -60,8 +59,8 @@ def condition_scores(spark, sf_dir):
 @query("s12_medoid_loop")
 def medoid_loop(spark, sf_dir):
     d = coded(spark, sf_dir)
-    pool = [list(r["codes"]) for r in d.where("id < 200").select("codes").distinct().orderBy("codes").collect()]
-    found = D.medoid_loop(d, "id", "y", "loss", "codes", pool, partitions=4)
+    pool = sorted(T.code_classes(d, "id", "codes"))
+    found = D.medoid_loop(d, "id", "y", "loss", "codes", [c for c, _, _ in pool], partitions=4, counts=[n for _, _, n in pool])
     return spark.createDataFrame([(r["id"], r["parent_id"], r["operation"], r["medoids"], r["counts"], r["valid"], r["contrast"], r["share"]) for r in found], "id int, parent_id int, operation string, medoids array<int>, counts array<long>, valid boolean, contrast double, share double")
 
 

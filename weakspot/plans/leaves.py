@@ -125,9 +125,9 @@ def interactions(spark, sf_dir):
 def pam(spark, sf_dir):
     import numpy as np
 
-    pool = coded(spark, sf_dir).where("id < 300").orderBy("id").select("codes").collect()  # a bounded pool
-    found, total = T.pam(T.dissimilarity(np.array([x["codes"] for x in pool])), 4)
-    return spark.createDataFrame([(i, m, total) for i, m in enumerate(found)], "place int, row int, inertia double")
+    pool = T.code_classes(coded(spark, sf_dir), "id", "codes")
+    found, total = T.pam(T.dissimilarity(np.array([c for c, _, _ in pool])), 4, counts=[n for _, _, n in pool])
+    return spark.createDataFrame([(i, pool[m][1], total) for i, m in enumerate(found)], "place int, row long, inertia double")
 
 
 @query("c06_medoid_clusters", CODED + nearest_sql([mismatch_sql(m, [1, 1, 1]) for m in MEDOIDS]) + f" SELECT medoid, count(*) AS n, {r('brier')} FROM (SELECT medoid, loss, avg(loss) OVER (PARTITION BY medoid) AS brier FROM near) GROUP BY medoid, brier")
