@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weakspot.llm import ball_tree, chosen_path, crf, host_rules, html_tree, packing, recompression, sentencepieces, sstable, suffix_sort
+from weakspot.llm import ball_tree, chosen_path, common, crf, host_rules, html_tree, packing, recompression, sentencepieces, sstable, suffix_sort
 from weakspot.llm.common import tokenizer_path
 from weakspot.llm.tokens import Encoder
 
@@ -89,8 +89,60 @@ def windows_removed(texts, window):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substring_dedup(spark, seed):
     df = frame(spark, corpus(70, seed) + ODD)
-    found = {r["doc_id"]: tuple(r)[1:] for r in recompression.substring_dedup(df).collect()}
-    assert found == windows_removed(texts_by_id(df), 50)
+    rows = recompression.substring_dedup(df).collect()
+    assert {r["doc_id"]: tuple(r)[1:4] for r in rows} == windows_removed(texts_by_id(df), 50)
+    assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in rows)
+
+
+def test_marks_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_MARKS", 0)
+    df = frame(spark, corpus(40, 6) + ODD)
+    assert {r["doc_id"]: tuple(r)[1:4] for r in recompression.substring_dedup(df).collect()} == windows_removed(texts_by_id(df), 50)
+
+
+def thue_morse(n, a, b):
+    """n characters (a power of 2); the word and its complement defeat every polynomial hash modulo a power of 2."""
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_thue_morse_words_differ(spark, n):
+    one, two = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    fill = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*fill[:30], x, *fill[30:]]) for x in (one, two, one)]
+    df = frame(spark, texts, extra=False)
+    assert [r["n_removed"] for r in sorted(recompression.substring_dedup(df).collect())] == [0, 0, 61]
+    found = sorted(tuple(r)[:5] for r in suffix_sort.suffix_dedup(df).collect())
+    assert found == bytes_removed([(i, t.encode()) for i, t in texts_by_id(df).items()], 400)
+    short = frame(spark, [" ".join(["p", "q", "r", x, "s", "t"]) for x in (one, two, one)], extra=False)
+    found = {r["doc_id"]: tuple(r)[1:] for r in chosen_path.jaccard_join(short).collect()}
+    assert found == classes(texts_by_id(short))
+
+
+def test_names_of_slices():
+    dice = np.random.default_rng(3)
+    values = dice.integers(0, 2, 300).astype(np.uint64)
+    slices = common.Slices(values)
+    for length in (1, 2, 3, 7, 50, 64, 299):
+        assert (slices.every(length) == slices(np.arange(301 - length), np.arange(301 - length) + length)).all()
+    start = dice.integers(0, 250, 4000)
+    end = start + dice.integers(0, 50, 4000)
+    by = collections.defaultdict(set)
+    for a, b, h in zip(start, end, slices(start, end)):
+        by[h].add(tuple(values[a:b]))
+    assert all(len(x) == 1 for x in by.values()) and len(by) == len({x for y in by.values() for x in y})
+
+
+def test_rows_of_one_id_keep_their_own_marks(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (5, " ".join(["x"] * 30 + words[20:110])), (5, " ".join(words[100:190] + ["y"] * 40)), (5, "other words only"), (None, " ".join(words)), (None, "null and alone")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    found = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in recompression.substring_dedup(df).collect())
+    assert found == [(-1, 3, 0), (-1, 200, 0), (1, 200, 0), (5, 3, 0), (5, 120, 90), (5, 130, 90)]
+    key = lambda r: (r[0] is None, *(str(x) for x in r))
+    found = sorted((tuple(r)[:5] for r in suffix_sort.suffix_dedup(df).collect()), key=key)
+    want = bytes_removed([(-1 if i is None else i, t.encode()) for i, t in rows], 400)
+    assert found == sorted(((None if w[0] == -1 else w[0], *w[1:]) for w in want), key=key)
 
 
 def test_substring_dedup_keeps_columns(spark):
@@ -111,13 +163,26 @@ def test_recompression_is_local(spark):
     dice = random.Random(0)
     names = np.array([dice.randrange(6) for _ in range(400)], dtype=np.uint64)
     row = np.zeros(400, dtype=np.int64)
-    name, _, start, low, high = recompression.recompress(names, row)
-    for k in np.flatnonzero((low >= 0) & (high <= 400))[::7]:
-        a, b = low[k], high[k]
-        other = np.concatenate((np.array([9, 8], dtype=np.uint64), names[a:b], np.array([7], dtype=np.uint64)))
-        n2, _, s2, l2, h2 = recompression.recompress(other, np.zeros(len(other), dtype=np.int64))
-        same = [m for m, s, lo, hi in zip(n2, s2, l2, h2) if s == start[k] - a + 2 and lo >= 2 and hi <= 2 + b - a]
-        assert same == [name[k]]
+    for level, (name, _, start, low, high) in enumerate(recompression.recompress(names, row)):
+        for k in np.flatnonzero((low >= 0) & (high <= 400))[::7]:
+            a, b = low[k], high[k]
+            other = np.concatenate((np.array([9, 8], dtype=np.uint64), names[a:b], np.array([7], dtype=np.uint64)))
+            n2, _, s2, l2, h2 = recompression.recompress(other, np.zeros(len(other), dtype=np.int64))[level]
+            same = [m for m, s, lo, hi in zip(n2, s2, l2, h2) if s == start[k] - a + 2 and lo >= 2 and hi <= 2 + b - a]
+            assert same == [name[k]]
+
+
+def test_equal_stretches_have_one_top_symbol():
+    dice = random.Random(8)
+    text = [dice.randrange(3) for _ in range(300)] + [1] * 60 + [0, 1] * 40
+    name = np.array(text, dtype=np.uint64)
+    first = np.array([dice.randrange(360) for _ in range(900)])
+    length = np.array([dice.choice([1, 2, 3, 5, 9, 50, 80]) for _ in first])
+    at = np.concatenate([np.arange(a, a + n) for a, n in zip(first, length)])
+    one, two = recompression.top_symbols(name[at], name[at] + np.uint64(9), np.repeat(np.arange(len(first)), length))
+    content = [tuple(text[a : a + n]) for a, n in zip(first, length)]
+    assert len(one) == len(set(zip(content, one.tolist(), two.tolist()))) + len(one) - len(set(content))
+    assert len(set(zip(one.tolist(), two.tolist()))) == len(set(content))
 
 
 # -- suffix array -------------------------------------------------------------------------------------------------------------
@@ -139,10 +204,42 @@ def bytes_removed(rows, length):
 @pytest.mark.parametrize("most", [2000, 1])
 def test_suffix_dedup(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_sort, "MOST_STRETCHES", most)
-    odd = [t if t is None or len(t) < 5000 else t[:3000] for t in ODD]
-    df = frame(spark, corpus(40, 7) + odd)
-    found = sorted(tuple(r) for r in suffix_sort.suffix_dedup(df).collect())
-    assert found == bytes_removed([(i, (t or "").encode()) for i, t in texts_by_id(df).items()], 400)
+    df = frame(spark, corpus(40, 7) + ODD)
+    rows = suffix_sort.suffix_dedup(df).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == bytes_removed([(i, (t or "").encode()) for i, t in texts_by_id(df).items()], 400)
+    for r in rows:
+        if r["text"].isascii():
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
+
+
+def test_suffix_dedup_of_a_passage_in_many_contexts(spark, monkeypatch):
+    """One gram in more different stretches than a shard takes, and texts longer than a segment."""
+    monkeypatch.setattr(suffix_sort, "MOST_STRETCHES", 6)
+    dice = random.Random(5)
+    say = lambda k: "".join(dice.choice("abcdefgh ") for _ in range(k))
+    passage, tail = say(330), say(120)
+    texts = [say(dice.randrange(300)) + passage + say(dice.randrange(300)) for _ in range(40)]
+    texts += [say(50) + passage + tail + say(9) for _ in range(9)] + [tail[-70:] + passage + say(60), say(20000) + passage + tail, "ab" * 700, "a" * 1500]
+    df = frame(spark, texts, extra=False)
+    want = bytes_removed([(i, t.encode()) for i, t in texts_by_id(df).items()], 400)
+    assert sum(x[2] for x in want) > 3000
+    assert sorted(tuple(r)[:5] for r in suffix_sort.suffix_dedup(df).collect()) == want
+
+
+def test_stretches_of_segments(monkeypatch):
+    """A long text taken in segments names the same windows."""
+    dice = np.random.default_rng(2)
+    raw = dice.integers(97, 100, 9000).astype(np.uint8)
+    offsets = np.array([0, 100, 5000, 9000])
+
+    def windows():
+        key, one, two, row, first, count, pick = suffix_sort.stretches(raw, offsets)
+        return {(r, f + j, k, f + p) for k, r, f, c, p in zip(key, row, first, count, pick) for j in range(c)}
+
+    whole = windows()
+    assert len(whole) == 4501 + 3601
+    monkeypatch.setattr(suffix_sort, "PLACE_BITS", 11)
+    assert {x[:2] for x in windows()} == {x[:2] for x in whole}
 
 
 def test_two_stage_order():

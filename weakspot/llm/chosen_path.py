@@ -10,6 +10,7 @@ checked exactly: all pairs of its sets, in pairs of blocks.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, U64, Rolling, Words, chunks, id_and_text, materialize, mix, without_ids
+from .common import BROADCAST_IDS, U64, Slices, Words, chunks, drop, id_and_text, materialize, mix, without_ids
 from .graphs import components, forest, in_blocks, together, whole_groups
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -62,12 +63,12 @@ def runs_for(recall: float, threshold: float, levels: int) -> int:
 def shingles(words: Words, n: int):
     """Distinct n-grams of each row: row, name; a shorter text's only n-gram is all its words."""
     count = np.diff(words.first)
-    rolling = Rolling(words.name, 0)
+    slices = Slices(words.name)
     at = np.arange(max(0, len(words) - n + 1))
     at = at[words.row[at] == words.row[at + n - 1]] if len(at) else at
     short = np.flatnonzero((count > 0) & (count < n))
     row = np.concatenate((words.row[at], short))
-    name = np.concatenate((rolling(at, at + n), mix(rolling(words.first[short], words.first[short] + count[short]), 4)))
+    name = np.concatenate((slices(at, at + n), mix(slices(words.first[short], words.first[short] + count[short]), 4)))
     order = np.lexsort((name, row))
     row, name = row[order], name[order]
     keep = np.ones(len(row), dtype=bool)
@@ -184,32 +185,31 @@ def candidates(texts: DataFrame, threshold: float) -> DataFrame:
     slim = texts.select("id", "size", "sketch")
     rows = texts.select("id", F.explode("roots").alias("bucket"))
     counts = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    rows = rows.join(counts.select("bucket").hint("merge"), "bucket").join(slim.hint("merge"), "id").select("bucket", "id", "size", "sketch")
+    rows = materialize(rows.join(counts, "bucket", "left_semi").join(slim, "id").select("bucket", "id", "size", "sketch"), "paths")
     bucket = "bucket long, id long, size int, sketch binary"
     found = []
     for depth in range(DEPTH + 1):
-        rows = materialize(rows, "paths")
         large = counts.where(F.col("n") > BUCKET)
         last = depth == DEPTH or not large.limit(1).count()
+        spent = [rows, counts]
         if not last:
             # splitting doesn't part sets that are all alike; buckets that mostly hold such are compared at once
-            in_large = rows.join(large.select("bucket"), "bucket")
+            in_large = rows.join(large.select("bucket"), "bucket", "left_semi")
             pivots = in_large.groupBy("bucket").agg(F.min_by("sketch", "id").alias("pivot"))
             alike = in_large.join(pivots, "bucket").select("bucket", "sketch", "pivot").mapInArrow(_alike(threshold), "bucket long, alike double")
             apart = materialize(alike.groupBy("bucket").agg(F.avg("alike").alias("alike")).where(F.col("alike") < ALIKE).select("bucket"), "apart")
+            spent.append(apart)
         now = counts if last else counts.join(apart, "bucket", "left_anti")
         blocks = in_blocks(rows, now, "bucket", "id", WIDE_BLOCK)
         found.append(materialize(together(blocks, ["bucket", "bi", "bj"], ["id"]).mapInArrow(_compare(threshold), "a long, b long").distinct(), "pairs"))
         if last:
+            drop(*spent)
             break
         # rows of a bucket stay in their partitions: a path's places depend on its name alone
-        rows = materialize(rows.join(apart, "bucket").mapInArrow(_split(depth, threshold), bucket), "split")
+        rows = materialize(rows.join(apart, "bucket", "left_semi").mapInArrow(_split(depth, threshold), bucket), "split", *spent)
         counts = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-        rows = rows.join(counts.select("bucket"), "bucket")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
+        rows = materialize(rows.join(counts, "bucket", "left_semi"), "paths", rows)
+    return materialize(functools.reduce(DataFrame.union, found).distinct(), "candidates", *found)
 
 
 def _set_rows(n: int):
@@ -278,22 +278,26 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     rows = materialize(ids.mapInArrow(_sketch_rows(n, runs_for(recall, threshold, DEPTH + 1), threshold), schema), "sketches")
     real = rows.where("size > 0 and doc_id is not null")
     # equal sets have equal sketches and roots, so any will do
-    texts = materialize(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "texts")
-    groups = materialize(components(candidates(texts, threshold)).withColumnRenamed("component", "group"), "groups")
-    members = materialize(groups.join(texts.select(F.col("id").alias("node"), "f1", "f2"), "node").select("group", F.col("node").alias("id"), "f1", "f2"), "members")
+    texts = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
+    texts = materialize(texts, "texts")
+    rows = materialize(rows.select("doc_id", "f1", "f2", "size"), "named", rows)
+    edges = candidates(texts, threshold)
+    texts = materialize(texts.select("id", "f1", "f2", "n_copies"), "known", texts)
+    groups = components(edges).withColumnRenamed("component", "group")
+    members = materialize(groups.join(texts.select(F.col("id").alias("node"), "f1", "f2"), "node").select("group", F.col("node").alias("id"), "f1", "f2"), "members", edges)
     named = ids.where("text is not null")
     if members.count() <= BROADCAST_IDS:
         named = named.join(F.broadcast(members.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
     sets = named.join(members, named["doc_id"] == members["id"]).select("group", "id", "f1", "f2", "text")
     sets = materialize(sets.mapInArrow(_set_rows(n), "group long, id long, grams binary").dropDuplicates(["id"]), "sets")
     counts = materialize(members.groupBy("group").agg(F.count("*").alias("n")), "counts")
-    met = materialize(together(in_blocks(sets, counts, "group", "id", BLOCK), ["group", "bi", "bj"], ["id"]).mapInArrow(_check(threshold), "id long, links long, least long"), "met")
+    met = materialize(together(in_blocks(sets, counts, "group", "id", BLOCK), ["group", "bi", "bj"], ["id"]).mapInArrow(_check(threshold), "id long, links long, least long"), "met", sets, counts, members)
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(met.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
     known = texts.join(links, "id", "left").join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
-    known = materialize(known.select("f1", "f2", F.col("id").alias("text_id"), "n_copies", F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "known")
+    known = materialize(known.select("f1", "f2", F.col("id").alias("text_id"), "n_copies", F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "classes", met, texts)
     lone = F.col("doc_id").isNull() | (F.col("size") == 0)
-    out = rows.select("doc_id", "f1", "f2", "size").join(known.hint("merge"), ["f1", "f2"], "left")
+    out = rows.select("doc_id", "f1", "f2", "size").join(known, ["f1", "f2"], "left")
     return out.select(
         "doc_id",
         F.when(lone, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"),

@@ -5,13 +5,15 @@ All hashes are computed from the bytes alone, so every executor gives equal cont
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: any run of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
@@ -51,12 +53,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again; lost executors then cost no recomputation."""
+def materialize(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again; lost executors then cost no recomputation.
+
+    `spent`: written tables that nothing needs any more once df is written; they are deleted.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop(*spent)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that materialize has written."""
+    for table in tables:
+        drop_path(table.sparkSession, table.written_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -70,9 +84,7 @@ BROADCAST_IDS = 500_000
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id isn't among ids (one column doc_id, written out by now); null is an id like others."""
-    name = "doc_id"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("doc_id", docs.columns)
     ids = ids.select(F.col("doc_id").alias(name)).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -103,37 +115,71 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _lane(lane: int) -> tuple[int, int, np.ndarray]:
-    base = int(mix(np.array([lane + 11], dtype=U64))[0]) | 1
-    return base, pow(base, -1, 2**64), mix(np.arange(256, dtype=U64), lane + 101)
+#: Odd factors of the pair names (fixed by this module only: names never leave a run).
+LEFT, RIGHT = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
 
 
-LANES = [_lane(0), _lane(1)]
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+class Slices:
+    """64-bit names of any slices of a sequence of 64-bit values.
 
+    Stretches of 1, 2, 4, .. values are named from the names of their halves, and a slice from the two stretches, the longest
+    that fit, at its start and its end. Each name is a nonlinear function of its parts, so that no pattern of few values
+    (such as Thue-Morse words under a polynomial) makes different slices agree. Two salts give independent names.
+    """
 
-def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept between calls and grown as needed."""
-    have = _powers.get((lane, inverse))
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), LANES[lane][1 if inverse else 0], dtype=U64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=U64)
-        if n <= 8 * CHUNK_BYTES:
-            _powers[lane, inverse] = have
-    return have[:n]
+    def __init__(self, values: np.ndarray, salt: int = 0):
+        self.values, self.salt = mix(values, 200 + salt), salt
 
-
-class Rolling:
-    """Hash of any slice of a sequence of 64-bit values from one prefix sum."""
-
-    def __init__(self, values: np.ndarray, lane: int = 0):
-        self.lane, self.sums = lane, np.zeros(len(values) + 1, dtype=U64)
-        np.cumsum(values * powers(lane, len(values)), out=self.sums[1:], dtype=U64)
+    def _levels(self, top: int):
+        """The names of all stretches of 1, 2, .. 2**top values."""
+        h = self.values
+        for k in range(top + 1):
+            yield h
+            if k < top:
+                h = h[: -1 << k] * LEFT + h[1 << k :]
+                h ^= h >> U64(32)
+                h *= RIGHT
+                h ^= h >> U64(29)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = powers(self.lane, len(self.sums), True)
-        return mix((self.sums[end] - self.sums[start]) * inverse[start], self.lane)
+        length = end - start
+        out = mix(np.zeros(len(length), dtype=U64), 300 + self.salt)
+        level = np.frexp(length)[1] - 1  # of the largest power of 2 in the length
+        for k, h in enumerate(self._levels(int(level.max(initial=-1)))):
+            at = np.flatnonzero(level == k)
+            n = length[at]
+            out[at] = mix(h[start[at]] * LEFT + h[start[at] + n - (1 << k)] * RIGHT + n.astype(U64), 400 + self.salt)
+        return out
+
+    def every(self, length: int) -> np.ndarray:
+        """The names of all slices of one length."""
+        k = length.bit_length() - 1
+        for h in self._levels(k):
+            pass
+        n = len(self.values) - length + 1
+        return mix(h[:n] * LEFT + h[length - (1 << k) :][:n] * RIGHT + U64(length), 400 + self.salt)
+
+
+#: Words of more bytes are named by a cryptographic hash of the whole.
+LONG_WORD = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
+def word_names(raw: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit names of byte strings, 8 bytes at a time; two salts give independent names."""
+    size = end - start
+    out = mix(size.astype(U64), 500 + salt)
+    if not len(out):
+        return out
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=raw.tobytes() + bytes(8), strides=(1,))
+    live, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[start[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]), 501 + salt)
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([salt])).digest(), "little")
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +221,12 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
         self.first = np.searchsorted(self.start, offsets)  # of each row, and the number of words
-        self.name = Rolling(LANES[0][2][raw], 0)(self.start, self.end)
+        self.name = word_names(raw, self.start, self.end)
+
+    @functools.cached_property
+    def other(self) -> np.ndarray:
+        """Names independent of `name`: both together are 128 bits."""
+        return word_names(self.raw, self.start, self.end, 1)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -196,3 +247,39 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     np.add.at(change, starts, 1)
     np.add.at(change, np.minimum(starts + length, n), -1)
     return np.cumsum(change[:-1]) > 0
+
+
+# -- marks: stretches of a text, found by other tasks, on their way back to the text ---------------------------------------------
+
+#: Marks are broadcast to the texts up to these numbers of texts and marks (about 32 MB); beyond, texts and marks are joined by
+#: a shuffle, in which each text travels once.
+BROADCAST_MARKS = 2_000_000
+
+
+def text_key() -> Column:
+    """Names a text within the rows of its doc_id, so that rows of one id and different texts keep their own marks."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def free_name(name: str, *taken: list[str]) -> str:
+    while any(name.lower() == c.lower() for columns in taken for c in columns):
+        name += "_"
+    return name
+
+
+def with_marks(docs: DataFrame, marks: DataFrame, *spent: DataFrame, only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """docs with, as a last column, the list of their marks (null where there is none), or with `only` those that have marks;
+    and the written table of the lists.
+
+    marks: doc_id, tk (text_key of the text), and what the list shall hold; null is an id like others. `spent` as in
+    materialize.
+    """
+    held = [c for c in marks.columns if c not in ("doc_id", "tk")]
+    lists = materialize(marks.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*held)).alias("at")), "marks", *spent)
+    texts, items = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    one, two, three = (free_name(x, docs.columns) for x in ("m_id", "m_tk", "m_at"))
+    by = lists.select(F.col("doc_id").alias(one), F.col("tk").alias(two), F.col("at").alias(three))
+    if texts <= BROADCAST_IDS and items <= BROADCAST_MARKS:
+        by = F.broadcast(by)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(one)) & (text_key() == F.col(two))
+    return docs.join(by, same, "inner" if only else "left").select(*[docs[c] for c in docs.columns], three), lists

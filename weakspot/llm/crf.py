@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, Words, chunks, id_and_text, mix, small_batches
+from .common import U64, Slices, Words, chunks, id_and_text, mix, small_batches
 
 #: Labelled documents used for training, at most; chosen by a hash of doc_id.
 SAMPLE = 3000
@@ -83,12 +83,12 @@ def line_features(raw: np.ndarray, offsets: np.ndarray):
     three = np.zeros(n, dtype=bool)
     if n > 2:
         whole = np.flatnonzero(row[2:] == row[:-2])
-        rolling = Rolling(name, 0)
-        three[whole] = _seen(row[whole], rolling(whole, whole + 3))
+        slices = Slices(name)
+        three[whole] = _seen(row[whole], slices(whole, whole + 3))
     again = np.add.reduceat(three.astype(np.int64), head)
     at_line = np.repeat(np.arange(len(head)), count)
     inside = np.add.reduceat(_seen(at_line, name).astype(np.int64), head)
-    lines = Rolling(name, 0)(head, np.append(head[1:], n))
+    lines = Slices(name)(head, np.append(head[1:], n))
     values = [
         sums["symbol"] / count, sums["upper"] / np.maximum(sums["letter"], 1), sums["bang"] / count, sums["stroke"] / count, sums["digit"] / size,
         size / count, count, again / count, inside / count, sums["stop"] / count, _seen(row[head], lines), sums["beyond"] / size,

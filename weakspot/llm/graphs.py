@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 
 def in_blocks(rows: DataFrame, counts: DataFrame, key: str, item: str, most: int) -> DataFrame:
@@ -72,14 +72,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    labels = written = materialize(labels, "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("far"))
         step = step.join(jump, "new").select("node", "component", F.least("new", "far").alias("new"))
-        step = materialize(step, "labels")
-        changed = step.where("component <> new").limit(1).count()
-        labels = step.select("node", F.col("new").alias("component"))
+        written = materialize(step, "labels", written)
+        changed = written.where("component <> new").limit(1).count()
+        labels = written.select("node", F.col("new").alias("component"))
         if not changed:
+            drop(both)
             return labels

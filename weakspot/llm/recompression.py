@@ -1,17 +1,21 @@
 """Substring dedup by recompression.
 
-Rounds of recompression rename each text's words bottom-up: maximal runs of one symbol get one name, then every symbol is
-dealt to a left or right class by its name and each adjacent (left, right) pair gets one name. Names are hashes of what they
-stand for, so all executors agree on them and equal substrings get equal symbols except near their ends. For each symbol the
-rounds also carry the stretch of words that decided it; a window of `window` words that holds the whole stretch holds the
-symbol in whatever text it stands. Each window picks the symbol of smallest hash among those it decides: its anchor. Equal
-windows have equal anchors, so
-
-1. stretches of windows with one anchor are listed (key of the anchor, name of the stretch's words) and those whose anchor
-   stands in one document only are done with;
-2. a stretch that stands whole in a document of smaller doc_id marks all its windows;
-3. where one anchor stands in different stretches, the first document of each stretch names its windows one by one (two
-   independent 64-bit hashes), and those that also start in a document of smaller doc_id are marked.
+A round of recompression renames a text bottom-up: each maximal run of one symbol gets one name, then every symbol is dealt to
+a left or right class by its name and each adjacent (left, right) pair gets one name. A name is made from the names of what it
+stands for alone, 128 bits from the words' bytes on, so it is global: all executors give equal runs and pairs equal names
+without a table of names, and equal substrings get equal symbols except near their ends. For each symbol the rounds also carry
+the stretch of words that decided it; a window of `window` words that holds the whole stretch holds the symbol in whatever
+text it stands.
+
+The anchor of a window is the highest symbol that it decides (the one of smallest key among those of the highest level).
+Equal windows have equal anchors, so
+
+1. neighbouring windows with one anchor form a stretch; stretches whose anchor stands in one document only are done with;
+2. a stretch is verified by its own symbol: its words are recompressed by themselves until one symbol is left, and two
+   stretches are equal if and only if these agree. A stretch that stands whole in a document of smaller doc_id marks all its
+   windows;
+3. where one anchor stands in different stretches, the first document of each stretch recompresses its windows one by one, and
+   those whose symbol also starts in a document of smaller doc_id are marked.
 
 A window that decides no symbol (say, inside a very long run) is its own anchor, so nothing is lost.
 """
@@ -26,38 +30,60 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Rolling, U64, Words, chunks, covered, id_and_text, materialize, mix, ranges
+from .common import Slices, U64, Words, chunks, id_and_text, materialize, mix, ranges, small_batches, text_key, with_marks
 
-WINDOW, ROUNDS = 50, 4
+WINDOW, ROUNDS = 50, 8
 FAR = 1 << 40
+#: Words of stretches that are recompressed at once.
+SLAB = 1 << 19
 
 
-def recompress(name: np.ndarray, row: np.ndarray, rounds: int = ROUNDS):
-    """Symbols after the rounds: name, row, first word, and the words [low, high) that decide it (beyond the row: never)."""
-    name, low = name.copy(), np.arange(len(name), dtype=np.int64)
-    start, high = low.copy(), low + 1
+def run_heads(names: tuple, row: np.ndarray) -> np.ndarray:
+    """Where maximal runs of one symbol begin. names: arrays that together name a symbol."""
+    same = row[1:] == row[:-1]
+    for name in names:
+        same &= name[1:] == name[:-1]
+    return np.flatnonzero(np.append(True, ~same)) if len(row) else np.zeros(0, dtype=np.int64)
+
+
+def run_name(name: np.ndarray, length: np.ndarray, r: int) -> np.ndarray:
+    return np.where(length > 1, mix(name ^ mix(length.astype(U64), 31 + r), 41 + r), name)
+
+
+def pair_name(one: np.ndarray, two: np.ndarray, r: int) -> np.ndarray:
+    return mix(one * U64(3) + mix(two, 61 + r), 71 + r)
+
+
+def pairing(name: np.ndarray, row: np.ndarray, r: int):
+    """Which symbols are of the right class, and which are the first of a pair."""
+    right = (mix(name, 51 + r) >> U64(63)).astype(bool)
+    joins = np.zeros(len(name), dtype=bool)
+    joins[:-1] = ~right[:-1] & right[1:] & (row[1:] == row[:-1])
+    return right, joins
+
+
+def recompress(name: np.ndarray, row: np.ndarray, rounds: int = ROUNDS) -> list[tuple]:
+    """The symbols after each round: name, row, first word, and the words [low, high) that decide it (beyond the row: never)."""
+    low = np.arange(len(name), dtype=np.int64)
+    start, high, levels = low, low + 1, []
     for r in range(rounds):
-        # runs of one symbol
-        same = (name[1:] == name[:-1]) & (row[1:] == row[:-1])
-        head = np.flatnonzero(np.concatenate(([True], ~same)))
+        head = run_heads((name,), row)
         length = np.diff(np.append(head, len(name)))
         # a run ends where the next symbol, not the next run, is known to differ
-        wide_low, wide_high = _look(low, high, row, np.ones(len(name), bool), np.ones(len(name), bool))
+        every = np.ones(len(name), dtype=bool)
+        wide_low, wide_high = _look(low, high, row, every, every)
         low, high = np.minimum.reduceat(wide_low, head), np.maximum.reduceat(wide_high, head)
-        name, row, start = name[head], row[head], start[head]
-        name = np.where(length > 1, mix(name ^ mix(length.astype(U64), 31 + r), 41 + r), name)
-        # pairs of a left and a right symbol
-        right = (mix(name, 51 + r) >> U64(63)).astype(bool)
-        joins = np.zeros(len(name), dtype=bool)
-        joins[:-1] = ~right[:-1] & right[1:] & (row[1:] == row[:-1])
+        name, row, start = run_name(name[head], length, r), row[head], start[head]
+        right, joins = pairing(name, row, r)
         second = np.concatenate(([False], joins[:-1]))
         low, high = _look(low, high, row, right & ~second, ~right & ~joins)
         at = np.flatnonzero(joins)
-        name[at] = mix(name[at] * U64(3) + mix(name[at + 1], 61 + r), 71 + r)
+        name[at] = pair_name(name[at], name[at + 1], r)
         low[at], high[at] = np.minimum(low[at], low[at + 1]), np.maximum(high[at], high[at + 1])
         keep = ~second
         name, row, start, low, high = name[keep], row[keep], start[keep], low[keep], high[keep]
-    return name, row, start, low, high
+        levels.append((name, row, start, low, high))
+    return levels
 
 
 def _look(low, high, row, leftwards, rightwards):
@@ -68,40 +94,71 @@ def _look(low, high, row, leftwards, rightwards):
     return np.where(leftwards, np.minimum(low, before), low), np.where(rightwards, np.maximum(high, after), high)
 
 
+def top_symbols(name: np.ndarray, other: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both names of the one symbol that each row comes down to by itself; rows are 0, 1, .. and none is empty."""
+    rows, r = int(row[-1]) + 1 if len(row) else 0, 0
+    while len(name) > rows:
+        head = run_heads((name, other), row)
+        length = np.diff(np.append(head, len(name)))
+        name, other, row = run_name(name[head], length, r), run_name(other[head], length, r + 500), row[head]
+        _, joins = pairing(name, row, r)
+        at = np.flatnonzero(joins)
+        name[at], other[at] = pair_name(name[at], name[at + 1], r), pair_name(other[at], other[at + 1], r + 500)
+        keep = np.concatenate(([True], ~joins[:-1])) if len(joins) else joins
+        name, other, row, r = name[keep], other[keep], row[keep], r + 1
+    return name, other
+
+
+def symbols_of(words: Words, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both names of the symbol of each stretch of words, in slabs of bounded size."""
+    one, two = np.zeros(len(first), dtype=U64), np.zeros(len(first), dtype=U64)
+    total = np.append(0, np.cumsum(length))
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + SLAB, side="right")) - 1)
+        at = ranges(first[a:b], length[a:b])
+        one[a:b], two[a:b] = top_symbols(words.name[at], words.other[at], np.repeat(np.arange(b - a), length[a:b]))
+        a = b
+    return one, two
+
+
 def anchors(words: Words, window: int = WINDOW):
-    """Stretches of windows that share an anchor: key, row, first window (a word's index), number of windows."""
+    """Stretches of windows that share an anchor: key, first window (a word's index), number of windows."""
     n = len(words)
-    empty = np.zeros(0, dtype=np.int64)
-    if n < window:
-        return empty.astype(U64), empty.astype(U64), empty, empty, empty
-    name, _, start, low, high = recompress(words.name, words.row)
-    rolling = Rolling(words.name, 0)
-    decided = (low >= 0) & (high <= n) & (high - low <= window)
-    name, start, low, high = name[decided], start[decided], low[decided], high[decided]
-    key = mix(rolling(low, high) ^ name, 5)
-    first = np.arange(n - window + 1)
-    first = first[words.row[first] == words.row[first + window - 1]]
-    at = np.searchsorted(start, first)
+    first = np.arange(max(0, n - window + 1))
+    first = first[words.row[first] == words.row[first + window - 1]] if len(first) else first
     best, chosen = np.full(len(first), 2**64 - 1, dtype=U64), np.full(len(first), -1)
-    live = np.flatnonzero(at < len(start))
-    step = 0
-    while len(live):
-        k = at[live] + step
-        fits = (low[k] >= first[live]) & (high[k] <= first[live] + window)
-        better = fits & (key[k] < best[live])
-        best[live[better]], chosen[live[better]] = key[k[better]], k[better]
-        step += 1
-        live = live[(at[live] + step < len(start))]
-        live = live[start[at[live] + step] < first[live] + window]
+    if not len(first):
+        return best, first, chosen
+    slices, base, open_ = Slices(words.name), 0, np.arange(len(first))
+    for level, (name, _, start, low, high) in reversed(list(enumerate(recompress(words.name, words.row)))):
+        decided = np.flatnonzero((low >= 0) & (high <= n) & (high - low <= window))
+        if not len(decided) or not len(open_):
+            continue
+        name, start, low, high = name[decided], start[decided], low[decided], high[decided]
+        key = mix(slices(low, high) ^ name, 5 + level)
+        at = np.searchsorted(start, first[open_])
+        live = np.flatnonzero(at < len(start))
+        step = 0
+        while len(live):
+            w, k = open_[live], at[live] + step
+            inside = start[k] < first[w] + window
+            live, w, k = live[inside], w[inside], k[inside]
+            better = (low[k] >= first[w]) & (high[k] <= first[w] + window) & (key[k] < best[w])
+            best[w[better]], chosen[w[better]] = key[k[better]], base + k[better]
+            step += 1
+            live = live[at[live] + step < len(start)]
+        base += len(start)
+        open_ = open_[chosen[open_] < 0]
     alone = chosen < 0
-    best[alone] = rolling(first[alone], first[alone] + window)
+    best[alone] = slices(first[alone], first[alone] + window)
     new = np.ones(len(first), dtype=bool)
     new[1:] = alone[1:] | (chosen[1:] != chosen[:-1]) | (first[1:] != first[:-1] + 1)
     head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(first)))
-    head = first[head]
-    whole = Rolling(mix(words.name, 3), 1)(head, head + count + window - 1)
-    return best[np.flatnonzero(new)], whole, words.row[head], head, count
+    return best[head], first[head], np.diff(np.append(head, len(first)))
+
+
+ROW = "key long, s1 long, s2 long, doc_id long, tk long, first int, count int"
 
 
 def _anchor_rows(window: int):
@@ -109,38 +166,37 @@ def _anchor_rows(window: int):
         for batch in batches:
             for part, raw, offsets in chunks(batch):
                 words = Words(raw, offsets)
-                key, whole, row, first, count = anchors(words, window)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[row] if len(row) else np.zeros(0, np.int64)), pa.array((first - words.first[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["key", "whole", "doc_id", "first", "count"],
-                )
+                key, first, count = anchors(words, window)
+                one, two = symbols_of(words, first, count + window - 1)
+                row = words.row[first] if len(first) else first
+                yield _rows(part, ("key", key), ("s1", one), ("s2", two), row=row, first=first - words.first[row], count=count)
 
     return run
 
 
+def _rows(part, *names, row, first, count) -> pa.RecordBatch:
+    """Names as signed numbers, the row's doc_id and tk, and the place."""
+    at = pa.array(row.astype(np.int64))
+    columns = [pa.array(v.view(np.int64)) for _, v in names] + [part.column("doc_id").take(at), part.column("tk").take(at), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=[k for k, _ in names] + ["doc_id", "tk", "first", "count"])
+
+
 def _window_rows(window: int):
     def run(batches):
         for batch in batches:
             for part, raw, offsets in chunks(batch):
                 words = Words(raw, offsets)
-                firsts, counts, rows = _stretches(part, words, window)
+                firsts, counts, rows = _stretches(part.column(part.num_columns - 1), words, window)
                 at = ranges(firsts, counts)
                 row = np.repeat(rows, counts)
-                second = Rolling(mix(words.name, 3), 1)
-                h1, h2 = Rolling(words.name, 0)(at, at + window), second(at, at + window)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row] if len(row) else np.zeros(0, np.int64)), pa.array((at - words.first[row]).astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "first"],
-                )
+                one, two = symbols_of(words, at, np.full(len(at), window))
+                yield _rows(part, ("s1", one), ("s2", two), row=row, first=at - words.first[row], count=np.ones(len(at), dtype=np.int64))
 
     return run
 
 
-def _stretches(part, words, window):
-    """The (first, count) structs of column `at` as word indexes of the whole slice, and their rows."""
-    column = part.column("at")
+def _stretches(column, words, window):
+    """The (first, count) structs of the list column as word indexes of the whole slice, and their rows."""
     lengths = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
     if column.null_count:
         lengths = np.where(np.asarray(column.is_null()), 0, lengths)
@@ -148,52 +204,58 @@ def _stretches(part, words, window):
     rows = np.repeat(np.arange(len(column)), lengths)
     firsts = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
     counts = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = np.minimum(counts, np.diff(words.first)[rows] - firsts - window + 1)
-    fits = counts > 0
-    return (firsts + words.first[rows])[fits], counts[fits], rows[fits]
-
-
-def _kept_rows(window: int, texts: bool, names: list[str] | None = None):
+    return firsts + words.first[rows], counts, rows
+
+
+def _kept(part, raw, offsets, window: int):
+    """Words, removed words and the kept words' bytes of each row; the last column holds the marks."""
+    words = Words(raw, offsets)
+    firsts, counts, _ = _stretches(part.column(part.num_columns - 1), words, window)
+    gone = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(gone, firsts, 1)
+    np.add.at(gone, firsts + counts + window - 1, -1)
+    gone = np.cumsum(gone[:-1]) > 0
+    n = np.diff(words.first)
+    removed = np.diff(np.append(0, np.cumsum(gone))[words.first])
+    data, start, end, first = raw.tobytes(), words.start, words.end, words.first
+    single = np.append((start[1:] == end[:-1] + 1) & (raw[end[:-1]] == 0x20), False) if len(start) else np.zeros(0, bool)
+    kept = []
+    for i in range(part.num_rows):
+        a, b = first[i], first[i + 1]
+        if not removed[i] and (b - a < 2 or single[a : b - 1].all()):
+            kept.append(data[start[a] : end[b - 1]] if b > a else b"")
+        else:
+            kept.append(_joined(data, start, end, single, np.flatnonzero(~gone[a:b]) + a))
+    return n, removed, kept
+
+
+def _kept_rows(window: int):
     def run(batches):
         for batch in batches:
             for part, raw, offsets in chunks(batch):
-                words = Words(raw, offsets)
-                firsts, counts, rows = _stretches(part, words, window)
-                gone = covered(ranges(firsts, counts), window, len(words)) if len(firsts) else np.zeros(len(words), bool)
-                n = np.diff(words.first)
-                removed = np.add.reduceat(np.append(gone, False).astype(np.int64), words.first[:-1]) * (n > 0)
-                kept = []
-                data, start, end, first = raw.tobytes(), words.start, words.end, words.first
-                single = np.append((start[1:] == end[:-1] + 1) & (raw[end[:-1]] == 0x20), False) if len(start) else np.zeros(0, bool)
-                for i in range(part.num_rows):
-                    a, b = first[i], first[i + 1]
-                    if not removed[i] and (b - a < 2 or single[a : b - 1].all()):
-                        kept.append(data[start[a] : end[b - 1]] if b > a else b"")
-                    else:
-                        keep = np.flatnonzero(~gone[a:b]) + a
-                        kept.append(_joined(data, start, end, single, keep))
-                if names is not None:
-                    yield _replaced(part.column("row"), names, removed, kept)
-                    continue
-                out = {"doc_id": part.column("doc_id"), "n_words": pa.array(n), "n_removed": pa.array(removed)}
-                if texts:
-                    out["kept_text"] = pa.array([x.decode() for x in kept], pa.string())
-                else:
-                    out["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
-                yield pa.RecordBatch.from_pydict(out)
+                n, removed, kept = _kept(part, raw, offsets, window)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), "n_words": pa.array(n), "n_removed": pa.array(removed),
+                    "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "text": pa.array(kept, pa.binary()).cast(pa.string()),
+                })
 
     return run
 
 
-def _replaced(rows: pa.StructArray, names: list[str], removed, kept) -> pa.RecordBatch:
-    """The rows with the kept words as text, and their length as n_chars, where words were removed."""
-    columns = dict(zip(names, rows.flatten(), strict=True))
-    changed = pa.array(removed > 0)
-    new = pa.array([x.decode() if r else None for x, r in zip(kept, removed, strict=True)], columns["text"].type)
-    columns["text"] = pc.if_else(changed, new, columns["text"])
-    if "n_chars" in columns:
-        columns["n_chars"] = pc.if_else(changed, pc.utf8_length(new).cast(columns["n_chars"].type), columns["n_chars"])
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+def _replaced_rows(window: int):
+    def run(batches):
+        for batch in batches:
+            for part, raw, offsets in chunks(batch):
+                _, removed, kept = _kept(part, raw, offsets, window)
+                columns = dict(zip(part.schema.names[:-1], part.columns, strict=False))
+                changed = pa.array(removed > 0)
+                new = pa.array([x if r else None for x, r in zip(kept, removed, strict=True)], pa.binary()).cast(columns["text"].type)
+                columns["text"] = pc.if_else(changed, new, columns["text"])
+                if "n_chars" in columns:
+                    columns["n_chars"] = pc.if_else(changed, pc.utf8_length(new).cast(columns["n_chars"].type), columns["n_chars"])
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
 
 
 def _joined(data, start, end, single, keep) -> bytes:
@@ -205,22 +267,17 @@ def _joined(data, start, end, single, keep) -> bytes:
     return b" ".join([data[a:b] for a, b in zip(start[begin].tolist(), end[stop].tolist())])
 
 
-def _by_document(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("at"))
-
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Removes each word covered by a window of `window` consecutive words that also starts in a document of smaller doc_id.
 
-    Returns doc_id, n_words, n_removed and kept_sha256, or kept_text if `texts` (kept words joined by one space). Every row of
-    docs gives one row. Null and empty texts have no words; a text shorter than the window keeps all of them. Windows are
-    judged on the input. Rows that share a doc_id are one document: what is marked under the id goes from each of them.
-    Rows of null doc_id keep all words. Other columns are ignored.
+    Returns doc_id, n_words, n_removed, kept_sha256 and text (kept words joined by one space). Every row of docs gives one row.
+    Null and empty texts have no words; a text shorter than the window keeps all of them. Windows are judged on the input.
+    Rows that share a doc_id are one document: none of them is another's copy, and each is judged by its own text. Rows of null
+    doc_id keep all words and are no one's copy. Other columns are ignored; an empty table gives no rows.
     """
     docs = id_and_text(docs)
-    schema = "doc_id long, n_words long, n_removed long, " + ("kept_text string" if texts else "kept_sha256 string")
-    return docs.join(repeated_windows(docs, window).hint("merge"), "doc_id", "left").mapInArrow(_kept_rows(window, texts), schema)
+    marked, _ = with_marks(docs, *repeated_windows(docs, window))
+    return marked.mapInArrow(_kept_rows(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -228,26 +285,29 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A changed text is its kept words joined by one space. All rows and columns of docs stay.
     """
-    slim = id_and_text(docs)
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
-    return whole.join(repeated_windows(slim, window).hint("merge"), "doc_id", "left").mapInArrow(_kept_rows(window, True, docs.columns), docs.schema)
-
-
-def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, at: stretches (first, count) of windows that also start in a document of smaller doc_id."""
-    known = docs.where("doc_id is not null and text is not null")
-    rows = materialize(known.mapInArrow(_anchor_rows(window), "key long, whole long, doc_id long, first int, count int"), "stretches")
-    keys = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
-    rows = materialize(rows.join(materialize(keys, "keys").hint("merge"), "key"), "shared")
-    wholes = materialize(rows.groupBy("key", "whole").agg(F.min("doc_id").alias("least")), "wholes")
-    mixed = materialize(wholes.groupBy("key").count().where("count > 1").select("key"), "mixed")
-    held = rows.join(wholes.hint("merge"), ["key", "whole"])
-    marked = held.where("doc_id > least").select("doc_id", "first", "count")
-    ask = materialize(_by_document(held.where("doc_id = least").join(mixed, "key").select("doc_id", "first", "count")), "ask")
-    asked = known
-    if ask.count() <= BROADCAST_IDS:
-        asked = known.join(F.broadcast(ask.select("doc_id")), "doc_id", "left_semi")
-    windows = materialize(asked.join(ask, "doc_id").mapInArrow(_window_rows(window), "h1 long, h2 long, doc_id long, first int"), "windows")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    single = windows.join(materialize(least, "least"), ["h1", "h2"]).where("doc_id > least").select("doc_id", "first", F.lit(1).alias("count"))
-    return _by_document(marked.union(single))
+    small_batches(docs.sparkSession)
+    marked, _ = with_marks(docs, *repeated_windows(id_and_text(docs), window))
+    return marked.mapInArrow(_replaced_rows(window), docs.schema)
+
+
+def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, ...]:
+    """doc_id, tk, first, count: stretches of windows that also start in a document of smaller doc_id; and the tables behind.
+
+    docs: doc_id, text. The tables are spent once the stretches are written.
+    """
+    known = docs.where("doc_id is not null and text is not null").withColumn("tk", text_key())
+    rows = materialize(known.mapInArrow(_anchor_rows(window), ROW), "stretches")
+    keys = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key"), "keys")
+    rows = materialize(rows.join(keys, "key", "left_semi"), "shared", rows, keys)
+    stretch = ["key", "s1", "s2"]
+    firsts = materialize(rows.groupBy(*stretch).agg(F.min("doc_id").alias("least")), "firsts")
+    mixed = materialize(firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mixed")
+    held = rows.join(firsts, stretch)
+    marked = held.where("doc_id > least").select("doc_id", "tk", "first", "count")
+    ask = held.where("doc_id = least").join(mixed, "key", "left_semi").select("doc_id", "tk", "first", "count")
+    asked, lists = with_marks(known, ask, mixed, only=True)
+    windows = materialize(asked.mapInArrow(_window_rows(window), "s1 long, s2 long, doc_id long, tk long, first int, count int"), "windows", lists)
+    least = windows.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = materialize(least, "least")
+    single = windows.join(least, ["s1", "s2"]).where("doc_id > least").select("doc_id", "tk", "first", "count")
+    return marked.union(single), rows, firsts, windows, least

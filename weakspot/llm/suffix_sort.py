@@ -6,6 +6,10 @@ Stretches whose gram stands once in the corpus are done with. The others' distin
 are gathered by gram, and each task sorts its suffixes in two stages: those not larger than their successor by comparing
 bytes, all others by one scan of the buckets, from the order of their successors. Common prefixes of neighbours in that order
 tell which windows stand elsewhere.
+
+A gram with many different stretches is dealt again: its windows go in two halves by the gram's place in them, and all windows
+of a half hold a longer string around the gram than the gram alone, by which they are dealt. Halves of halves come down to
+single windows dealt by their whole content, so every shard is small in the end, whatever the corpus repeats.
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, LANES, U64, Rolling, chunks, id_and_text, materialize, mix, ranges
+from .common import U64, Slices, chunks, id_and_text, materialize, mix, ranges, text_key, with_marks
 from .graphs import together, whole_groups
 
 LENGTH, GRAM = 400, 100
-#: A gram with more different stretches is resolved window by window, so that no task gathers an unbounded shard.
+#: A shard with more different stretches is dealt again, so that no task gathers an unbounded one.
 MOST_STRETCHES = 2000
-PLACE_BITS = 28
+#: Bytes of a text whose windows are looked at together; a longer text is taken in such segments.
+PLACE_BITS = 24
 
 
 def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -37,79 +42,104 @@ def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """key, name of the whole, row, first window's byte in the row, number of windows."""
-    n = len(raw)
-    empty = np.zeros(0, dtype=np.int64)
-    if n < length:
-        return empty.astype(U64), empty.astype(U64), empty, empty, empty
-    if n >= 1 << PLACE_BITS:
-        raise ValueError(f"a text of {n} bytes; texts must be under {1 << PLACE_BITS}")
-    rolling = Rolling(LANES[0][2][raw], 0)
-    at = np.arange(n - gram + 1)
-    name = rolling(at, at + gram)
-    least = _sliding_least((name >> U64(PLACE_BITS) << U64(PLACE_BITS)) | at.astype(U64), length - gram + 1)
+    """key, two names of the content, row, first window's byte in the row, number of windows, the gram's byte in the content."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    first = np.flatnonzero(row[: n - length + 1] == row[length - 1 :])
+    step, found = (1 << PLACE_BITS) - length, []
+    for a in range(0, max(1, len(raw) - length + 1), step):
+        found.append(_stretches(raw[a : a + step + length - 1], row[a : a + step + length - 1], length, gram))
+        found[-1][4][:] += a
+    key, one, two, row, first, count, pick = (np.concatenate(x) for x in zip(*found, strict=True))
+    return key, one, two, row, first - offsets[row], count, pick
+
+
+def _stretches(raw, row, length, gram):
+    n, empty = len(raw), np.zeros(0, dtype=np.int64)
+    first = np.flatnonzero(row[: n - length + 1] == row[length - 1 :]) if n >= length else empty
     if not len(first):
-        return empty.astype(U64), empty.astype(U64), empty, empty, empty
+        return [empty.astype(U64)] * 3 + [empty.copy() for _ in range(4)]
+    one, two = Slices(raw.astype(U64), 0), Slices(raw.astype(U64), 1)
+    name = one.every(gram)
+    # smallest name, the first of equal ones: its leading bits, then its place
+    least = _sliding_least((name >> U64(PLACE_BITS) << U64(PLACE_BITS)) | np.arange(len(name), dtype=U64), length - gram + 1)
     pick = (least[first] & U64((1 << PLACE_BITS) - 1)).astype(np.int64)
     new = np.ones(len(first), dtype=bool)
     new[1:] = (pick[1:] != pick[:-1]) | (first[1:] != first[:-1] + 1)
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(first)))
     first, pick = first[head], pick[head]
-    whole = Rolling(LANES[1][2][raw], 1)(first, first + count + length - 1)
-    return name[pick], mix(whole ^ mix((pick - first).astype(U64), 6), 7), row[first], first - offsets[row[first]], count
+    end, place = first + count + length - 1, (pick - first).astype(U64)
+    return [name[pick], mix(one(first, end) ^ mix(place, 6), 7), mix(two(first, end) ^ mix(place, 8), 9), row[first], first, count, pick - first]
 
 
 def _stretch_rows(length: int):
     def run(batches):
         for batch in batches:
             for part, raw, offsets in chunks(batch):
-                key, whole, row, first, count = stretches(raw, offsets, length)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                key, one, two, row, first, count, pick = stretches(raw, offsets, length)
+                at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[row].astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["key", "whole", "doc_id", "first", "count"],
+                    [*(pa.array(x.view(np.int64)) for x in (key, one, two)), part.column("doc_id").take(at), part.column("tk").take(at), *(pa.array(x.astype(np.int32)) for x in (first, count, pick))],
+                    names=["key", "s1", "s2", "doc_id", "tk", "first", "count", "pick"],
                 )
 
     return run
 
 
-def _marks(part, offsets, length: int):
-    """Rows, first windows (as bytes of the slice) and counts of column `at`, as far as they fit the row; and the list items."""
-    column = part.column("at")
-    lengths = np.where(np.asarray(column.is_null()), 0, np.diff(column.offsets.to_numpy()))
+def _marks(part, offsets):
+    """Rows, first windows (as bytes of the slice) and counts of the last column's list items; and the items."""
+    column = part.column(part.num_columns - 1)
+    lengths = np.where(np.asarray(column.is_null()), 0, np.diff(column.offsets.to_numpy())) if len(column) else np.zeros(0, np.int64)
     flat = column.flatten()
     row = np.repeat(np.arange(len(column)), lengths)
     first, count = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "count"))
-    count = np.minimum(count, np.diff(offsets)[row] - first - length + 1)
-    fits = np.flatnonzero(count > 0)
-    return row[fits], first[fits] + offsets[row[fits]], count[fits], flat, fits
+    return row, first + offsets[row], count, flat
+
+
+SHARD = "key long, s1 long, s2 long, n long, count int, pick int, low int, high int, content binary"
 
 
-def _byte_rows(length: int):
+def _byte_rows(length: int, gram: int):
     def run(batches):
         for batch in batches:
             for part, raw, offsets in chunks(batch):
-                _, first, count, flat, fits = _marks(part, offsets, length)
-                data = raw.tobytes()
-                take = pa.array(fits)
+                _, first, count, flat = _marks(part, offsets)
+                data, m = raw.tobytes(), len(first)
                 content = [data[a:b] for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(flat.field(c).take(take) for c in ("key", "whole", "n")), pa.array(count.astype(np.int32)), pa.array(content, pa.binary())], names=["key", "whole", "n", "count", "content"])
+                low, high = pa.array(np.zeros(m, dtype=np.int32)), pa.array(np.full(m, length - gram, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("key", "s1", "s2", "n", "count", "pick")), low, high, pa.array(content, pa.binary())], names=["key", "s1", "s2", "n", "count", "pick", "low", "high", "content"])
 
     return run
 
 
-def _window_rows(length: int):
+def halves(content: bytes, count: int, pick: int, low: int, high: int, length: int):
+    """The stretch's windows in which the gram's place is in either half of [low, high]: first window, windows, the half's
+    bounds, and the string around the gram that all windows of the half hold."""
+    middle = (low + high) // 2
+    for a, b in ((low, middle), (middle + 1, high)):
+        least, most = max(a, pick - count + 1), min(b, pick)
+        if least <= most:
+            yield pick - most, most - least + 1, a, b, content[pick - a : pick + length - b]
+
+
+PART = "key long, s1 long, s2 long, n long, count int, pick int, low int, high int, content binary, of_key long, of_s1 long, of_s2 long, start int"
+
+
+def _name(data: bytes, salt: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=bytes([salt])).digest(), "little", signed=True)
+
+
+def _half_rows(length: int):
     def run(batches):
         for batch in batches:
-            for part, raw, offsets in chunks(batch):
-                row, first, count, _, _ = _marks(part, offsets, length)
-                at, row = ranges(first, count), np.repeat(row, count)
-                h1, h2 = Rolling(LANES[0][2][raw], 0)(at, at + length), Rolling(LANES[1][2][raw], 1)(at, at + length)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row].astype(np.int64)), pa.array((at - offsets[row]).astype(np.int32))], names=["h1", "h2", "doc_id", "first"])
+            out = []
+            for r in batch.to_pylist():
+                for start, many, a, b, shared in halves(r["content"], r["count"], r["pick"], r["low"], r["high"], length):
+                    content, tag = r["content"][start : start + many + length - 1], f"{a},{b},{r['pick'] - start},".encode()
+                    out.append((_name(f"{a},{b},".encode() + shared, 0), _name(tag + content, 1), _name(tag + content, 2), r["n"], many, r["pick"] - start, a, b, content, r["key"], r["s1"], r["s2"], start))
+            kinds = (pa.int64(),) * 4 + (pa.int32(),) * 4 + (pa.binary(),) + (pa.int64(),) * 3 + (pa.int32(),)
+            names = [x.split(" ")[0] for x in PART.split(", ")]
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -214,7 +244,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndar
 
 def _sorted_rows(length: int):
     def run(batches):
-        for table, _ in whole_groups(batches, ["key"], 2048):
+        for table, bounds in whole_groups(batches, ["key"], 2048):
             content = table.column("content").chunk(0)
             offsets = np.frombuffer(content.buffers()[1], dtype=np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64)
             data = np.frombuffer(content.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
@@ -235,18 +265,38 @@ def _sorted_rows(length: int):
             own = owner[found[head]]
             take = pa.array(own)
             yield pa.RecordBatch.from_arrays(
-                [table.column("key").combine_chunks().take(take), table.column("whole").combine_chunks().take(take), pa.array((starts[found[head]] - begin[own]).astype(np.int32)), pa.array(size.astype(np.int32))],
-                names=["key", "whole", "from", "many"],
+                [*(table.column(c).combine_chunks().take(take) for c in ("key", "s1", "s2")), pa.array((starts[found[head]] - begin[own]).astype(np.int32)), pa.array(size.astype(np.int32))],
+                names=["key", "s1", "s2", "from", "many"],
             )
 
     return run
 
 
-def _kept_rows(length: int, texts: bool):
+NAMES = ["key", "s1", "s2"]
+
+
+def repeated_in(shards: DataFrame, length: int) -> DataFrame:
+    """key, s1, s2, from, many: the windows of the stretches that stand twice or more in their shard. shards: see SHARD."""
+    large = materialize(shards.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_STRETCHES).select("key"), "large")
+    found = "key long, s1 long, s2 long, from int, many int"
+    again = together(shards.join(large, "key", "left_anti"), ["key"], ["s1", "s2"]).mapInArrow(_sorted_rows(length), found)
+    if not large.limit(1).count():
+        return materialize(again, "again", large)
+    again = materialize(again, "again")
+    # equal parts of different stretches are one stretch of the next round, with all their copies
+    parts = materialize(shards.join(large, "key", "left_semi").mapInArrow(_half_rows(length), PART), "parts", large)
+    once = parts.groupBy(*NAMES).agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("count", "pick", "low", "high", "content")])
+    once = materialize(once, "halves")
+    inner = repeated_in(once, length)
+    back = parts.join(inner, NAMES).select(F.col("of_key").alias("key"), F.col("of_s1").alias("s1"), F.col("of_s2").alias("s2"), (F.col("start") + F.col("from")).alias("from"), "many")
+    return materialize(again.union(back), "again", again, parts, once, inner)
+
+
+def _kept_rows(length: int):
     def run(batches):
         for batch in batches:
             for part, raw, offsets in chunks(batch):
-                row, first, count, _, _ = _marks(part, offsets, length)
+                _, first, count, _ = _marks(part, offsets)
                 change = np.zeros(len(raw) + 1, dtype=np.int32)
                 np.add.at(change, first, 1)
                 np.add.at(change, first + count + length - 1, -1)
@@ -258,45 +308,33 @@ def _kept_rows(length: int, texts: bool):
                 removed = np.bincount(ids[gone], minlength=rows)
                 spans = np.bincount(ids[begins], minlength=rows)
                 kept = [raw[a:b].tobytes() if not r else raw[a:b][~gone[a:b]].tobytes() for a, b, r in zip(offsets, offsets[1:], removed, strict=False)]
-                out = {"doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64))}
-                out |= {"kept": pa.array(kept, pa.binary())} if texts else {"kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)),
+                    "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "text": pa.array([x.decode(errors="replace") for x in kept], pa.string()),
+                })
 
     return run
 
 
-def _asked(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents with the list `at` of their items; the texts are shuffled only of those that have one, if these are few."""
-    ask = materialize(items.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in items.columns if c != "doc_id"])).alias("at")), "ask")
-    if ask.count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(ask.select("doc_id")), "doc_id", "left_semi")
-    return docs.join(ask, "doc_id")
-
-
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Removes each byte covered by a string of `length` bytes that also starts anywhere else in the corpus.
 
-    Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256, or kept (bytes) if `texts`, for each row of docs. Texts are
-    UTF-8 bytes, null ones empty; matches never go over a text's end; overlaps count; strings are judged on the input.
-    Repeated rows are each other's copies; what is marked under a doc_id goes from each of its rows. Rows of null doc_id keep
-    all bytes and mark none. Texts must be under 256 MB. Other columns are ignored; an empty table gives no rows.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and text (the remaining bytes as text; a
+    character of which a part was removed reads as U+FFFD) for each row of docs. Texts are UTF-8 bytes, null ones empty;
+    matches never go over a text's end; overlaps count; strings are judged on the input. Repeated rows are each other's
+    copies; rows of one doc_id and different texts are texts of their own; null is an id like others. Other columns are
+    ignored; an empty table gives no rows.
     """
     docs = id_and_text(docs)
-    known = docs.where("doc_id is not null and text is not null")
-    rows = materialize(known.mapInArrow(_stretch_rows(length), "key long, whole long, doc_id long, first int, count int"), "stretches")
+    known = docs.where("text is not null").withColumn("tk", text_key())
+    rows = materialize(known.mapInArrow(_stretch_rows(length), "key long, s1 long, s2 long, doc_id long, tk long, first int, count int, pick int"), "stretches")
     keys = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    rows = materialize(rows.join(keys, "key"), "shared")
-    wholes = materialize(rows.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "count")).alias("one")), "wholes")
-    large = materialize(wholes.groupBy("key").count().where(F.col("count") > MOST_STRETCHES).select("key"), "large")
-    chosen = wholes.join(large, "key", "left_anti").select("one.doc_id", "one.first", "one.count", "key", "whole", "n")
-    content = _asked(known, chosen).mapInArrow(_byte_rows(length), "key long, whole long, n long, count int, content binary")
-    again = together(content, ["key"], ["whole"]).mapInArrow(_sorted_rows(length), "key long, whole long, from int, many int")
-    marks = rows.join(materialize(again, "again"), ["key", "whole"]).select("doc_id", (F.col("first") + F.col("from")).alias("first"), F.col("many").alias("count"))
-    if large.limit(1).count():
-        windows = _asked(known, rows.join(large, "key").select("doc_id", "first", "count")).mapInArrow(_window_rows(length), "h1 long, h2 long, doc_id long, first int")
-        windows = materialize(windows, "windows")
-        twice = materialize(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "twice")
-        marks = marks.union(windows.join(twice, ["h1", "h2"]).select("doc_id", "first", F.lit(1).alias("count")))
-    at = marks.groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("at"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if texts else "kept_sha256 string")
-    return docs.join(at, "doc_id", "left").mapInArrow(_kept_rows(length, texts), schema)
+    rows = materialize(rows.join(keys, "key", "left_semi"), "shared", rows, keys)
+    once = rows.groupBy(*NAMES).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "first", "count", "pick")).alias("one"))
+    asked, lists = with_marks(known, once.select("one.*", *NAMES, "n"), only=True)
+    # rows that repeat a doc_id and a text give a stretch once each, which changes nothing: its windows are found twice anyway
+    shards = materialize(asked.mapInArrow(_byte_rows(length, GRAM), SHARD), "shards", lists)
+    again = repeated_in(shards, length)
+    marks = rows.join(again, NAMES).select("doc_id", "tk", (F.col("first") + F.col("from")).alias("first"), F.col("many").alias("count"))
+    marked, _ = with_marks(docs, marks, rows, again, shards)
+    return marked.mapInArrow(_kept_rows(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
