@@ -123,14 +123,17 @@ def test_names_of_slices():
     dice = np.random.default_rng(3)
     values = dice.integers(0, 2, 300).astype(np.uint64)
     slices = common.Slices(values)
-    for length in (1, 2, 3, 7, 50, 64, 299):
-        assert (slices.every(length) == slices(np.arange(301 - length), np.arange(301 - length) + length)).all()
     start = dice.integers(0, 250, 4000)
     end = start + dice.integers(0, 50, 4000)
     by = collections.defaultdict(set)
     for a, b, h in zip(start, end, slices(start, end)):
         by[h].add(tuple(values[a:b]))
     assert all(len(x) == 1 for x in by.values()) and len(by) == len({x for y in by.values() for x in y})
+    raw = dice.integers(97, 99, 3000).astype(np.uint8)
+    for n in (8, 9, 16, 100):
+        names = common.byte_grams(raw, n)
+        content = [raw[i : i + n].tobytes() for i in range(3000 - n + 1)]
+        assert len(names) == len(content) and len(set(zip(names.tolist(), content))) == len(set(content)) == len(set(names.tolist()))
 
 
 def test_rows_of_one_id_keep_their_own_marks(spark):
@@ -163,26 +166,27 @@ def test_recompression_is_local(spark):
     dice = random.Random(0)
     names = np.array([dice.randrange(6) for _ in range(400)], dtype=np.uint64)
     row = np.zeros(400, dtype=np.int64)
-    for level, (name, _, start, low, high) in enumerate(recompression.recompress(names, row)):
-        for k in np.flatnonzero((low >= 0) & (high <= 400))[::7]:
-            a, b = low[k], high[k]
-            other = np.concatenate((np.array([9, 8], dtype=np.uint64), names[a:b], np.array([7], dtype=np.uint64)))
-            n2, _, s2, l2, h2 = recompression.recompress(other, np.zeros(len(other), dtype=np.int64))[level]
-            same = [m for m, s, lo, hi in zip(n2, s2, l2, h2) if s == start[k] - a + 2 and lo >= 2 and hi <= 2 + b - a]
-            assert same == [name[k]]
+    name, _, start, _, low, high = recompression.recompress(names, names, row)
+    for k in np.flatnonzero((low >= 0) & (high <= 400))[::7]:
+        a, b = low[k], high[k]
+        other = np.concatenate((np.array([9, 8], dtype=np.uint64), names[a:b], np.array([7], dtype=np.uint64)))
+        n2, _, s2, _, l2, h2 = recompression.recompress(other, other, np.zeros(len(other), dtype=np.int64))
+        same = [m for m, s, lo, hi in zip(n2, s2, l2, h2) if s == start[k] - a + 2 and lo >= 2 and hi <= 2 + b - a]
+        assert same == [name[k]]
 
 
-def test_equal_stretches_have_one_top_symbol():
+def test_stretches_are_equal_as_their_symbols_are():
     dice = random.Random(8)
-    text = [dice.randrange(3) for _ in range(300)] + [1] * 60 + [0, 1] * 40
-    name = np.array(text, dtype=np.uint64)
-    first = np.array([dice.randrange(360) for _ in range(900)])
-    length = np.array([dice.choice([1, 2, 3, 5, 9, 50, 80]) for _ in first])
-    at = np.concatenate([np.arange(a, a + n) for a, n in zip(first, length)])
-    one, two = recompression.top_symbols(name[at], name[at] + np.uint64(9), np.repeat(np.arange(len(first)), length))
-    content = [tuple(text[a : a + n]) for a, n in zip(first, length)]
-    assert len(one) == len(set(zip(content, one.tolist(), two.tolist()))) + len(one) - len(set(content))
-    assert len(set(zip(one.tolist(), two.tolist()))) == len(set(content))
+    text = " ".join(["abc"[dice.randrange(3)] for _ in range(400)] + ["b"] * 90 + ["a", "b"] * 70 + ["abc"[dice.randrange(3)] for _ in range(200)] * 2)
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    words = common.Words(raw, np.array([0, len(raw)]))
+    symbols, n = recompression.Symbols(words), len(words)
+    assert (np.diff(symbols.low) >= 0).all() and (np.diff(symbols.high) >= 0).all()
+    first = np.array([dice.randrange(n - 110) for _ in range(3000)])
+    end = first + np.array([dice.choice([1, 2, 3, 5, 9, 50, 51, 99]) for _ in first])
+    named = list(zip(*(x.tolist() for x in symbols.names(first, end))))
+    content = [tuple(text.split(" ")[a:b]) for a, b in zip(first, end)]
+    assert len(set(zip(content, named))) == len(set(content)) == len(set(named)) < 3000
 
 
 # -- suffix array -------------------------------------------------------------------------------------------------------------

@@ -110,15 +110,30 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the published splitmix64 finaliser)."""
     x = x + U64((salt * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & (2**64 - 1))
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    t = x >> U64(30)
+    x ^= t
+    x *= U64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, U64(27), out=t)
+    x ^= t
+    x *= U64(0x94D049BB133111EB)
+    np.right_shift(x, U64(31), out=t)
+    x ^= t
+    return x
 
 
 #: Odd factors of the pair names (fixed by this module only: names never leave a run).
 LEFT, RIGHT = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
 
 
+def _paired(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    h = one * LEFT
+    h += two
+    h ^= h >> U64(32)
+    h *= RIGHT
+    h ^= h >> U64(29)
+    return h
+
+
 class Slices:
     """64-bit names of any slices of a sequence of 64-bit values.
 
@@ -136,10 +151,7 @@ class Slices:
         for k in range(top + 1):
             yield h
             if k < top:
-                h = h[: -1 << k] * LEFT + h[1 << k :]
-                h ^= h >> U64(32)
-                h *= RIGHT
-                h ^= h >> U64(29)
+                h = _paired(h[: -1 << k], h[1 << k :])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = end - start
@@ -151,13 +163,20 @@ class Slices:
             out[at] = mix(h[start[at]] * LEFT + h[start[at] + n - (1 << k)] * RIGHT + n.astype(U64), 400 + self.salt)
         return out
 
-    def every(self, length: int) -> np.ndarray:
-        """The names of all slices of one length."""
-        k = length.bit_length() - 1
-        for h in self._levels(k):
-            pass
-        n = len(self.values) - length + 1
-        return mix(h[:n] * LEFT + h[length - (1 << k) :][:n] * RIGHT + U64(length), 400 + self.salt)
+
+def eight_bytes(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; zeros beyond the end."""
+    return np.ndarray((len(raw) + 1,), dtype="<u8", buffer=raw.tobytes() + bytes(8), strides=(1,))[: len(raw)]
+
+
+def byte_grams(raw: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """64-bit names of all strings of `length` bytes (8 or more), made like those of Slices from stretches of 8, 16, .. bytes."""
+    h, width = mix(eight_bytes(raw)[: len(raw) - 7], 600 + salt), 8
+    while 2 * width <= length:
+        h = _paired(h[:-width], h[width:])
+        width *= 2
+    n = max(0, len(raw) - length + 1)
+    return mix(h[:n] * LEFT + h[length - width :][:n] * RIGHT + U64(length), 601 + salt)
 
 
 #: Words of more bytes are named by a cryptographic hash of the whole.
@@ -171,7 +190,7 @@ def word_names(raw: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int =
     out = mix(size.astype(U64), 500 + salt)
     if not len(out):
         return out
-    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=raw.tobytes() + bytes(8), strides=(1,))
+    eight = eight_bytes(raw)
     live, at = np.flatnonzero(size <= LONG_WORD), 0
     while len(live):
         out[live] = mix(out[live] ^ (eight[start[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]), 501 + salt)

@@ -7,15 +7,14 @@ without a table of names, and equal substrings get equal symbols except near the
 the stretch of words that decided it; a window of `window` words that holds the whole stretch holds the symbol in whatever
 text it stands.
 
-The anchor of a window is the highest symbol that it decides (the one of smallest key among those of the highest level).
-Equal windows have equal anchors, so
+Each window picks the symbol of smallest key among those it decides: its anchor. Equal windows have equal anchors, so
 
 1. neighbouring windows with one anchor form a stretch; stretches whose anchor stands in one document only are done with;
-2. a stretch is verified by its own symbol: its words are recompressed by themselves until one symbol is left, and two
-   stretches are equal if and only if these agree. A stretch that stands whole in a document of smaller doc_id marks all its
-   windows;
-3. where one anchor stands in different stretches, the first document of each stretch recompresses its windows one by one, and
-   those whose symbol also starts in a document of smaller doc_id are marked.
+2. a stretch is verified by its symbols: two stretches are equal if and only if the symbols that they decide agree, and the few
+   words at either end that none of these stands for. A stretch that stands whole in a document of smaller doc_id marks all
+   its windows;
+3. where one anchor stands in different stretches, the first document of each stretch names its windows one by one in the same
+   way, and those that also start in a document of smaller doc_id are marked.
 
 A window that decides no symbol (say, inside a very long run) is its own anchor, so nothing is lost.
 """
@@ -32,18 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import Slices, U64, Words, chunks, id_and_text, materialize, mix, ranges, small_batches, text_key, with_marks
 
-WINDOW, ROUNDS = 50, 8
+WINDOW, ROUNDS = 50, 4
 FAR = 1 << 40
-#: Words of stretches that are recompressed at once.
-SLAB = 1 << 19
-
-
-def run_heads(names: tuple, row: np.ndarray) -> np.ndarray:
-    """Where maximal runs of one symbol begin. names: arrays that together name a symbol."""
-    same = row[1:] == row[:-1]
-    for name in names:
-        same &= name[1:] == name[:-1]
-    return np.flatnonzero(np.append(True, ~same)) if len(row) else np.zeros(0, dtype=np.int64)
 
 
 def run_name(name: np.ndarray, length: np.ndarray, r: int) -> np.ndarray:
@@ -54,36 +43,34 @@ def pair_name(one: np.ndarray, two: np.ndarray, r: int) -> np.ndarray:
     return mix(one * U64(3) + mix(two, 61 + r), 71 + r)
 
 
-def pairing(name: np.ndarray, row: np.ndarray, r: int):
-    """Which symbols are of the right class, and which are the first of a pair."""
-    right = (mix(name, 51 + r) >> U64(63)).astype(bool)
-    joins = np.zeros(len(name), dtype=bool)
-    joins[:-1] = ~right[:-1] & right[1:] & (row[1:] == row[:-1])
-    return right, joins
+def recompress(name: np.ndarray, other: np.ndarray, row: np.ndarray, rounds: int = ROUNDS):
+    """Symbols after the rounds: both names, first word, word after the last, and the words [low, high) that decide it.
 
-
-def recompress(name: np.ndarray, row: np.ndarray, rounds: int = ROUNDS) -> list[tuple]:
-    """The symbols after each round: name, row, first word, and the words [low, high) that decide it (beyond the row: never)."""
-    low = np.arange(len(name), dtype=np.int64)
-    start, high, levels = low, low + 1, []
-    for r in range(rounds):
-        head = run_heads((name,), row)
+    Symbols that a text's end decides have low under 0 or high beyond all words. low and high never fall among the others.
+    """
+    n, low = len(name), np.arange(len(name), dtype=np.int64)
+    start, high = low, low + 1
+    for r in range(rounds if n else 0):
+        # runs of one symbol; a run ends where the next symbol, not the next run, is known to differ
+        same = (name[1:] == name[:-1]) & (other[1:] == other[:-1]) & (row[1:] == row[:-1])
+        head = np.flatnonzero(np.append(True, ~same))
         length = np.diff(np.append(head, len(name)))
-        # a run ends where the next symbol, not the next run, is known to differ
         every = np.ones(len(name), dtype=bool)
         wide_low, wide_high = _look(low, high, row, every, every)
         low, high = np.minimum.reduceat(wide_low, head), np.maximum.reduceat(wide_high, head)
-        name, row, start = run_name(name[head], length, r), row[head], start[head]
-        right, joins = pairing(name, row, r)
+        name, other, row, start = run_name(name[head], length, r), run_name(other[head], length, r + 500), row[head], start[head]
+        # pairs of a left and a right symbol
+        right = (mix(name, 51 + r) >> U64(63)).astype(bool)
+        joins = np.zeros(len(name), dtype=bool)
+        joins[:-1] = ~right[:-1] & right[1:] & (row[1:] == row[:-1])
         second = np.concatenate(([False], joins[:-1]))
         low, high = _look(low, high, row, right & ~second, ~right & ~joins)
         at = np.flatnonzero(joins)
-        name[at] = pair_name(name[at], name[at + 1], r)
+        name[at], other[at] = pair_name(name[at], name[at + 1], r), pair_name(other[at], other[at + 1], r + 500)
         low[at], high[at] = np.minimum(low[at], low[at + 1]), np.maximum(high[at], high[at + 1])
         keep = ~second
-        name, row, start, low, high = name[keep], row[keep], start[keep], low[keep], high[keep]
-        levels.append((name, row, start, low, high))
-    return levels
+        name, other, row, start, low, high = name[keep], other[keep], row[keep], start[keep], low[keep], high[keep]
+    return name, other, start, np.append(start[1:], n), low, high
 
 
 def _look(low, high, row, leftwards, rightwards):
@@ -94,68 +81,51 @@ def _look(low, high, row, leftwards, rightwards):
     return np.where(leftwards, np.minimum(low, before), low), np.where(rightwards, np.maximum(high, after), high)
 
 
-def top_symbols(name: np.ndarray, other: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both names of the one symbol that each row comes down to by itself; rows are 0, 1, .. and none is empty."""
-    rows, r = int(row[-1]) + 1 if len(row) else 0, 0
-    while len(name) > rows:
-        head = run_heads((name, other), row)
-        length = np.diff(np.append(head, len(name)))
-        name, other, row = run_name(name[head], length, r), run_name(other[head], length, r + 500), row[head]
-        _, joins = pairing(name, row, r)
-        at = np.flatnonzero(joins)
-        name[at], other[at] = pair_name(name[at], name[at + 1], r), pair_name(other[at], other[at + 1], r + 500)
-        keep = np.concatenate(([True], ~joins[:-1])) if len(joins) else joins
-        name, other, row, r = name[keep], other[keep], row[keep], r + 1
-    return name, other
-
-
-def symbols_of(words: Words, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both names of the symbol of each stretch of words, in slabs of bounded size."""
-    one, two = np.zeros(len(first), dtype=U64), np.zeros(len(first), dtype=U64)
-    total = np.append(0, np.cumsum(length))
-    a = 0
-    while a < len(first):
-        b = max(a + 1, int(np.searchsorted(total, total[a] + SLAB, side="right")) - 1)
-        at = ranges(first[a:b], length[a:b])
-        one[a:b], two[a:b] = top_symbols(words.name[at], words.other[at], np.repeat(np.arange(b - a), length[a:b]))
-        a = b
-    return one, two
-
-
-def anchors(words: Words, window: int = WINDOW):
-    """Stretches of windows that share an anchor: key, first window (a word's index), number of windows."""
-    n = len(words)
-    first = np.arange(max(0, n - window + 1))
-    first = first[words.row[first] == words.row[first + window - 1]] if len(first) else first
-    best, chosen = np.full(len(first), 2**64 - 1, dtype=U64), np.full(len(first), -1)
-    if not len(first):
-        return best, first, chosen
-    slices, base, open_ = Slices(words.name), 0, np.arange(len(first))
-    for level, (name, _, start, low, high) in reversed(list(enumerate(recompress(words.name, words.row)))):
-        decided = np.flatnonzero((low >= 0) & (high <= n) & (high - low <= window))
-        if not len(decided) or not len(open_):
-            continue
-        name, start, low, high = name[decided], start[decided], low[decided], high[decided]
-        key = mix(slices(low, high) ^ name, 5 + level)
-        at = np.searchsorted(start, first[open_])
-        live = np.flatnonzero(at < len(start))
-        step = 0
+class Symbols:
+    """The symbols of several texts' words that no text's end decides, and what is named by them."""
+
+    def __init__(self, words: Words):
+        self.words, n = words, len(words)
+        name, other, start, stop, low, high = recompress(words.name, words.other, words.row)
+        inner = np.flatnonzero((low >= 0) & (high <= n))
+        self.name, self.start, self.stop, self.low, self.high = name[inner], start[inner], stop[inner], low[inner], high[inner]
+        self.slices = [(Slices(words.name), Slices(name[inner])), (Slices(words.other, 1), Slices(other[inner], 1))]
+
+    def names(self, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Both names of each stretch of words [first, end): of the symbols it decides and of the words before and after them."""
+        i, j = np.searchsorted(self.low, first), np.searchsorted(self.high, end, side="right")
+        some = np.flatnonzero(j > i)
+        a, b = end.copy(), end.copy()  # words [a, b) are named by symbols
+        a[some], b[some] = self.start[i[some]], self.stop[j[some] - 1]
+        j = np.maximum(i, j)
+        return [mix(mix(by_word(first, a) * U64(3) + by_symbol(i, j), 81) * U64(5) + by_word(b, end), 82) for by_word, by_symbol in self.slices]
+
+    def anchors(self, window: int = WINDOW):
+        """Stretches of windows that share an anchor: key, first window (a word's index), number of windows."""
+        words, n = self.words, len(self.words)
+        first = np.arange(max(0, n - window + 1))
+        first = first[words.row[first] == words.row[first + window - 1]] if len(first) else first
+        best, chosen = np.full(len(first), 2**64 - 1, dtype=U64), np.full(len(first), -1)
+        if not len(first):
+            return best, first, chosen
+        short = np.flatnonzero(self.high - self.low <= window)
+        low, high = self.low[short], self.high[short]
+        key = mix(self.slices[0][0](low, high) ^ self.name[short], 5)
+        # symbols k with first <= low and high <= first + window; neither falls, so they lie together
+        i, j = np.searchsorted(low, first), np.searchsorted(high, first + window, side="right")
+        live, step = np.flatnonzero(i < j), 0
         while len(live):
-            w, k = open_[live], at[live] + step
-            inside = start[k] < first[w] + window
-            live, w, k = live[inside], w[inside], k[inside]
-            better = (low[k] >= first[w]) & (high[k] <= first[w] + window) & (key[k] < best[w])
-            best[w[better]], chosen[w[better]] = key[k[better]], base + k[better]
+            k = i[live] + step
+            better = key[k] < best[live]
+            best[live[better]], chosen[live[better]] = key[k[better]], k[better]
             step += 1
-            live = live[at[live] + step < len(start)]
-        base += len(start)
-        open_ = open_[chosen[open_] < 0]
-    alone = chosen < 0
-    best[alone] = slices(first[alone], first[alone] + window)
-    new = np.ones(len(first), dtype=bool)
-    new[1:] = alone[1:] | (chosen[1:] != chosen[:-1]) | (first[1:] != first[:-1] + 1)
-    head = np.flatnonzero(new)
-    return best[head], first[head], np.diff(np.append(head, len(first)))
+            live = live[i[live] + step < j[live]]
+        alone = chosen < 0
+        best[alone] = self.slices[0][0](first[alone], first[alone] + window)
+        new = np.ones(len(first), dtype=bool)
+        new[1:] = alone[1:] | (chosen[1:] != chosen[:-1]) | (first[1:] != first[:-1] + 1)
+        head = np.flatnonzero(new)
+        return best[head], first[head], np.diff(np.append(head, len(first)))
 
 
 ROW = "key long, s1 long, s2 long, doc_id long, tk long, first int, count int"
@@ -166,8 +136,9 @@ def _anchor_rows(window: int):
         for batch in batches:
             for part, raw, offsets in chunks(batch):
                 words = Words(raw, offsets)
-                key, first, count = anchors(words, window)
-                one, two = symbols_of(words, first, count + window - 1)
+                symbols = Symbols(words)
+                key, first, count = symbols.anchors(window)
+                one, two = symbols.names(first, first + count + window - 1)
                 row = words.row[first] if len(first) else first
                 yield _rows(part, ("key", key), ("s1", one), ("s2", two), row=row, first=first - words.first[row], count=count)
 
@@ -189,7 +160,7 @@ def _window_rows(window: int):
                 firsts, counts, rows = _stretches(part.column(part.num_columns - 1), words, window)
                 at = ranges(firsts, counts)
                 row = np.repeat(rows, counts)
-                one, two = symbols_of(words, at, np.full(len(at), window))
+                one, two = Symbols(words).names(at, at + window)
                 yield _rows(part, ("s1", one), ("s2", two), row=row, first=at - words.first[row], count=np.ones(len(at), dtype=np.int64))
 
     return run

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Slices, chunks, id_and_text, materialize, mix, ranges, text_key, with_marks
+from .common import U64, byte_grams, chunks, eight_bytes, id_and_text, materialize, mix, ranges, text_key, with_marks
 from .graphs import together, whole_groups
 
 LENGTH, GRAM = 400, 100
@@ -57,8 +57,7 @@ def _stretches(raw, row, length, gram):
     first = np.flatnonzero(row[: n - length + 1] == row[length - 1 :]) if n >= length else empty
     if not len(first):
         return [empty.astype(U64)] * 3 + [empty.copy() for _ in range(4)]
-    one, two = Slices(raw.astype(U64), 0), Slices(raw.astype(U64), 1)
-    name = one.every(gram)
+    name, other = byte_grams(raw, gram), byte_grams(raw, gram, 1)
     # smallest name, the first of equal ones: its leading bits, then its place
     least = _sliding_least((name >> U64(PLACE_BITS) << U64(PLACE_BITS)) | np.arange(len(name), dtype=U64), length - gram + 1)
     pick = (least[first] & U64((1 << PLACE_BITS) - 1)).astype(np.int64)
@@ -67,8 +66,20 @@ def _stretches(raw, row, length, gram):
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(first)))
     first, pick = first[head], pick[head]
-    end, place = first + count + length - 1, (pick - first).astype(U64)
-    return [name[pick], mix(one(first, end) ^ mix(place, 6), 7), mix(two(first, end) ^ mix(place, 8), 9), row[first], first, count, pick - first]
+    end, place = first + count + length - 1, pick - first
+    return [name[pick], content_names(name, first, end, gram, place), content_names(other, first, end, gram, place), row[first], first, count, place]
+
+
+def content_names(grams: np.ndarray, first: np.ndarray, end: np.ndarray, gram: int, place: np.ndarray) -> np.ndarray:
+    """Names of the strings [first, end), with the gram's place in them, from the names of the grams that they are made of."""
+    out = mix(grams[end - gram] ^ mix(place.astype(U64), 6), 7)
+    live, at = np.arange(len(first)), first
+    while len(live):
+        out[live] = mix(out[live] * U64(3) + grams[at], 8)
+        at = at + gram
+        keep = at + gram <= end[live]
+        live, at = live[keep], at[keep]
+    return out
 
 
 def _stretch_rows(length: int):
@@ -146,11 +157,7 @@ def _half_rows(length: int):
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on as one big-endian number; zeros beyond the end."""
-    padded = np.append(data, np.zeros(8, dtype=np.uint8)).astype(U64)
-    out = np.zeros(len(data), dtype=U64)
-    for k in range(8):
-        out = (out << U64(8)) | padded[k : k + len(data)]
-    return out
+    return eight_bytes(data).byteswap()
 
 
 def sort_directly(suffixes: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
