@@ -495,7 +495,7 @@ def test_crossover_keeps_all_pieces():
 @pytest.mark.parametrize("small", [False, True])
 def test_top_k(spark, monkeypatch, small):
     if small:
-        for name, value in (("SHARD", 40), ("QUERIES", 3), ("LEAF", 4)):
+        for name, value in (("SHARD", 40), ("LARGEST_SHARD", 40), ("SAMPLE", 90), ("TOGETHER", 3), ("BLOCK", 5), ("LEAF", 4), ("ROUNDS", ((0, 1), (1, 3), (3, None)))):
             monkeypatch.setattr(ball_tree, name, value)
     dice = np.random.default_rng(2)
     rows = [(i, dice.normal(size=6).round(1).tolist(), 1) for i in range(300)]
@@ -512,6 +512,18 @@ def test_top_k(spark, monkeypatch, small):
     assert len(few) == 2
 
 
+def test_top_k_of_one_vector_many_times(spark, monkeypatch):
+    """A third of all rows are one vector: its part of the tree is dealt to several shards."""
+    for name, value in (("SHARD", 30), ("LARGEST_SHARD", 30), ("LEAF", 8)):
+        monkeypatch.setattr(ball_tree, name, value)
+    dice = np.random.default_rng(4)
+    same = dice.normal(size=5).round(1).tolist()
+    df = spark.createDataFrame([(i, same if i % 3 == 0 else dice.normal(size=5).round(1).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    v = {r["vec_id"]: [int(np.floor(64 * x)) for x in r["embedding"]] for r in df.collect()}
+    want = [(q, k + 1, c, -s) for q in range(0, 400, 20) for k, (s, c) in enumerate(sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:20])]
+    assert sorted(tuple(r) for r in ball_tree.top_k(df).collect()) == want
+
+
 def test_top_k_of_large_numbers(spark):
     df = spark.createDataFrame([(i, [float(2**20 * (i % 7)), float(i)]) for i in range(60)], "vec_id long, embedding array<double>")
     found = sorted(tuple(r) for r in ball_tree.top_k(df, k=5).collect())

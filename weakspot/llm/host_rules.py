@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without_ids
+from .common import BROADCAST_IDS, materialize, without_ids
 
 #: A word, and symbols that the rules count.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,8 +99,11 @@ def host_rules(docs: DataFrame) -> DataFrame:
     """
     failed = (F.col("n_words") < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     judged = materialize(base(docs).withColumn("base_failed", failed), "judged")
-    verdicts = host_verdicts(judged)
-    return judged.join(verdicts, "host", "left").select(
+    rejected = materialize(host_verdicts(judged).where("rejected"), "rejected")
+    # a shuffle by host would put a host's documents into one task; beyond the bound AQE splits such a join
+    if rejected.count() <= BROADCAST_IDS:
+        rejected = F.broadcast(rejected)
+    return judged.join(rejected, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).alias("kept"),
     )
