@@ -541,6 +541,37 @@ def test_sample_pages_are_read_back():
     assert sum(html_tree.main_text(p, weights) == "\n".join(w) for p, w in pages) >= 78
 
 
+#: Pages written by hand, unlike the training pages, and their main texts.
+WRITTEN = [
+    ('<article><p>See <a title="the hidden gem of town">the place itself</a>, twice.</p></article>', "See the place itself, twice."),
+    ('<article><div class="block hidden md:flex"><p>A paragraph that is shown.</p></div><p>Then another one, with more words.</p></article>', "A paragraph that is shown.\nThen another one, with more words."),
+    ("<article><p>One two three four.</p><p hidden>not shown<p>Five six seven eight.</p><p>Nine ten.</p></article>", "One two three four.\nFive six seven eight.\nNine ten."),
+    ("<article><h1>List</h1><ul><li style='display:none'>not shown<li>First thing<li>Second thing</ul><p>And the end of it all.</p></article>", "List\nFirst thing\nSecond thing\nAnd the end of it all."),
+    ("<article><p>We know that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds here.</p><p>And <object>what an object says</object> too.</p></article>", "We know that x=2 holds here.\nAnd what an object says too."),
+    ('<html><body><script>if (a) { b = "<!-- not closed"; }</script><article><p>Text after the script.</p><p>More text of the article.</p></article><footer>&copy; someone</footer></body></html>', "Text after the script.\nMore text of the article."),
+    ("<article><p>Some <span hidden>of this isn't shown</span> words, <span>others</span> are.</p></article>", "Some words, others are."),
+    ('<div class=x1><div><a href=/>Home</a> <a href=/a>About us</a> <a href=/b>Contact</a></div><div class=q7><h2>A long walk by the river</h2><p>It was early in the morning when we set out, and the fog had not yet lifted from the water.</p><p>By noon we had reached the bridge that everyone had told us about, and we sat down to rest for a while.</p></div></div>',
+     "A long walk by the river\nIt was early in the morning when we set out, and the fog had not yet lifted from the water.\nBy noon we had reached the bridge that everyone had told us about, and we sat down to rest for a while."),
+    ('<body><header><a href="/">The Daily</a><nav><a href="/n">News</a><a href="/s">Sport</a></nav></header><main><h1>Rain expected</h1><p>Heavy rain is expected in the north &amp; west on Tuesday.</p><blockquote>Stay at home if you can.</blockquote><form><label>Mail</label><input name=m><button>Subscribe</button></form></main><section id="comments"><h3>2 comments</h3><div><p>First!</p></div><div><p>I like rain.</p></div></section><aside class="sidebar"><ul><li><a href=/x>Most read</a></li></ul></aside><footer>About</footer></body>',
+     "Rain expected\nHeavy rain is expected in the north & west on Tuesday.\nStay at home if you can."),
+    ("<head><title>T</title><p>No body tag, <b>but</b> a paragraph that is long enough to be read as one.", "No body tag, but a paragraph that is long enough to be read as one."),
+]
+
+
+@pytest.mark.parametrize("page, text", WRITTEN)
+def test_written_pages(page, text):
+    assert html_tree.main_text(page, html_tree.default_weights()) == text
+
+
+def test_plain_pages_are_mostly_read_back():
+    """Pages whose names say little: the words of the main text, by links, lengths and places."""
+    weights, hit, wanted, found = html_tree.default_weights(), 0, 0, 0
+    for page, texts in html_tree.sample_pages(60, seed=78, plain=0.6):
+        one, two = (collections.Counter(x.split()) for x in (" ".join(texts), html_tree.main_text(page, weights)))
+        hit, wanted, found = hit + (one & two).total(), wanted + one.total(), found + two.total()
+    assert hit / wanted > 0.9 and hit / found > 0.9
+
+
 def test_marginals_are_exact():
     page, _ = html_tree.sample_pages(1, seed=5)[0]
     nodes = html_tree.parse("<body><nav><ul><li><a>x</a></li></ul></nav><article><h1>t</h1><p>b</p></article></body>")

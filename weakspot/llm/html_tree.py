@@ -24,9 +24,10 @@ BLOCKS = frozenset(
     "html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption form fieldset address details summary hr center dialog menu hgroup search legend".split()
 )
-#: Elements whose content is no text of the page, or is read up to their own end tag.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SKIPPED = frozenset("script style head title template noscript svg math select option button object canvas audio video map iframe textarea noembed noframes datalist".split())
+#: Elements whose content is read up to their own end tag and is no text of the page.
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+#: Elements that hold no text of the page: the head, what isn't shown, and parts of forms.
+SKIPPED = frozenset("head template noscript select option button datalist defs desc metadata".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A start tag of the first ends an open one of the second kinds, up to the nearest of the third (fixed values of HTML).
 CLOSES = {
@@ -41,8 +42,9 @@ CLOSES = {
     "tfoot": (frozenset("thead tbody tfoot tr td th".split()), frozenset(["table"])),
 }
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+NAMING = frozenset(["class", "id", "role", "aria-label"])
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
 #: Words of class, id and role names by what they speak of.
@@ -64,92 +66,118 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "text", "linked", "below", "below_linked", "features", "place", "edge")
+    __slots__ = ("tag", "names", "parent", "children", "text", "linked", "skipped", "below", "below_linked", "features", "place", "edge")
 
-    def __init__(self, tag: str, names: tuple, parent):
-        self.tag, self.names, self.parent, self.children = tag, names, parent, []
+    def __init__(self, tag: str, names: tuple, parent, skipped: bool = False):
+        self.tag, self.names, self.parent, self.children, self.skipped = tag, names, parent, [], skipped
         self.text, self.linked = [], 0
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether an element isn't shown, by its own attributes."""
+    if "idden" not in attributes and "one" not in attributes and "IDDEN" not in attributes and "ONE" not in attributes:
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        if name == "hidden" or name == "style" and UNSEEN.search(html.unescape(m[2] or m[3] or m[4] or "")):
+            return True
+    return False
+
+
 def parse(page: str) -> list[Node]:
-    """Block nodes of a page in page order, the root first; broken nesting is mended as far as blocks need it."""
+    """Block nodes of a page in page order, the root first; broken nesting is mended as far as blocks need it.
+
+    Elements that hold no text of the page are nodes of the way down only: they end where their end tag or an implied end does,
+    as all elements, and nothing under them is kept.
+    """
     root = Node("html", (), None)
     nodes, here = [root], root
-    at, links, skip, depth = 0, 0, "", 0
+    at, links = 0, 0
     # text after a child belongs to a block of its own, so that texts come in page order
-    for token in TOKEN.finditer(page):
+    while token := TOKEN.search(page, at):
         start, end = token.span()
-        if start < at:
-            continue
-        if start > at and not skip:
+        if start > at:
             here = _add(here, page[at:start], links, nodes)
         at = end
         tag = token[2]
         if tag is None:
             continue
-        tag, closing = tag.lower(), token[1] == "/"
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else 0 if tag in VOID or tag == "head" else 1
-                if depth <= 0:
-                    skip = ""
-            elif skip == "head" and tag == "body":
-                skip = ""
-            if skip:
-                continue
-            if closing:
-                continue
+        tag, closing, attributes = tag.lower(), token[1] == "/", token[3]
         if not closing and tag in RAW:
             close = re.compile(f"</{tag}\\s*>", re.I).search(page, end)
             at = close.end() if close else len(page)
             continue
-        hidden = not closing and (tag in SKIPPED or (token[3] and ("hidden" in token[3] or "none" in token[3]) and HIDDEN.search(token[3])))
-        if hidden and tag not in VOID and not token[3].endswith("/"):
-            skip, depth = tag, 1
+        block = here if here.tag != "#text" else here.parent
+        if closing and (tag in BLOCKS or tag in SKIPPED or block.skipped):
+            up = block
+            while up is not None and up.tag != tag:
+                # an inline end tag ends nothing outside what is skipped
+                up = up.parent if tag in BLOCKS or tag in SKIPPED or up.skipped else None
+            if up is not None and up.parent is not None and (tag in BLOCKS or up.skipped):
+                here, links = up.parent, 0 if tag in BLOCKS else links
             continue
         if tag == "a":
             links = 0 if closing else 1
-        elif tag == "br":
-            here = _add(here, " ", links, nodes)
+            continue
+        if closing:
+            continue
+        hidden = block.skipped or tag in SKIPPED or bool(attributes) and is_hidden(attributes)
+        if tag in ("html", "body"):
+            if tag == "body" and block.tag == "head":
+                here = block = root
+            if not block.skipped:
+                block.names += _hints(attributes)
+            continue
+        if block.tag == "head" and tag in BLOCKS:
+            block, hidden = root, is_hidden(attributes)
+        if tag == "br":
+            if not block.skipped:
+                here = _add(here, " ", links, nodes)
         elif tag in BLOCKS:
-            block = here if here.tag != "#text" else here.parent
-            if closing:
-                up = block
-                while up is not None and up.tag != tag:
-                    up = up.parent
-                if up is not None and up.parent is not None:
-                    here, links = up.parent, 0
-                elif up is None and tag == "p":
-                    pass
-                continue
-            if tag in ("html", "body"):
-                block.names += _hints(token[3])
-                continue
-            up = block
-            while up.tag == "p" and up.parent is not None:  # a block ends an open paragraph
-                up = up.parent
-            if tag in CLOSES:
-                ended, limit = CLOSES[tag]
-                found, x = None, up
-                while x is not None and x.tag not in limit:
-                    if x.tag in ended:
-                        found = x
-                    x = x.parent
-                up = found.parent if found is not None else up
-            elif tag[0] == "h" and tag[1:].isdigit() and up.tag[0] == "h" and up.tag[1:].isdigit():
-                up = up.parent
-            here = Node(tag, _hints(token[3]), up)
-            up.children.append(here)
-            nodes.append(here)
+            up = _parent_for(tag, block)
+            hidden = up.skipped or is_hidden(attributes)
+            here = Node(tag, _hints(attributes), up, hidden)
+            if not up.skipped:
+                up.children.append(here)
+                nodes.append(here)
             links = 0
             if tag == "hr":
                 here = up
-    if at < len(page) and not skip:
+        elif hidden and tag not in VOID and not attributes.endswith("/"):
+            here = Node(tag, (), block, True)
+    if at < len(page):
         _add(here, page[at:], links, nodes)
     return nodes
 
 
+def _parent_for(tag: str, block: Node) -> Node:
+    """The node under which a new block goes, after the ends that its start tag implies."""
+    up = block
+    while True:  # a block ends an open paragraph, and what is open in it
+        x = up
+        while x.tag not in BLOCKS and x.parent is not None:
+            x = x.parent
+        if x.tag != "p" or x.parent is None:
+            break
+        up = x.parent
+    if tag in CLOSES:
+        ended, limit = CLOSES[tag]
+        found, x = None, up
+        while x is not None and x.tag not in limit:
+            if x.tag in ended:
+                found = x
+            x = x.parent
+        return found.parent if found is not None else up
+    if tag[0] == "h" and tag[1:].isdigit() and up.tag[0] == "h" and up.tag[1:].isdigit():
+        return up.parent
+    return up
+
+
 def _add(here: Node, text: str, links: int, nodes: list[Node]) -> Node:
+    if here.skipped:
+        if here.tag != "head" or not text.strip():
+            return here
+        here = here.parent  # text ends the head
     if here.tag == "#text" or not here.children:
         block = here
     else:
@@ -167,7 +195,8 @@ def _add(here: Node, text: str, links: int, nodes: list[Node]) -> Node:
 def _hints(attributes: str) -> tuple:
     if not attributes or "=" not in attributes:
         return ()
-    return tuple({HINT[w.lower()] for m in NAMES.finditer(attributes) for w in PARTS.findall(CAMEL.sub(" ", m[1] or m[2] or m[3] or "")) if w.lower() in HINT})
+    values = [m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in NAMING]
+    return tuple(sorted({HINT[w.lower()] for v in values for w in PARTS.findall(CAMEL.sub(" ", v)) if w.lower() in HINT}))
 
 
 def block_text(node: Node) -> str:
@@ -194,6 +223,9 @@ def describe(nodes: list[Node]) -> None:
         kind = KIND.get(node.tag, node.tag)
         links = 0 if not node.below else min(4, int(4 * node.below_linked / node.below + 0.5))
         node.features = [f"t:{kind}", f"l:{links}", f"n:{_bin(node.below)}", f"o:{kind}:{_bin(sum(map(len, node.text)))}", *(f"c:{x}" for x in node.names)]
+        if node.children:  # how much its own paragraphs say, and how many they are
+            said = [sum(map(len, c.text)) for c in node.children if c.tag == "p"]
+            node.features += [f"d:{_bin(sum(said))}", f"m:{min(4, len(said))}:{_bin(sum(said) // max(1, len(said)))}"]
         if not node.names:
             node.features.append(f"c-:{kind}")
         above = node.parent
@@ -291,8 +323,12 @@ def train(pages: list[tuple[str, list[str]]], rounds: int = 60) -> dict:
     return weights
 
 
-def sample_pages(n: int = 160, seed: int = 1) -> list[tuple[str, list[str]]]:
-    """Labelled pages made for training: page, texts of its content blocks."""
+def sample_pages(n: int = 160, seed: int = 1, plain: float = 0.0) -> list[tuple[str, list[str]]]:
+    """Labelled pages made for training: page, texts of its content blocks.
+
+    `plain`: share of elements with names that say nothing (or none, or a wrong one) and of articles in plain boxes; such pages
+    teach what links, lengths and places tell.
+    """
     dice = random.Random(seed)
     words = ["".join(dice.choice("bdfgklmnprstvz") + dice.choice("aeiou") for _ in range(dice.randint(1, 4))) for _ in range(400)]
     say = lambda a, b: " ".join(dice.choice(words) for _ in range(dice.randint(a, b)))
@@ -303,11 +339,18 @@ def sample_pages(n: int = 160, seed: int = 1) -> list[tuple[str, list[str]]]:
         return f"<ul>{body}</ul>" if item else body
 
     def named(kind, tag="div"):
+        if dice.random() < plain:
+            name = "".join(dice.choice("bcdfghjkqwxz0123456789_") for _ in range(dice.randint(2, 7)))
+            if dice.random() < 0.15:
+                name = dice.choice(list(HINT))
+            return f'<{tag} class="{name}">' if dice.random() < 0.6 else f"<{tag}>"
         return f'<{tag} {dice.choice(["class", "id"])}="{dice.choice(HINTS[kind].split())}{dice.choice(["", "", "-box", " wide", "_1"])}">'
 
     def boiler():
         kind = dice.choice(["nav", "nav", "ad", "ad", "side", "notice", "form", "share", "comment", "foot", "head"])
         tag = {"nav": "nav", "side": "aside", "foot": "footer", "head": "header", "form": "form", "comment": "section"}.get(kind, "div")
+        if dice.random() < plain:
+            tag = "div"
         bare = dice.random() < 0.5 and tag not in ("div", "section")
         opening, closing = (f"<{tag}>", f"</{tag}>") if bare else (named(kind, dice.choice([tag, "div"])), "</div>")
         if not bare:
@@ -360,9 +403,15 @@ def sample_pages(n: int = 160, seed: int = 1) -> list[tuple[str, list[str]]]:
                 for _ in range(dice.randint(2, 4)):
                     block("td", 1, 4)
                 out.append("</tr></table>")
+            if dice.random() < 0.08:  # a box inside the article
+                out.append(dice.choice(["<figure>", "<section>", "<div>", named("main")]))
+                kind = re.match(r"<(\w+)", out[-1])[1]
+                for _ in range(dice.randint(1, 3)):
+                    block("figcaption" if kind == "figure" else "p", 2, 30)
+                out.append(f"</{kind}>")
             if dice.random() < 0.04:
                 out.append(boiler())
-        style = dice.random()
+        style = dice.random() if dice.random() >= plain else 0.6
         if style < 0.5:
             return "<article>" + "".join(out) + "</article>", wanted
         if style < 0.8:
@@ -374,6 +423,9 @@ def sample_pages(n: int = 160, seed: int = 1) -> list[tuple[str, list[str]]]:
     for _ in range(n):
         body, wanted = article()
         before, after = [boiler() for _ in range(dice.randint(0, 4))], [boiler() for _ in range(dice.randint(0, 4))]
+        while plain and dice.random() < 0.5:
+            between = boiler() if dice.random() < 0.5 else ""
+            body = f"{named('main')}{between}{body}</div>"
         if dice.random() < 0.3:
             body = f'<div class="{dice.choice(["wrap", "row", "container", "page"])}">{body}{boiler() if dice.random() < 0.5 else ""}</div>'
         pages.append((f"<!DOCTYPE html><html><head><title>{say(1, 5)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>", wanted))
@@ -385,7 +437,7 @@ _default: dict = {}
 
 def default_weights() -> dict:
     if not _default:
-        _default.update(train(sample_pages()))
+        _default.update(train(sample_pages() + sample_pages(160, 2, plain=0.8)))
     return _default
 
 
@@ -402,6 +454,8 @@ def main_text(page: str, weights: dict) -> str:
 def extract(pages: DataFrame, labelled: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages, from the whole html (null or empty: empty text).
 
+    Elements that their own attributes hide (hidden, display: none, visibility: hidden) are not part of the text.
+
     `labelled`: pages and the texts of their content blocks to train on, instead of those of sample_pages(). Repeated rows are
     judged alike; null ids and urls stay; other columns are ignored; an empty table gives no rows.
     """
