@@ -474,12 +474,77 @@ def test_packing(spark):
     assert len(by_sequence) <= total / 64 * 1.05 + 2
 
 
-def test_crossover_keeps_all_pieces():
+def fewest_bins(pieces, capacity):
+    """By trying all ways: each piece goes into one of the bins or opens the next."""
+    best = [len(pieces)]
+
+    def put(i, spaces):
+        if len(spaces) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(spaces)
+            return
+        for s in set(spaces):
+            if s >= pieces[i]:
+                rest = list(spaces)
+                rest.remove(s)
+                put(i + 1, [*rest, s - pieces[i]])
+        put(i + 1, [*spaces, capacity - pieces[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_evolved_packing_of_small_cases_is_the_best():
+    dice, better, worse = random.Random(21), 0, 0
+    for case in range(60):
+        pieces = sorted((dice.randint(15, 60) for _ in range(dice.randint(6, 10))), reverse=True)
+        counts, want = dict(collections.Counter(pieces)), fewest_bins(pieces, 100)
+        assert packing.lower_bound(counts, 100) <= want
+        solution = packing.evolve(counts, 100, case, [])
+        used = collections.Counter()
+        for contents, n in solution:
+            assert sum(x * k for x, k in contents) <= 100
+            for x, k in contents:
+                used[x] += n * k
+        assert used == counts
+        worse += packing.bins(solution) > want
+        better += packing.bins(solution) < packing.bins(packing.best_fit(counts, 100))
+    assert worse == 0
+
+
+def test_search_saves_bins_over_best_fit():
+    """Pieces of which three always fill a bin: best fit misses many, and the search finds some of them."""
+    dice, saved = random.Random(3), 0
+    for seed in range(4):
+        pieces = []
+        for _ in range(40):
+            a, b = dice.randint(260, 450), dice.randint(240, 330)
+            pieces += [a, b, 1000 - a - b]
+        counts = dict(collections.Counter(pieces))
+        plain, found = packing.bins(packing.best_fit(counts, 1000)), packing.bins(packing.evolve(counts, 1000, seed, [], generations=200))
+        assert packing.lower_bound(counts, 1000) == 40 <= found <= plain
+        saved += plain - found
+    assert saved > 0
+
+
+def test_fullest_is_the_best_subset():
+    dice = random.Random(9)
+    for _ in range(80):
+        pieces = [dice.randint(3, 40) for _ in range(dice.randint(1, 9))]
+        space = dice.randint(1, 100)
+        chosen = packing.fullest(dict(collections.Counter(pieces)), space)
+        sums = {sum(c) for n in range(len(pieces) + 1) for c in itertools.combinations(pieces, n)}
+        assert sum(x * k for x, k in chosen.items()) == max(x for x in sums if x <= space)
+        assert all(k <= pieces.count(x) for x, k in chosen.items())
+
+
+def test_crossover_and_mutation_keep_all_pieces():
     dice = random.Random(5)
     counts = {x: dice.randint(1, 30) for x in range(1, 100)}
     one, two = packing.best_fit(counts, 100), packing.best_fit(counts, 100, dice)
     for _ in range(10):
-        child = packing.crossover(one, two, counts, 100, dice)
+        child = packing.mutate(packing.crossover(one, two, counts, 100, dice), 100, dice)
         used = collections.Counter()
         for contents, n in child:
             assert sum(x * k for x, k in contents) <= 100

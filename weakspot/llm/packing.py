@@ -4,10 +4,15 @@ What has to be packed is known by how many pieces there are of each length, at m
 size. A solution is a list of groups: a bin's contents (lengths and how often) and how many such bins there are, so its size
 doesn't grow with the corpus either. Islands evolve solutions as Spark tasks:
 
+* the first solutions come from best fit, with the order of lengths disturbed, and from filling one bin after the other as
+  full as any choice of the pieces left allows;
 * crossover injects whole well-filled groups of one parent into the other, drops groups whose pieces are gone by then
   (duplicates), and packs the displaced pieces by best fit;
+* mutation empties the worst-filled bins and some others and packs their pieces, fullest bin first;
 * after each epoch the islands' elites migrate to all islands.
 
+The search ends where a solution meets `lower_bound`, as no packing can have fewer bins.
+
 The best solution is dealt to the pieces by their rank among those of the same length.
 """
 
@@ -24,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, id_and_text, materialize
+from .common import BROADCAST_IDS, chunks, id_and_text, materialize
 from .tokens import CACHE, encoder
 
 CAPACITY, END = 1024, 2
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 2, 4, 4
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 3, 6, 60
+#: Bins that a mutation empties.
+EMPTIED = 40
 
 
 def best_fit(counts: dict[int, int], capacity: int, dice: random.Random | None = None, groups: list | tuple = ()) -> list:
@@ -80,11 +87,90 @@ def bins(groups) -> int:
     return sum(n for _, n in groups)
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that every packing needs: by the sum, and by the pieces that can't share a bin with one of at least t (Martello
+    and Toth), for each t up to half a bin."""
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    for t in range(1, capacity // 2 + 1):
+        alone = sum(n for x, n in counts.items() if x > capacity - t)
+        large = sum(n for x, n in counts.items() if capacity - t >= x > capacity // 2)
+        room = sum((capacity - x) * n for x, n in counts.items() if capacity - t >= x > capacity // 2)
+        small = sum(x * n for x, n in counts.items() if capacity // 2 >= x >= t)
+        least = max(least, alone + large + max(0, -(-(small - room) // capacity)))
+    return least
+
+
+def fullest(left: dict[int, int], space: int, dice: random.Random | None = None) -> dict[int, int]:
+    """Pieces of those left that fill the space as far as any choice does: subset sums as bits, walked back by length."""
+    lengths = [x for x in sorted(left, reverse=True) if x <= space and left[x]]
+    if dice:
+        lengths.sort(key=lambda x: x * (1 + 0.2 * dice.random()), reverse=True)
+    reached, steps, mask = 1, [], (1 << space + 1) - 1
+    for x in lengths:
+        k, most = 1, min(left[x], space // x)
+        while most:  # 1, 2, 4, .. pieces and the rest
+            k = min(k, most)
+            steps.append((reached, x, k))
+            reached |= reached << k * x & mask
+            most -= k
+            k *= 2
+        if reached >> space & 1:
+            break
+    total = reached.bit_length() - 1
+    chosen: dict[int, int] = {}
+    for before, x, k in reversed(steps):
+        if not before >> total & 1:
+            chosen[x] = chosen.get(x, 0) + k
+            total -= k * x
+    return chosen
+
+
+def fill_bins(counts: dict[int, int], capacity: int, dice: random.Random | None = None) -> list:
+    """Groups (contents, bins): the largest piece left with the pieces that fill its bin best, as often as these are there."""
+    left, groups = {x: n for x, n in counts.items() if n}, []
+    while left:
+        x = max(left)
+        left[x] -= 1
+        chosen = fullest(left, capacity - x, dice)
+        left[x] += 1
+        chosen[x] = chosen.get(x, 0) + 1
+        n = min(left[y] // k for y, k in chosen.items())
+        groups.append((tuple(sorted(chosen.items(), reverse=True)), n))
+        for y, k in chosen.items():
+            left[y] -= n * k
+            if not left[y]:
+                del left[y]
+    return groups
+
+
 def fitness(groups, capacity: int) -> tuple:
     """Fewer bins first, then bins filled more unevenly, which leaves room to fill."""
     return -bins(groups), sum(n * (sum(x * k for x, k in c) / capacity) ** 2 for c, n in groups)
 
 
+def mutate(groups, capacity: int, dice: random.Random) -> list:
+    """The worst-filled bins and as many others emptied and packed anew."""
+    fill = lambda g: sum(x * k for x, k in g[0])
+    by, kept, pieces = sorted(groups, key=fill), [], {}
+    worst = dice.randint(1, EMPTIED // 2)
+    others = {dice.randrange(len(by)) for _ in range(dice.randint(1, EMPTIED // 2))}
+    for i, (contents, n) in enumerate(by):
+        gone = min(n, worst) + (1 if i in others and n > worst else 0)
+        worst -= min(n, worst)
+        for x, k in contents:
+            pieces[x] = pieces.get(x, 0) + k * gone
+        if n > gone:
+            kept.append((contents, n - gone))
+    return merged(kept + fill_bins(pieces, capacity, dice))
+
+
+def merged(groups) -> list:
+    out: dict = {}
+    for contents, n in groups:
+        out[contents] = out.get(contents, 0) + n
+    return list(out.items())
+
+
 def crossover(one, two, counts: dict[int, int], capacity: int, dice: random.Random) -> list:
     fill = lambda g: sum(x * k for x, k in g[0])
     left, child = dict(counts), []
@@ -104,32 +190,33 @@ def crossover(one, two, counts: dict[int, int], capacity: int, dice: random.Rand
     for contents, n in rest[: max(1, len(rest) * 3 // 4)]:
         put(contents, n)
     child = best_fit({x: n for x, n in left.items() if n}, capacity, dice if dice.random() < 0.5 else None, child)
-    merged: dict = {}
-    for contents, n in child:
-        merged[contents] = merged.get(contents, 0) + n
-    return list(merged.items())
+    return merged(child)
 
 
 def evolve(counts: dict[int, int], capacity: int, seed: int, elites: list, population: int = POPULATION, generations: int = GENERATIONS) -> list:
     """One island's best solution."""
     dice = random.Random(seed)
-    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    least = lower_bound(counts, capacity)
+    score = lambda g: fitness(g, capacity)
     people = list(elites) or [best_fit(counts, capacity)]
-    while len(people) < population and bins(people[0]) > least:
+    if not elites and bins(people[0]) > least:
+        people.append(fill_bins(counts, capacity, dice if seed else None))
+    while len(people) < population and bins(max(people, key=score)) > least:
         people.append(best_fit(counts, capacity, dice))
     for _ in range(generations):
-        people.sort(key=lambda g: fitness(g, capacity), reverse=True)
+        people.sort(key=score, reverse=True)
         people = people[:population]
         if bins(people[0]) <= least:
             break
-        one, two = (max(dice.sample(people, min(2, len(people))), key=lambda g: fitness(g, capacity)) for _ in range(2))
+        one, two = (max(dice.sample(people, min(2, len(people))), key=score) for _ in range(2))
         people.append(crossover(one, two, counts, capacity, dice))
-    return max(people, key=lambda g: fitness(g, capacity))
+        people.append(mutate(max(dice.sample(people, min(2, len(people))), key=score), capacity, dice))
+    return max(people, key=score)
 
 
 def plan(spark, counts: dict[int, int], capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS) -> list:
     """The best solution of all islands; elites, one an island, migrate by way of the driver."""
-    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    least = lower_bound(counts, capacity)
     elites: list = []
     for epoch in range(epochs if counts else 0):
 
@@ -210,6 +297,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, cache: int =
     tally = materialize(pieces.groupBy("length", "pid").agg(F.count("*").alias("n")), "tally")
     counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     groups = plan(spark, counts, capacity)
+    # a row for each length and partition: broadcast up to a bound, else joined by a shuffle
     base = tally.select("length", "pid", (F.sum("n").over(Window.partitionBy("length").orderBy("pid")) - F.col("n")).alias("base"))
+    if tally.count() <= BROADCAST_IDS:
+        base = F.broadcast(base)
     ranked = pieces.join(base, ["length", "pid"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "nth", "pid")
     return ranked.mapInArrow(_places(groups, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
