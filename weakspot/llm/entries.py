@@ -50,17 +50,14 @@ def op4_host_rules(spark, sf_dir):
 
 OP4_SQL = r"""
 WITH w AS (
-  SELECT doc_id, source AS host, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^ 	-
-]+'), []) AS ws FROM documents),
+  SELECT doc_id, source AS host, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win FROM w, unnest(generate_series(1, len(ws) - 4)) AS t(i)),
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM win),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(generate_series(0, 4)) AS t(k) WHERE n > 1 GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ 	-
-]') GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 base AS (
-  SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-
-]+', '', 'g')) AS BIGINT) AS word_chars,
+  SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
@@ -107,7 +104,7 @@ kept AS (
   SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept
   FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w) AS x ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(kept, '') AS text
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
