@@ -59,8 +59,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over the documents of sf_dir; each stage's result is written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    spent: list[DataFrame] = []
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, "stage")
+            docs = materialize(docs, "stage", *spent)
+            spent = [docs]
     return docs
