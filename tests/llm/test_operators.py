@@ -95,7 +95,7 @@ def test_substring_dedup(spark, seed):
 
 
 def test_marks_joined_by_a_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_MARKS", 0)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
     df = frame(spark, corpus(40, 6) + ODD)
     assert {r["doc_id"]: tuple(r)[1:4] for r in recompression.substring_dedup(df).collect()} == windows_removed(texts_by_id(df), 50)
 

@@ -270,11 +270,6 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 
 # -- marks: stretches of a text, found by other tasks, on their way back to the text ---------------------------------------------
 
-#: Marks are broadcast to the texts up to these numbers of texts and marks (about 32 MB); beyond, texts and marks are joined by
-#: a shuffle, in which each text travels once.
-BROADCAST_MARKS = 2_000_000
-
-
 def text_key() -> Column:
     """Names a text within the rows of its doc_id, so that rows of one id and different texts keep their own marks."""
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -295,10 +290,15 @@ def with_marks(docs: DataFrame, marks: DataFrame, *spent: DataFrame, only: bool
     """
     held = [c for c in marks.columns if c not in ("doc_id", "tk")]
     lists = materialize(marks.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*held)).alias("at")), "marks", *spent)
-    texts, items = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
     one, two, three = (free_name(x, docs.columns) for x in ("m_id", "m_tk", "m_at"))
     by = lists.select(F.col("doc_id").alias(one), F.col("tk").alias(two), F.col("at").alias(three))
-    if texts <= BROADCAST_IDS and items <= BROADCAST_MARKS:
-        by = F.broadcast(by)
     same = docs["doc_id"].cast("long").eqNullSafe(F.col(one)) & (text_key() == F.col(two))
-    return docs.join(by, same, "inner" if only else "left").select(*[docs[c] for c in docs.columns], three), lists
+    columns = [*[docs[c] for c in docs.columns], three]
+    if lists.count() > BROADCAST_IDS:  # each text travels once
+        return docs.join(by, same, "inner" if only else "left").select(*columns), lists
+    # only texts that have marks travel
+    ids = F.broadcast(by.select(one, two))
+    marked = docs.join(ids, same, "left_semi").join(by, same).select(*columns)
+    if only:
+        return marked, lists
+    return marked.union(docs.join(ids, same, "left_anti").withColumn(three, F.lit(None).cast(by.schema[three].dataType))), lists
