@@ -129,6 +129,11 @@ def bca(rows: DataFrame, key: str, mask: Column, loss: str, margin: float = 0.0,
     return {"theta": at["theta"], "low": end(alpha / 2), "high": end(1 - alpha / 2), "p": normal.cdf(z / (1 + a * z) - z0), "support": at["support"]}
 
 
+def confirm_frozen(frozen, rows: DataFrame, key: str, loss: str, margin: float = 0.0, boots: int = 400, alpha: float = 0.05, least: int = 30) -> dict:
+    """A frozen rule (anything with predicate()) tested on fresh rows: the interval and p-value of bca, and n, the rows given."""
+    return bca(rows, key, frozen.predicate(), loss, margin, boots, alpha, least) | {"n": rows.count()}
+
+
 def benjamini_hochberg(claims: DataFrame, key: str, p: str, alpha: float) -> DataFrame:
     """claims with adjusted and rejected; null p-values take no part. Claims are a study's list, so one window holds them."""
     known = claims.where(F.col(p).isNotNull() & ~F.isnan(p))

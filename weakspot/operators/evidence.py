@@ -111,23 +111,63 @@ def packets(schema: DataFrame, store: DataFrame) -> DataFrame:
     return both.groupBy("section").agg(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), pair))).alias("facts"), F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.col("id")))).alias("gaps"))
 
 
-#: A number in running text that isn't part of a longer one.
+#: A number in running text that isn't part of a longer one (a fixed value).
 NUMBER = r"(?<![\d.])\d+(?:\.\d+)?(?!\d)"
-#: Phrases by which a text says that evidence is missing.
-MISSING = ("not available", "no evidence", "not measured", "missing", "not reported", "unknown")
+#: Phrases by which a text says that evidence is missing (fixed values).
+MISSING = (
+    "no evidence", "not in the evidence", "no such", "not covered", "not available", "not provided", "not reported", "not tested", "not been", "absent", "missing", "gap",
+    "unavailable", "outstanding", "cannot be reported",
+)
+
+
+def load_provenance(documents: DataFrame) -> DataFrame:
+    """head, relation, tail, span: the first span said for each triple of the provenance documents (source, content: JSON text).
+
+    A document without content gives nothing; a triple without spans has a null one; of a triple that a document names twice
+    the last entry holds.
+    """
+    kind = "triples array<struct<triple: array<string>, evidence: array<struct<span: string>>>>"
+    entries = documents.where(F.col("content").isNotNull()).select("source", F.posexplode(F.from_json("content", kind)["triples"]).alias("place", "entry"))
+    part = lambda i: F.get("entry.triple", F.lit(i))
+    span = F.when(F.size("entry.evidence") > 0, F.coalesce(F.get("entry.evidence", F.lit(0))["span"], F.lit("")))
+    named = entries.select("source", part(0).alias("head"), part(1).alias("relation"), part(2).alias("tail"), F.struct("place", span.alias("span")).alias("last"))
+    return named.groupBy("source", "head", "relation", "tail").agg(F.max("last").alias("last")).select("source", "head", "relation", "tail", "last.span")
+
+
+def states(text: Column, value: Column) -> Column:
+    """Whether a text holds a value between word boundaries, case aside."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.lower(value), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.regexp_like(F.lower(text), F.concat(F.lit(r"(?<!\w)"), quoted, F.lit(r"(?!\w)")))
 
 
 def section_scores(sections: DataFrame) -> DataFrame:
-    """section, faithfulness, completeness, qualification, overall from section, text, numbers (allowed), required, qualifiers.
+    """section and its scores from section, text, values, qualifiers (both array<struct<tail, span>>) and gaps (array of heads).
 
-    faithfulness: numbers of the text that are allowed; completeness: required numbers in the text; qualification: qualifiers
-    in the text. An empty denominator counts as 1.
+    faithfulness: gaps for which the text asserts nothing; completeness and qualification: values and qualifiers that it
+    states; numerical_fidelity: its numbers that are in the packet; provenance: stated facts with a span; overall: their mean.
+    An empty denominator counts as 1.
     """
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0)))
-    share = lambda a, b: F.when(F.size(b) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_distinct(b)))
-    said = F.filter("qualifiers", lambda q: F.contains(F.lower("text"), F.lower(q)))
-    out = sections.withColumn("_f", found).select("section", share(F.col("numbers"), F.col("_f")).alias("faithfulness"), share(F.col("_f"), F.col("required")).alias("completeness"), share(said, F.col("qualifiers")).alias("qualification"))
-    return out.withColumn("overall", (F.col("faithfulness") + F.col("completeness") + F.col("qualification")) / 3)
+    share = lambda a, b: F.when(F.size(b) == 0, 1.0).otherwise(F.size(a) / F.size(b))
+    stated = lambda facts: F.filter(facts, lambda f: states(F.col("text"), f["tail"]))
+    tails = F.transform(F.concat("values", "qualifiers"), lambda f: f["tail"])
+    numbers = F.filter(tails, lambda t: F.regexp_like(t, F.lit(r"^\d+(\.\d+)?$")))
+    held = sections.withColumns({
+        "_v": stated(F.col("values")), "_q": stated(F.col("qualifiers")), "_n": F.array_distinct(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))),
+        "_p": numbers, "_g": F.filter("gaps", lambda head: ~gap_asserted(F.col("text"), head)),
+    })
+    said = F.concat("_v", "_q")
+    spans = F.filter(said, lambda f: F.coalesce(f["span"], F.lit("")) != "")
+    scores = {
+        "faithfulness": share(F.col("_g"), F.col("gaps")), "completeness": share(F.col("_v"), F.col("values")), "qualification": share(F.col("_q"), F.col("qualifiers")),
+        "numerical_fidelity": share(F.array_intersect("_n", "_p"), F.col("_n")), "provenance": share(spans, said),
+    }
+    out = held.select("section", *[v.alias(k) for k, v in scores.items()])
+    return out.withColumn("overall", sum((F.col(k) for k in scores), F.lit(0.0)) / len(scores))
+
+
+def gap_asserted(text: Column, head: Column) -> Column:
+    """Whether a text speaks of a head without saying that evidence is missing."""
+    return F.contains(F.lower(text), F.lower(head)) & ~says_missing(text)
 
 
 def says_missing(text: Column) -> Column:

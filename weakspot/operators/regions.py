@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import first_nearest, snap_down, snap_up
 
-#: A cross join of candidates and rows over this many pairs is refused.
-MOST_PAIRS = 10**13
 #: Candidates are broadcast up to this many rows; they are a search's list, not data.
 MOST_CANDIDATES = 100_000
 

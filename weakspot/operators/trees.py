@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import first_nearest
+from ..functions.arrays import first_nearest, mismatch
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,24 @@ def kernel(embedded: DataFrame, key: str, trees: int) -> DataFrame:
     return one.join(one.withColumnRenamed("a", "b"), ["tree", "leaf"]).groupBy("a", "b").agg((F.count("*") / F.lit(float(trees))).alias("similarity"))
 
 
+def class_kernel(rows: DataFrame, key: str, codes_column: str) -> DataFrame:
+    """The whole kernel by classes of equal leaf codes: a, b (the classes' smallest keys), n_a, n_b, similarity.
+
+    All rows of two classes have one similarity, so no pair of rows is made; there are as many classes as the trees have
+    regions at most. Pairs of classes that never meet in a leaf are left out; class_of gives each row's class.
+    """
+    one = rows.groupBy(codes_column).agg(F.min(key).alias("a"), F.count("*").alias("n_a"))
+    two = one.select(F.col(codes_column).alias("_c"), F.col("a").alias("b"), F.col("n_a").alias("n_b"))
+    same = 1 - mismatch(F.col(codes_column), F.col("_c"))
+    return one.crossJoin(two).select("a", "b", "n_a", "n_b", same.alias("similarity")).where("similarity > 0")
+
+
+def class_of(rows: DataFrame, key: str, codes_column: str) -> DataFrame:
+    """key, class: the smallest key of the rows with the row's leaf codes."""
+    least = rows.groupBy(codes_column).agg(F.min(key).alias("class"))
+    return rows.select(key, codes_column).join(least, codes_column).select(key, "class")
+
+
 def distance_to(codes_column: Column, medoid: Sequence[int], weights: Sequence[float] | None = None) -> Column:
     """Weighted share of trees in which a row's leaf isn't the medoid's."""
     weights = weights or [1.0] * len(medoid)

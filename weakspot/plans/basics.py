@@ -59,9 +59,16 @@ def manifest(spark, sf_dir):
     return manifest_report(listed, found)
 
 
-@query("a11_provenance", "SELECT conv_id AS head, role AS relation, min(turn) AS first_turn FROM conversations GROUP BY ALL")
+@query("a11_provenance", "SELECT CAST(conv_id AS VARCHAR) AS head, role AS relation, CAST(turn AS VARCHAR) AS tail, CASE WHEN turn % 5 <> 4 THEN md5(text) END AS span FROM conversations")
 def provenance(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("head"), F.col("role").alias("relation")).agg(F.min("turn").alias("first_turn"))
+    """A provenance document for each conversation: a triple for each turn with the spans that say it (none for some turns)."""
+    from ..operators.evidence import load_provenance
+
+    spans = F.when(F.col("turn") % 5 != 4, F.array(F.struct(F.md5(F.col("text").cast("binary")).alias("span")), F.struct(F.lit("a later span").alias("span")))).otherwise(F.array())
+    said = F.struct(F.array(F.col("conv_id").cast("string"), "role", F.col("turn").cast("string")).alias("triple"), spans.alias("evidence"))
+    documents = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("source")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(said)).alias("triples"))).alias("content"))
+    missing = spark.createDataFrame([("no such file", None), ("empty", "{}")], "source string, content string")
+    return load_provenance(documents.union(missing)).select("head", "relation", "tail", "span")
 
 
 @query("b01_slice", SCORED + " SELECT id FROM scored WHERE (x1 > 60 AND x2 >= 8) OR NOT (x3 = 1 OR x2 < 20)")
@@ -307,12 +314,12 @@ DIST = "sqrt(list_sum(list_transform(list_zip(u.v, w.v), lambda z: (z[1] - z[2])
 
 @query(
     "c20_energy",
-    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), a AS (SELECT * FROM v WHERE vec_id < 120), b AS (SELECT * FROM v WHERE vec_id BETWEEN 120 AND 239)
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), a AS (SELECT * FROM v WHERE vec_id % 2 = 0), b AS (SELECT * FROM v WHERE vec_id % 2 = 1)
 SELECT round(2 * (SELECT avg({DIST}) FROM a AS u, b AS w) - (SELECT avg({DIST}) FROM a AS u, a AS w) - (SELECT avg({DIST}) FROM b AS u, b AS w), 6) AS energy""",
 )
 def energy(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return rounded(E.energy_distance(v.where("vec_id < 120"), v.where("vec_id between 120 and 239"), "v"))
+    return rounded(E.energy_distance(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), "v"))
 
 
 @query("c21_crosstab", SCORED + " SELECT grp, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'discovery') AS discovery, count(*) FILTER (split = 'confirm') AS confirm FROM scored GROUP BY grp")
@@ -428,6 +435,6 @@ def ranked_features(spark, sf_dir):
     return rounded(E.js_profile(scored(spark, sf_dir), F.col("x1") > 60, FEATURES).orderBy(F.desc("js")).limit(2).select("feature", "js"))
 
 
-@query("w08_running_best", SCORED + " SELECT id, grp, round(max(loss) OVER (PARTITION BY grp ORDER BY id), 6) AS best FROM scored WHERE id < 500")
+@query("w08_running_best", SCORED + " SELECT id, grp, round(max(loss) OVER (PARTITION BY grp ORDER BY id), 6) AS best FROM scored")
 def running_best(spark, sf_dir):
-    return rounded(scored(spark, sf_dir).where("id < 500").select("id", "grp", F.max("loss").over(Window.partitionBy("grp").orderBy("id")).alias("best")))
+    return rounded(scored(spark, sf_dir).select("id", "grp", F.max("loss").over(Window.partitionBy("grp").orderBy("id")).alias("best")))

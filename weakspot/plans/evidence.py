@@ -125,18 +125,21 @@ def required(spark, sf_dir):
 
 @query(
     "e09_f05_section_scores",
-    FACTS + " SELECT entity AS section, 0.5e0 AS faithfulness, 1e0 AS completeness, 1e0 AS qualification, round(2.5e0 / 3, 6) AS overall FROM n",
+    FACTS + """ SELECT entity AS section, CASE WHEN k % 2 = 0 THEN 1e0 ELSE 0e0 END AS faithfulness, 0.5e0 AS completeness, 1e0 AS qualification, 0.5e0 AS numerical_fidelity, 0.5e0 AS provenance,
+    round((CASE WHEN k % 2 = 0 THEN 1e0 ELSE 0e0 END + 2.5e0) / 5, 6) AS overall FROM n""",
 )
 def section_scores(spark, sf_dir):
+    fact = lambda tail, span: F.struct(tail.alias("tail"), F.lit(span).cast("string").alias("span"))
+    count = F.col("c").cast("string")
     s = nations(spark, sf_dir).select(
         F.col("entity").alias("section"),
-        F.concat(F.lit("In all "), F.col("c").cast("string"), F.lit(" customers, about 0.12345 of them. Only A SAMPLE.")).alias("text"),
-        F.array(F.col("c").cast("string")).alias("numbers"), F.array(F.col("c").cast("string")).alias("required"), F.array(F.lit("a sample")).alias("qualifiers"),
+        F.concat(F.lit("In all "), count, F.lit(" customers, about 0.12345 of them. Only A SAMPLE. The ruler"), F.when(F.col("k") % 2 == 0, " is not reported.").otherwise(" is well known.")).alias("text"),
+        F.array(fact(count, "a span"), fact(F.concat(count, F.lit(".5")), "another")).alias("values"), F.array(fact(F.lit("a sample"), None)).alias("qualifiers"), F.array(F.lit("Ruler")).alias("gaps"),
     )
     return V.section_scores(s).withColumn("overall", F.round("overall", 6))
 
 
-@query("f06_missing_phrases", "SELECT item_id, contains(lower(text), 'not available') OR contains(lower(text), 'no evidence') OR contains(lower(text), 'not measured') OR contains(lower(text), 'missing') OR contains(lower(text), 'not reported') OR contains(lower(text), 'unknown') AS missing FROM benchmark")
+@query("f06_missing_phrases", "SELECT item_id, " + " OR ".join(f"contains(lower(text), '{phrase}')" for phrase in V.MISSING) + " AS missing FROM benchmark")
 def missing(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", V.says_missing(F.col("text")).alias("missing"))
 

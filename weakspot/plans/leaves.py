@@ -50,9 +50,20 @@ def embedding(spark, sf_dir):
     return rounded(T.embedding(scored(spark, sf_dir), "id", TREES))
 
 
-@query("j03_leaf_kernel", LONG + " SELECT a.id AS a, b.id AS b, round(count(*) / 3e0, 6) AS similarity FROM emb AS a JOIN emb AS b USING (tree, leaf) WHERE a.id < 150 AND b.id < 150 GROUP BY ALL")
+CLASSES = CODED + ", cl AS (SELECT c0, c1, c2, min(id) AS least, count(*) AS n FROM coded GROUP BY ALL)"
+
+
+@query(
+    "j03_leaf_kernel",
+    CLASSES + ", k AS (SELECT a.least AS a, b.least AS b, a.n AS n_a, b.n AS n_b, CAST(a.c0 = b.c0 AS INT) + CAST(a.c1 = b.c1 AS INT) + CAST(a.c2 = b.c2 AS INT) AS met FROM cl AS a CROSS JOIN cl AS b) SELECT a, b, n_a, n_b, round(met / 3e0, 6) AS similarity FROM k WHERE met > 0",
+)
 def leaf_kernel(spark, sf_dir):
-    return rounded(T.kernel(T.embedding(scored(spark, sf_dir).where("id < 150"), "id", TREES), "id", 3))
+    return rounded(T.class_kernel(coded(spark, sf_dir), "id", "codes"))
+
+
+@query("j03_leaf_classes", CLASSES + " SELECT id, least AS class FROM coded JOIN cl USING (c0, c1, c2)")
+def leaf_classes(spark, sf_dir):
+    return T.class_of(coded(spark, sf_dir), "id", "codes")
 
 
 def nearest_sql(distances: list[str]) -> str:

@@ -107,9 +107,20 @@ def best_candidate(spark, sf_dir):
 
 @query("i08_confirm_frozen", SCORED + " SELECT count(*) AS n, round(avg(loss) FILTER (x1 > 60 AND x2 >= 6) / avg(loss) FILTER (NOT (x1 > 60 AND x2 >= 6)) - 1, 6) + 0e0 AS contrast FROM scored WHERE split = 'confirm'")
 def confirm_frozen(spark, sf_dir):
-    rule = R.Box({"x1": (60.000001, None), "x2": (6, None)}).predicate()
-    fresh = scored(spark, sf_dir).where("split = 'confirm'")
-    return rounded(fresh.agg(F.count("*").alias("n"), (F.avg(F.when(rule, F.col("loss"))) / F.avg(F.when(~rule, F.col("loss"))) - 1).alias("contrast")))
+    from ..operators.confirm import confirm_frozen
+
+    rule = R.Box({"x1": (60.000001, None), "x2": (6, None)})
+    found = confirm_frozen(rule, scored(spark, sf_dir).where("split = 'confirm'"), "id", "loss")
+    return rounded(spark.createDataFrame([(found["n"], found["theta"])], "n long, contrast double"))
+
+
+@query("i08_confirm_interval")
+def confirm_interval(spark, sf_dir):
+    from ..operators.confirm import confirm_frozen
+
+    rule = R.Box({"x1": (60.000001, None), "x2": (6, None)})
+    found = confirm_frozen(rule, scored(spark, sf_dir).where("split = 'confirm'"), "id", "loss")
+    return spark.createDataFrame([tuple(found.values())], "theta double, low double, high double, p double, support long, n long")
 
 
 @query("s01_weakness_frontier", LIFTS + f", ok AS (SELECT * FROM lifts WHERE support >= 40) SELECT region, support, {r('lift', 'coverage')} FROM ok AS a WHERE NOT EXISTS (SELECT 1 FROM ok AS b WHERE b.lift >= a.lift AND b.coverage >= a.coverage AND (b.lift > a.lift OR b.coverage > a.coverage))")
@@ -192,11 +203,11 @@ def selection(spark, sf_dir):
     return rounded(P.selection_probabilities(P.coverage_shares(scores(spark, sf_dir), delta=0.002), 0.05))
 
 
-HISTORY = SCORED + ", hi AS (SELECT grp, id AS step, id * 13 AS reads, round(loss, 8) AS value FROM scored WHERE id < 1000)"
+HISTORY = SCORED + ", hi AS (SELECT grp, id AS step, id * 13 AS reads, round(loss, 8) AS value FROM scored)"
 
 
 def history(spark, sf_dir):
-    return scored(spark, sf_dir).where("id < 1000").select("grp", F.col("id").alias("step"), (F.col("id") * 13).alias("reads"), F.round("loss", 8).alias("value"))
+    return scored(spark, sf_dir).select("grp", F.col("id").alias("step"), (F.col("id") * 13).alias("reads"), F.round("loss", 8).alias("value"))
 
 
 @query("w08_best_so_far", HISTORY + " SELECT grp, step, max(value) OVER (PARTITION BY grp ORDER BY step) AS best FROM hi")
