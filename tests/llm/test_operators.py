@@ -224,6 +224,8 @@ def test_suffix_dedup_of_a_passage_in_many_contexts(spark, monkeypatch):
     passage, tail = say(330), say(120)
     texts = [say(dice.randrange(300)) + passage + say(dice.randrange(300)) for _ in range(40)]
     texts += [say(50) + passage + tail + say(9) for _ in range(9)] + [tail[-70:] + passage + say(60), say(20000) + passage + tail, "ab" * 700, "a" * 1500]
+    # runs of several lengths and periods: strings of equal grams and different lengths
+    texts += ["a" * n for n in (399, 400, 430, 455, 517)] + ["x" + "ab" * n + "y" for n in (200, 215, 241)] + ["abc " * 130, "abc " * 121 + "ab"]
     df = frame(spark, texts, extra=False)
     want = bytes_removed([(i, t.encode()) for i, t in texts_by_id(df).items()], 400)
     assert sum(x[2] for x in want) > 3000

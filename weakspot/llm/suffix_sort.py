@@ -71,8 +71,9 @@ def _stretches(raw, row, length, gram):
 
 
 def content_names(grams: np.ndarray, first: np.ndarray, end: np.ndarray, gram: int, place: np.ndarray) -> np.ndarray:
-    """Names of the strings [first, end), with the gram's place in them, from the names of the grams that they are made of."""
-    out = mix(grams[end - gram] ^ mix(place.astype(U64), 6), 7)
+    """Names of the strings [first, end), with their lengths and the gram's place in them, from the names of the grams that
+    they are made of."""
+    out = mix(grams[end - gram] ^ mix((place + (end - first << 32)).astype(U64), 6), 7)
     live, at = np.arange(len(first)), first
     while len(live):
         out[live] = mix(out[live] * U64(3) + grams[at], 8)
