@@ -132,12 +132,14 @@ def least_likeness(threshold: float) -> float:
 
 
 def _alike(threshold: float):
-    """bucket, alike: whether a row's sketch may be over the threshold with its bucket's pivot."""
+    """bucket, alike, n: of a batch's rows of each bucket, how many sketches may be over the threshold with the pivot."""
 
     def run(batches):
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, WIDTH) for c in ("sketch", "pivot"))
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(((one == two).sum(axis=1) >= least_likeness(threshold)).astype(np.float64))], names=["bucket", "alike"])
+            bucket, place = np.unique(batch.column("bucket").to_numpy(), return_inverse=True)
+            alike = np.bincount(place, (one == two).sum(axis=1) >= least_likeness(threshold), len(bucket))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(alike.astype(np.int64)), pa.array(np.bincount(place, minlength=len(bucket)).astype(np.int64))], names=["bucket", "alike", "n"])
 
     return run
 
@@ -196,8 +198,8 @@ def candidates(texts: DataFrame, threshold: float) -> DataFrame:
             # splitting doesn't part sets that are all alike; buckets that mostly hold such are compared at once
             in_large = rows.join(large.select("bucket"), "bucket", "left_semi")
             pivots = in_large.groupBy("bucket").agg(F.min_by("sketch", "id").alias("pivot"))
-            alike = in_large.join(pivots, "bucket").select("bucket", "sketch", "pivot").mapInArrow(_alike(threshold), "bucket long, alike double")
-            apart = materialize(alike.groupBy("bucket").agg(F.avg("alike").alias("alike")).where(F.col("alike") < ALIKE).select("bucket"), "apart")
+            alike = in_large.join(pivots, "bucket").select("bucket", "sketch", "pivot").mapInArrow(_alike(threshold), "bucket long, alike long, n long")
+            apart = materialize(alike.groupBy("bucket").agg((F.sum("alike") / F.sum("n")).alias("alike")).where(F.col("alike") < ALIKE).select("bucket"), "apart")
             spent.append(apart)
         now = counts if last else counts.join(apart, "bucket", "left_anti")
         blocks = in_blocks(rows, now, "bucket", "id", WIDE_BLOCK)
