@@ -90,6 +90,45 @@ def discover(rows: DataFrame, features: Sequence[str], key: str, loss: str, regi
     return spark.createDataFrame([(i, [float(x) for x in c], float(v)) for i, (v, c) in enumerate(ranked)], "region int, centre array<double>, weakness double")
 
 
+def climb(rows: DataFrame, features: Sequence[str], key: str, loss: str, regions: int, m: int, step: float = 0.5, rounds: int = 40, seed: int = 0, centres: Sequence[Sequence[float]] | None = None) -> DataFrame:
+    """region, centre, weakness, base, evals: k-means centres (or those given) moved along one feature at a time, weakest region first.
+
+    weakness is the mean loss of the m nearest rows, base that of all rows. In a round each centre goes to the best of its
+    neighbours, `step` up or down in one feature, if that is strictly weaker (ties: the first feature, up before down), else it
+    stays for good. The neighbourhoods of all centres that still move are one job, so rounds, not regions, set the number of
+    jobs. evals counts the neighbours that all centres have tried. No rows give no regions.
+    """
+    spark, one = rows.sparkSession, [1.0] * len(features)
+
+    def weakness(points):
+        frame = spark.createDataFrame([(i, p, one, m) for i, p in enumerate(points)], "cand int, z array<double>, w array<double>, m int")
+        near = membership(rows, frame, features, key, "ball").select("cand", key)
+        found = {r["cand"]: r["mean"] for r in near.join(rows.select(key, loss), key).groupBy("cand").agg(F.avg(loss).alias("mean")).collect()}  # one row a point
+        return [found.get(i) if found.get(i) is not None else -math.inf for i in range(len(points))]
+
+    result = "region int, centre array<double>, weakness double, base double, evals long"
+    base = rows.agg(F.avg(loss)).first()[0]
+    if base is None:
+        return spark.createDataFrame([], result)
+    at = [[float(x) for x in c] for c in (kmeans_centres(rows, features, regions, 1, seed) if centres is None else centres)]
+    value, moving, evals = weakness(at), list(range(len(at))), 0
+    for _ in range(rounds):
+        around = [[x + sign * step * (i == f) for i, x in enumerate(at[j])] for j in moving for f in range(len(features)) for sign in (1, -1)]
+        if not around:
+            break
+        tried, each = weakness(around), 2 * len(features)
+        evals += len(around)
+        still = []
+        for place, j in enumerate(moving):
+            best = max(range(place * each, (place + 1) * each), key=lambda i: (tried[i], -i))
+            if tried[best] > value[j]:
+                at[j], value[j] = around[best], tried[best]
+                still.append(j)
+        moving = still
+    order = sorted(range(len(at)), key=lambda j: -value[j])
+    return spark.createDataFrame([(i, at[j], float(value[j]), float(base), evals) for i, j in enumerate(order)], result)
+
+
 def condition_scores(rows: DataFrame, candidates: DataFrame, features: Sequence[str], key: str, loss: str, conditions: int) -> DataFrame:
     """cand, cond, score: mean loss of a candidate's rows over all rows' mean, minus 1, under each bootstrap condition."""
     near = membership(rows, candidates, features, key, "ball").select("cand", key)

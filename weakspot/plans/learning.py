@@ -51,6 +51,11 @@ def discover(spark, sf_dir):
     return D.discover(standard(spark, sf_dir), ["z_x1", "z_x2"], "id", "loss", 3, 100, generations=3)
 
 
+@query("s10_climb")
+def climb(spark, sf_dir):
+    return D.climb(standard(spark, sf_dir), ["z_x1", "z_x2"], "id", "loss", 3, 100, rounds=5)
+
+
 @query("s11_condition_scores")
 def condition_scores(spark, sf_dir):
     return D.condition_scores(standard(spark, sf_dir), candidates(spark), ["z_x1", "z_x2"], "id", "loss", 5)
