@@ -7,6 +7,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ from .models import Scorer, fit_logistic
 from .regions import nearest_centre
 
 
+#: Groups whose losses the softmax mixture follows.
+MOST_GROUPS = 10_000
+
+
 def spectral_cells(rows: DataFrame, key: str, trees: Sequence, landmarks: int, k: int, seed: int = 0) -> DataFrame:
     """key, cluster: Nystroem coordinates of the leaf kernel from a bounded set of landmark rows, then k-means.
 
@@ -199,34 +204,79 @@ def centroid_gate_search(rows: DataFrame, features: Sequence[str], y: str, exper
     return at, best
 
 
-def softmax_mixture(x: np.ndarray, y: np.ndarray, group: np.ndarray, experts: int = 2, steps: int = 400, rate: float = 0.05, worst: bool = False, seed: int = 0) -> tuple[dict, dict]:
-    """A softmax gate over logistic experts on a bounded sample, by Adam, for the mean loss or the worst group's. Returns
-    parameters and {mean, worst}; evaluate on all rows with mixture_expression()."""
+def _softmax_rows(x: np.ndarray, y: np.ndarray, gate: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """A row for each of x: 1, its loss, and the loss's gradient by gate and by coef, both flat."""
+    z = x @ gate
+    r = np.exp(z - z.max(axis=1, keepdims=True))
+    r /= r.sum(axis=1, keepdims=True)
+    q = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
+    p = np.clip((r * q).sum(axis=1), 1e-7, 1 - 1e-7)
+    loss = -(y * np.log(p) + (1 - y) * np.log(1 - p))
+    dp = ((p - y) / (p * (1 - p)))[:, None]
+    by = lambda d: (x[:, :, None] * (dp * d)[:, None, :]).reshape(len(x), -1)
+    return np.hstack([np.ones((len(x), 1)), loss[:, None], by(r * (q - (r * q).sum(axis=1, keepdims=True))), by(r * q * (1 - q))])
+
+
+def softmax_mixture(rows: DataFrame, features: Sequence[str], y: str, group: str, experts: int = 2, steps: int = 400, rate: float = 0.05, worst: bool = False, seed: int = 0) -> tuple[dict, dict]:
+    """A softmax gate over logistic experts by Adam, for the mean loss or (softly) the worst group's, over all rows.
+
+    Returns parameters, for mixture_expression(), and {mean, worst} losses of the last step. Each step is one job: tasks add up
+    losses and gradients by group, so only a row a group comes to the driver; more than MOST_GROUPS groups are refused. Rows
+    with a null feature, y or group take no part; without any rows the parameters are the first ones and there are no losses.
+    Sums depend on the order of tasks in their last digits.
+    """
     dice = np.random.default_rng(seed)
-    x = np.hstack([x, np.ones((len(x), 1))])
-    gate, coef = dice.normal(0, 0.1, (x.shape[1], experts)), dice.normal(0, 0.1, (x.shape[1], experts))
+    width = len(features) + 1
+    gate, coef = dice.normal(0, 0.1, (width, experts)), dice.normal(0, 0.1, (width, experts))
+    size = 2 + 2 * width * experts
     held = [np.zeros_like(gate), np.zeros_like(coef), np.zeros_like(gate), np.zeros_like(coef)]
-    names, member = np.unique(group, return_inverse=True)
-    size = np.bincount(member)
-    losses = {}
-    for t in range(1, steps + 1):
-        z = x @ gate
-        r = np.exp(z - z.max(axis=1, keepdims=True))
-        r /= r.sum(axis=1, keepdims=True)
-        q = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-        p = np.clip((r * q).sum(axis=1), 1e-7, 1 - 1e-7)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p))
-        by = np.bincount(member, loss) / size
-        losses = {"mean": float(loss.mean()), "worst": float(by.max())}
-        w = np.exp((by - by.max()) * 20)[member] / size[member] if worst else np.ones(len(y))
-        dp = w / w.sum() * (p - y) / (p * (1 - p))
-        dgate = x.T @ (dp[:, None] * r * (q - (r * q).sum(axis=1, keepdims=True)))
-        dcoef = x.T @ (dp[:, None] * r * q * (1 - q))
-        for i, (param, g) in enumerate(((gate, dgate), (coef, dcoef))):
-            held[i] = 0.9 * held[i] + 0.1 * g
-            held[i + 2] = 0.999 * held[i + 2] + 0.001 * g * g
-            param -= rate * (held[i] / (1 - 0.9**t)) / (np.sqrt(held[i + 2] / (1 - 0.999**t)) + 1e-8)
-    return {"gate": gate, "coef": coef, "groups": names.tolist()}, losses
+    names = ["_g", "_y", *(f"_x{i}" for i in range(len(features)))]
+    values = [F.col(y).cast("double"), *(F.col(f).cast("double") for f in features)]
+    used = rows.select(F.col(group).cast("string").alias("_g"), *[v.alias(n) for v, n in zip(values, names[1:], strict=True)]).dropna().persist()
+
+    def sums(gate, coef):
+        def run(batches):
+            total: dict = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                code = batch.column(0).dictionary_encode()
+                at = code.indices.to_numpy()
+                flat = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+                each = _softmax_rows(np.column_stack([*flat[1:], np.ones(batch.num_rows)]), flat[0], gate, coef)
+                by = np.argsort(at, kind="stable")
+                starts = np.flatnonzero(np.diff(at[by], prepend=-1))
+                for name, s in zip(code.dictionary.take(pa.array(at[by][starts])).to_pylist(), np.add.reduceat(each[by], starts, axis=0), strict=True):
+                    total[name] = total[name] + s if name in total else s
+                if len(total) > MOST_GROUPS:
+                    raise ValueError(f"over {MOST_GROUPS} groups")
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([s.tolist() for s in total.values()], pa.list_(pa.float64()))], names=["_g", "s"])
+
+        found = used.mapInArrow(run, "_g string, s array<double>").groupBy("_g").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(size)])
+        return sorted(found.limit(MOST_GROUPS + 1).collect())
+
+    losses: dict = {}
+    known: list = []
+    try:
+        for t in range(1, steps + 1):
+            found = sums(gate, coef)
+            if len(found) > MOST_GROUPS:
+                raise ValueError(f"over {MOST_GROUPS} groups")
+            if not found:
+                break
+            known, table = [r[0] for r in found], np.array([r[1:] for r in found])
+            n, by = table[:, 0], table[:, 1] / table[:, 0]
+            losses = {"mean": float(table[:, 1].sum() / n.sum()), "worst": float(by.max())}
+            w = np.exp((by - by.max()) * 20) / n if worst else np.ones(len(n))
+            gradient = w @ table[:, 2:] / (w @ n)
+            for i, (param, g) in enumerate(zip((gate, coef), np.split(gradient, 2), strict=True)):
+                g = g.reshape(width, experts)
+                held[i] = 0.9 * held[i] + 0.1 * g
+                held[i + 2] = 0.999 * held[i + 2] + 0.001 * g * g
+                param -= rate * (held[i] / (1 - 0.9**t)) / (np.sqrt(held[i + 2] / (1 - 0.999**t)) + 1e-8)
+    finally:
+        used.unpersist()
+    return {"gate": gate, "coef": coef, "groups": known}, losses
 
 
 def mixture_expression(parameters: dict, features: Sequence[str]) -> Column:

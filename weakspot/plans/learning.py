@@ -149,9 +149,8 @@ def gate_search(spark, sf_dir):
 @query("l18_softmax_mixture")
 def softmax_mixture(spark, sf_dir):
     d = scored(spark, sf_dir)
-    sample = d.where("split = 'train'").orderBy("id").limit(2000).select((F.col("x1") / 100).alias("x1"), (F.col("x2") / 24).alias("x2"), "y", "grp").toPandas()
-    fitted, _ = X.softmax_mixture(sample[["x1", "x2"]].to_numpy(), sample["y"].to_numpy(float), sample["grp"].to_numpy(), steps=100)
     scaled = d.withColumns({"x1": F.col("x1") / 100, "x2": F.col("x2") / 24})
+    fitted, _ = X.softmax_mixture(scaled.where("split = 'train'"), ["x1", "x2"], "y", "grp", steps=100)
     return scaled.select("id", X.mixture_expression(fitted, ["x1", "x2"]).alias("score"))
 
 
