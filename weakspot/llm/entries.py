@@ -13,8 +13,11 @@ from .html_tree import extract
 from .packing import pack
 from .recompression import substring_dedup
 from .sentencepieces import encode_decode
+from .shards import shard_plan
 from .sstable import read_sstables, write_sstables
 from .suffix_sort import suffix_dedup
+from .vector_codes import vector_codes
+
 
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -95,6 +98,39 @@ def op10_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_sharding(spark, sf_dir):
+    return shard_plan(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds of the contract written out one after another, each from all assignments anew."""
+    nearest = """SELECT key, part, v, entry, d FROM (
+    SELECT key, part, p.v, entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b{r} AS b USING (part))
+  QUALIFY row_number() OVER (PARTITION BY key, part ORDER BY d, entry) = 1"""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (" + nearest.format(r=r) + ")")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT part, entry, place, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{r}) GROUP BY ALL),
+m{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS v FROM s{r} GROUP BY part, entry),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.v, b{r}.v) AS v FROM b{r} LEFT JOIN m{r} USING (part, entry))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS key, vec_id, label, list_transform(embedding, lambda x: CAST(floor({1024} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT key, t.part, v[t.part * len(v) // {parts} + 1 : (t.part + 1) * len(v) // {parts}] AS v FROM kept, range({parts}) AS t(part)),
+b0 AS MATERIALIZED (SELECT part, key - 1 AS entry, v FROM p WHERE key <= {entries}),
+{", ".join(steps)},
+book AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM b{rounds})),
+codes AS (SELECT key, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY key)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN codes USING (key), book
+"""
+
+
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
 win AS (SELECT doc_id, i AS pos, array_to_string(ws[i:i + 49], ' ') AS win FROM w, unnest(generate_series(1, len(ws) - 49)) AS t(i)),
@@ -119,8 +155,10 @@ QUERIES = {
     "op8_sstable": op8_sstable,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
+    "op11_sharding": op11_sharding,
+    "op12_vector_codes": op12_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op2_substring_dedup": OP2_SQL, "op3_top_k": OP3_SQL, "op4_host_rules": OP4_SQL}
+SQL = {"op2_substring_dedup": OP2_SQL, "op3_top_k": OP3_SQL, "op4_host_rules": OP4_SQL, "op12_vector_codes": _op12_sql()}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
