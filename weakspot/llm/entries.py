@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .ball_tree import top_k
 from .chosen_path import jaccard_join
+from .collocations import collocations
 from .common import tokenizer_path
 from .crf import quality_scores
 from .host_rules import host_rules
@@ -131,6 +132,35 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM pieces),
+n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM p GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM p, range(1, 6) AS t(k), unnest(range(1, len(ws) - k + 2)) AS u(i)
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, k, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS p1, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS p2
+  FROM f, unnest(range(1, k)) AS t(j)),
+scored AS (
+  SELECT cuts.*, x.a AS l, y.a AS r, n, CAST((1000::HUGEINT * cuts.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.phrase = p1 JOIN f AS y ON y.lang = cuts.lang AND y.phrase = p2 JOIN n ON n.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (
+  SELECT * FROM best WHERE NOT EXISTS (
+    SELECT 1 FROM f WHERE f.lang = best.lang AND f.k > best.k AND 100 * f.a >= 100 * best.a AND contains(' ' || f.phrase || ' ', ' ' || best.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
 win AS (SELECT doc_id, i AS pos, array_to_string(ws[i:i + 49], ' ') AS win FROM w, unnest(generate_series(1, len(ws) - 49)) AS t(i)),
@@ -157,8 +187,9 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_sharding": op11_sharding,
     "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op2_substring_dedup": OP2_SQL, "op3_top_k": OP3_SQL, "op4_host_rules": OP4_SQL, "op12_vector_codes": _op12_sql()}
+SQL = {"op2_substring_dedup": OP2_SQL, "op3_top_k": OP3_SQL, "op4_host_rules": OP4_SQL, "op12_vector_codes": _op12_sql(), "op13_collocations": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
