@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import anchors as A
 from ..operators import discovery as D
 from ..operators import mixtures as X
 from ..operators import models as M
 from ..operators import trees as T
 from ..operators.search import SparkEvaluator
-from .leaves import MEDOIDS, TREES, coded
-from .registry import registrar
+from .leaves import CLASSES, CODED, MEDOIDS, TREES, coded
+from .registry import registrar, rounded
 from .scored import candidates, scored
 from .search import standard
 
@@ -46,6 +47,51 @@ def leaf_contrasts(spark, sf_dir):
     return D.leaf_contrasts(coded(spark, sf_dir), "id", "codes", "loss", dict(enumerate(MEDOIDS)), 120, F.round(F.abs(F.col("x1") - 50.0), 10))
 
 
+def filled_sql(anchors: str, m: int, weights) -> str:
+    """Contrasts of anchors (a table of anchor, a0, a1, a2) over the classes of leaf codes."""
+    level = " + ".join(f"CASE WHEN c{i} = a{i} THEN {w} ELSE 0 END" for i, w in enumerate(weights))
+    return f""", cs AS (SELECT c0, c1, c2, count(*) AS n, sum(loss) AS s FROM coded GROUP BY ALL),
+tot AS (SELECT sum(n)::BIGINT AS nn, sum(s) AS ss FROM cs),
+lv AS (SELECT anchor, {level} AS level, sum(n)::BIGINT AS n, sum(s) AS s FROM {anchors} CROSS JOIN cs GROUP BY ALL),
+cu AS (SELECT *, sum(n) OVER (PARTITION BY anchor ORDER BY level DESC) - n AS before FROM lv),
+tk AS (SELECT *, greatest(0, least(n, {m} - before)) AS take FROM cu),
+hd AS (SELECT anchor, sum(s * take / n) AS inside, min(level) FILTER (take > 0) AS least FROM tk GROUP BY anchor),
+filled AS (SELECT anchor, inside / {m} / nullif((ss - inside) / nullif(nn - {m}, 0), 0e0) - 1 AS contrast, least / {sum(weights)}e0 AS threshold FROM hd, tot)"""
+
+
+@query(
+    "s08_exhaustive_contrasts",
+    CLASSES + ", ac AS (SELECT least AS anchor, c0 AS a0, c1 AS a1, c2 AS a2, n AS n_anchor FROM cl)" + filled_sql("ac", 120, [3, 2, 1])
+    + " SELECT anchor AS class, n_anchor AS n, round(contrast, 6) + 0e0 AS contrast, round(threshold, 6) + 0e0 AS threshold FROM filled JOIN ac USING (anchor)",
+)
+def exhaustive_contrasts(spark, sf_dir):
+    return rounded(A.exhaustive_contrasts(coded(spark, sf_dir), "id", "codes", "loss", 120, [3, 2, 1]))
+
+
+@query(
+    "s08_anchor_contrasts",
+    CODED + ", me AS (SELECT grp::BIGINT AS anchor, round(avg(x1), 6) AS x1, round(avg(x2), 6) AS x2, round(avg(x3), 6) AS x3 FROM scored GROUP BY grp), ac AS (SELECT anchor, " + ", ".join(f"{T.sql(t)} AS a{i}" for i, t in enumerate(TREES)) + " FROM me)"
+    + filled_sql("ac", 120, [1, 1, 1]) + " SELECT anchor, round(contrast, 6) + 0e0 AS contrast, round(threshold, 6) + 0e0 AS threshold FROM filled",
+)
+def anchor_contrasts(spark, sf_dir):
+    """The groups' mean points as anchors; none of them is a row."""
+    d = coded(spark, sf_dir)
+    means = d.groupBy(F.col("grp").cast("long").alias("anchor")).agg(*[F.round(F.avg(x), 6).alias(x) for x in ("x1", "x2", "x3")])
+    return rounded(A.anchor_contrasts(d, "id", "codes", "loss", means.withColumn("codes", T.codes(TREES)), 120))
+
+
+@query("s08_leaf_search")
+def leaf_search(spark, sf_dir):
+    """Anchors under the trees of an error model fitted to the train split, searched on the discovery split."""
+    d = scored(spark, sf_dir)
+    features = ["x1", "x2", "x3"]
+    model = M.fit_error_model(d.where("split = 'train'"), features, "loss", trees=8)
+    found = d.where("split = 'discovery'")
+    one = found.agg(*[f(x) for x in features for f in (F.avg, F.stddev_pop)]).first()
+    history, _ = A.leaf_search(found, "id", model.trees, features, one[::2], one[1::2], "loss", 120, [0.0, 0.0, 0.0], budget=120 * 24, brood=6)
+    return spark.createDataFrame(history, "step int, reads long, contrast double, best double")
+
+
 @query("s09_discover")
 def discover(spark, sf_dir):
     return D.discover(standard(spark, sf_dir), ["z_x1", "z_x2"], "id", "loss", 3, 100, generations=3)
