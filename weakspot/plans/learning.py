@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import anchors as A
 from ..operators import discovery as D
+from ..operators import error_tree as B
 from ..operators import mixtures as X
 from ..operators import models as M
 from ..operators import trees as T
 from ..operators.search import SparkEvaluator
 from .leaves import CLASSES, CODED, MEDOIDS, TREES, coded
 from .registry import registrar, rounded
-from .scored import candidates, scored
+from .scored import SCORED, candidates, scored
 from .search import standard
 
 REGISTRY: dict = {}
@@ -160,6 +161,39 @@ def best_leaf(spark, sf_dir):
     return X.best_leaf(scored(spark, sf_dir), "loss", T.code(TREES[0]), 50)
 
 
+STUMP = (
+    SCORED
+    + """, vs AS (SELECT 0 AS f, x2 AS x, loss FROM scored UNION ALL SELECT 1, x3, loss FROM scored),
+bins AS (SELECT f, x, count(*)::DOUBLE AS n, sum(loss) AS s FROM vs GROUP BY f, x),
+cum AS (SELECT f, x, sum(n) OVER w AS n, sum(s) OVER w AS s, (x + lead(x) OVER (PARTITION BY f ORDER BY x)) / 2 AS cut FROM bins WINDOW w AS (PARTITION BY f ORDER BY x)),
+tot AS (SELECT count(*)::DOUBLE AS nn, sum(loss) AS ss FROM scored),
+gain AS (SELECT f, cut, round(s * s / n + (ss - s) * (ss - s) / (nn - n) - ss * ss / nn, 9) AS gain FROM cum, tot WHERE cut IS NOT NULL AND n >= 400 AND nn - n >= 400),
+best AS (SELECT f, cut FROM gain WHERE gain > 0 ORDER BY gain DESC, f, cut LIMIT 1),
+cells AS (SELECT CASE WHEN CASE WHEN f = 0 THEN x2 ELSE x3 END <= cut THEN 0 ELSE 1 END AS cell, count(*) AS n, avg(loss) AS mean FROM scored, best GROUP BY ALL)
+SELECT cell, n, round(mean, 6) + 0e0 AS mean, round(mean, 12) = max(round(mean, 12)) OVER () AS best FROM cells"""
+)
+
+
+@query("l09_error_stump", STUMP)
+def error_stump(spark, sf_dir):
+    """The tree of two leaves, whose fit SQL can express."""
+    d = scored(spark, sf_dir)
+    return rounded(B.leaf_cells(d, B.fit_error_tree(d, ["x2", "x3"], "loss", 400, max_leaves=2, bins=128), "loss", 400))
+
+
+@query("l09_error_tree")
+def error_tree(spark, sf_dir):
+    """Fitted and chosen on the discovery split, shown on the confirm split."""
+    d = scored(spark, sf_dir)
+    fitted = B.fit_error_tree(d.where("split = 'discovery'"), ["x1", "x2", "x3"], "loss", 50, alpha=1e-5)
+    return B.leaf_cells(d.where("split = 'confirm'"), fitted, "loss", 50)
+
+
+@query("l09_loss_kernel_parts")
+def loss_kernel_parts(spark, sf_dir):
+    return B.loss_kernel_parts(scored(spark, sf_dir).where("split = 'discovery'"), "id", ["x1", "x2", "x3"], "loss", 50, k=6, landmarks=200, trees=12)
+
+
 @query("l12_fanova")
 def fanova(spark, sf_dir):
     d = scored(spark, sf_dir)
