@@ -34,7 +34,7 @@ FEWEST_BITS, MOST_BITS = 16, 28
 PAGE_BITS = 16
 #: Buckets that a task gathers before it adds them up.
 GATHERED = 1 << 21
-#: Phrases that a task knows it has given already; given again they are still counted once.
+#: Phrases that a task holds before it gives them; given again they are still counted once.
 REMEMBERED = 1 << 20
 #: Bytes of phrases that are compiled into automata at once; an automaton takes about 60 bytes for each.
 AUTOMATON_BYTES = 4 << 20
@@ -126,7 +126,18 @@ class Bounds:
         return out
 
 
-SKETCH = "row int, page int, low binary, n binary"
+#: Of a page: the buckets met once, as a list, or as bits where they are many; and the others with their counts.
+SKETCH = "row int, page int, once binary, low binary, n binary"
+PAGE = 1 << PAGE_BITS
+
+
+def _once(low: np.ndarray) -> bytes:
+    """Distinct places of a page: 2 bytes each, or a bit for every place of the page where that is less."""
+    if 16 * len(low) < PAGE:
+        return low.tobytes()
+    bits = np.zeros(PAGE, dtype=bool)
+    bits[low] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def _sketch_rows(bits: int, words):
@@ -140,9 +151,12 @@ def _sketch_rows(bits: int, words):
             low, n = (b & ((1 << PAGE_BITS) - 1)).astype(np.uint16), n.astype(np.uint32)
             cuts = list(zip(at[:-1], at[1:], strict=True))
             found.clear()
+            one = [n[x:y] == 1 for x, y in cuts]
             yield pa.RecordBatch.from_pydict({
                 "row": pa.array([row] * len(cuts), pa.int32()), "page": pa.array([int(page[x]) for x, _ in cuts], pa.int32()),
-                "low": pa.array([low[x:y].tobytes() for x, y in cuts], pa.binary()), "n": pa.array([n[x:y].tobytes() for x, y in cuts], pa.binary()),
+                "once": pa.array([_once(low[x:y][m]) for (x, y), m in zip(cuts, one, strict=True)], pa.binary()),
+                "low": pa.array([low[x:y][~m].tobytes() for (x, y), m in zip(cuts, one, strict=True)], pa.binary()),
+                "n": pa.array([n[x:y][~m].tobytes() for (x, y), m in zip(cuts, one, strict=True)], pa.binary()),
             })
 
     def run(batches):
@@ -183,11 +197,15 @@ def _page_rows(least: int):
             return pa.RecordBatch.from_pydict({"row": pa.array([at[0]], pa.int32()), "page": pa.array([at[1]], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
         for batch in batches:
-            for row, page, low, n in zip(*(batch.column(c).to_pylist() for c in ("row", "page", "low", "n")), strict=True):
+            for row, page, once, low, n in zip(*(batch.column(c).to_pylist() for c in ("row", "page", "once", "low", "n")), strict=True):
                 if at != (row, page):
                     if at is not None and total.max() >= least:
                         yield done()
-                    at, total = (row, page), np.zeros(1 << PAGE_BITS, dtype=np.int64)
+                    at, total = (row, page), np.zeros(PAGE, dtype=np.int64)
+                if 8 * len(once) == PAGE:
+                    total += np.unpackbits(np.frombuffer(once, dtype=np.uint8), bitorder="little")
+                else:
+                    total[np.frombuffer(once, dtype=np.uint16)] += 1
                 total[np.frombuffer(low, dtype=np.uint16)] += np.frombuffer(n, dtype=np.uint32)  # a page's row has each bucket once
         if at is not None and total.max() >= least:
             yield done()
@@ -206,22 +224,32 @@ def sketch_bounds(texts: DataFrame, bits: int, least: int, words=None):
     return texts.sparkSession.sparkContext.broadcast(out)
 
 
-FOUND = "lang string, phrase string, n long"
+#: Phrases go to so many buckets by name, so that a task gives a row a bucket and language, not a row a phrase.
+BUCKETS = 1024
+FOUND = "lang string, bucket int, phrases binary, n long"
 
 
 def _phrase_rows(words, phrases):
-    """Each phrase whose bounds hold, once a task; and how many words each language has (phrase null)."""
+    """Phrases whose bounds hold, each about once a task, joined by line feeds; and how many words each language has (phrases null)."""
 
     def run(batches):
         seen: set[int] = set()
         n: dict[str, int] = {}
+        held: dict[tuple[str, int], list[bytes]] = {}
+
+        def given():
+            keys = list(held)
+            out = pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in keys], pa.string()), "bucket": pa.array([k[1] for k in keys], pa.int32()), "phrases": pa.array([b"\n".join(held[k]) for k in keys], pa.binary()), "n": pa.array([None] * len(keys), pa.int64())})
+            held.clear()
+            seen.clear()
+            return out
+
         for batch in batches:
-            lang_of, phrase = [], []
             for raw, offsets, langs in _folded(batch):
                 p = Phrases(raw, offsets, langs)
                 for row, count in zip(*np.unique(p.row, return_counts=True), strict=True):
                     n[langs[row]] = n.get(langs[row], 0) + int(count)
-                text = None
+                text = raw.tobytes()
                 good = words.value(p.name)
                 for _ in range(LONGEST):
                     if p.level > 1:
@@ -231,23 +259,41 @@ def _phrase_rows(words, phrases):
                     names, one = np.unique(p.name[at], return_index=True)
                     for name, i in zip(names.tolist(), at[one].tolist(), strict=True):
                         if name not in seen:
-                            if len(seen) >= REMEMBERED:
-                                seen.clear()
                             seen.add(name)
-                            text = text or raw.tobytes()
-                            lang_of.append(langs[p.row[i]])
                             k = p.level
-                            phrase.append(b" ".join(text[a:b] for a, b in zip(p.start[i : i + k].tolist(), p.end[i : i + k].tolist(), strict=True)).decode(errors="replace"))
+                            phrase = b" ".join(text[a:b] for a, b in zip(p.start[i : i + k].tolist(), p.end[i : i + k].tolist(), strict=True))
+                            held.setdefault((langs[p.row[i]], name % BUCKETS), []).append(phrase)
                     if p.level == LONGEST or not len(at):
                         break
                     good = _both(good)
                     p.longer()
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(lang_of, pa.string()), "phrase": pa.array(phrase, pa.string()), "n": pa.array([None] * len(phrase), pa.int64())})
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(n), pa.string()), "phrase": pa.array([None] * len(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+                if len(seen) >= REMEMBERED:
+                    yield given()
+        if held:
+            yield given()
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(n), pa.string()), "bucket": pa.array([None] * len(n), pa.int32()), "phrases": pa.array([None] * len(n), pa.binary()), "n": pa.array(list(n.values()), pa.int64())})
 
     return run
 
 
+def _distinct_rows(batches):
+    """lang, phrase: of rows sorted by bucket and language, each phrase once."""
+    at, held = None, set()
+
+    def given():
+        return pa.RecordBatch.from_pydict({"lang": pa.array([at[1]] * len(held), pa.string()), "phrase": pa.array([x.decode(errors="replace") for x in held], pa.string())})
+
+    for batch in batches:
+        for bucket, lang, phrases in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "phrases")), strict=True):
+            if at != (bucket, lang):
+                if held:
+                    yield given()
+                at, held = (bucket, lang), set()
+            held.update(phrases.split(b"\n"))
+    if held:
+        yield given()
+
+
 def guarded(text: bytes) -> str:
     """Folded text with one space before and after each word, and piece ends between; a character a byte."""
     text = b" " + text.replace(b"\n", b" \n ") + b" "
@@ -272,7 +318,13 @@ def automata(phrases: list[tuple[int, str, str]]) -> dict[str, ahocorasick.Autom
 _compiled: dict = {}
 
 
+#: Phrases whose counts make one row of a task.
+COUNTED = 8192
+
+
 def _match_rows(phrases):
+    """Overlapping matches of each phrase of the list, by pages of phrases."""
+
     def run(batches):
         if phrases.value[0] not in _compiled:
             _compiled.clear()
@@ -290,9 +342,32 @@ def _match_rows(phrases):
                     found = np.fromiter((i for _, i in compiled[lang].iter(guarded(b"\n".join(parts)))), dtype=np.int64)
                     if len(found):
                         total[: found.max() + 1] += np.bincount(found)
-        at = np.flatnonzero(total)
+        pages = [i for i in range(0, len(total), COUNTED) if total[i : i + COUNTED].any()]
+        yield pa.RecordBatch.from_pydict({"page": pa.array([i // COUNTED for i in pages], pa.int32()), "f": pa.array([total[i : i + COUNTED].tobytes() for i in pages], pa.binary())})
+
+    return run
+
+
+def _count_rows(phrases, least: int):
+    """id, f of the phrases that reach the least count, from rows sorted by page."""
+
+    def run(batches):
         ids = np.array([p[0] for p in phrases.value[1]], dtype=np.int64)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[at]), "f": pa.array(total[at])})
+        at, total = None, None
+
+        def given():
+            good = np.flatnonzero(total >= least)
+            return pa.RecordBatch.from_pydict({"id": pa.array(ids[at * COUNTED + good]), "f": pa.array(total[good])})
+
+        for batch in batches:
+            for page, f in zip(batch.column("page").to_pylist(), batch.column("f").to_pylist(), strict=True):
+                if page != at:
+                    if at is not None:
+                        yield given()
+                    at, total = page, 0
+                total = total + np.frombuffer(f, dtype=np.int64)
+        if at is not None:
+            yield given()
 
     return run
 
@@ -307,9 +382,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     words = sketch_bounds(texts, bits, least)
     longer = sketch_bounds(texts, bits, least, words)
     found = materialize(texts.mapInArrow(_phrase_rows(words, longer), FOUND), "found")
-    once = found.where("phrase is not null").select("lang", "phrase").distinct().withColumn("id", F.monotonically_increasing_id())
-    once = materialize(once, "phrases")
-    totals = materialize(found.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals", found)
+    rows = found.where("phrases is not null").select("bucket", "lang", "phrases").repartition("bucket", "lang").sortWithinPartitions("bucket", "lang")
+    once = materialize(rows.mapInArrow(_distinct_rows, "lang string, phrase string").withColumn("id", F.monotonically_increasing_id()), "phrases")
+    totals = materialize(found.where("phrases is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals", found)
     weight = once.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
     groups = -(-weight // AUTOMATON_BYTES)
     counted = []
@@ -317,7 +392,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
         # a group's bytes are bounded, up to chance
         rows = once.where(F.pmod(F.xxhash64("phrase", "lang"), F.lit(groups)) == g).select("id", "lang", "phrase").collect()
         group = spark.sparkContext.broadcast((f"{once.written_at}/{g}", [tuple(r) for r in rows]))
-        counted.append(materialize(texts.mapInArrow(_match_rows(group), "id long, f long").groupBy("id").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "counted"))
+        pages = texts.mapInArrow(_match_rows(group), "page int, f binary").repartition("page").sortWithinPartitions("page")
+        counted.append(materialize(pages.mapInArrow(_count_rows(group, least), "id long, f long"), "counted"))
         group.unpersist()
     words.unpersist()
     longer.unpersist()
