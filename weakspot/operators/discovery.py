@@ -10,7 +10,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import frontier as P
 from . import trees as T
 from .confirm import poisson_weight
 from .evaluate import cluster_summary, measure, ratio
@@ -180,28 +179,6 @@ def twice_the_same(rows: DataFrame, candidates: DataFrame, features: Sequence[st
     return once[0].join(once[1], "cand").select("cand", F.col("c0").eqNullSafe(F.col("c1")).alias("same"))
 
 
-def compare(histories: Mapping[str, list], budgets: Sequence[int], spark) -> DataFrame:
-    """method, budget, best from the evaluators' histories (step, reads, contrast, best)."""
-    rows = [(name, step, reads, value) for name, h in histories.items() for step, reads, value, _ in h]
-    frame = spark.createDataFrame(rows, "method string, step int, reads long, value double")
-    return P.best_within(frame, ["method"], budgets)
-
-
-def calibration(points: np.ndarray, values: np.ndarray, held: float = 0.3, seed: int = 0) -> dict:
-    """How a Gaussian process fitted on part of an archive predicts the rest: share inside 90 % intervals, error, overlaps dropped."""
-    from .models import GaussianProcess
-
-    dice = np.random.default_rng(seed)
-    _, first = np.unique(np.round(points, 9), axis=0, return_index=True)
-    points, values = points[np.sort(first)], values[np.sort(first)]
-    order = dice.permutation(len(points))
-    cut = max(2, int(len(points) * (1 - held)))
-    gp = GaussianProcess(points[order[:cut]], values[order[:cut]])
-    mean, sd = gp.predict(points[order[cut:]])
-    real = values[order[cut:]]
-    return {"n": len(points), "held": len(real), "coverage90": float((np.abs(real - mean) <= 1.645 * np.sqrt(sd**2 + gp.noise * gp.scale**2)).mean()) if len(real) else math.nan, "rmse": float(np.sqrt(((real - mean) ** 2).mean())) if len(real) else math.nan}
-
-
 def comparison_table(runs: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """by, runs, least, middle, most: the seeds of each setting side by side."""
     return runs.groupBy(*by).agg(F.count("*").alias("runs"), F.min(value).alias("least"), F.percentile(value, 0.5).alias("middle"), F.max(value).alias("most"))

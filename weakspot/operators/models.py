@@ -217,57 +217,3 @@ def fit_fanova(df: DataFrame, features: Sequence[str], y: str, signs: Mapping[st
 
 def _features(tree) -> set:
     return set() if isinstance(tree, Leaf) else {tree.feature} | _features(tree.left) | _features(tree.right)
-
-
-class GaussianProcess:
-    """A Gaussian process with a Matern-5/2 kernel on a search's few points; width and noise from a small likelihood grid."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, widths=(0.3, 0.6, 1.0, 2.0, 4.0), noises=(1e-6, 1e-3, 1e-2, 1e-1)):
-        self.x, self.mean, self.scale = np.asarray(x, float), float(np.mean(y)), float(np.std(y)) or 1.0
-        z = (np.asarray(y, float) - self.mean) / self.scale
-        best = None
-        for w in widths:
-            for s in noises:
-                k = self.kernel(self.x, self.x, w) + (s + 1e-9) * np.eye(len(z))
-                root = np.linalg.cholesky(k)
-                a = np.linalg.solve(root.T, np.linalg.solve(root, z))
-                cost = 0.5 * z @ a + np.log(np.diag(root)).sum()
-                if best is None or cost < best[0]:
-                    best = (cost, w, s, root, a)
-        _, self.width, self.noise, self.root, self.weights = best
-
-    @staticmethod
-    def kernel(a, b, width):
-        d = np.sqrt(np.maximum(((a[:, None] - b[None]) ** 2).sum(-1), 0)) * math.sqrt(5) / width
-        return (1 + d + d * d / 3) * np.exp(-d)
-
-    def predict(self, x) -> tuple[np.ndarray, np.ndarray]:
-        k = self.kernel(np.asarray(x, float), self.x, self.width)
-        half = np.linalg.solve(self.root, k.T)
-        return self.mean + self.scale * k @ self.weights, self.scale * np.sqrt(np.maximum(1 - (half * half).sum(0), 1e-12))
-
-    def expected_improvement(self, x, best: float) -> np.ndarray:
-        from statistics import NormalDist
-
-        mean, sd = self.predict(x)
-        z = (mean - best) / sd
-        normal = NormalDist()
-        return (mean - best) * np.array([normal.cdf(v) for v in z]) + sd * np.array([normal.pdf(v) for v in z])
-
-
-def bayes_search(evaluate, z, w, steps: int = 10, start: int = 5, pool: int = 256, seed: int = 0) -> list:
-    """Expected-improvement search: random proposals first, then the pool's best under a Gaussian process on what was found."""
-    dice = np.random.default_rng(seed)
-    d = len(z)
-    code = lambda c: [*c[0], *np.log(np.maximum(c[1], 1e-6))]
-    tried = [(list(z), list(w))] + [((np.array(z) + dice.normal(0, 1, d)).tolist(), (np.array(w) * np.exp(dice.normal(0, 0.4, d))).tolist()) for _ in range(start - 1)]
-    values = evaluate(tried)
-    for _ in range(steps - start):
-        known = [(c, v) for c, v in zip(tried, values, strict=True) if v > -math.inf]
-        best = max(known, key=lambda x: x[1])
-        around = [((np.array(best[0][0]) + dice.normal(0, 0.5, d)).tolist(), (np.array(best[0][1]) * np.exp(dice.normal(0, 0.3, d))).tolist()) for _ in range(pool)]
-        gp = GaussianProcess(np.array([code(c) for c, _ in known]), np.array([v for _, v in known]))
-        pick = around[int(gp.expected_improvement(np.array([code(c) for c in around]), best[1]).argmax())]
-        tried.append(pick)
-        values += evaluate([pick])
-    return evaluate.history

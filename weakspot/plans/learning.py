@@ -10,8 +10,8 @@ from ..operators import discovery as D
 from ..operators import error_tree as B
 from ..operators import mixtures as X
 from ..operators import models as M
+from ..operators import surrogate as U
 from ..operators import trees as T
-from ..operators.search import SparkEvaluator
 from .leaves import CLASSES, CODED, MEDOIDS, TREES, coded
 from .registry import registrar, rounded
 from .scored import SCORED, candidates, scored
@@ -37,10 +37,22 @@ def required_support(spark, sf_dir):
     return spark.createDataFrame([(D.required_support_of(scored(spark, sf_dir).where("fold = 0"), "loss", [25, 50, 100, 200, 400], 0.05),)], "m int")
 
 
+def space(spark, sf_dir, split: str = "discovery", m: int = 60) -> U.RegionSpace:
+    """Regions of a split, with the leaves of an error model fitted to the train split."""
+    d = standard(spark, sf_dir)
+    model = M.fit_error_model(d.where("split = 'train'"), ["z_x1", "z_x2"], "loss", trees=8)
+    return U.RegionSpace(d.where(F.col("split") == split), ["z_x1", "z_x2"], "id", "loss", model.trees, m)
+
+
+BASE = ([0.9, 0.5], [0.5, 0.5])
+
+
 @query("s07_bayes_search")
 def bayes(spark, sf_dir):
-    found = M.bayes_search(SparkEvaluator(standard(spark, sf_dir), ["z_x1", "z_x2"], "id", "loss", 100), [0.5, 0.5], [1.0, 1.0], steps=7)
-    return spark.createDataFrame(found, "step int, reads long, contrast double, best double")
+    s = space(spark, sf_dir)
+    start = D.sample_candidates(s.rows, s.features, "id", 4)
+    found = U.bayes_search(s, start, s.n + 9 * s.m, pool=256, refit_every=2)
+    return spark.createDataFrame([(*h, None if np.isnan(o) else o) for h, o in zip(found.history, found.overlaps, strict=True)], "step int, reads long, contrast double, best double, overlap double")
 
 
 @query("s08_leaf_contrasts")
@@ -118,16 +130,8 @@ def medoid_loop(spark, sf_dir):
 
 @query("s18_calibration")
 def calibration(spark, sf_dir):
-    from ..operators.evaluate import measure
-    from ..operators.regions import membership
-
-    d = standard(spark, sf_dir)
-    points = D.sample_candidates(d, ["z_x1", "z_x2"], "id", 40)
-    frame = spark.createDataFrame([(i, z, w, 100) for i, (z, w) in enumerate(points)], "cand int, z array<double>, w array<double>, m int")
-    values = {r["cand"]: r["contrast"] for r in measure(membership(d, frame, ["z_x1", "z_x2"], "id"), d, "id", "loss", 1.0).collect()}
-    keep = [i for i in range(len(points)) if values.get(i) is not None]
-    found = D.calibration(np.array([points[i][0] + points[i][1] for i in keep]), np.array([values[i] for i in keep]))
-    return spark.createDataFrame([(found["n"], found["held"], found["coverage90"], found["rmse"])], "n int, held int, coverage90 double, rmse double")
+    rows, summary = U.calibration_report(space(spark, sf_dir), BASE, n=80)
+    return spark.createDataFrame([(*r, *summary.values()) for r in rows], "treatment string, coverage90 double, rmse double, variance double, noise double, n int, y_sd double, mean_overlap double, repeated double, distinct int, kernel_overlap double")
 
 
 @query("s19_twice_the_same", "SELECT CAST(range AS INT) AS cand, true AS same FROM range(8)")
@@ -137,10 +141,24 @@ def twice(spark, sf_dir):
 
 @query("s20_compare")
 def compare(spark, sf_dir):
-    from ..operators.search import evolution, hill_climb
-
-    new = lambda: SparkEvaluator(standard(spark, sf_dir), ["z_x1", "z_x2"], "id", "loss", 100)
-    return D.compare({"climb": hill_climb(new(), [0.5, 0.5], [1.0, 1.0], rounds=2), "evolution": evolution(new(), [0.5, 0.5], [1.0, 1.0], steps=6)}, [5000, 20000, 10**9], spark)
+    s = space(spark, sf_dir)
+    budget = s.n + 7 * s.m
+    start = lambda seed: D.sample_candidates(s.rows, s.features, "id", 3, seed)
+    methods = {
+        "random": lambda seed: U.listed_search(s, D.sample_candidates(s.rows, s.features, "id", 7, seed + 100), budget),
+        "surrogate": lambda seed: U.bayes_search(s, start(seed), budget, pool=128, refit_every=5, seed=seed),
+        "surrogate, overlap allowed": lambda seed: U.bayes_search(s, start(seed), budget, pool=128, most_overlap=1.0, refit_every=5, seed=seed),
+    }
+    found = U.compare_methods(s, methods, [0], [s.n + 2 * s.m, s.n + 4 * s.m, budget])
+    return spark.createDataFrame(found, "method string, seed int, reads long, wall_s double, best double, evals int, distinct int, within array<double>")
+
+
+@query("l21_lambda_sweep")
+def lambda_sweep(spark, sf_dir):
+    dice = np.random.default_rng(11)
+    s = space(spark, sf_dir)
+    archives = {"near": U.around(dice, BASE, 0.18, 60), "wide": U.around(dice, BASE, 0.6, 60), "global": D.sample_candidates(s.rows, s.features, "id", 60), "global, cubes": D.sample_candidates(s.rows, s.features, "id", 60, 1, "cube")}
+    return spark.createDataFrame(U.lambda_sweep(s, archives, folds=3), "archive string, lam double, rmse double, coverage90 double, y_sd double")
 
 
 @query("a14_comparison_table", "WITH e AS (SELECT event_type, user_id % 3 AS seed, count(*)::DOUBLE AS v FROM events GROUP BY ALL) SELECT event_type, count(*) AS runs, min(v) AS least, quantile_cont(v, 0.5) AS middle, max(v) AS most FROM e GROUP BY event_type")
@@ -236,10 +254,14 @@ def softmax_mixture(spark, sf_dir):
 
 @query("l19_gaussian_process")
 def gaussian_process(spark, sf_dir):
-    rows = scored(spark, sf_dir).groupBy("grp").agg(F.avg("x1").alias("x"), F.avg("loss").alias("v")).orderBy("grp").collect()
-    gp = M.GaussianProcess(np.array([[r["x"]] for r in rows]), np.array([r["v"] for r in rows]))
-    mean, sd = gp.predict(np.array([[r["x"]] for r in rows]))
-    return spark.createDataFrame([(r["grp"], float(m), float(s)) for r, m, s in zip(rows, mean, sd, strict=True)], "grp int, mean double, sd double")
+    """A process fitted to 40 regions predicts the contrasts of 20 others."""
+    s = space(spark, sf_dir)
+    found = s.pool(D.sample_candidates(s.rows, s.features, "id", 60))
+    known = np.arange(60) < 40
+    gp = U.BlendedProcess(0.5, [0, 0, 1, 1]).fit(found.coordinates[known], found.vectors[known], found.contrasts[known])
+    mean, sd = gp.predict(found.coordinates[~known], found.vectors[~known], measured=True)
+    ei, ucb = U.expected_improvement(mean, sd, float(found.contrasts[known].max())), U.upper_bound(mean, sd)
+    return spark.createDataFrame([(40 + i, float(found.contrasts[40 + i]), *map(float, v)) for i, v in enumerate(zip(mean, sd, ei, ucb, strict=True))], "cand int, contrast double, mean double, sd double, improvement double, bound double")
 
 
 @query("l22_partition_frontier")
