@@ -25,14 +25,6 @@ def sample_candidates(rows: DataFrame, features: Sequence[str], key: str, n: int
     return [([float(r[f]) for f in features], (dice.dirichlet(np.ones(len(features))) if shape == "simplex" else np.ones(len(features))).tolist()) for r in chosen]
 
 
-def fold_archive(rows: DataFrame, features: Sequence[str], key: str, fold: str, n: int, seed: int = 0) -> list[list[float]]:
-    """Centres drawn from the folds in turn: the k-th least hash of each fold, then the next."""
-    from pyspark.sql import Window
-
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(fold).orderBy(F.xxhash64(F.lit(seed), key), key))).where(F.col("_r") <= n)
-    return [[float(r[f]) for f in features] for r in ranked.orderBy("_r", fold).limit(n).select(*features).collect()]
-
-
 def required_support(losses: Sequence[float], sizes: Sequence[int], target: float, draws: int = 400, seed: int = 0) -> int | None:
     """The smallest size whose simulated 95 % interval of the mean is at most `target` wide on either side."""
     x, dice = np.asarray(losses, float), np.random.default_rng(seed)

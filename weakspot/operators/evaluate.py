@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,34 +207,52 @@ def jaccard(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.agg(ratio(F.count_if(a & b), F.count_if(a | b).cast("double")).alias("jaccard"))
 
 
+def _distance_sum(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> float:
+    """Sum of n * m * |x - y| over all pairs: by a product of matrices, and exactly where that would cancel."""
+    squares = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    d = np.maximum(squares - 2 * (x @ y.T), 0)
+    near = np.nonzero(d < 1e-6 * squares)
+    d[near] = ((x[near[0]] - y[near[1]]) ** 2).sum(1)
+    return float(n @ np.sqrt(d) @ m)
+
+
 def energy_distance(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
-    """2 E|A - B| - E|A - A'| - E|B - B'| over all pairs, for vectors of one length.
+    """2 E|A - B| - E|A - A'| - E|B - B'| over all pairs, for vectors of one length; null vectors are left out.
 
-    The work is quadratic by definition. Both sides are dealt to blocks of about ENERGY_BLOCK vectors by a hash, each pair of
-    blocks is one task's product of two matrices, and only a sum for each pair of blocks leaves it.
+    The work is quadratic by definition. Equal vectors are one with a count; the distinct ones are dealt to blocks of about
+    ENERGY_BLOCK by hash, each pair of blocks is one task's product of two matrices, and only a sum for each pair leaves it.
     """
+    spark = a.sparkSession
+
+    def packed(x: DataFrame, side: str, first: int) -> tuple[DataFrame, int]:
+        once = x.where(F.col(vector).isNotNull()).groupBy(F.col(vector).alias("v")).agg(F.count("*").alias("n"))
+        blocks = max(1, -(-once.count() // ENERGY_BLOCK))
+
+        def pack(part: pd.DataFrame) -> pd.DataFrame:
+            x = np.array(part["v"].tolist(), dtype=float)
+            return pd.DataFrame({"block": part["block"].iloc[:1].to_numpy(), "x": [x.tobytes()], "k": [part["n"].to_numpy(float).tobytes()]})
+
+        dealt = once.withColumn("block", (F.pmod(F.xxhash64("v"), F.lit(blocks)) + first).cast("int"))
+        return dealt.groupBy("block").applyInPandas(pack, "block int, x binary, k binary").withColumn("side", F.lit(side)), first + blocks
 
-    def blocks(x: DataFrame, side: str) -> DataFrame:
-        n = max(1, -(-x.count() // ENERGY_BLOCK))
-        dealt = x.select(F.col(vector).alias("v")).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(n)).cast("int"))
-        return dealt.groupBy("block").agg(F.collect_list("v").alias("vs")).select(F.lit(side).alias("side"), "block", "vs")
-
-    def distances(batches):
-        for batch in batches:
-            out = []
-            for one, two in zip(batch.column("u").to_pylist(), batch.column("w").to_pylist(), strict=True):
-                x, y = np.array(one, dtype=float), np.array(two, dtype=float)
-                out.append(sum(float(np.sqrt(((x - row) ** 2).sum(axis=1)).sum()) for row in y))
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(out, pa.float64()), pa.array([len(x) * len(y) for x, y in zip(batch.column("u").to_pylist(), batch.column("w").to_pylist(), strict=True)], pa.int64())], names=["pair", "total", "n"])
-
-    every = blocks(a, "a").union(blocks(b, "b"))
-    other = every.select(F.col("side").alias("other"), F.col("block").alias("of"), F.col("vs").alias("w"))
+    left, split = packed(a, "a", 0)
+    right, total = packed(b, "b", split)
+    every = left.union(right)
+    one, two = (every.select(*[F.col(c).alias(f"{c}{i}") for c in every.columns]) for i in (1, 2))
     # |x - y| is symmetric: pairs of a side's own blocks are met once and count twice
-    met = every.withColumnRenamed("vs", "u").join(other, (F.col("side") < F.col("other")) | (F.col("side") == F.col("other")) & (F.col("block") <= F.col("of")))
-    pair = F.concat("side", "other", F.when(F.col("block") == F.col("of"), "").otherwise("2"))
-    sums = met.repartition("side", "block", "other", "of").select(pair.alias("pair"), "u", "w").mapInArrow(distances, "pair string, total double, n long")
-    times = F.when((F.col("pair") == "aa2") | (F.col("pair") == "bb2"), 2).otherwise(1)
-    mean = lambda p: F.try_divide(F.sum(F.when(F.col("pair").startswith(p), times * F.col("total"))), F.sum(F.when(F.col("pair").startswith(p), times * F.col("n"))).cast("double"))
+    pairs = spark.range(total * total).select((F.col("id") % total).cast("int").alias("block1"), F.floor(F.col("id") / total).cast("int").alias("block2")).where("block1 <= block2")
+    met = pairs.join(one, "block1").join(two, "block2").repartition(min(total * total, 4 * spark.sparkContext.defaultParallelism), "block1", "block2")
+
+    def distances(frames):
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                n, m = np.frombuffer(r.k1), np.frombuffer(r.k2)
+                x, y = np.frombuffer(r.x1).reshape(len(n), -1), np.frombuffer(r.x2).reshape(len(m), -1)
+                twice = 2 if r.side1 == r.side2 and r.block1 != r.block2 else 1
+                yield pd.DataFrame({"pair": [r.side1 + r.side2], "total": [twice * _distance_sum(x, n, y, m)], "n": [twice * n.sum() * m.sum()]})
+
+    sums = met.mapInPandas(distances, "pair string, total double, n double")
+    mean = lambda p: F.try_divide(F.sum(F.when(F.col("pair") == p, F.col("total"))), F.sum(F.when(F.col("pair") == p, F.col("n"))))
     return sums.agg((2 * mean("ab") - mean("aa") - mean("bb")).alias("energy"))
 
 

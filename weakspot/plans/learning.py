@@ -12,6 +12,7 @@ from ..operators import mixtures as X
 from ..operators import models as M
 from ..operators import surrogate as U
 from ..operators import trees as T
+from ..operators import twinning as W
 from .leaves import CLASSES, CODED, MEDOIDS, TREES, coded
 from .registry import registrar, rounded
 from .scored import SCORED, candidates, scored
@@ -29,7 +30,9 @@ def sample(spark, sf_dir):
 
 @query("g04_fold_archive")
 def archive(spark, sf_dir):
-    return spark.createDataFrame([(i, z) for i, z in enumerate(D.fold_archive(standard(spark, sf_dir), ["z_x1", "z_x2"], "id", "fold", 12))], "cand int, z array<double>")
+    """Centres drawn from ten twin folds in turn."""
+    found = W.fold_archive(standard(spark, sf_dir), "id", ["z_x1", "z_x2"], 10, 12)
+    return found.select(F.col("place").alias("cand"), "fold", F.array("z_x1", "z_x2").alias("z"))
 
 
 @query("g10_required_support")

@@ -200,3 +200,32 @@ def twin_split(spark, sf_dir):
     from ..operators.twinning import twin_split
 
     return twin_split(scored(spark, sf_dir), "id", ["x1", "x2"], 4).select("id", "twin")
+
+
+@query("g07_multiplets")
+def multiplets(spark, sf_dir):
+    """All three strategies over all events."""
+    from ..operators.twinning import multiplets
+
+    d = scored(spark, sf_dir)
+    parts = [multiplets(d, "id", ["x1", "x2"], 4, s).select("id", F.lit(s).alias("strategy"), "part") for s in (1, 2, 3)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def halved_sql(features: list[str], levels: int) -> str:
+    """Each block halved at the median rank of its widest feature, unrolled."""
+    out = ", k0 AS (SELECT *, 0 AS block FROM scored)"
+    for i in range(levels):
+        wide = ", ".join(f"max({f}) - min({f}) AS w{j}" for j, f in enumerate(features))
+        pick = " ".join(f"WHEN w{j} = greatest({', '.join(f'w{x}' for x in range(len(features)))}) THEN {f}" for j, f in enumerate(features))
+        out += f""", s{i} AS (SELECT block, count(*) AS n, {wide} FROM k{i} GROUP BY block),
+k{i + 1} AS (SELECT scored.*, 2 * block + CASE WHEN 2 * (row_number() OVER (PARTITION BY block ORDER BY v, id) - 1) >= n THEN 1 ELSE 0 END AS block FROM (SELECT id, block, n, CASE {pick} END AS v FROM k{i} JOIN s{i} USING (block)) JOIN scored USING (id))"""
+    return out
+
+
+@query("w12_blocks", SCORED + halved_sql(["x2", "x3", "x1"], 4) + " SELECT id, block::BIGINT AS block FROM k4")
+def kd_blocks(spark, sf_dir):
+    """Sixteen blocks; two of the features have few values, so that most cuts go through ties."""
+    from ..operators.twinning import blocks
+
+    return blocks(scored(spark, sf_dir).select("id", "x1", "x2", "x3"), "id", ["x2", "x3", "x1"], 4).select("id", "block")
