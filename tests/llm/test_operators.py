@@ -3,6 +3,7 @@ extra columns."""
 
 import collections
 import hashlib
+import html.parser
 import itertools
 import random
 import re
@@ -630,6 +631,58 @@ def test_written_pages(page, text):
     assert html_tree.main_text(page, html_tree.default_weights()) == text
 
 
+LONG = "A paragraph of the article that says a lot about many things, and says all of it at some length. " * 3
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("<p data-x=it's>First piece of text that we don't know is here and it's long enough to matter.</p>", "First piece of text that we don't know is here and it's long enough to matter."),
+        ("<p title='a > b' class=x\"y>A paragraph whose attributes hold an angle and a quote, with words enough.</p>", "A paragraph whose attributes hold an angle and a quote, with words enough."),
+        ('<p class="x>A paragraph with a quote that never ends is text all the same, as far as it goes.</p>', "A paragraph with a quote that never ends is text all the same, as far as it goes."),
+        ("<!--><p>Text after an empty comment is shown by every browser, and it is long enough.</p><!-- x -->", "Text after an empty comment is shown by every browser, and it is long enough."),
+        ("<!---><p>Text after another empty comment is shown by every browser, and it is long enough.</p>", "Text after another empty comment is shown by every browser, and it is long enough."),
+        ("<!-- x --!><p>Text after a comment that ends with a bang is shown by every browser, too.</p>", "Text after a comment that ends with a bang is shown by every browser, too."),
+        ("</><p>Text after an end tag without a name is shown by every browser, too, and long.</p></ x>", "Text after an end tag without a name is shown by every browser, too, and long."),
+        ("<details><summary>More</summary><p>A long text that belongs to the article though it is folded away at first.</p></details>", "More\nA long text that belongs to the article though it is folded away at first."),
+        ('<div class="comments"><p>Nice post!</p><p>I agree with all of it, really.</p></div>', ""),
+        ('<section id="comments"><h3>Comments</h3><div class="comment"><p>Great article, thanks for sharing it with us.</p></div></section>', ""),
+    ],
+)
+def test_text_inside_an_article(inside, text):
+    page = f"<body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><h1>Title of it</h1><p>{LONG}</p>{inside}<p>{LONG}</p></article><footer>&copy; me</footer></body>"
+    assert html_tree.main_text(page, html_tree.default_weights()) == "\n".join(x for x in ("Title of it", LONG.strip(), text, LONG.strip()) if x)
+
+
+class Article(html.parser.HTMLParser):
+    """Another parser: words inside article elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.words = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.words += data.split()
+
+
+def test_pages_of_the_table(spark):
+    """Words of the given pages' articles, as another parser finds them."""
+    weights, hit, wanted, found = html_tree.default_weights(), 0, 0, 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        apart = Article()
+        apart.feed(r["html"] or "")
+        one, two = collections.Counter(apart.words), collections.Counter(html_tree.main_text(r["html"] or "", weights).split())
+        hit, wanted, found = hit + (one & two).total(), wanted + one.total(), found + two.total()
+    assert hit / wanted > 0.995 and hit / found > 0.995
+
+
 def test_plain_pages_are_mostly_read_back():
     """Pages whose names say little: the words of the main text, by links, lengths and places."""
     weights, hit, wanted, found = html_tree.default_weights(), 0, 0, 0

@@ -41,8 +41,11 @@ CLOSES = {
     "thead": (frozenset("thead tbody tfoot tr td th".split()), frozenset(["table"])),
     "tfoot": (frozenset("thead tbody tfoot tr td th".split()), frozenset(["table"])),
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+#: One attribute as HTML reads it: a quote opens a value only right after the equals sign.
+ONE = r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|((?!["'])[^\s>]+))?)?"""
+ATTRIBUTE = re.compile(ONE)
+#: Comments (which "-->", "--!>", or at once ">" and "->" end), other markup, and tags with their attributes.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>|<(/?)([a-zA-Z][^\s/>]*)((?>[\s/]+|" + re.sub(r"\((?!\?)", "(?:", ONE) + ")*+)>", re.S)
 NAMING = frozenset(["class", "id", "role", "aria-label"])
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
@@ -229,7 +232,7 @@ def describe(nodes: list[Node]) -> None:
         if not node.names:
             node.features.append(f"c-:{kind}")
         above = node.parent
-        held = "" if above is None else "main" if above.tag in ("article", "main") or "main" in above.names else "other" if above.names else KIND.get(above.tag, above.tag)
+        held = "" if above is None else "main" if above.tag in ("article", "main") or "main" in above.names else "comment" if "comment" in above.names else "other" if above.names else KIND.get(above.tag, above.tag)
         node.edge = f"e:{held}>{kind}"
 
 
@@ -346,6 +349,12 @@ def sample_pages(n: int = 160, seed: int = 1, plain: float = 0.0) -> list[tuple[
             return f'<{tag} class="{name}">' if dice.random() < 0.6 else f"<{tag}>"
         return f'<{tag} {dice.choice(["class", "id"])}="{dice.choice(HINTS[kind].split())}{dice.choice(["", "", "-box", " wide", "_1"])}">'
 
+    def comments():
+        """What readers say inside the article, in an element whose name tells it."""
+        tag, name = dice.choice(["div", "section", "ul"]), dice.choice(HINTS["comment"].split())
+        inner = "".join(dice.choice(["<p>{}</p>", '<div class="comment"><p>{}</p></div>']).format(say(2, 25)) for _ in range(dice.randint(1, 5)))
+        return f'<{tag} {dice.choice(["class", "id"])}="{name}">' + (f"<h3>{say(1, 3)}</h3>" if dice.random() < 0.5 else "") + inner + f"</{tag}>"
+
     def boiler():
         kind = dice.choice(["nav", "nav", "ad", "ad", "side", "notice", "form", "share", "comment", "foot", "head"])
         tag = {"nav": "nav", "side": "aside", "foot": "footer", "head": "header", "form": "form", "comment": "section"}.get(kind, "div")
@@ -403,14 +412,20 @@ def sample_pages(n: int = 160, seed: int = 1, plain: float = 0.0) -> list[tuple[
                 for _ in range(dice.randint(2, 4)):
                     block("td", 1, 4)
                 out.append("</tr></table>")
-            if dice.random() < 0.08:  # a box inside the article
-                out.append(dice.choice(["<figure>", "<section>", "<div>", named("main")]))
+            if dice.random() < 0.2:  # a box inside the article
+                out.append(dice.choice(["<figure>", "<section>", "<div>", "<div>", "<details>", named("main")]))
                 kind = re.match(r"<(\w+)", out[-1])[1]
+                if kind == "details":
+                    block("summary", 1, 4)
                 for _ in range(dice.randint(1, 3)):
                     block("figcaption" if kind == "figure" else "p", 2, 30)
                 out.append(f"</{kind}>")
             if dice.random() < 0.04:
                 out.append(boiler())
+            if dice.random() < 0.02:
+                out.append(comments())
+        if dice.random() < 0.15:
+            out.append(comments())
         style = dice.random() if dice.random() >= plain else 0.6
         if style < 0.5:
             return "<article>" + "".join(out) + "</article>", wanted
