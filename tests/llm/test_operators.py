@@ -378,6 +378,39 @@ def test_forward_backward_is_exact():
     assert np.isclose(pairs.sum(), 4)
 
 
+@pytest.mark.parametrize("segment", [1, 2, 3, 7, 50])
+def test_cut_chains_give_the_same_marginals(monkeypatch, segment):
+    dice = np.random.default_rng(1)
+    row = np.repeat(np.arange(6), [1, 40, 3, 7, 100, 2])
+    odds, move = 3 * dice.normal(size=len(row)), dice.normal(size=(2, 2))
+    p, pairs = crf.forward_backward(odds, row, move)
+    monkeypatch.setattr(crf, "SEGMENT", segment)
+    q, cut = crf.forward_backward(odds, row, move)
+    assert np.allclose(p, q, atol=1e-12) and np.allclose(pairs, cut, atol=1e-9)
+
+
+def test_odds_without_what_they_used():
+    dice = np.random.default_rng(2)
+    bins, row = dice.integers(0, crf.BINS, (50, crf.N_FEATURES)).astype(np.uint8), np.sort(dice.integers(0, 9, 50))
+    weights = dice.normal(size=crf.WIDTH)
+    assert np.allclose(crf.line_odds(bins, row, weights), crf.scores(bins, row, weights)[0])
+    assert crf.line_odds(bins[:0], row[:0], weights).tolist() == []
+
+
+def test_long_text_is_scored_in_bounded_time():
+    """A million lines; the messages' steps grow with the root of their number."""
+    import time
+    import tracemalloc
+
+    raw = np.frombuffer(b"some words here\n" * 1_000_000, dtype=np.uint8)
+    trained = (np.zeros(crf.WIDTH), np.ones((2, 2)), (1.0, 0.0))
+    began = time.perf_counter()
+    tracemalloc.start()
+    assert 0 <= crf.score_texts(raw, np.array([0, len(raw)]), trained)[0] <= 1
+    assert time.perf_counter() - began < 60 and tracemalloc.get_traced_memory()[1] < 1_500_000_000
+    tracemalloc.stop()
+
+
 # -- host rules ---------------------------------------------------------------------------------------------------------------
 
 

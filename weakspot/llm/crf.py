@@ -113,34 +113,82 @@ def scores(bins: np.ndarray, row: np.ndarray, weights: np.ndarray):
     return np.append(weights, 0.0)[used].sum(axis=1), used
 
 
+def line_odds(bins: np.ndarray, row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The log-odds of scores(), without what they used: a few numbers a line."""
+    base = N_FEATURES * BINS
+    own, before, after = np.zeros(len(bins)), np.zeros(len(bins)), np.zeros(len(bins))
+    for f in range(N_FEATURES):
+        at = bins[:, f].astype(np.int64) + f * BINS
+        own += weights[at]
+        before += weights[at + base]
+        after += weights[at + 2 * base]
+    same = row[1:] == row[:-1]
+    own[1:] += np.where(same, before[:-1], weights[3 * base + 1])
+    own[:-1] += np.where(same, after[1:], weights[3 * base + 2])
+    if len(own):
+        own[0] += weights[3 * base + 1]
+        own[-1] += weights[3 * base + 2]
+    return own + weights[3 * base]
+
+
+#: Lines of a segment; a longer text is several, so that its steps grow with the root of its length rather than with it.
+SEGMENT = 512
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
 def forward_backward(odds: np.ndarray, row: np.ndarray, move: np.ndarray):
-    """P(good) of each line, and summed P(state, next state) as a 2 x 2 table. move: log transition scores."""
+    """P(good) of each line, and summed P(state, next state) as a 2 x 2 table. move: log transition scores.
+
+    All texts' chains go on side by side. A chain of more than SEGMENT lines is cut: products of its segments' matrices, which
+    are made side by side too, give the messages at the cuts, so the result is the same up to rounding.
+    """
     n = len(odds)
     heads = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     length = np.diff(np.append(heads, n))
-    order = np.argsort(-length, kind="stable")
-    heads, length = heads[order], length[order]
+    parts = -(-length // SEGMENT)
+    chain = np.repeat(np.arange(len(heads)), parts)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = heads[chain] + number * SEGMENT
+    size = np.minimum(SEGMENT, length[chain] - number * SEGMENT)
     here = np.stack([np.ones(n), np.exp(np.clip(odds, -30, 30))], axis=1)
     step = np.exp(np.clip(move, -20, 20))
+    opens = number == 0  # no step leads to a chain's first line
+    order = np.argsort(-size, kind="stable")
+    live = np.searchsorted(-size[order], -np.arange(SEGMENT), side="left")  # segments longer than t
+    coming, going = np.ones((len(chain), 2)), np.ones((len(chain), 2))  # messages into a segment from before and from behind
+    if len(chain) > len(heads):
+        whole = np.where(opens[:, None, None], np.eye(2), step) * here[start][:, None, :]
+        for t in range(1, SEGMENT):
+            at = order[: live[t]]
+            whole[at] = _unit(whole[at] @ step * here[start[at] + t][:, None, :])
+        last = np.cumsum(parts) - 1
+        for k in range(1, int(parts.max())):
+            at = np.flatnonzero(number == k)
+            coming[at] = _unit((coming[at - 1][:, None, :] @ whole[at - 1])[:, 0])
+            at = last[parts > k] - k  # the k-th segment from behind
+            going[at] = _unit((whole[at + 1] @ going[at + 1][:, :, None])[:, :, 0])
     ahead, back = np.empty((n, 2)), np.empty((n, 2))
-    longest = int(length[0])
-    live = np.searchsorted(-length, -np.arange(longest), side="left")  # chains longer than t
-    state = here[heads]
-    for t in range(longest):
-        at = heads[: live[t]] + t
+    state = np.where(opens[:, None], coming, coming @ step)[order] * here[start[order]]
+    for t in range(SEGMENT):
+        at = order[: live[t]]
+        if not len(at):
+            break
         if t:
-            state = (state[: live[t]] @ step) * here[at]
-        state = state / state.sum(axis=1, keepdims=True)
-        ahead[at] = state
+            state = (state[: live[t]] @ step) * here[start[at] + t]
+        state = _unit(state)
+        ahead[start[at] + t] = state
+    back[start + size - 1] = going
+    for t in range(min(SEGMENT, int(size.max(initial=0))) - 2, -1, -1):
+        at = start[order[: live[t + 1]]] + t
+        back[at] = _unit((here[at + 1] * back[at + 1]) @ step.T)
+    at = np.flatnonzero(row[1:] == row[:-1])
     pairs = np.zeros((2, 2))
-    back[heads + length - 1] = 1.0
-    for t in range(longest - 2, -1, -1):
-        at = heads[: live[t + 1]] + t
-        coming = here[at + 1] * back[at + 1]
-        both = ahead[at][:, :, None] * step[None] * coming[:, None, :]
-        pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        value = coming @ step.T
-        back[at] = value / value.sum(axis=1, keepdims=True)
+    for a in range(0, len(at), 65536):
+        one = at[a : a + 65536]
+        pairs += _unit(ahead[one][:, :, None] * step[None] * (here[one + 1] * back[one + 1])[:, None, :]).sum(axis=0)
     joint = ahead * back
     return joint[:, 1] / joint.sum(axis=1), pairs
 
@@ -198,7 +246,7 @@ def score_texts(raw, offsets, trained) -> np.ndarray:
     bins, row, size = line_features(raw, offsets)
     if not len(row):
         return np.zeros(rows)
-    p, _ = forward_backward(scores(bins, row, weights)[0], row, move)
+    p, _ = forward_backward(line_odds(bins, row, weights), row, move)
     found = quality(p, row, size, rows)
     return np.where(np.isnan(found), 0.0, 1 / (1 + np.exp(-(a * _logit(np.nan_to_num(found)) + b))))
 
