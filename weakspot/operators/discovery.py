@@ -166,9 +166,9 @@ def medoid_loop(rows: DataFrame, key: str, y: str, loss: str, codes: str, pool:
 
 
 def twice_the_same(rows: DataFrame, candidates: DataFrame, features: Sequence[str], key: str, loss: str) -> DataFrame:
-    """cand, same: whether measuring again gives the same contrast to the last bit but rounding."""
+    """cand, contrast, same: whether measuring again gives the same contrast to the last bit but rounding."""
     once = [measure(membership(rows, candidates, features, key), rows, key, loss, math.inf).select("cand", F.round("contrast", 12).alias(f"c{i}")) for i in (0, 1)]
-    return once[0].join(once[1], "cand").select("cand", F.col("c0").eqNullSafe(F.col("c1")).alias("same"))
+    return once[0].join(once[1], "cand").select("cand", F.col("c0").alias("contrast"), F.col("c0").eqNullSafe(F.col("c1")).alias("same"))
 
 
 def comparison_table(runs: DataFrame, by: Sequence[str], value: str) -> DataFrame:

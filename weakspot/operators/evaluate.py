@@ -174,7 +174,7 @@ def histogram(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
 
 
 def js_profile(rows: DataFrame, mask: Column, features: Sequence[str], bins: int = 10) -> DataFrame:
-    """feature, js (bits), region_median, rest_median, top_bin, enrichment: where region and rest differ, largest js first.
+    """feature, js (bits), top_bin, region_share, rest_share, enrichment (their ratio), and region's and rest's means and medians: where region and rest differ, largest js first.
 
     Bins are cut at the distinct deciles of all rows. All features go through one long relation.
     """
@@ -188,8 +188,10 @@ def js_profile(rows: DataFrame, mask: Column, features: Sequence[str], bins: int
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / F.col("m"))).otherwise(0.0)
     enriched = F.round(ratio(F.col("p"), F.col("q")), 10)
     best = F.max_by("bin", F.struct(F.coalesce(enriched, F.lit(-1.0)), -F.col("bin")))
-    js = cell.groupBy("feature").agg((F.sum(part("p") + part("q")) / 2).alias("js"), best.alias("top_bin"), F.max(enriched).alias("enrichment"))
-    middle = long.groupBy("feature").agg(F.percentile(F.when(F.col("inside"), F.col("x")), 0.5).alias("region_median"), F.percentile(F.when(~F.col("inside"), F.col("x")), 0.5).alias("rest_median"))
+    top = lambda x: F.max_by(x, F.struct(F.coalesce(enriched, F.lit(-1.0)), -F.col("bin")))
+    js = cell.groupBy("feature").agg((F.sum(part("p") + part("q")) / 2).alias("js"), best.alias("top_bin"), top("p").alias("region_share"), top("q").alias("rest_share"), F.max(enriched).alias("enrichment"))
+    means = [F.avg(F.when(F.col("inside"), F.col("x"))).alias("region_mean"), F.avg(F.when(~F.col("inside"), F.col("x"))).alias("rest_mean")]
+    middle = long.groupBy("feature").agg(*means, F.percentile(F.when(F.col("inside"), F.col("x")), 0.5).alias("region_median"), F.percentile(F.when(~F.col("inside"), F.col("x")), 0.5).alias("rest_median"))
     return js.join(middle, "feature").orderBy(F.desc("js"), "feature")
 
 

@@ -186,17 +186,6 @@ def gaussian_gate(features: Sequence[str], centres: Sequence[Sequence[float]], s
     return [x / total for x in raw]
 
 
-def fit_monotone_mixture(df: DataFrame, features: Sequence[str], y: str, signs: Mapping[str, int], experts: int = 3, trees: int = 30, seed: int = 0) -> Scorer:
-    """Experts of monotone boosted trees, weighted by a soft gate around k-means centres, pooled as probabilities."""
-    stats = df.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
-    centres = kmeans_centres(df, features, experts, 2, seed)
-    scale = max(1e-9, sum(float(stats[f] or 0.0) for f in features) / len(features))
-    gate = gaussian_gate(features, centres, scale)
-    fitted = [boost(df.withColumn("_gate", g), features, y, "logistic", trees, 2, signs=signs, weight="_gate") for g in gate]
-    pooled = sum((g * m.expression for g, m in zip(gate, fitted, strict=True)), F.lit(0.0))
-    return Scorer(pooled, parts={"experts": fitted, "centres": centres, "gate": gate})
-
-
 def fit_fanova(df: DataFrame, features: Sequence[str], y: str, signs: Mapping[str, int] | None = None, pairs: int = 5, trees: int = 30) -> Scorer:
     """Main effects first, then the strongest pairs on what is left. Pairs are ranked by a detector's gains."""
     detector = boost(df, features, y, "logistic", trees, 2)

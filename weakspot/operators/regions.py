@@ -69,6 +69,16 @@ def membership(rows: DataFrame, candidates: DataFrame, features: Sequence[str],
     return ranked.where("r <= m").select("cand", key, "u")
 
 
+def nearest_admissible(rows: DataFrame, mask: Column, features: Sequence[str], key: str, m: int, metric: str = "box") -> DataFrame:
+    """key, u of the region of m rows that stands for any set of rows: the cube (or ball) around the set's centroid.
+
+    A set without rows has no centroid and gives no region. The region's frozen rule is its centre and largest u.
+    """
+    centre = rows.where(F.coalesce(mask, F.lit(False))).agg(F.array(*[F.avg(f) for f in features]).alias("z"))
+    one = centre.where(F.get("z", F.lit(0)).isNotNull()).select(F.lit(0).alias("cand"), "z", F.array(*[F.lit(1.0)] * len(features)).alias("w"), F.lit(m).alias("m"))
+    return membership(rows, one, features, key, metric).select(key, "u")
+
+
 def nearest_mean(rows: DataFrame, candidates: DataFrame, features: Sequence[str], key: str, value: str) -> DataFrame:
     """cand, n, mean of `value` over the m nearest rows."""
     near = membership(rows, candidates, features, key, "ball")

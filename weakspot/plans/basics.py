@@ -283,12 +283,12 @@ bn AS (SELECT feature, inside, CAST(len(list_filter(cuts, lambda c: c <= x)) AS
 cell AS (SELECT feature, bin, count(*) FILTER (inside) AS a, count(*) FILTER (NOT inside) AS b FROM bn GROUP BY ALL),
 pq AS (SELECT feature, bin, a / sum(a) OVER (PARTITION BY feature)::DOUBLE AS p, b / sum(b) OVER (PARTITION BY feature)::DOUBLE AS q FROM cell),
 js AS (SELECT feature, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS js FROM pq GROUP BY feature),
-top AS (SELECT feature, bin AS top_bin, en AS enrichment FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY coalesce(en, -1e0) DESC, bin) AS k FROM (SELECT feature, bin, round(p / nullif(q, 0), 10) AS en FROM pq)) WHERE k = 1),
-md AS (SELECT feature, quantile_cont(x, 0.5) FILTER (inside) AS region_median, quantile_cont(x, 0.5) FILTER (NOT inside) AS rest_median FROM lng GROUP BY feature)"""
+top AS (SELECT feature, bin AS top_bin, p AS region_share, q AS rest_share, en AS enrichment FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY coalesce(en, -1e0) DESC, bin) AS k FROM (SELECT feature, bin, p, q, round(p / nullif(q, 0), 10) AS en FROM pq)) WHERE k = 1),
+md AS (SELECT feature, avg(x) FILTER (inside) AS region_mean, avg(x) FILTER (NOT inside) AS rest_mean, quantile_cont(x, 0.5) FILTER (inside) AS region_median, quantile_cont(x, 0.5) FILTER (NOT inside) AS rest_median FROM lng GROUP BY feature)"""
 )
 
 
-@query("c17_js_profile", JS + f" SELECT feature, top_bin, {r('js', 'enrichment', 'region_median', 'rest_median')} FROM js JOIN top USING (feature) JOIN md USING (feature)")
+@query("c17_js_profile", JS + f" SELECT feature, top_bin, {r('js', 'region_share', 'rest_share', 'enrichment', 'region_mean', 'rest_mean', 'region_median', 'rest_median')} FROM js JOIN top USING (feature) JOIN md USING (feature)")
 def js_profile(spark, sf_dir):
     return rounded(E.js_profile(scored(spark, sf_dir), F.col("x1") > 60, FEATURES))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scoring import normal_cdf, normal_cdf_sql, normal_pdf
 from ..operators import confirm as C
+from ..operators.evaluate import cluster_summary
 from .registry import r, registrar, rounded
 from .scored import SCORED, scored
 
@@ -88,33 +90,55 @@ def bca(spark, sf_dir):
     return spark.createDataFrame([tuple(found[k] for k in ("theta", "low", "high", "p", "support"))], "theta double, low double, high double, p double, support long")
 
 
-@query("i06_critical_value", f"SELECT 19 AS claims, round({Z19!r}::DOUBLE, 6) AS z UNION ALL SELECT 5, round({C.critical_value(5)!r}::DOUBLE, 6)")
+@query("f02_normal", SCORED + f" SELECT id, round({normal_cdf_sql('(x1 - 50) / 25')}, 6) + 0e0 AS below, round(exp(-((x1 - 50) / 25) * ((x1 - 50) / 25) / 2) / sqrt(2 * pi()), 6) + 0e0 AS density FROM scored")
+def normal(spark, sf_dir):
+    z = (F.col("x1") - 50) / 25
+    return rounded(scored(spark, sf_dir).select("id", normal_cdf(z).alias("below"), normal_pdf(z).alias("density")))
+
+
+@query("i06_critical_value", SCORED + ", c AS (SELECT 'grp' AS name, count(DISTINCT grp) AS claims FROM scored UNION ALL SELECT 'fold', count(DISTINCT fold) FROM scored UNION ALL SELECT 'x2', count(DISTINCT x2) FROM scored) SELECT name, claims, round(1 - 0.05e0 / (2 * claims), 6) AS below FROM c")
 def critical(spark, sf_dir):
-    return rounded(spark.createDataFrame([(k, C.critical_value(k)) for k in (19, 5)], "claims int, z double"))
+    """As many claims as a column has values; below is what the critical value leaves below it."""
+    counts = scored(spark, sf_dir).agg(*[F.count_distinct(c).alias(c) for c in ("grp", "fold", "x2")]).first().asDict()
+    found = spark.createDataFrame([(c, k, C.critical_value(k)) for c, k in counts.items()], "name string, claims long, z double")
+    return rounded(found.select("name", "claims", normal_cdf("z").alias("below")))
 
 
-P_VALUES = [0.0004, 0.003, 0.011, 0.019, 0.028, 0.04, 0.04, 0.2, 0.33, 0.7, 0.95, None]
-CLAIMS = "WITH cl(claim, p) AS (VALUES " + ", ".join(f"({i}, {'NULL' if p is None else f'{p!r}::DOUBLE'})" for i, p in enumerate(P_VALUES)) + "), kn AS (SELECT *, row_number() OVER (ORDER BY p, claim) AS rn, count(*) OVER () AS g FROM cl WHERE p IS NOT NULL)"
+#: One claim a group and split: the group's mean loss is over the split's others', by the normal tail of gap over standard error.
+CLAIMS = (
+    SCORED
+    + """, part AS (SELECT split, grp, count(*)::DOUBLE AS n, sum(loss) AS s, sum(loss * loss) AS q FROM scored GROUP BY ALL),
+whole AS (SELECT split, sum(n) AS nn, sum(s) AS ss, sum(q) AS qq FROM part GROUP BY split),
+gaps AS (
+  SELECT split || '/' || grp AS claim, s / n - (ss - s) / (nn - n) AS gap,
+    sqrt((q - s * s / n) / (n - 1) / n + (qq - q - (ss - s) * (ss - s) / (nn - n)) / (nn - n - 1) / (nn - n)) AS se FROM part JOIN whole USING (split)),
+cl AS (SELECT claim, round(1 - """
+    + normal_cdf_sql("gap / se")
+    + """, 9) + 0e0 AS p FROM gaps), kn AS (SELECT *, row_number() OVER (ORDER BY p, claim) AS rn, count(*) OVER () AS g FROM cl WHERE p IS NOT NULL)"""
+)
 
 
-def claims(spark):
-    return spark.createDataFrame(list(enumerate(P_VALUES)), "claim int, p double")
+def claims(spark, sf_dir):
+    d = scored(spark, sf_dir)
+    cells = [cluster_summary(d.where(F.col("split") == s), "grp", "y", "loss").select(F.concat_ws("/", F.lit(s), "grp").alias("claim"), "gap", "se") for s in ("train", "discovery", "confirm")]
+    every = cells[0].union(cells[1]).union(cells[2])
+    return every.select("claim", (F.round(1 - normal_cdf(F.col("gap") / F.col("se")), 9) + 0.0).alias("p"))
 
 
 @query(
     "w05_benjamini_hochberg",
-    CLAIMS + ", a AS (SELECT claim, least(1e0, min(p * g / rn) OVER (ORDER BY p, claim ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adjusted, rn <= max(CASE WHEN p * g / rn <= 0.05e0 THEN rn END) OVER () AS rejected FROM kn) SELECT claim, p, round(adjusted, 6) AS adjusted, coalesce(rejected, false) AS rejected FROM cl LEFT JOIN a USING (claim)",
+    CLAIMS + ", a AS (SELECT claim, least(1e0, min(p * g / rn) OVER (ORDER BY p, claim ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adjusted, rn <= max(CASE WHEN p * g / rn <= 0.5e0 THEN rn END) OVER () AS rejected FROM kn) SELECT claim, round(p, 6) AS p, round(adjusted, 6) AS adjusted, coalesce(rejected, false) AS rejected FROM cl LEFT JOIN a USING (claim)",
 )
 def bh(spark, sf_dir):
-    return C.benjamini_hochberg(claims(spark), "claim", "p", 0.05).withColumn("adjusted", F.round("adjusted", 6))
+    return rounded(C.benjamini_hochberg(claims(spark, sf_dir), "claim", "p", 0.5))
 
 
 @query(
     "w06_holm",
-    CLAIMS + ", a AS (SELECT claim, least(1e0, max(p * (g - rn + 1)) OVER (ORDER BY p, claim ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adjusted FROM kn) SELECT claim, p, round(adjusted, 6) AS adjusted, coalesce(adjusted <= 0.05e0, false) AS rejected FROM cl LEFT JOIN a USING (claim)",
+    CLAIMS + ", a AS (SELECT claim, least(1e0, max(p * (g - rn + 1)) OVER (ORDER BY p, claim ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adjusted FROM kn) SELECT claim, round(p, 6) AS p, round(adjusted, 6) AS adjusted, coalesce(adjusted <= 0.5e0, false) AS rejected FROM cl LEFT JOIN a USING (claim)",
 )
 def holm(spark, sf_dir):
-    return C.holm(claims(spark), "claim", "p", 0.05).withColumn("adjusted", F.round("adjusted", 6))
+    return rounded(C.holm(claims(spark, sf_dir), "claim", "p", 0.5))
 
 
 @query("i09_optimism", SCORED + ", g AS (SELECT grp, split, avg(loss) AS v FROM scored GROUP BY ALL) SELECT d.grp, round(d.v, 6) AS discovery, round(c.v, 6) AS confirmation, round(d.v - c.v, 6) + 0e0 AS optimism FROM g AS d JOIN g AS c USING (grp) WHERE d.split = 'discovery' AND c.split = 'confirm'")
@@ -123,8 +147,8 @@ def optimism(spark, sf_dir):
     return rounded(C.optimism(g.where("split = 'discovery'"), g.where("split = 'confirm'"), "grp"))
 
 
-@query("g11_prevalence_floor", "SELECT min(k / 20000e0) AS floor FROM range(1, 20001) AS t(k) WHERE 5000 * (k / 20000e0) - 1.96e0 * sqrt(5000 * (k / 20000e0) * (1 - k / 20000e0)) >= 30")
+@query("g11_prevalence_floor", SCORED + ", n AS (SELECT split, count(*) AS n FROM scored GROUP BY split) SELECT split, n, coalesce(min(k / 20000e0), 1e0) AS floor FROM n LEFT JOIN range(1, 20001) AS t(k) ON n * (k / 20000e0) - 1.96e0 * sqrt(n * (k / 20000e0) * (1 - k / 20000e0)) >= 30 GROUP BY split, n")
 def floor(spark, sf_dir):
-    p = F.col("id") / 20000.0
-    grid = spark.range(1, 20001).select(p.alias("p"))
-    return grid.where(5000 * F.col("p") - 1.96 * F.sqrt(5000 * F.col("p") * (1 - F.col("p"))) >= 30).agg(F.min("p").alias("floor"))
+    """Of as many rows as each split has."""
+    counts = scored(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n")).collect()  # a row a split
+    return spark.createDataFrame([(x["split"], x["n"], C.prevalence_floor(x["n"], 30, 1.96)) for x in counts], "split string, n long, floor double")

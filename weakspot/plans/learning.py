@@ -15,7 +15,7 @@ from ..operators import trees as T
 from ..operators import twinning as W
 from .leaves import CLASSES, CODED, MEDOIDS, TREES, coded
 from .registry import registrar, rounded
-from .scored import SCORED, candidates, scored
+from .scored import MEASURED, SCORED, candidates, scored
 from .search import standard
 
 REGISTRY: dict = {}
@@ -137,9 +137,9 @@ def calibration(spark, sf_dir):
     return spark.createDataFrame([(*r, *summary.values()) for r in rows], "treatment string, coverage90 double, rmse double, variance double, noise double, n int, y_sd double, mean_overlap double, repeated double, distinct int, kernel_overlap double")
 
 
-@query("s19_twice_the_same", "SELECT CAST(range AS INT) AS cand, true AS same FROM range(8)")
+@query("s19_twice_the_same", MEASURED + " SELECT cand, round(contrast, 6) + 0e0 AS contrast, true AS same FROM measured")
 def twice(spark, sf_dir):
-    return D.twice_the_same(standard(spark, sf_dir), candidates(spark), ["z_x1", "z_x2"], "id", "loss")
+    return rounded(D.twice_the_same(standard(spark, sf_dir), candidates(spark), ["z_x1", "z_x2"], "id", "loss"))
 
 
 @query("s20_compare")

@@ -127,9 +127,14 @@ def region_score(spark, sf_dir):
     return rounded(members(spark, sf_dir).join(s, "id").groupBy("cand").agg(F.avg("s").alias("score")))
 
 
-@query("t02_interactions", "SELECT * FROM (VALUES ('x1', 'x2', 2e0 + 1e0 / 3 + 2e0 / 3), ('x1', 'x3', 1e0), ('x2', 'x3', 1e0)) AS t(f, g, gain)")
+@query(
+    "t02_interactions",
+    CODED + ", g AS (SELECT count(*) * var_pop(v0) AS g0, count(*) * var_pop(v1) AS g1, count(*) * var_pop(v2) AS g2 FROM coded) SELECT t.f, t.g, round(CASE WHEN t.f = 'x1' AND t.g = 'x2' THEN g0 ELSE 0 END + (g1 + g2) / 3, 6) AS gain FROM g, (VALUES ('x1', 'x2'), ('x1', 'x3'), ('x2', 'x3')) AS t(f, g)",
+)
 def interactions(spark, sf_dir):
-    return T.interactions(spark, TREES, [2.0, 1.0, 2.0]).withColumn("gain", F.round("gain", 12))
+    """A tree's gain: what its values add to the variance of the score over all rows."""
+    one = scored(spark, sf_dir).agg(*[(F.count("*") * F.var_pop(T.value(t))).alias(f"g{i}") for i, t in enumerate(TREES)]).first()
+    return T.interactions(spark, TREES, list(map(float, one))).withColumn("gain", F.round("gain", 6))
 
 
 @query("l10_medoids")
@@ -166,10 +171,12 @@ def logistic(spark, sf_dir):
 
 @query("l14_monotone_mixture")
 def monotone_mixture(spark, sf_dir):
-    from ..operators.models import fit_monotone_mixture
+    """Fitted on the train split; score, gate and part of the confirm split."""
+    from ..operators.estimators import MonotoneMixture
 
     d = scored(spark, sf_dir)
-    return fit_monotone_mixture(d.where("split = 'train'"), ["x1", "x2"], "y", {"x1": 1}, experts=2, trees=4).score(d.where("split = 'confirm'")).select("id", "score")
+    model = MonotoneMixture(features=["x1", "x2"], signs=[1, 0], clusters=2, folds=3, gateTrees=8, gateRate=0.3, trees=4, rate=0.2).fit(d.where("split = 'train'"))
+    return model.transform(d.where("split = 'confirm'")).select("id", "score", "score_gate", "score_cluster")
 
 
 @query("g06_twin_folds")

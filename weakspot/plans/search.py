@@ -9,7 +9,7 @@ from ..operators import frontier as P
 from ..operators import regions as R
 from .basics import LIFTS, SUMMARY, masks
 from .registry import r, registrar, rounded
-from .scored import MEASURED, SCORED, candidates, members_sql, scored, table
+from .scored import MEASURED, SCORED, STANDARD, candidates, members_sql, scored, table
 
 REGISTRY: dict = {}
 query = registrar(REGISTRY)
@@ -233,9 +233,15 @@ def cell_unions(spark, sf_dir):
     return rounded(held.select("a", "b", "n", (F.col("s") / F.col("n")).alias("loss")))
 
 
-@query("u08_simplex", "SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(6 - a - b AS INT) AS c FROM range(7) AS t(a), range(7) AS u(b) WHERE a + b <= 6")
+@query(
+    "u08_simplex",
+    SCORED + ", m AS (SELECT avg(loss) FILTER (split = 'train') AS m1, avg(loss) FILTER (split = 'discovery') AS m2, avg(loss) FILTER (split = 'confirm') AS m3 FROM scored) SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(6 - a - b AS INT) AS c, round((a * m1 + b * m2 + (6 - a - b) * m3) / 6, 6) AS blend FROM range(7) AS t(a), range(7) AS u(b), m WHERE a + b <= 6",
+)
 def simplex(spark, sf_dir):
-    return P.simplex(spark, 6)
+    """The splits' mean losses blended by each point of the lattice."""
+    means = scored(spark, sf_dir).agg(*[F.avg(F.when(F.col("split") == s, F.col("loss"))).alias(f"m{i}") for i, s in enumerate(("train", "discovery", "confirm"))])
+    blend = (F.col("a") * F.col("m0") + F.col("b") * F.col("m1") + F.col("c") * F.col("m2")) / 6
+    return rounded(P.simplex(spark, 6).crossJoin(F.broadcast(means)).select("a", "b", "c", blend.alias("blend")))
 
 
 @query("u09_crossed_design", "SELECT r_name AS task, rule FROM region, (VALUES ('a'), ('b'), ('c')) AS v(rule)")
@@ -281,6 +287,15 @@ def rank_gap(spark, sf_dir):
     return rounded(measured(spark, sf_dir).agg(F.corr("mean_in", "contrast").alias("pearson"), F.max_by("cand", F.round("mean_in", 10)).alias("best")))
 
 
-@query("s16_nearest_admissible", SCORED + " SELECT round(avg(x1), 6) AS x1, round(avg(x2), 6) AS x2 FROM scored WHERE y = 1")
+@query(
+    "s16_nearest_admissible",
+    STANDARD + """, ce AS (SELECT avg(z_x1) AS c1, avg(z_x2) AS c2 FROM std WHERE loss > 0.5e0),
+nr AS (SELECT id, loss, round(greatest(abs(z_x1 - c1), abs(z_x2 - c2)), 10) AS u, round(sqrt((z_x1 - c1) * (z_x1 - c1) + (z_x2 - c2) * (z_x2 - c2)), 10) AS d FROM std, ce),
+inside AS (SELECT id, u, row_number() OVER (ORDER BY u, d, id) <= 120 AS member, loss FROM nr)
+SELECT id, round(u, 6) + 0e0 AS u, loss > 0.5e0 AS given FROM inside WHERE member""",
+)
 def nearest_admissible(spark, sf_dir):
-    return rounded(scored(spark, sf_dir).where("y = 1").agg(F.avg("x1").alias("x1"), F.avg("x2").alias("x2")))
+    """The cube of 120 rows around the centroid of the rows of high loss."""
+    d = standard(spark, sf_dir)
+    found = R.nearest_admissible(d, F.col("loss") > 0.5, ["z_x1", "z_x2"], "id", 120)
+    return rounded(found.join(d.select("id", (F.col("loss") > 0.5).alias("given")), "id").select("id", "u", "given"))
