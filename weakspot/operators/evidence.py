@@ -111,6 +111,8 @@ def packets(schema: DataFrame, store: DataFrame) -> DataFrame:
     return both.groupBy("section").agg(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), pair))).alias("facts"), F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.col("id")))).alias("gaps"))
 
 
+#: Java's pattern switch for letters and digits of all scripts.
+ALL_SCRIPTS = "(?U)"
 #: A number in running text that isn't part of a longer one (a fixed value).
 NUMBER = r"(?<![\d.])\d+(?:\.\d+)?(?!\d)"
 #: Phrases by which a text says that evidence is missing (fixed values).
@@ -135,9 +137,9 @@ def load_provenance(documents: DataFrame) -> DataFrame:
 
 
 def states(text: Column, value: Column) -> Column:
-    """Whether a text holds a value between word boundaries, case aside."""
+    """Whether a text holds a value between word boundaries, case aside; letters and digits of all scripts make words."""
     quoted = F.concat(F.lit("\\Q"), F.replace(F.lower(value), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.regexp_like(F.lower(text), F.concat(F.lit(r"(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+    return F.regexp_like(F.lower(text), F.concat(F.lit(ALL_SCRIPTS + r"(?<!\w)"), quoted, F.lit(r"(?!\w)")))
 
 
 def section_scores(sections: DataFrame) -> DataFrame:
@@ -150,9 +152,9 @@ def section_scores(sections: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(F.size(b) == 0, 1.0).otherwise(F.size(a) / F.size(b))
     stated = lambda facts: F.filter(facts, lambda f: states(F.col("text"), f["tail"]))
     tails = F.transform(F.concat("values", "qualifiers"), lambda f: f["tail"])
-    numbers = F.filter(tails, lambda t: F.regexp_like(t, F.lit(r"^\d+(\.\d+)?$")))
+    numbers = F.filter(tails, lambda t: F.regexp_like(t, F.lit(ALL_SCRIPTS + r"^\d+(\.\d+)?$")))
     held = sections.withColumns({
-        "_v": stated(F.col("values")), "_q": stated(F.col("qualifiers")), "_n": F.array_distinct(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))),
+        "_v": stated(F.col("values")), "_q": stated(F.col("qualifiers")), "_n": F.array_distinct(F.regexp_extract_all("text", F.lit(ALL_SCRIPTS + NUMBER), F.lit(0))),
         "_p": numbers, "_g": F.filter("gaps", lambda head: ~gap_asserted(F.col("text"), head)),
     })
     said = F.concat("_v", "_q")
@@ -178,17 +180,23 @@ def says_missing(text: Column) -> Column:
 
 
 def evaluate_plans(plans: DataFrame, packet: DataFrame) -> DataFrame:
-    """plan, valid, coverage, admissible from plans (plan, facts) against a packet (one row: facts, qualifiers required)."""
+    """plan, valid, coverage, qualifier_coverage, admissible, cost of plans (plan, facts) against a packet (one row: facts, qualifiers required).
+
+    Coverages are the shares of the packet's facts and required qualifiers that a plan holds; 1 where there are none.
+    """
     both = plans.crossJoin(F.broadcast(packet.select(F.col("facts").alias("_p"), F.col("qualifiers").alias("_q"))))
     once = F.size("facts") == F.size(F.array_distinct("facts"))
     inside = F.size(F.array_except("facts", "_p")) == 0
     coverage = F.when(F.size("_p") == 0, 1.0).otherwise(F.size(F.array_intersect("facts", "_p")) / F.size("_p"))
     held = F.size(F.array_except("_q", "facts")) == 0
-    return both.select("plan", (once & inside).alias("valid"), coverage.alias("coverage"), (once & inside & held & (coverage == 1.0)).alias("admissible"), F.size("facts").alias("cost"))
+    required = F.when(F.size("_q") == 0, 1.0).otherwise(F.size(F.array_intersect("facts", "_q")) / F.size("_q"))
+    return both.select("plan", (once & inside).alias("valid"), coverage.alias("coverage"), required.alias("qualifier_coverage"), (once & inside & held & (coverage == 1.0)).alias("admissible"), F.size("facts").alias("cost"))
 
 
-def render(plans: DataFrame, store: DataFrame) -> DataFrame:
-    """plan, text: the plan's facts in its order, one sentence each."""
+def render(plans: DataFrame, store: DataFrame, packet: DataFrame | None = None) -> DataFrame:
+    """plan, text: the plan's facts in its order, one sentence each; given the packet, of admissible plans only."""
+    if packet is not None:
+        plans = plans.join(evaluate_plans(plans, packet).where("admissible").select("plan"), "plan", "left_semi")
     long = plans.select("plan", F.posexplode("facts").alias("pos", "id")).join(store.select("id", "value"), "id")
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.concat("id", F.lit(" = "), "value").alias("s"))))
     return long.groupBy("plan").agg(F.concat_ws("; ", F.transform(ordered, lambda x: x["s"])).alias("text"))
@@ -270,3 +278,79 @@ def flatten(document, at: str = "") -> list[tuple[str, str, str]]:
     if isinstance(document, list):
         return [x for i, v in enumerate(document) for x in flatten(v, f"{at}/{i}")]
     return [(at, document if isinstance(document, str) else json.dumps(document), value_type(document))]
+
+
+# -- strict JSON --------------------------------------------------------------------------------------------------------------
+
+
+def json_fault(text: Column) -> Column:
+    """What is wrong with a JSON text: malformed, repeated key, not finite (NaN, an infinity, or a number too large for one), or null.
+
+    A null text is malformed. Checked text by text in Arrow batches by the reader that files are read with.
+    """
+    from ..sources.files import strict_json
+
+    def fault(x: str | None) -> str | None:
+        try:
+            strict_json(x or "")
+        except RecursionError:
+            return "malformed"
+        except ValueError as e:
+            return "repeated key" if "twice" in str(e) else "not finite" if "no JSON number" in str(e) else "malformed"
+        return None
+
+    @F.pandas_udf("string")
+    def faults(texts):
+        return texts.map(fault, na_action=None)
+
+    return faults(text)
+
+
+def strict_documents(documents: DataFrame, column: str) -> DataFrame:
+    """documents with fault and value, the parsed text where it has none, as a variant."""
+    return documents.withColumn("fault", json_fault(F.col(column).cast("string"))).withColumn("value", F.when(F.col("fault").isNull(), F.try_parse_json(column)))
+
+
+# -- instructions -------------------------------------------------------------------------------------------------------------
+
+
+def instruction_arms(factors: DataFrame, frozen: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """arm, levels (map of factor to level), instruction: every combination of the factors' levels, rendered in order of slot.
+
+    factors: slot int, factor, level, baseline boolean, text; frozen: slot, text of the blocks that all arms share. Arm 0 is the
+    baseline. The combinations are a design of few factors; a factor without exactly one baseline is refused.
+    """
+    levels = factors.groupBy("slot", "factor").agg(F.array_sort(F.collect_list(F.struct((~F.col("baseline")).cast("int").alias("later"), "level", "text"))).alias("levels"), F.count_if("baseline").alias("_b")).orderBy("slot").collect()
+    if any(r["_b"] != 1 for r in levels):
+        raise ValueError("each factor needs exactly one baseline level")
+    spark = factors.sparkSession
+    count = 1
+    for r in levels:
+        count *= len(r["levels"])
+    if count > 100_000:
+        raise ValueError(f"{count} combinations; give fewer factors")
+    arms, step = spark.range(count).select(F.col("id").cast("int").alias("arm")), 1
+    parts, chosen = [F.struct(F.lit(r["slot"]).alias("slot"), F.lit(r["text"]).alias("text")) for r in frozen.orderBy("slot").collect()], []
+    for r in reversed(levels):
+        held = F.array(*[F.struct(F.lit(x["level"]).alias("level"), F.lit(x["text"]).alias("text")) for x in r["levels"]])
+        one = F.get(held, F.pmod(F.floor(F.col("arm") / F.lit(step)), F.lit(len(r["levels"]))).cast("int"))
+        parts.append(F.struct(F.lit(r["slot"]).alias("slot"), one["text"].alias("text")))
+        chosen += [F.lit(r["factor"]), one["level"]]
+        step *= len(r["levels"])
+    text = F.array_join(F.transform(F.array_sort(F.array(*parts)), lambda x: x["text"]), separator)
+    return arms.select("arm", F.create_map(*chosen).alias("levels"), text.alias("instruction"))
+
+
+def rank_instructions(sections: DataFrame, arm: str) -> DataFrame:
+    """arm, n, the mean of each section score, and place by overall, best first (ties: the smaller arm).
+
+    sections: what section_scores() takes, and the arm whose instruction the text was written under.
+    """
+    ready = sections.withColumn("_section", F.col("section")).withColumn("section", F.struct(F.col(arm).alias("arm"), F.col("_section").alias("section")))
+    scores = section_scores(ready).select("section.arm", *AXES, "overall")
+    means = scores.groupBy("arm").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in (*AXES, "overall")])
+    # a row an arm
+    return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("overall", 10)), "arm"))).withColumnRenamed("arm", arm)
+
+
+AXES = ("faithfulness", "completeness", "qualification", "numerical_fidelity", "provenance")

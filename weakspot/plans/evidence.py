@@ -150,7 +150,7 @@ def numbers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", V.number_of(text).alias("x"))
 
 
-@query("e10_u03_plans", FACTS + " SELECT 'all' AS plan, true AS valid, 1e0 AS coverage, true AS admissible, count(*)::INT AS cost FROM facts UNION ALL SELECT 'half', true, round(count(*) FILTER (vtype = 'int') / count(*)::DOUBLE, 6), false, count(*) FILTER (vtype = 'int')::INT FROM facts UNION ALL SELECT 'odd', false, 0e0, false, 2::INT")
+@query("e10_u03_plans", FACTS + " SELECT 'all' AS plan, true AS valid, 1e0 AS coverage, 1e0 AS qualifier_coverage, true AS admissible, count(*)::INT AS cost FROM facts UNION ALL SELECT 'half', true, round(count(*) FILTER (vtype = 'int') / count(*)::DOUBLE, 6), 0e0, false, count(*) FILTER (vtype = 'int')::INT FROM facts UNION ALL SELECT 'odd', false, 0e0, 0e0, false, 2::INT")
 def plans(spark, sf_dir):
     s = store(spark, sf_dir)
     packet = s.agg(F.collect_list("id").alias("facts"), F.collect_list(F.when(F.col("vtype") == "str", F.col("id"))).alias("qualifiers"))
@@ -206,14 +206,65 @@ def pointers(spark, sf_dir):
     return V.pointers(table(spark, sf_dir, "events").select(F.col("event_id").alias("source"), F.col("props").alias("content")), ["/k"])
 
 
-@query("e13_t07_ranked_instructions", FACTS + " SELECT entity AS instruction, CAST(b AS DOUBLE) AS overall FROM n ORDER BY CAST(b AS DOUBLE) DESC, entity LIMIT 5")
+ARMS = [(0, "facts", "stated", True, "State each fact."), (0, "facts", "left out", False, "Leave the facts out."), (1, "gaps", "named", True, "Say what isn't known."), (1, "gaps", "passed over", False, "Speak of everything.")]
+
+
+@query(
+    "e13_t07_ranked_instructions",
+    FACTS + """, arms AS (SELECT a AS arm, a < 2 AS said, a % 2 = 0 AS named FROM range(4) AS t(a)),
+sc AS (SELECT arm, count(*) AS n, CASE WHEN named THEN 1e0 ELSE 0e0 END AS faithfulness, CASE WHEN said THEN 1e0 ELSE 0e0 END AS completeness, 1e0 AS qualification, 1e0 AS numerical_fidelity, 1e0 AS provenance FROM arms, n GROUP BY ALL)
+SELECT CAST(arm AS INT) AS arm, n, faithfulness, completeness, qualification, numerical_fidelity, provenance, round((faithfulness + completeness + 3) / 5, 6) AS overall,
+  CAST(row_number() OVER (ORDER BY faithfulness + completeness DESC, arm) AS INT) AS place FROM sc""",
+)
 def ranked(spark, sf_dir):
-    return nations(spark, sf_dir).select(F.col("entity").alias("instruction"), F.col("b").cast("double").alias("overall")).orderBy(F.desc("overall"), "instruction").limit(5)
+    """Four instructions, and for each a section on every nation as it would be written under it, ranked by the mean scores."""
+    frozen = spark.createDataFrame([(9, "Write plainly.")], "slot int, text string")
+    arms = V.instruction_arms(spark.createDataFrame(ARMS, "slot int, factor string, level string, baseline boolean, text string"), frozen)
+    has = lambda factor, level: F.element_at("levels", factor) == level
+    count = F.col("c").cast("string")
+    text = F.concat(F.when(has("facts", "stated"), F.concat(F.lit("There are "), count, F.lit(" customers. "))).otherwise(""), F.when(has("gaps", "named"), "The ruler is not reported.").otherwise("The ruler is well known."))
+    facts = F.array(F.struct(count.alias("tail"), F.lit("a span").alias("span")))
+    written = nations(spark, sf_dir).crossJoin(F.broadcast(arms)).select("arm", F.col("entity").alias("section"), text.alias("text"), facts.alias("values"), F.filter(facts, lambda _: F.lit(False)).alias("qualifiers"), F.array(F.lit("Ruler")).alias("gaps"))
+    return V.rank_instructions(written, "arm").withColumn("overall", F.round("overall", 6))
+
 
+FAULTS = ["NULL", "'unknown parent'", "'no evidence'", "'unknown evidence'", "'unknown action'", "'cells'", "'outcome'", "NULL"]
 
-@query("s13_proposals", FACTS + " SELECT entity AS id, k % 3 <> 0 AND k % 2 = 0 AS admitted FROM n")
+
+@query("s13_proposals", FACTS + ", f AS (SELECT entity AS id, CASE k % 8 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(FAULTS)) + " END AS fault FROM n) SELECT id, fault IS NULL AS admitted, fault FROM f")
 def proposals(spark, sf_dir):
-    n = nations(spark, sf_dir)
-    rows = n.select(F.col("entity").alias("id"), F.when(F.col("k") % 3 != 0, F.lit("base")).alias("parent"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("bank/"), "entity", F.lit("/name"))).otherwise(F.lit("none")).alias("fact"))
-    held = rows.join(store(spark, sf_dir).select(F.col("id").alias("fact"), F.lit(True).alias("known")), "fact", "left")
-    return held.select("id", (F.col("parent").isNotNull() & F.coalesce("known", F.lit(False))).alias("admitted"))
+    """A proposal a nation, by its number: unions and features, each with one fault or none."""
+    from ..operators.proposals import admission
+
+    case = lambda *places: (F.col("k") % 8).isin(*places)
+    feature = F.struct(F.lit("ratio").alias("name"), F.lit("over").alias("op"), F.when(case(6), "loss").otherwise("x1").alias("left"), F.lit("x2").alias("right"))
+    rows = nations(spark, sf_dir).select(
+        F.col("entity").alias("id"), F.when(case(1), "nothing").otherwise("base").alias("parent"), F.when(case(4), "guess").when(case(6, 7), "feature").otherwise("union").alias("action"),
+        F.when(case(5), F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(3))).alias("cells"), F.when(case(6, 7), feature).alias("feature"),
+        F.when(case(2), F.array().cast("array<string>")).when(case(3), F.array(F.lit("bank/none"))).otherwise(F.array(F.concat(F.lit("bank/"), "entity", F.lit("/name")))).alias("evidence"),
+    )
+    return admission(rows, spark.createDataFrame([("base",)], "id string"), store(spark, sf_dir), ["x1", "x2", "x3"], ["y", "p", "loss"], 4)
+
+
+@query("s13_applied", "WITH q AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_linenumber % 4 AS cluster FROM lineitem) SELECT l_orderkey, l_linenumber, round(a / nullif(b, 0), 6) AS ratio, cluster IN (0, 3) AS in_u FROM q")
+def applied(spark, sf_dir):
+    """An admitted feature and an admitted union over the order lines."""
+    from ..operators.proposals import PROPOSAL, admission, applied
+
+    made = spark.createDataFrame([("f", "base", "feature", None, ("ratio", "over", "a", "b"), ["e"]), ("u", "base", "union", [0, 3], None, ["e"]), ("x", "base", "union", [0, 1, 2], None, ["e"])], PROPOSAL)
+    found = admission(made, spark.createDataFrame([("base",)], "id string"), spark.createDataFrame([("e",)], "id string"), ["a", "b"], ["y"], 4)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"), (F.col("l_linenumber") % 4).alias("cluster"))
+    return applied(lines, made, found).select("l_orderkey", "l_linenumber", F.round("ratio", 6).alias("ratio"), "in_u")
+
+
+@query(
+    "f08_strict_json",
+    "SELECT event_id AS id, CASE event_id % 5 WHEN 1 THEN 'repeated key' WHEN 2 THEN 'not finite' WHEN 3 THEN 'malformed' WHEN 4 THEN 'not finite' END AS fault, CASE WHEN event_id % 5 = 0 THEN json_extract_string(props, '$.k') END AS k FROM events",
+)
+def strict_json(spark, sf_dir):
+    """The events' properties, four in five of them broken in one of four ways."""
+    case = lambda i: F.col("event_id") % 5 == i
+    inner = F.substring("props", F.lit(2), F.length("props") - 2)
+    broken = F.when(case(1), F.concat(F.lit("{"), inner, F.lit(","), inner, F.lit("}"))).when(case(2), F.concat(F.lit('{"n": NaN, '), inner, F.lit("}"))).when(case(3), F.concat(F.lit("{"), inner)).when(case(4), F.concat(F.lit('{"n": 1e999, '), inner, F.lit("}"))).otherwise(F.col("props"))
+    found = V.strict_documents(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), broken.alias("text")), "text")
+    return found.select("id", "fault", F.try_variant_get("value", "$.k", "string").alias("k"))

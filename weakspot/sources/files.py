@@ -58,6 +58,10 @@ def _refuse(name):
     raise ValueError(f"{name} is no JSON number")
 
 
+def _finite(name):
+    return x if math.isfinite(x := float(name)) else _refuse(name)
+
+
 def _unique(pairs):
     out = dict(pairs)
     if len(out) != len(pairs):
@@ -66,8 +70,8 @@ def _unique(pairs):
 
 
 def strict_json(text: str):
-    """The value of a JSON text; repeated keys and non-finite numbers are refused."""
-    return json.loads(text, object_pairs_hook=_unique, parse_constant=_refuse)
+    """The value of a JSON text; repeated keys and non-finite numbers, also those too large for a float, are refused."""
+    return json.loads(text, object_pairs_hook=_unique, parse_constant=_refuse, parse_float=_finite)
 
 
 def strict_dump(value) -> str:
