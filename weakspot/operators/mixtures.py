@@ -1,4 +1,4 @@
-"""Mixtures and decompositions: Nystroem spectral cells, leaf-kernel experts, purified effect tables, gates, group partitions."""
+"""Mixtures and decompositions: Nystroem spectral cells, purified effect tables, softmax gates, group partitions."""
 
 from __future__ import annotations
 
@@ -11,10 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import brier, log_loss, sigmoid
+from ..functions.scoring import log_loss, sigmoid
 from . import trees as T
-from .models import Scorer, fit_logistic
-from .regions import nearest_centre
+from .models import fit_logistic
 
 
 #: Groups whose losses the softmax mixture follows.
@@ -34,16 +33,17 @@ def spectral_cells(rows: DataFrame, key: str, trees: Sequence, landmarks: int, k
     value, vector = np.linalg.eigh(kernel / np.sqrt(degree[:, None] * degree[None, :]))
     top = np.argsort(-value)[: min(k, len(value))]
     weight = vector[:, top] / np.sqrt(degree)[:, None] / np.maximum(value[top], 1e-9)
-    names = []
-    for j in range(len(top)):
-        # coordinate j: for each tree, the summed weight of the landmarks in the row's leaf
-        terms = F.lit(0.0)
-        for t in range(len(trees)):
-            by_leaf = {int(leaf): float(weight[c[:, t] == leaf, j].sum() / len(trees)) for leaf in np.unique(c[:, t])}
-            mapping = F.create_map(*[F.lit(x) for kv in by_leaf.items() for x in kv])
-            terms = terms + F.coalesce(F.try_element_at(mapping, F.get("_codes", F.lit(t))), F.lit(0.0))
-        names.append(f"_s{j}")
-        coded = coded.withColumn(f"_s{j}", terms)
+    leaves = [np.unique(c[:, t]) for t in range(len(trees))]
+    # for each tree, the summed weights of the landmarks in a leaf, by coordinate; other leaves are 0
+    tables = [dict(zip(held.tolist(), [weight[c[:, t] == leaf].sum(axis=0) / len(trees) for leaf in held], strict=True)) for t, held in enumerate(leaves)]
+    none = np.zeros(len(top))
+
+    @F.pandas_udf("array<double>")
+    def coordinates(codes):
+        return codes.map(lambda row: sum((table.get(int(leaf), none) for table, leaf in zip(tables, row, strict=True)), none).tolist())
+
+    names = [f"_s{j}" for j in range(len(top))]
+    coded = coded.select(key, coordinates("_codes").alias("_s")).select(key, *[F.get("_s", F.lit(j)).alias(n) for j, n in enumerate(names)])
     from .models import kmeans
 
     return kmeans(coded.select(key, *names), names, k, 2, seed).select(key, "cluster")
@@ -54,45 +54,6 @@ def best_leaf(rows: DataFrame, loss: str, cell: Column, least: int) -> DataFrame
     return rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.avg(loss).alias("mean")).where(F.col("n") >= least).orderBy(F.desc(F.round("mean", 10)), "cell").limit(1)
 
 
-def leaf_kernel_expert(rows: DataFrame, trees: Sequence, y: str, base: Column, ridge: float = 1.0, rounds: int = 5, weight: str | None = None) -> Scorer:
-    """A logistic correction on one-hot leaves around a base logit, by penalised reweighted least squares.
-
-    Each round's Gram matrix is one aggregation over pairs of leaves (its size depends on the trees only); the driver solves it.
-    """
-    leaves = [(t, x) for t, tree in enumerate(trees) for x in sorted(_leaves(tree))]
-    place = {leaf: i for i, leaf in enumerate(leaves)}
-    beta = np.zeros(len(leaves))
-    w = F.col(weight) if weight else F.lit(1.0)
-    coded = rows.select(F.col(y).cast("double").alias("_y"), w.cast("double").alias("_w"), base.alias("_b"), T.codes(trees).alias("_c")).cache()
-
-    def correction(codes: Column) -> Column:
-        out = F.lit(0.0)
-        for t in range(len(trees)):
-            out = out + F.element_at(F.create_map(*[F.lit(v) for x in sorted(_leaves(trees[t])) for v in (x, float(beta[place[t, x]]))]), F.get(codes, F.lit(t)))
-        return out
-
-    cells = F.array(*[F.struct(F.lit(a).alias("s"), F.get("_c", F.lit(a)).alias("p"), F.lit(b).alias("t"), F.get("_c", F.lit(b)).alias("q")) for a in range(len(trees)) for b in range(len(trees))])
-    for _ in range(rounds):
-        p = sigmoid(F.col("_b") + correction(F.col("_c")))
-        held = coded.withColumn("_h", F.col("_w") * p * (1 - p)).withColumn("_g", F.col("_w") * (F.col("_y") - p))
-        gram, slope = np.zeros((len(leaves), len(leaves))), np.zeros(len(leaves))
-        for r in held.select("_h", "_g", F.inline(cells)).groupBy("s", "p", "t", "q").agg(F.sum("_h").alias("h"), F.sum("_g").alias("g")).collect():
-            i, j = place[r["s"], r["p"]], place[r["t"], r["q"]]
-            gram[i, j] += r["h"]
-            if i == j:
-                slope[i] += r["g"]
-        step = np.linalg.solve(gram + ridge * np.eye(len(leaves)), slope - ridge * beta)
-        beta = beta + step
-        if np.abs(step).max() < 1e-6:
-            break
-    coded.unpersist()
-    return Scorer(sigmoid(base + correction(T.codes(trees))), list(trees), parts={"beta": dict(zip(leaves, beta.tolist(), strict=True))})
-
-
-def _leaves(tree) -> list[int]:
-    return [tree.code] if isinstance(tree, T.Leaf) else _leaves(tree.left) + _leaves(tree.right)
-
-
 def purify(table: np.ndarray, weight: np.ndarray, rounds: int = 200, least: float = 1e-10) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """mean, two main effects and the interaction of a table, each with weighted mean 0 along every axis.
 
@@ -179,31 +140,6 @@ def partition_frontier(rows: DataFrame, group: str, groups: Sequence, features:
     return rows.sparkSession.createDataFrame(keep, "partition string, mean double, worst double")
 
 
-def centroid_gate_search(rows: DataFrame, features: Sequence[str], y: str, experts: Sequence[Column], start: Sequence[Sequence[float]], steps: int = 8, sigma: float = 0.5, seed: int = 0) -> tuple[list, float]:
-    """Moves the centres of a hard gate by a (1 + 1) strategy to lessen the mean Brier loss of the routed experts."""
-    import random
-
-    dice = random.Random(seed)
-
-    def cost(centres):
-        cell = nearest_centre(features, centres)
-        p = F.lit(None).cast("double")
-        for i, e in enumerate(experts):
-            p = F.when(cell == i, e).otherwise(p)
-        return rows.agg(F.avg(brier(F.col(y).cast("double"), p))).first()[0]
-
-    at = [list(map(float, c)) for c in start]
-    best = cost(at)
-    for _ in range(steps):
-        child = [[x + dice.gauss(0, sigma) for x in c] for c in at]
-        found = cost(child)
-        if found < best:
-            at, best, sigma = child, found, sigma / 0.85
-        else:
-            sigma *= 0.85
-    return at, best
-
-
 def _softmax_rows(x: np.ndarray, y: np.ndarray, gate: np.ndarray, coef: np.ndarray) -> np.ndarray:
     """A row for each of x: 1, its loss, and the loss's gradient by gate and by coef, both flat."""
     z = x @ gate
