@@ -10,9 +10,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import first_nearest
 from . import trees as T
 from .confirm import poisson_weight
-from .evaluate import cluster_summary, measure, ratio
+from .evaluate import measure, ratio
 from .models import kmeans_centres
 from .ordering import row_numbers
 from .regions import membership
@@ -135,33 +136,97 @@ def leaf_contrasts(rows: DataFrame, key: str, codes: str, loss: str, anchors: Ma
     return measure(near, rows, key, loss, math.inf).select(F.col("cand").alias("anchor"), "contrast")
 
 
-def medoid_loop(rows: DataFrame, key: str, y: str, loss: str, codes: str, pool: Sequence[Sequence[int]], k: int = 4, partitions: int = 8, least: int = 30, seed: int = 0, counts: Sequence[int] | None = None) -> list[dict]:
-    """Search over sets of k medoids from a bounded pool, of which counts tells the rows each stands for. A record a partition: medoids, counts, valid, worst region.
+def ownership(records: Sequence[Mapping], tolerances: Mapping[str, float], explore: float = 0.05) -> tuple[list[int], list[float]]:
+    """Places and chances of the nondominated records as parents.
 
-    Seeds are PAM's medoids; later sets restart with probability 0.1, else replace one (0.75) or two of a nondominated
-    parent's. Each partition is one distributed assignment and summary.
+    Each objective belongs in equal parts to the frontier's records within its tolerance of its best; a record's chance is its
+    part of all objectives, but for `explore`, which is spread evenly over the frontier.
     """
-    dice = random.Random(seed)
-    start, _ = T.pam(T.dissimilarity(np.array(pool)), k, counts=counts)
+    names = list(tolerances)
+    value = np.array([[r[n] for n in names] for r in records], float)
+    frontier = [i for i, v in enumerate(value) if not ((value >= v).all(axis=1) & (value > v).any(axis=1)).any()]
+    part = np.zeros(len(frontier))
+    for j, name in enumerate(names):
+        near = value[frontier, j] >= value[frontier, j].max() - tolerances[name]
+        part += near / near.sum() / len(names)
+    return frontier, ((1 - explore) * part + explore / len(frontier)).tolist()
+
+
+def partition_cells(classes: DataFrame, partitions: Sequence[Sequence[Sequence[int]]]) -> list[dict[int, tuple[int, float]]]:
+    """Rows and loss sum of each cell of several sets of medoids, in one job over the classes of leaf codes (codes, n, s)."""
+    cell = lambda medoids: first_nearest(F.array(*[F.round(T.distance_to(F.col("codes"), m), 10) for m in medoids]))
+    cells = F.array(*[F.struct(F.lit(i).alias("part"), cell(m).cast("int").alias("cell")) for i, m in enumerate(partitions)])
+    out: list[dict] = [{} for _ in partitions]
+    for r in classes.select("n", "s", F.inline(cells)).groupBy("part", "cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
+        out[r["part"]][r["cell"]] = (r["n"], r["s"])
+    return out
+
+
+def medoid_loop(
+    rows: DataFrame, key: str, loss: str, codes: str, pool: Sequence[Sequence[int]], counts: Sequence[int], k: int = 4, budget: int = 1600, subsets: int = 16, brood: int = 1, least: int = 30,
+    region: tuple[int, float, float] = (50, 0.01, 0.8), tolerances: Mapping[str, float] | None = None, explore: float = 0.05, neighbours: int = 200, seed: int = 0,
+) -> list[dict]:
+    """Search over sets of k medoids from a bounded pool (codes, and the rows each stands for): a record a partition.
+
+    Seeds are PAM's medoids of the pool and of `subsets` representative parts of it. Then a tenth of the sets are drawn afresh;
+    the others replace one (three in four) or two medoids of a parent, chosen by ownership of contrast and share, half of them
+    by one of the replaced medoid's nearest `neighbours`. A partition costs k region scores, up to the budget. It is valid if
+    each cell has `least` rows and one is a region: enough rows and a share within bounds; its contrast is the largest gap of
+    mean loss to the rest among those. Partitions are measured over the classes of leaf codes, a brood (or all seeds) a job.
+    """
+    from .anchors import _written, leaf_classes
+    from .twinning import multiplets_of
+
+    dice = np.random.default_rng(seed)
+    tolerances = dict(tolerances or {"contrast": 0.005, "share": 0.02})
+    matrix = np.array(pool)
+    weight = np.asarray(counts)
+    classes = _written(leaf_classes(rows, key, codes, loss), "classes").persist()
+    whole = classes.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     records: list[dict] = []
-    for step in range(partitions):
+
+    def record(proposals):
+        cells_of = partition_cells(classes, [[pool[i] for i in chosen] for chosen, _, _ in proposals])
+        for (chosen, operation, parent), cells in zip(proposals, cells_of, strict=True):
+            gaps = []
+            for c, (n, s) in cells.items():
+                rest = whole["n"] - n
+                if n >= region[0] and region[1] <= n / whole["n"] <= region[2] and rest:
+                    gaps.append((round(s / n - (whole["s"] - s) / rest, 12), -c, n / whole["n"]))
+            top = max(gaps, default=(None, None, None))
+            valid = len(cells) == k and all(n >= least for n, _ in cells.values()) and bool(gaps)
+            records.append({"id": len(records), "parent_id": parent, "operation": operation, "medoids": [int(i) for i in chosen], "counts": [cells[c][0] for c in sorted(cells)], "valid": valid, "contrast": top[0], "share": top[2]})
+
+    # one-hot leaves: their distances are those of the codes
+    hot = np.concatenate([matrix[:, [t]] == np.unique(matrix[:, t]) for t in range(matrix.shape[1])], axis=1).astype(float)
+    starts = [(T.pam(T.dissimilarity(matrix), k, counts=weight)[0], "pam", None)]
+    parts = min(subsets, len(pool) // (2 * k))
+    if parts >= 2:
+        part = multiplets_of(hot, parts, 1)
+        for j in range(parts):
+            at = np.flatnonzero(part == j)
+            starts.append((at[T.pam(T.dissimilarity(matrix[at]), k, counts=weight[at])[0]].tolist(), "seed", None))
+    record(starts[: max(1, budget // k)])
+
+    def child(good):
+        if not good or dice.random() < 0.1:
+            return dice.choice(len(pool), k, replace=False).tolist(), "restart", None
+        frontier, chance = ownership(good, tolerances, explore)
+        parent = good[frontier[int(dice.choice(len(frontier), p=np.array(chance) / sum(chance)))]]
+        chosen = list(parent["medoids"])
+        for _ in range(1 if dice.random() < 0.75 else 2):
+            place = int(dice.integers(k))
+            free = np.setdiff1d(np.arange(len(pool)), chosen)
+            if dice.random() < 0.5:
+                near = (matrix[free] != matrix[chosen[place]]).mean(axis=1)
+                free = free[np.argsort(near, kind="stable")[:neighbours]]
+            chosen[place] = int(dice.choice(free))
+        return chosen, "replace", parent["id"]
+
+    while len(pool) > k and (len(records) + 1) * k <= budget:
         good = [r for r in records if r["valid"]]
-        parent = None
-        if step == 0:
-            chosen, operation = start, "pam"
-        elif not good or dice.random() < 0.1:
-            chosen, operation = dice.sample(range(len(pool)), k), "restart"
-        else:
-            top = [a for a in good if not any(b["contrast"] >= a["contrast"] and b["share"] >= a["share"] and (b["contrast"], b["share"]) != (a["contrast"], a["share"]) for b in good)]
-            parent = dice.choice(top)
-            chosen, operation = list(parent["medoids"]), "replace"
-            for _ in range(1 if dice.random() < 0.75 else 2):
-                chosen[dice.randrange(k)] = dice.choice([i for i in range(len(pool)) if i not in chosen])
-        assigned = T.assign(rows, key, codes, [pool[i] for i in chosen]).select(key, F.col("medoid").alias("cluster"))
-        cells = cluster_summary(rows.join(assigned, key), "cluster", y, loss).collect()
-        cells = sorted(cells, key=lambda c: (-round(c["gap"] or -math.inf, 10), c["cluster"]))
-        valid = len(cells) == k and all(c["n"] >= least for c in cells) and 0.01 <= cells[0]["share"] <= 0.8
-        records.append({"id": step, "parent_id": parent and parent["id"], "operation": operation, "medoids": list(chosen), "counts": [c["n"] for c in sorted(cells, key=lambda c: c["cluster"])], "valid": valid, "contrast": cells[0]["gap"], "share": cells[0]["share"]})
+        record([child(good) for _ in range(min(brood, budget // k - len(records)))])
+    classes.unpersist()
     return records
 
 

@@ -167,15 +167,21 @@ def route(embedded: DataFrame, means: DataFrame, key: str) -> DataFrame:
     return score.groupBy(key).agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"))
 
 
-def code_classes(rows: DataFrame, key: str, codes_column: str) -> list[tuple[list[int], int, int]]:
-    """Distinct leaf codes of all rows, the smallest key of each and how many rows have it, by that key; as many as the trees have regions at most."""
-    found = rows.groupBy(codes_column).agg(F.min(key).alias("least"), F.count("*").alias("n")).orderBy("least").collect()
-    return [(list(r[codes_column]), r["least"], r["n"]) for r in found]
+def code_classes(rows: DataFrame, key: str, codes_column: str, most: int = 3000, seed: int = 0) -> list[tuple[list[int], int, int]]:
+    """Distinct leaf codes, the smallest key of each and how many rows have it, by that key: all, or the `most` of least hash.
+
+    Of many trees there are nearly as many classes as rows, so what comes to the driver is bounded by `most`.
+    """
+    classes = rows.groupBy(codes_column).agg(F.min(key).alias("least"), F.count("*").alias("n"))
+    found = classes.orderBy(F.xxhash64(F.lit(seed), codes_column), "least").limit(most).collect()
+    return sorted(((list(r[codes_column]), r["least"], r["n"]) for r in found), key=lambda c: c[1])
 
 
 def dissimilarity(codes_matrix: np.ndarray, block: int = 512) -> np.ndarray:
     """Mismatch shares of a pool's rows; for at most a few thousand rows."""
     n, trees = codes_matrix.shape
+    if n > MOST_POOL:
+        raise ValueError(f"a pool of {n} rows; give at most {MOST_POOL}")
     out = np.zeros((n, n))
     for a in range(0, n, block):
         for t in range(trees):
@@ -235,6 +241,9 @@ def interactions(spark, trees: Sequence, gains: Sequence[float]) -> DataFrame:
     return spark.createDataFrame(rows, "f string, g string, gain double")
 
 
+#: Rows of a pool whose distances are held at once (200 MB).
+MOST_POOL = 5000
+
 NODES = "tree int, path string, feature string, threshold double, code int, value double"
 
 

@@ -128,8 +128,8 @@ def condition_scores(spark, sf_dir):
 def medoid_loop(spark, sf_dir):
     d = coded(spark, sf_dir)
     pool = sorted(T.code_classes(d, "id", "codes"))
-    found = D.medoid_loop(d, "id", "y", "loss", "codes", [c for c, _, _ in pool], partitions=4, counts=[n for _, _, n in pool])
-    return spark.createDataFrame([(r["id"], r["parent_id"], r["operation"], r["medoids"], r["counts"], r["valid"], r["contrast"], r["share"]) for r in found], "id int, parent_id int, operation string, medoids array<int>, counts array<long>, valid boolean, contrast double, share double")
+    found = D.medoid_loop(d, "id", "loss", "codes", [c for c, _, _ in pool], [n for _, _, n in pool], budget=160, brood=8)
+    return spark.createDataFrame([tuple(r.values()) for r in found], "id int, parent_id int, operation string, medoids array<int>, counts array<long>, valid boolean, contrast double, share double")
 
 
 @query("s18_calibration")
