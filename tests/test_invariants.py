@@ -325,6 +325,18 @@ def test_gates_sum_to_one(rows):
     assert all(r[0] == pytest.approx(1) for r in rows.select(sum(g[1:], g[0])).collect())
 
 
+def test_soft_gates_and_their_vector(spark, rows):
+    d = rows.withColumn("h", F.col("id") % 3)
+    held = M.moment_gates(d, ["a", "b"], "h")
+    back = M.unpack_gates(M.pack_gates(*held), 2)
+    assert all(np.allclose(x, y) for x, y in zip(held, back, strict=True)) and sum(held[2]) == pytest.approx(1)
+    x = np.array([[r["a"], r["b"], r["h"]] for r in d.collect()])
+    assert np.allclose(held[0], [x[x[:, 2] == k, :2].mean(0) for k in range(3)]) and np.allclose(held[1], [math.sqrt(x[x[:, 2] == k, :2].var(0).mean()) for k in range(3)])
+    for r in d.select("a", "b", F.array(*M.soft_gates(["a", "b"], *held)).alias("g")).limit(20).collect():
+        density = [w / s**2 * math.exp(-((r["a"] - c[0]) ** 2 + (r["b"] - c[1]) ** 2) / (2 * s * s)) for c, s, w in zip(*held, strict=True)]
+        assert r["g"] == pytest.approx([v / sum(density) for v in density])
+
+
 def test_verdicts(spark):
     store = spark.createDataFrame([("s/a", "3", "int", "f", "x", "/a"), ("s/b", "0.25", "float", "f", "x", "/b"), ("s/c", "true", "bool", "f", "x", "/c"), ("s/d", "Up", "str", "f", "x", "/d")], "id string, value string, vtype string, source string, sha256 string, pointer string")
     cases = [

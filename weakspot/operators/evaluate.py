@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import edges_at_most
 from ..functions.scoring import entropy, log_score
-from .ordering import running_sums
+from .ordering import exact_quantiles, running_sums
 
 
 #: Vectors of a block in energy_distance.
@@ -179,7 +179,7 @@ def js_profile(rows: DataFrame, mask: Column, features: Sequence[str], bins: int
     Bins are cut at the distinct deciles of all rows. All features go through one long relation.
     """
     long = rows.select(mask.alias("inside"), F.explode(F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*features))).alias("feature", "x")).where("x is not null and inside is not null")
-    cuts = long.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(1, bins)])))).alias("cuts"))
+    cuts = exact_quantiles(long, ["feature"], "x", [i / bins for i in range(1, bins)], "cuts").withColumn("cuts", F.array_sort(F.array_distinct("cuts")))
     binned = long.join(F.broadcast(cuts), "feature").select("feature", "inside", edges_at_most(F.col("cuts"), F.col("x")).alias("bin"))  # one row a feature
     cell = binned.groupBy("feature", "bin").agg(F.count_if("inside").alias("a"), F.count_if(~F.col("inside")).alias("b"))
     all_of = Window.partitionBy("feature")
@@ -191,7 +191,8 @@ def js_profile(rows: DataFrame, mask: Column, features: Sequence[str], bins: int
     top = lambda x: F.max_by(x, F.struct(F.coalesce(enriched, F.lit(-1.0)), -F.col("bin")))
     js = cell.groupBy("feature").agg((F.sum(part("p") + part("q")) / 2).alias("js"), best.alias("top_bin"), top("p").alias("region_share"), top("q").alias("rest_share"), F.max(enriched).alias("enrichment"))
     means = [F.avg(F.when(F.col("inside"), F.col("x"))).alias("region_mean"), F.avg(F.when(~F.col("inside"), F.col("x"))).alias("rest_mean")]
-    middle = long.groupBy("feature").agg(*means, F.percentile(F.when(F.col("inside"), F.col("x")), 0.5).alias("region_median"), F.percentile(F.when(~F.col("inside"), F.col("x")), 0.5).alias("rest_median"))
+    medians = exact_quantiles(long, ["feature", "inside"], "x", [0.5], "m").groupBy("feature").agg(*[F.max(F.when(side, F.get("m", F.lit(0)))).alias(f"{name}_median") for name, side in (("region", F.col("inside")), ("rest", ~F.col("inside")))])
+    middle = long.groupBy("feature").agg(*means).join(medians, "feature")
     return js.join(middle, "feature").orderBy(F.desc("js"), "feature")
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -341,6 +341,17 @@ def instruction_arms(factors: DataFrame, frozen: DataFrame, separator: str = "\n
     return arms.select("arm", F.create_map(*chosen).alias("levels"), text.alias("instruction"))
 
 
+def write_sections(arms: DataFrame, packets: DataFrame, generate: Callable[[Column, Column], Column]) -> DataFrame:
+    """arm, and the packets' columns with text: what generate(arm, packet) makes of each instruction and each packet.
+
+    generate takes the two rows as structs and returns a text column, so a writer outside Spark is a function of columns too.
+    arms: arm, levels, instruction, few by design; packets: section, values, qualifiers, gaps.
+    """
+    every = packets.crossJoin(F.broadcast(arms))
+    arm, packet = F.struct(*[every[c] for c in arms.columns]), F.struct(*[every[c] for c in packets.columns])
+    return every.withColumn("text", generate(arm, packet)).select("arm", *packets.columns, "text")
+
+
 def rank_instructions(sections: DataFrame, arm: str) -> DataFrame:
     """arm, n, the mean of each section score, and place by overall, best first (ties: the smaller arm).
 

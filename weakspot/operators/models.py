@@ -186,8 +186,40 @@ def gaussian_gate(features: Sequence[str], centres: Sequence[Sequence[float]], s
     return [x / total for x in raw]
 
 
-def fit_fanova(df: DataFrame, features: Sequence[str], y: str, signs: Mapping[str, int] | None = None, pairs: int = 5, trees: int = 30) -> Scorer:
-    """Main effects first, then the strongest pairs on what is left. Pairs are ranked by a detector's gains."""
+def moment_gates(df: DataFrame, features: Sequence[str], cluster: str) -> tuple[list[list[float]], list[float], list[float]]:
+    """Centres, widths and weights of spherical Gaussians from the moments of a partition's parts, in the order of its numbers."""
+    rows = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n"), *[F.avg(f).alias(f"a_{f}") for f in features], *[F.var_pop(f).alias(f"v_{f}") for f in features]).orderBy(cluster).collect()  # a row a part
+    total = sum(r["n"] for r in rows)
+    return [[float(r[f"a_{f}"]) for f in features] for r in rows], [max(1e-9, math.sqrt(sum(r[f"v_{f}"] for f in features) / len(features))) for r in rows], [r["n"] / total for r in rows]
+
+
+def soft_gates(features: Sequence[str], centres: Sequence[Sequence[float]], widths: Sequence[float], weights: Sequence[float]) -> list[Column]:
+    """Responsibilities of spherical Gaussians of their own widths and weights, from differences of logarithms."""
+    logs = []
+    for centre, width, weight in zip(centres, widths, weights, strict=True):
+        far = sum(((F.col(f) - float(c)) ** 2 for f, c in zip(features, centre, strict=True)), F.lit(0.0))
+        logs.append(F.lit(math.log(weight) - len(features) * math.log(width)) - far / (2 * width * width))
+    most = F.greatest(*logs) if len(logs) > 1 else logs[0]
+    raw = [F.exp(x - most) for x in logs]
+    total = sum(raw[1:], raw[0])
+    return [x / total for x in raw]
+
+
+def pack_gates(centres: Sequence[Sequence[float]], widths: Sequence[float], weights: Sequence[float]) -> np.ndarray:
+    """All of a gate's numbers as one vector without bounds, for a search: centres, log widths, log weights."""
+    return np.concatenate([np.ravel(centres), np.log(widths), np.log(weights)])
+
+
+def unpack_gates(x: Sequence[float], features: int) -> tuple[list[list[float]], list[float], list[float]]:
+    """What pack_gates() packed; weights sum to 1 again, whatever a search did to them."""
+    x = np.asarray(x, float)
+    k = len(x) // (features + 2)
+    raw = np.exp(x[-k:] - x[-k:].max())
+    return x[: k * features].reshape(k, features).tolist(), np.exp(x[k * features : -k]).tolist(), (raw / raw.sum()).tolist()
+
+
+def fit_fanova(df: DataFrame, features: Sequence[str], y: str, signs: Mapping[str, int] | None = None, pairs: int = 5, trees: int = 30, main_depth: int = 4) -> Scorer:
+    """Main effects first (trees of one feature), then the strongest pairs on what is left. Pairs are ranked by a detector's gains."""
     detector = boost(df, features, y, "logistic", trees, 2)
     ranked: dict = {}
     for t, gain in zip(detector.trees, detector.parts["gains"], strict=True):
@@ -197,7 +229,7 @@ def fit_fanova(df: DataFrame, features: Sequence[str], y: str, signs: Mapping[st
                 if a < b:
                     ranked[a, b] = ranked.get((a, b), 0.0) + gain / max(1, len(names) * (len(names) - 1) // 2)
     top = [p for p, _ in sorted(ranked.items(), key=lambda x: (-x[1], x[0]))[:pairs]]
-    mains = boost(df, features, y, "logistic", trees, 2, signs=signs, pairs=[(f,) for f in features])
+    mains = boost(df, features, y, "logistic", trees, main_depth, signs=signs, pairs=[(f,) for f in features])
     if not top:
         return mains
     both = boost(df, features, y, "logistic", trees, 2, signs=signs, pairs=top, first=mains.parts["margin"])

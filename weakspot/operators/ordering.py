@@ -34,3 +34,26 @@ def running_sums(df: DataFrame, order: Sequence[str | Column], sums: dict[str, C
 def row_numbers(df: DataFrame, order: Sequence[str | Column], alias: str = "place") -> DataFrame:
     """df with each row's 1-based place in the order."""
     return running_sums(df, order, {alias: F.lit(1).cast("long")})
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], alias: str = "quantiles") -> DataFrame:
+    """by, and an array of the interpolated quantiles of each group's values, nulls aside; groups are few (their sizes are broadcast).
+
+    Distinct values are counted and ordered over range partitions, so no task holds a group's values; of each group only the
+    two rows around each quantile are gathered.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    upto = running_sums(counts, [*by, value], {"_u": F.col("_c")})
+    sizes = upto.groupBy(*by).agg(F.sum("_c").alias("_n"), (F.max("_u") - F.sum("_c")).alias("_from"))
+    ranks = []
+    for i, share in enumerate(shares):
+        at = (F.col("_n") - 1) * F.lit(float(share))
+        ranks += [F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), f(at).cast("long").alias("rank")) for side, f in ((0, F.floor), (1, F.ceil))]
+    held = upto.join(F.broadcast(sizes), list(by)) if by else upto.crossJoin(F.broadcast(sizes))
+    end = F.col("_u") - F.col("_from")
+    found = held.select(*by, "_n", F.col(value).cast("double").alias("_v"), F.inline(F.filter(F.array(*ranks), lambda r: (r["rank"] < end) & (r["rank"] >= end - F.col("_c")))))
+    ends = found.groupBy(*by, "_n", "i").agg(F.min(F.when(F.col("side") == 0, F.col("_v"))).alias("a"), F.min(F.when(F.col("side") == 1, F.col("_v"))).alias("b"))
+    share = F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("i"))
+    at = (F.col("_n") - 1) * share
+    one = ends.select(*by, "i", (F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias("q"))
+    return one.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias(alias))

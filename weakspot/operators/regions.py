@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import first_nearest, snap_down, snap_up
+from .ordering import exact_quantiles
 
 #: Candidates are broadcast up to this many rows; they are a search's list, not data.
 MOST_CANDIDATES = 100_000
@@ -41,7 +42,8 @@ def bin_grid(df: DataFrame, feature: str, bins: int) -> DataFrame:
     Distinct values are counted up to bins + 1 by a distinct-limit, so no set grows with the data.
     """
     few = df.select(F.col(feature).alias("v")).where("v is not null").distinct().limit(bins + 1).agg(F.array_sort(F.collect_list("v")).alias("values"))
-    cuts = df.agg(F.percentile(feature, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts"))
+    held = exact_quantiles(df, [], feature, [i / bins for i in range(1, bins)], "cuts")
+    cuts = held.agg(F.coalesce(F.first("cuts"), F.array().cast("array<double>")).alias("cuts"))
     v = F.col("values")
     middle = F.transform(F.slice(v, 1, F.size(v) - 1), lambda x, i: (x + F.get(v, i + 1)) / 2)
     return few.crossJoin(cuts).select(F.when(F.size(v) <= bins, F.when(F.size(v) > 1, middle).otherwise(F.array().cast("array<double>"))).otherwise(F.array_sort(F.array_distinct("cuts"))).alias("edges"))

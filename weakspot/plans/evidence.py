@@ -220,11 +220,16 @@ def ranked(spark, sf_dir):
     """Four instructions, and for each a section on every nation as it would be written under it, ranked by the mean scores."""
     frozen = spark.createDataFrame([(9, "Write plainly.")], "slot int, text string")
     arms = V.instruction_arms(spark.createDataFrame(ARMS, "slot int, factor string, level string, baseline boolean, text string"), frozen)
-    has = lambda factor, level: F.element_at("levels", factor) == level
     count = F.col("c").cast("string")
-    text = F.concat(F.when(has("facts", "stated"), F.concat(F.lit("There are "), count, F.lit(" customers. "))).otherwise(""), F.when(has("gaps", "named"), "The ruler is not reported.").otherwise("The ruler is well known."))
     facts = F.array(F.struct(count.alias("tail"), F.lit("a span").alias("span")))
-    written = nations(spark, sf_dir).crossJoin(F.broadcast(arms)).select("arm", F.col("entity").alias("section"), text.alias("text"), facts.alias("values"), F.filter(facts, lambda _: F.lit(False)).alias("qualifiers"), F.array(F.lit("Ruler")).alias("gaps"))
+    packets = nations(spark, sf_dir).select(F.col("entity").alias("section"), facts.alias("values"), F.filter(facts, lambda _: F.lit(False)).alias("qualifiers"), F.array(F.lit("Ruler")).alias("gaps"))
+
+    def writer(arm, packet):
+        has = lambda factor, level: F.element_at(arm["levels"], factor) == level
+        said = F.when(has("facts", "stated"), F.concat(F.lit("There are "), F.get(packet["values"], F.lit(0))["tail"], F.lit(" customers. "))).otherwise("")
+        return F.concat(said, F.when(has("gaps", "named"), "The ruler is not reported.").otherwise("The ruler is well known."))
+
+    written = V.write_sections(arms, packets, writer)
     return V.rank_instructions(written, "arm").withColumn("overall", F.round("overall", 6))
 
 

@@ -228,6 +228,21 @@ def purified(spark, sf_dir):
     return spark.createDataFrame([(k, v) for k, v in found["importance"].items()], "effect string, variance double")
 
 
+@query(
+    "l16_moment_gates",
+    SCORED
+    + """, mo AS (SELECT grp % 2 AS h, count(*)::DOUBLE AS n, avg(x1) AS a1, avg(x2) AS a2, sqrt((var_pop(x1) + var_pop(x2)) / 2) AS s FROM scored GROUP BY 1),
+lg AS (SELECT id, h, ln(n / sum(n) OVER (PARTITION BY id)) - 2 * ln(s) - ((x1 - a1) * (x1 - a1) + (x2 - a2) * (x2 - a2)) / (2 * s * s) AS l FROM scored, mo),
+ex AS (SELECT id, h, exp(l - max(l) OVER (PARTITION BY id)) AS e FROM lg)
+SELECT id, round(max(e) FILTER (h = 0) / sum(e), 6) + 0e0 AS r0, round(max(e) FILTER (h = 1) / sum(e), 6) + 0e0 AS r1 FROM ex GROUP BY id""",
+)
+def moment_gates(spark, sf_dir):
+    """Gates from the moments of two halves of the groups, by way of the search's vector."""
+    d = scored(spark, sf_dir)
+    x = M.pack_gates(*M.moment_gates(d.withColumn("h", F.col("grp") % 2), ["x1", "x2"], "h"))
+    return rounded(d.select("id", *[g.alias(f"r{i}") for i, g in enumerate(M.soft_gates(["x1", "x2"], *M.unpack_gates(x, 2)))]))
+
+
 def base_logit():
     return F.ln(F.col("p") / (1 - F.col("p")))
 
