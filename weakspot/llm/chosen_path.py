@@ -187,7 +187,7 @@ def candidates(texts: DataFrame, threshold: float) -> DataFrame:
     slim = texts.select("id", "size", "sketch")
     rows = texts.select("id", F.explode("roots").alias("bucket"))
     counts = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    rows = materialize(rows.join(counts, "bucket", "left_semi").join(slim, "id").select("bucket", "id", "size", "sketch"), "paths")
+    rows = materialize(rows.join(counts.hint("merge"), "bucket", "left_semi").join(slim.hint("merge"), "id").select("bucket", "id", "size", "sketch"), "paths")
     bucket = "bucket long, id long, size int, sketch binary"
     found = []
     for depth in range(DEPTH + 1):

@@ -269,11 +269,12 @@ def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, ...]:
     known = docs.where("doc_id is not null and text is not null").withColumn("tk", text_key())
     rows = materialize(known.mapInArrow(_anchor_rows(window), ROW), "stretches")
     keys = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key"), "keys")
-    rows = materialize(rows.join(keys, "key", "left_semi"), "shared", rows, keys)
+    # sort-merge at every size: a table small enough to be broadcast here isn't so on a larger corpus
+    rows = materialize(rows.join(keys.hint("merge"), "key", "left_semi"), "shared", rows, keys)
     stretch = ["key", "s1", "s2"]
     firsts = materialize(rows.groupBy(*stretch).agg(F.min("doc_id").alias("least")), "firsts")
     mixed = materialize(firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mixed")
-    held = rows.join(firsts, stretch)
+    held = rows.join(firsts.hint("merge"), stretch)
     marked = held.where("doc_id > least").select("doc_id", "tk", "first", "count")
     ask = held.where("doc_id = least").join(mixed, "key", "left_semi").select("doc_id", "tk", "first", "count")
     asked, lists = with_marks(known, ask, mixed, only=True)
