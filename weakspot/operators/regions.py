@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,25 +51,107 @@ def bin_grid(df: DataFrame, feature: str, bins: int) -> DataFrame:
     return few.crossJoin(cuts).select(F.when(F.size(v) <= bins, F.when(F.size(v) > 1, middle).otherwise(F.array().cast("array<double>"))).otherwise(F.array_sort(F.array_distinct("cuts"))).alias("edges"))
 
 
+def _ranks(gaps: Sequence[np.ndarray], missing: Sequence[np.ndarray], shapes: np.ndarray, ball: bool) -> tuple[np.ndarray, np.ndarray]:
+    """u and d of rows as membership() ranks them before it rounds: nulls first (-inf), no number last (inf)."""
+    d = gaps[0] * gaps[0]
+    for g in gaps[1:]:
+        d = d + g * g
+    d = np.sqrt(d)
+    d[np.isnan(d)] = np.inf
+    d[np.logical_or.reduce(missing)] = -np.inf
+    if ball:
+        return d, d
+    u = np.full(len(d), -np.inf)
+    for g, gone, w in zip(gaps, missing, shapes, strict=True):
+        u = np.maximum(u, np.where(gone, -np.inf, g / w))
+    u[np.isnan(u)] = np.inf
+    return u, d
+
+
+def _may_be_near(candidates: Sequence[tuple], ball: bool, slack: float):
+    """A task's filter of (candidate's place, row): drops a row where m rows that the task has met surely come before it.
+
+    Distances are the same sums here and in the JVM; rounding may bring together what lies within `slack`, so only rows farther
+    than that are dropped, and of rows at the m-th's very radius those whose Euclidean distance is.
+    """
+
+    def near(batches):
+        held = {}  # place: u and d of the m nearest rows met, and the bounds that follow
+        for batch in batches:
+            columns = [batch.column(i) for i in range(1, batch.num_columns)]
+            missing = [np.asarray(c.is_null()) for c in columns]
+            values = [np.asarray(c.fill_null(0.0)) for c in columns]
+            places, found, waiting = [], [], 0
+            for place, (z, w, m) in enumerate(candidates):
+                if z is None:
+                    kept = np.arange(batch.num_rows)
+                else:
+                    u, d = _ranks([np.abs(x - c) for x, c in zip(values, z, strict=True)], missing, w, ball)
+                    old_u, old_d, far, farther = held.get(place, (np.empty(0), np.empty(0), np.inf, np.inf))
+                    kept = np.flatnonzero(u <= far + slack)
+                    if not len(kept):
+                        continue
+                    u, d = u[kept], d[kept]
+                    us, ds = np.concatenate([old_u, u]), np.concatenate([old_d, d])
+                    if len(us) >= m:
+                        some = np.flatnonzero(us <= np.partition(us, m - 1)[m - 1])
+                        some = some[np.lexsort((ds[some], us[some]))[:m]]
+                        us, ds = us[some], ds[some]
+                        far = us[-1]
+                        sure = np.isfinite(far) and not ((us >= far - slack) & (us < far)).any()
+                        farther = ds[-1] if sure else np.inf
+                    held[place] = us, ds, far, farther
+                    kept = kept[(u <= far + slack) & ~((u == far) & (d > farther + slack))]
+                places.append(np.full(len(kept), place, dtype=np.int32))
+                found.append(kept)
+                waiting += len(kept)
+                if waiting >= 100_000:
+                    yield _taken(batch, places, found)
+                    places, found, waiting = [], [], 0
+            if waiting:
+                yield _taken(batch, places, found)
+
+    return near
+
+
+def _taken(batch: pa.RecordBatch, places: list, found: list) -> pa.RecordBatch:
+    rows = batch.take(pa.array(np.concatenate(found)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), *rows.columns], names=["_place", *batch.schema.names])
+
+
 def membership(rows: DataFrame, candidates: DataFrame, features: Sequence[str], key: str, metric: str = "box", digits: int = 10) -> DataFrame:
     """cand, key, u: the m nearest rows of each candidate (cand, z: array, w: array, m).
 
     Radius u is the largest |x - z| / w for boxes and the Euclidean distance for balls; ties go by Euclidean distance, then by
-    key. Ranks are taken on values rounded to `digits`, so engines agree. The rank filter becomes a group limit in the plan:
-    each task keeps m rows of a candidate before the shuffle.
+    key. Ranks are taken on values rounded to `digits`, so engines agree. Pairs of candidate and row never leave the task that
+    makes them unless they may be among the nearest; what is left is ranked under a group limit.
     """
-    n, most = candidates.agg(F.count("*"), F.max("m")).first()
-    if n > MOST_CANDIDATES:
-        raise ValueError(f"{n} candidates; give at most {MOST_CANDIDATES} at once")
-    gaps = [F.abs(F.col(f) - F.get("z", F.lit(i))) for i, f in enumerate(features)]
+    listed = candidates.select("cand", "z", "w", "m").limit(MOST_CANDIDATES + 1).collect()
+    if len(listed) > MOST_CANDIDATES:
+        raise ValueError(f"over {MOST_CANDIDATES} candidates; give at most {MOST_CANDIDATES} at once")
+    spark, p, most = rows.sparkSession, len(features), max((r["m"] or 0 for r in listed), default=0)
+    bounded = []
+    for r in listed:
+        z, w = list(r["z"] or [])[:p], list(r["w"] or [])[:p]
+        w = np.maximum([1e-9 if x is None else float(x) for x in w] + [1e-9] * (p - len(w)), 1e-9)
+        # a centre that lacks a coordinate has no bound here
+        known = len(z) == p and None not in z
+        bounded.append((np.array(z, float) if known else None, w, r["m"] or 0))
+    used = [i for i, r in enumerate(listed) if (r["m"] or 0) > 0]
+    one = rows.select(F.col(key).alias("_key"), *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+    names = ", ".join(f"_f{i} double" for i in range(p))
+    near = one.mapInArrow(_may_be_near([bounded[i] for i in used], metric == "ball", 2 * 10.0**-digits), f"_place int, _key {one.schema['_key'].dataType.simpleString()}, {names}")
+    schema = ", ".join(["_place int", *(f"{c} {t}" for c, t in candidates.select("cand", "z", "w", "m").dtypes)])
+    frozen = spark.createDataFrame([(n, *listed[i]) for n, i in enumerate(used)], schema)
+    gaps = [F.abs(F.col(f"_f{i}") - F.get("z", F.lit(i))) for i in range(p)]
     euclid = F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
     box = [g / F.greatest(F.get("w", F.lit(i)), F.lit(1e-9)) for i, g in enumerate(gaps)]
     u = euclid if metric == "ball" else F.greatest(*box) if len(box) > 1 else box[0]
-    pairs = rows.select(key, *features).crossJoin(F.broadcast(candidates.select("cand", "z", "w", "m")))
-    pairs = pairs.select("cand", "m", key, F.round(u, digits).alias("u"), F.round(euclid, digits).alias("d"))
+    pairs = near.join(F.broadcast(frozen), "_place")
+    pairs = pairs.select("cand", "m", F.col("_key").alias(key), F.round(u, digits).alias("u"), F.round(euclid, digits).alias("d"))
     order = Window.partitionBy("cand").orderBy("u", "d", key)
     # a literal bound lets the group limit apply; each candidate's own m follows
-    ranked = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.lit(most or 0))
+    ranked = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.lit(most))
     return ranked.where("r <= m").select("cand", key, "u")
 
 
