@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import hash_uniform
+from ..functions.digests import hash_numbers
 from .evaluate import ratio
 
 
@@ -45,8 +49,6 @@ def paired_interval(rows: DataFrame, a: Column, b: Column, loss: str, z: float)
 
 #: Upper ends of the Poisson(1) distribution's steps, from 0 on.
 def _poisson_steps(upto: int = 9) -> list[float]:
-    import math
-
     out, total = [], 0.0
     for k in range(upto):
         total += math.exp(-1) / math.factorial(k)
@@ -60,20 +62,48 @@ def poisson_weight(key: str, boot: Column, seed: str = "boot") -> Column:
     return sum(((u >= s).cast("int") for s in _poisson_steps()), F.lit(0))
 
 
+def _replicate_sums(boots: int, seed: str = "boot"):
+    """A task's sums for each replicate, by the weights that poisson_weight() gives: n1, s1 inside, n, s of all rows, and how
+    many losses are known inside (k1) and in all (k)."""
+    least = [np.uint32(math.ceil(x * 2**32)) for x in _poisson_steps()]
+    tails = [str(b).encode() for b in range(boots)]
+
+    def sums(batches):
+        total, k1, k, rows = np.zeros((boots, 4)), 0, 0, 0
+        for batch in batches:
+            loss, inside = batch.column("_l"), np.asarray(batch.column("_i").cast(pa.float64()))
+            known, value = np.asarray(loss.is_valid()), np.asarray(loss.fill_null(0.0))
+            # concat_ws() leaves a null key out
+            heads = [f"{seed}|{x}|".encode() if x is not None else f"{seed}|".encode() for x in batch.column("_key").to_pylist()]
+            of_row = np.stack([inside, np.where(inside > 0, value, 0.0), np.ones(len(value)), value], axis=1)
+            for boot, places, numbers in hash_numbers(heads, tails):
+                weight = np.zeros(len(places), dtype=np.uint8)
+                for x in least:
+                    weight += numbers >= x
+                total[boot] += weight.astype(float) @ of_row[places]
+            k1, k, rows = k1 + int((known & (inside > 0)).sum()), k + int(known.sum()), rows + batch.num_rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(range(boots), pa.int32()), *map(pa.array, total.T), pa.array([k1] * boots, pa.int64()), pa.array([k] * boots, pa.int64())], names=["boot", "n1", "s1", "n", "s", "k1", "k"])
+
+    return sums
+
+
 def bootstrap_ratios(rows: DataFrame, key: str, mask: Column, loss: str, boots: int, against: str = "all") -> DataFrame:
     """boot, theta: mean loss inside over that of all rows (or of the rest), minus 1, in each Poisson replicate.
 
-    Rows meet a replicate number by explode and are summed before the shuffle, so only boots x partitions rows move.
+    Tasks weigh their rows for all replicates by poisson_weight()'s hashes, taken many at a time, so only boots x partitions
+    rows move.
     """
     inside = F.coalesce(mask, F.lit(False))
-    wide = rows.select(key, F.col(loss).alias("_l"), inside.alias("_i")).withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(boots - 1)))).withColumn("_w", poisson_weight(key, F.col("boot")))
-    w, i = F.col("_w"), F.col("_i")
-    parts = wide.groupBy("boot").agg(F.sum(F.when(i, w)).alias("n1"), F.sum(F.when(i, w * F.col("_l"))).alias("s1"), F.sum(w).alias("n"), F.sum(w * F.col("_l")).alias("s"))
+    wide = rows.select(F.col(key).cast("string").alias("_key"), F.col(loss).cast("double").alias("_l"), inside.alias("_i"))
+    found = wide.mapInArrow(_replicate_sums(boots), "boot int, n1 double, s1 double, n double, s double, k1 long, k long")
+    parts = found.groupBy("boot").agg(*[F.sum(c).alias(c) for c in ("n1", "s1", "n", "s", "k1", "k")])
+    parts = parts.withColumns({"s1": F.when(F.col("k1") > 0, F.col("s1")), "s": F.when(F.col("k") > 0, F.col("s"))})
     if against == "all":
-        base = ratio(F.col("s"), F.col("n").cast("double"))
+        base = ratio(F.col("s"), F.col("n"))
     else:
-        base = ratio(F.col("s") - F.col("s1"), (F.col("n") - F.col("n1")).cast("double"))
-    return parts.select("boot", (ratio(ratio(F.col("s1"), F.col("n1").cast("double")), base) - 1).alias("theta"))
+        base = ratio(F.col("s") - F.col("s1"), F.col("n") - F.col("n1"))
+    return parts.select("boot", (ratio(ratio(F.col("s1"), F.col("n1")), base) - 1).alias("theta"))
 
 
 def percentile_interval(ratios: DataFrame, threshold: float, alpha: float = 0.05) -> DataFrame:
