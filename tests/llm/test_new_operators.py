@@ -299,3 +299,26 @@ def test_shard_query(spark):
     found = entries.QUERIES["op11_sharding"](spark, "/root/testdata/sf0.001").collect()
     counts = collections.Counter(r["shard"] for r in found)
     assert set(counts) <= set(range(40)) and max(counts.values()) - min(counts.values()) <= 1 and len({(r["shard"], r["slot"]) for r in found}) == len(found)
+
+
+def test_phrases_are_counted_in_one_pass(spark, monkeypatch):
+    """However many automata the phrases need, the texts are read as often."""
+    rows = prose() + [("word", "en")] * 9
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], LANGS).repartition(3)
+    reads = []
+    kind = type(df)
+    first = kind.mapInArrow
+
+    def counted(self, *args, **other):
+        reads.append("text" in self.columns)
+        return first(self, *args, **other)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    for size in (4 << 20, 200):
+        monkeypatch.setattr(collocations, "AUTOMATON_BYTES", size)
+        reads.clear()
+        counts, _ = collocations.phrase_counts(df, 5)
+        assert sum(reads) == 3
+        held = {(r["lang"], r["phrase"]): r["f"] for r in counts.collect()}
+        assert held["en", "word"] == 9
+        assert len(held) > 100 and all(f >= 5 for f in held.values())

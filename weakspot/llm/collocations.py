@@ -2,10 +2,12 @@
 
 Two passes make count-min sketches, of words and then of the phrases whose words all reach the least count by their bounds: a
 task adds up its buckets, pages of 65,536 buckets are summed after a shuffle, and of each page one bit a bucket is left. The
-number of buckets follows the corpus up to a stated bound of memory. A third pass gathers the distinct phrases whose bounds
-reach the least count in every row of the sketch, as do those of all phrases inside them. These are compiled into automata over
-" word word ", so that matches begin and end with words and never leave a piece; a pass for each group of phrases that fits in
-memory counts overlapping matches. Bounds are never under the counts, so the exact thresholds that follow lose nothing.
+number of buckets follows the corpus up to a stated bound of memory. A third pass takes a bounded stretch of texts at a time,
+gathers its distinct phrases whose bounds reach the least count in every row of the sketch, as do those of all phrases inside
+them, compiles these into automata over " word word ", so that matches begin and end with words and never leave a piece, and
+counts overlapping matches in that stretch. Whether a phrase is gathered depends on its words alone, so each stretch's automata
+hold every gathered phrase that it has, and the stretches' counts add up to the corpus's. Bounds are never under the counts, so
+the exact thresholds that follow lose nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, CHUNK_BYTES, LEFT, U64, chunks, drop, materialize, mix, small_batches, word_names
+from .common import BROADCAST_IDS, CHUNK_BYTES, LEFT, U64, chunks, materialize, mix, small_batches, word_names
 
 LEAST = 100
 LONGEST = 5
@@ -34,10 +36,10 @@ FEWEST_BITS, MOST_BITS = 16, 28
 PAGE_BITS = 16
 #: Buckets that a task gathers before it adds them up.
 GATHERED = 1 << 21
-#: Phrases that a task holds before it gives them; given again they are still counted once.
+#: Phrases, bytes of phrases and bytes of texts that end a stretch; an automaton takes about 60 bytes for each of a phrase.
 REMEMBERED = 1 << 20
-#: Bytes of phrases that are compiled into automata at once; an automaton takes about 60 bytes for each.
 AUTOMATON_BYTES = 4 << 20
+STRETCH_BYTES = 32 << 20
 
 PIECE_END = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Bytes of a text as the rules see them: small letters, one piece end, one space.
@@ -226,23 +228,56 @@ def sketch_bounds(texts: DataFrame, bits: int, least: int, words=None):
 
 #: Phrases go to so many buckets by name, so that a task gives a row a bucket and language, not a row a phrase.
 BUCKETS = 1024
-FOUND = "lang string, bucket int, phrases binary, n long"
+FOUND = "lang string, bucket int, phrases binary, f binary, n long"
 
 
-def _phrase_rows(words, phrases):
-    """Phrases whose bounds hold, each about once a task, joined by line feeds; and how many words each language has (phrases null)."""
+def guarded(text: bytes) -> str:
+    """Folded text with one space before and after each word, and piece ends between; a character a byte."""
+    text = b" " + text.replace(b"\n", b" \n ") + b" "
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text.decode("latin-1")
+
+
+def automaton(phrases: list[bytes]) -> ahocorasick.Automaton:
+    """Over guarded phrases; gives their places in the list."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, phrase in enumerate(phrases):
+        out.add_word(guarded(phrase), i)
+    out.make_automaton()
+    return out
+
+
+def _phrase_rows(words, phrases, remembered: int, most_phrases: int, most_texts: int):
+    """Phrases whose bounds hold, joined by line feeds, with their overlapping matches in a stretch of the task's texts; and how
+    many words each language has (phrases null)."""
 
     def run(batches):
         seen: set[int] = set()
         n: dict[str, int] = {}
-        held: dict[tuple[str, int], list[bytes]] = {}
+        held: dict[str, tuple[list[bytes], list[int]]] = {}
+        texts: dict[str, list[bytes]] = {}
+        weight = size = 0
 
         def given():
-            keys = list(held)
-            out = pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in keys], pa.string()), "bucket": pa.array([k[1] for k in keys], pa.int32()), "phrases": pa.array([b"\n".join(held[k]) for k in keys], pa.binary()), "n": pa.array([None] * len(keys), pa.int64())})
+            rows: list[tuple] = []
+            for lang, (listed, bucket) in held.items():
+                compiled, total = automaton(listed), np.zeros(len(listed), dtype=np.int64)
+                for part in texts[lang]:
+                    found = np.fromiter((i for _, i in compiled.iter(guarded(part))), dtype=np.int64)
+                    total += np.bincount(found, minlength=len(listed))
+                bucket = np.array(bucket)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)).tolist()
+                for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                    rows.append((lang, int(bucket[order[a]]), b"\n".join(listed[i] for i in order[a:b].tolist()), total[order[a:b]].astype(np.uint32).tobytes()))
             held.clear()
+            texts.clear()
             seen.clear()
-            return out
+            return pa.RecordBatch.from_pydict({
+                "lang": pa.array([r[0] for r in rows], pa.string()), "bucket": pa.array([r[1] for r in rows], pa.int32()),
+                "phrases": pa.array([r[2] for r in rows], pa.binary()), "f": pa.array([r[3] for r in rows], pa.binary()), "n": pa.array([None] * len(rows), pa.int64()),
+            })
 
         for batch in batches:
             for raw, offsets, langs in _folded(batch):
@@ -250,6 +285,12 @@ def _phrase_rows(words, phrases):
                 for row, count in zip(*np.unique(p.row, return_counts=True), strict=True):
                     n[langs[row]] = n.get(langs[row], 0) + int(count)
                 text = raw.tobytes()
+                by: dict[str, list[bytes]] = {}
+                for lang, a, b in zip(langs, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    by.setdefault(lang, []).append(text[a:b])
+                for lang, parts in by.items():
+                    texts.setdefault(lang, []).append(b"\n".join(parts))
+                size += len(text)
                 good = words.value(p.name)
                 for _ in range(LONGEST):
                     if p.level > 1:
@@ -262,110 +303,42 @@ def _phrase_rows(words, phrases):
                             seen.add(name)
                             k = p.level
                             phrase = b" ".join(text[a:b] for a, b in zip(p.start[i : i + k].tolist(), p.end[i : i + k].tolist(), strict=True))
-                            held.setdefault((langs[p.row[i]], name % BUCKETS), []).append(phrase)
+                            listed, bucket = held.setdefault(langs[p.row[i]], ([], []))
+                            listed.append(phrase)
+                            bucket.append(name % BUCKETS)
+                            weight += len(phrase) + 2
                     if p.level == LONGEST or not len(at):
                         break
                     good = _both(good)
                     p.longer()
-                if len(seen) >= REMEMBERED:
+                if len(seen) >= remembered or weight >= most_phrases or size >= most_texts:
                     yield given()
+                    weight = size = 0
         if held:
             yield given()
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(n), pa.string()), "bucket": pa.array([None] * len(n), pa.int32()), "phrases": pa.array([None] * len(n), pa.binary()), "n": pa.array(list(n.values()), pa.int64())})
-
-    return run
-
-
-def _distinct_rows(batches):
-    """lang, phrase: of rows sorted by bucket and language, each phrase once."""
-    at, held = None, set()
-
-    def given():
-        return pa.RecordBatch.from_pydict({"lang": pa.array([at[1]] * len(held), pa.string()), "phrase": pa.array([x.decode(errors="replace") for x in held], pa.string())})
-
-    for batch in batches:
-        for bucket, lang, phrases in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "phrases")), strict=True):
-            if at != (bucket, lang):
-                if held:
-                    yield given()
-                at, held = (bucket, lang), set()
-            held.update(phrases.split(b"\n"))
-    if held:
-        yield given()
-
-
-def guarded(text: bytes) -> str:
-    """Folded text with one space before and after each word, and piece ends between; a character a byte."""
-    text = b" " + text.replace(b"\n", b" \n ") + b" "
-    while b"  " in text:
-        text = text.replace(b"  ", b" ")
-    return text.decode("latin-1")
-
-
-def automata(phrases: list[tuple[int, str, str]]) -> dict[str, ahocorasick.Automaton]:
-    """By language, an automaton over its guarded phrases (id, lang, phrase) that gives their places in the list."""
-    out: dict[str, ahocorasick.Automaton] = {}
-    for i, (_, lang, phrase) in enumerate(phrases):
-        if lang not in out:
-            out[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        out[lang].add_word(guarded(phrase.encode()), i)
-    for a in out.values():
-        a.make_automaton()
-    return out
-
-
-#: The automata of the phrases that this worker counted last, so that its next task needn't compile them again.
-_compiled: dict = {}
-
-
-#: Phrases whose counts make one row of a task.
-COUNTED = 8192
-
-
-def _match_rows(phrases):
-    """Overlapping matches of each phrase of the list, by pages of phrases."""
-
-    def run(batches):
-        if phrases.value[0] not in _compiled:
-            _compiled.clear()
-            _compiled[phrases.value[0]] = automata(phrases.value[1])
-        compiled = _compiled[phrases.value[0]]
-        total = np.zeros(len(phrases.value[1]), dtype=np.int64)
-        for batch in batches:
-            for raw, offsets, langs in _folded(batch):
-                text = raw.tobytes()
-                by: dict[str, list[bytes]] = {}
-                for lang, a, b in zip(langs, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    if lang in compiled:
-                        by.setdefault(lang, []).append(text[a:b])
-                for lang, parts in by.items():
-                    found = np.fromiter((i for _, i in compiled[lang].iter(guarded(b"\n".join(parts)))), dtype=np.int64)
-                    if len(found):
-                        total[: found.max() + 1] += np.bincount(found)
-        pages = [i for i in range(0, len(total), COUNTED) if total[i : i + COUNTED].any()]
-        yield pa.RecordBatch.from_pydict({"page": pa.array([i // COUNTED for i in pages], pa.int32()), "f": pa.array([total[i : i + COUNTED].tobytes() for i in pages], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(n), pa.string()), **{c: pa.array([None] * len(n), t) for c, t in (("bucket", pa.int32()), ("phrases", pa.binary()), ("f", pa.binary()))}, "n": pa.array(list(n.values()), pa.int64())})
 
     return run
 
 
-def _count_rows(phrases, least: int):
-    """id, f of the phrases that reach the least count, from rows sorted by page."""
+def _count_rows(least: int):
+    """lang, phrase, f of the phrases that reach the least count, from rows sorted by bucket and language."""
 
     def run(batches):
-        ids = np.array([p[0] for p in phrases.value[1]], dtype=np.int64)
-        at, total = None, None
+        at, held = None, {}
 
         def given():
-            good = np.flatnonzero(total >= least)
-            return pa.RecordBatch.from_pydict({"id": pa.array(ids[at * COUNTED + good]), "f": pa.array(total[good])})
+            kept = [(x, f) for x, f in held.items() if f >= least]
+            return pa.RecordBatch.from_pydict({"lang": pa.array([at[1]] * len(kept), pa.string()), "phrase": pa.array([x.decode(errors="replace") for x, _ in kept], pa.string()), "f": pa.array([f for _, f in kept], pa.int64())})
 
         for batch in batches:
-            for page, f in zip(batch.column("page").to_pylist(), batch.column("f").to_pylist(), strict=True):
-                if page != at:
+            for bucket, lang, phrases, f in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "phrases", "f")), strict=True):
+                if at != (bucket, lang):
                     if at is not None:
                         yield given()
-                    at, total = page, 0
-                total = total + np.frombuffer(f, dtype=np.int64)
+                    at, held = (bucket, lang), {}
+                for phrase, count in zip(phrases.split(b"\n"), np.frombuffer(f, dtype=np.uint32).tolist(), strict=True):
+                    held[phrase] = held.get(phrase, 0) + count
         if at is not None:
             yield given()
 
@@ -374,32 +347,18 @@ def _count_rows(phrases, least: int):
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Written tables: lang, phrase, f of all phrases of 1 to 5 words with f >= least; and lang, n, the words of each language."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(FEWEST_BITS, (size >> 6).bit_length()))
     words = sketch_bounds(texts, bits, least)
     longer = sketch_bounds(texts, bits, least, words)
-    found = materialize(texts.mapInArrow(_phrase_rows(words, longer), FOUND), "found")
-    rows = found.where("phrases is not null").select("bucket", "lang", "phrases").repartition("bucket", "lang").sortWithinPartitions("bucket", "lang")
-    once = materialize(rows.mapInArrow(_distinct_rows, "lang string, phrase string").withColumn("id", F.monotonically_increasing_id()), "phrases")
-    totals = materialize(found.where("phrases is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals", found)
-    weight = once.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
-    groups = -(-weight // AUTOMATON_BYTES)
-    counted = []
-    for g in range(groups):
-        # a group's bytes are bounded, up to chance
-        rows = once.where(F.pmod(F.xxhash64("phrase", "lang"), F.lit(groups)) == g).select("id", "lang", "phrase").collect()
-        group = spark.sparkContext.broadcast((f"{once.written_at}/{g}", [tuple(r) for r in rows]))
-        pages = texts.mapInArrow(_match_rows(group), "page int, f binary").repartition("page").sortWithinPartitions("page")
-        counted.append(materialize(pages.mapInArrow(_count_rows(group, least), "id long, f long"), "counted"))
-        group.unpersist()
+    found = materialize(texts.mapInArrow(_phrase_rows(words, longer, REMEMBERED, AUTOMATON_BYTES, STRETCH_BYTES), FOUND), "found")
     words.unpersist()
     longer.unpersist()
-    empty = spark.createDataFrame([], "id long, f long")
-    f = functools.reduce(DataFrame.union, counted, empty)
-    return materialize(once.join(f, "id").select("lang", "phrase", "f"), "counts", once, *counted), totals
+    totals = materialize(found.where("phrases is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    rows = found.where("phrases is not null").select("bucket", "lang", "phrases", "f").repartition("bucket", "lang").sortWithinPartitions("bucket", "lang")
+    return materialize(rows.mapInArrow(_count_rows(least), "lang string, phrase string, f long"), "counts", found), totals
 
 
 def _inside(words):
