@@ -81,3 +81,13 @@ def test_class_kernel_is_the_kernel_of_rows(spark):
     for i, x in rows:
         for j, y in rows:
             assert k.get((of[i], of[j]), 0.0) == pytest.approx(sum(a == b for a, b in zip(x, y)) / 4)
+
+
+def test_energy_moves_each_vector_as_often_at_every_size(spark, monkeypatch):
+    """Blocks grow before their number does; pairs of them are multiplied by tiles."""
+    assert [evaluate.energy_blocks(n) for n in (0, 1, 513, 5000, 200_000, 262_144, 400_000)] == [1, 1, 2, 8, 8, 8, 13]
+    monkeypatch.setattr(evaluate, "ENERGY_TILE", 7)
+    dice = np.random.default_rng(8)
+    x, n, y, m = dice.normal(size=(30, 3)), dice.integers(1, 4, 30).astype(float), dice.normal(size=(17, 3)), np.ones(17)
+    want = sum(n[i] * np.linalg.norm(x[i] - y[j]) for i in range(30) for j in range(17))
+    assert evaluate._tiled_sum(x, n, y, m) == pytest.approx(want)
