@@ -111,3 +111,14 @@ def test_energy_of_common_vectors(spark, monkeypatch):
     assert evaluate.energy_distance(frame(a), frame([]), "v").first()["energy"] is None
     plan = evaluate.energy_distance(frame(a), frame(b), "v")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_all_strategies_share_their_blocks(spark, monkeypatch):
+    df = table(spark, 500)
+    made = []
+    first = W.blocks
+    monkeypatch.setattr(W, "blocks", lambda *a: made.append(1) or first(*a))
+    out = {r["id"]: (r["part_1"], r["part_2"], r["part_3"]) for r in W.every_multiplets(df, "id", ["a", "b"], 4, block=64).collect()}
+    assert len(made) == 1 and len(out) == 500
+    for s in (1, 2, 3):
+        assert {r["id"]: r["part"] for r in W.multiplets(df, "id", ["a", "b"], 4, s, block=64).collect()} == {i: p[s - 1] for i, p in out.items()}

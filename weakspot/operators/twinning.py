@@ -116,8 +116,8 @@ def multiplets_of(x: np.ndarray, k: int, strategy: int) -> np.ndarray:
     return part
 
 
-def _dealt(df: DataFrame, key: str, features: Sequence[str], block: int, deal, name: str) -> DataFrame:
-    """df with what deal() gives for the standardised rows of each block, in the order of their keys; constant features are 0."""
+def _dealt(df: DataFrame, key: str, features: Sequence[str], block: int, deals: dict) -> DataFrame:
+    """df with what each of deals (by name of its column) gives for the standardised rows of each block, in the order of their keys; constant features are 0."""
     levels = levels_for(df.count(), block)
     stats = df.agg(*[F.avg(f).alias(f"_a_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
     z = [((F.col(f) - F.col(f"_a_{f}")) / F.when(F.col(f"_s_{f}") > 0, F.col(f"_s_{f}")).otherwise(1.0)).alias(f"_z_{f}") for f in features]
@@ -125,10 +125,11 @@ def _dealt(df: DataFrame, key: str, features: Sequence[str], block: int, deal, n
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key)
-        return pd.DataFrame({key: rows[key].to_numpy(), name: deal(rows[[f"_z_{f}" for f in features]].to_numpy(float))})
+        x = rows[[f"_z_{f}" for f in features]].to_numpy(float)
+        return pd.DataFrame({key: rows[key].to_numpy(), **{name: deal(x) for name, deal in deals.items()}})
 
-    found = ready.groupBy("block").applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, {name} int")
-    return df.drop(name).join(found, key)
+    found = ready.groupBy("block").applyInPandas(one, ", ".join([f"{key} {dict(df.dtypes)[key]}", *(f"{name} int" for name in deals)]))
+    return df.drop(*deals).join(found, key)
 
 
 def twin_folds(df: DataFrame, key: str, features: Sequence[str], k: int, block: int = BLOCK) -> DataFrame:
@@ -142,7 +143,7 @@ def twin_folds(df: DataFrame, key: str, features: Sequence[str], k: int, block:
         fold[nearest_chain(x)] = np.arange(len(x)) % k
         return fold
 
-    return _dealt(df, key, features, block, deal, "fold")
+    return _dealt(df, key, features, block, {"fold": deal})
 
 
 def multiplets(df: DataFrame, key: str, features: Sequence[str], k: int, strategy: int = 1, block: int = BLOCK) -> DataFrame:
@@ -151,13 +152,18 @@ def multiplets(df: DataFrame, key: str, features: Sequence[str], k: int, strateg
     1 is the best and costs k - 1 chains, 2 needs a power of 2, 3 is one chain. Parts of a block differ by one row at most
     with 2 and 3 (of two halves the first is the larger), and with 1 too. Keys must not repeat and features not be null.
     """
-    if strategy not in (1, 2, 3):
+    return every_multiplets(df, key, features, k, (strategy,), block).withColumnRenamed(f"part_{strategy}", "part")
+
+
+def every_multiplets(df: DataFrame, key: str, features: Sequence[str], k: int, strategies: Sequence[int] = (1, 2, 3), block: int = BLOCK) -> DataFrame:
+    """df with part_1, part_2, part_3: multiplets() by each of the strategies, over blocks that are cut once for all."""
+    if not set(strategies) <= {1, 2, 3}:
         raise ValueError("the strategy is 1, 2 or 3")
     if k < 2 or 2 * k > block:
         raise ValueError("k must be at least 2, and a block hold at least twice as many rows")
-    if strategy == 2 and k & (k - 1):
+    if 2 in strategies and k & (k - 1):
         raise ValueError("strategy 2 needs a power of 2")
-    return _dealt(df, key, features, block, lambda x: multiplets_of(x, k, strategy), "part")
+    return _dealt(df.drop("part"), key, features, block, {f"part_{s}": lambda x, s=s: multiplets_of(x, k, s) for s in strategies})
 
 
 def twin_split(df: DataFrame, key: str, features: Sequence[str], ratio: int, block: int = BLOCK) -> DataFrame:
@@ -170,7 +176,7 @@ def twin_split(df: DataFrame, key: str, features: Sequence[str], ratio: int, blo
         out[twin_chain(x, ratio)[0]] = 1
         return out
 
-    return _dealt(df, key, features, block, deal, "twin").withColumn("twin", F.col("twin") == 1)
+    return _dealt(df, key, features, block, {"twin": deal}).withColumn("twin", F.col("twin") == 1)
 
 
 def fold_archive(df: DataFrame, key: str, features: Sequence[str], k: int, n: int, seed: int = 0, block: int = BLOCK) -> DataFrame:
