@@ -128,6 +128,8 @@ def _dealt(df: DataFrame, key: str, features: Sequence[str], block: int, deals:
         x = rows[[f"_z_{f}" for f in features]].to_numpy(float)
         return pd.DataFrame({key: rows[key].to_numpy(), **{name: deal(x) for name, deal in deals.items()}})
 
+    # a block is much work for few bytes, so its number of tasks doesn't follow the shuffle's size
+    ready = ready.repartition(min(1 << levels, 4096), "block")
     found = ready.groupBy("block").applyInPandas(one, ", ".join([f"{key} {dict(df.dtypes)[key]}", *(f"{name} int" for name in deals)]))
     return df.drop(*deals).join(found, key)
 
