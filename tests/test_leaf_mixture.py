@@ -129,3 +129,24 @@ def test_search():
     assert score(best) == history[-1][2]
     sigmas = [h[3] for h in history]
     assert min(sigmas) >= 0.02 and any(b == 0.5 and a < 0.03 for a, b in zip(sigmas, sigmas[1:], strict=False))
+
+
+def test_equal_leaves_are_one_vector_and_the_basis_is_found_once(rows, monkeypatch):
+    dice = np.random.default_rng(2)
+    # 40 trees of 100 leaves: numbers of whole rows pass 64 bits
+    at = dice.integers(0, 3, (500, 40)) * 33 + np.arange(40) * 100
+    at = np.concatenate([at, at[::2]])
+    found, which = L._distinct(at, 4000)
+    assert (found[which] == at).all() and len(found) == len(np.unique(at, axis=0))
+    calls, real = [], L.basis
+    monkeypatch.setattr(L, "basis", lambda *a: calls.append(1) or real(*a))
+    score = L.fold_objective(rows, TREES, "y", F.lit(0.0), gates_of, "fold", 4, rounds=2)
+    values = [score(np.array([x])) for x in (0.2, 0.4, 0.2)]
+    assert len(calls) == 1 and values[0] == pytest.approx(values[2], abs=1e-12) and values[0] != values[1]
+
+
+def test_scores_are_looked_up_by_leaf(rows):
+    fitted = L.fit_corrections(rows, TREES, "y", F.lit(0.1), [F.lit(1.0), (F.col("fold") != 1).cast("double")], rounds=2)
+    found = rows.withColumn("codes", T.codes(TREES)).withColumn("at", F.col("fold") - 1).select("at", fitted.looked_up("codes", "at", [1, 0]).alias("v"), fitted.margin(1).alias("m0"), fitted.margin(0).alias("m1")).collect()
+    assert {r["at"] for r in found} == {-1, 0, 1, 2}
+    assert all(r["v"] == pytest.approx(r[f"m{r['at']}"]) if r["at"] in (0, 1) else r["v"] is None for r in found)
