@@ -146,3 +146,24 @@ def test_curves(spark, rows):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
     (a, b), (c, d) = S.fit_curves(df, [F.col("x"), -F.col("x")], [F.col("y"), 1 - F.col("y")], F.lit(1.0))
     assert a == pytest.approx(2, abs=0.25) and b == pytest.approx(1, abs=0.2) and c == pytest.approx(a, abs=1e-3) and d == pytest.approx(-b, abs=1e-3)
+
+
+def test_the_gate_is_fitted_to_cells(rows, monkeypatch):
+    """Stumps and curves read cells of equal bins, part and fold; the numbers are those of the rows themselves."""
+    grown, curved = S.grow_stumps, S.fit_curves
+    seen = []
+
+    def grow(df, bins, sizes, targets, weights, *rest):
+        seen.append((df.count(), df.agg(F.sum("_w")).first()[0], math.prod(sizes)))
+        # each cell as rows of a third of its weight
+        split = df.withColumn("_w", F.col("_w") / 3).crossJoin(df.sparkSession.range(3).select(F.col("id").alias("_third")))
+        found, again = grown(df, bins, sizes, targets, weights, *rest), grown(split, bins, sizes, targets, weights, *rest)
+        assert found[0] == pytest.approx(again[0]) and all(a == pytest.approx(b) for x, y in zip(found[1], again[1], strict=True) for a, b in zip(x, y, strict=True))
+        return found
+
+    monkeypatch.setattr(S, "grow_stumps", grow)
+    monkeypatch.setattr(S, "fit_curves", lambda df, *a: seen.append((df.count(),)) or curved(df, *a))
+    S.MonotoneMixture(**(SMALL | dict(gateTrees=2, trees=1, bins=4)), weight="w").fit(rows)
+    (n, weight, places), (m,) = seen
+    assert n == m <= places * 2 * 3 < rows.count()
+    assert weight == pytest.approx(rows.agg(F.sum("w")).first()[0])

@@ -100,12 +100,15 @@ class _Inputs(Params):
         return dict(zip(features, signs, strict=True)) if signs else {}
 
     def _prepared(self, df: DataFrame) -> DataFrame:
-        """The inputs as doubles with _y and _w; refuses labels, weights and features that can't be fitted."""
+        """The inputs as doubles with _y and _w, cached; refuses labels, weights and features that can't be fitted."""
         weight = self.value("weight")
         out = df.select(*[F.col(f).cast("double").alias(f) for f in self.value("features")], F.col(self.value("label")).cast("double").alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
         finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)
         bad = lambda c: F.count_if(~finite(c))
+        out.persist()
         one = out.agg(*[bad(f).alias(f) for f in self.value("features")], F.count_if(~finite("_w") | ~(F.col("_w") > 0)).alias("_w"), bad("_y").alias("_y")).first()
+        if any(one):
+            out.unpersist()
         if any(one[f] for f in self.value("features")):
             raise ValueError("features must be finite")
         if one["_w"]:
@@ -132,6 +135,7 @@ class BoostedTrees(_Inputs, Estimator, DefaultParamsReadable, DefaultParamsWrita
     def _fit(self, df: DataFrame) -> BoostedTreesModel:
         signs, ready = self._directions(False), self._prepared(df)
         found = boost(ready, self.value("features"), "_y", self.value("loss"), self.value("trees"), self.value("depth"), self.value("bins"), self.value("rate"), signs, weight="_w")
+        ready.unpersist()
         model = BoostedTreesModel({"trees": list(map(packed_tree, found.trees)), "base": float(found.base), "loss": self.value("loss")})
         return self._copyValues(model)
 
@@ -268,8 +272,14 @@ class MonotoneMixture(_Mixture, Estimator, DefaultParamsReadable, DefaultParamsW
 
     def _fit(self, df: DataFrame) -> MonotoneMixtureModel:
         signs = self._checked()
-        features, gate, k, folds = self.value("features"), self.gated(), self.value("clusters"), self.value("folds")
         ready = self._prepared(df)
+        try:
+            return self._fitted(ready, signs)
+        finally:
+            ready.unpersist()
+
+    def _fitted(self, ready: DataFrame, signs: dict[str, int]) -> MonotoneMixtureModel:
+        features, gate, k, folds = self.value("features"), self.gated(), self.value("clusters"), self.value("folds")
         if {r[0] for r in ready.select("_y").distinct().limit(3).collect()} != {0.0, 1.0}:
             raise ValueError("the label must have both values, 0 and 1")
         means, deviations, centres = self.value("means"), self.value("deviations"), self.value("centres")
@@ -286,16 +296,19 @@ class MonotoneMixture(_Mixture, Estimator, DefaultParamsReadable, DefaultParamsW
         state |= {"centres": points, "cuts": [cuts[f] for f in z]}
         fold = F.pmod(F.xxhash64(F.lit(self.value("seed")), *z, F.monotonically_increasing_id()), F.lit(folds)).cast("int")
         held = ready.withColumns({"_c": nearest_centre(z, points), "_fold": fold} | {f"_b{i}": b for i, b in enumerate(bin_columns(z, cuts))}).persist()
-        counts = {r["_c"]: r["count"] for r in held.groupBy("_c").count().collect()}
+        bins, sizes = [f"_b{i}" for i in range(len(z))], [len(cuts[f]) + 1 for f in z]
+        # the gate sees a row's bins, part and fold only, so it is fitted to cells of equal ones with their summed weights
+        cells = held.groupBy(*bins, "_c", "_fold").agg(F.sum("_w").alias("_w"), F.count("*").alias("_n")).persist()
+        counts = {r["_c"]: r["n"] for r in cells.groupBy("_c").agg(F.sum("_n").alias("n")).collect()}
         if any(counts.get(c, 0) < folds for c in range(k)):
+            cells.unpersist()
             held.unpersist()
             raise UnsupportedPartition(f"a part has fewer than {folds} rows: {[counts.get(c, 0) for c in range(k)]}")
-        bins, sizes = [f"_b{i}" for i in range(len(z))], [len(cuts[f]) + 1 for f in z]
         classes = [1] if k == 2 else list(range(k))
         target = {c: (F.col("_c") == c).cast("double") for c in classes}
         # the models of all rows first, then those without each fold
         models = [(c, None) for c in classes] + [(c, x) for c in classes for x in range(folds)]
-        base, table = grow_stumps(held, bins, sizes, [target[c] for c, _ in models], [F.col("_w") if x is None else F.col("_w") * (F.col("_fold") != x).cast("double") for _, x in models], self.value("gateTrees"), self.value("gateRate"))
+        base, table = grow_stumps(cells, bins, sizes, [target[c] for c, _ in models], [F.col("_w") if x is None else F.col("_w") * (F.col("_fold") != x).cast("double") for _, x in models], self.value("gateTrees"), self.value("gateRate"))
         outside = []
         for c in classes:
             margin = F.lit(0.0)
@@ -303,12 +316,13 @@ class MonotoneMixture(_Mixture, Estimator, DefaultParamsReadable, DefaultParamsW
                 if of == c and x is not None:
                     margin = F.when(F.col("_fold") == x, stump_margin(bins, b, t)).otherwise(margin)
             outside.append(margin)
-        curves = fit_curves(held, outside, [target[c] for c in classes], F.col("_w"))
+        curves = fit_curves(cells, outside, [target[c] for c in classes], F.col("_w"))
         state |= {"base": base[: len(classes)], "table": [[t.tolist() for t in tables] for tables in table[: len(classes)]], "curves": [list(c) for c in curves]}
         model = MonotoneMixtureModel(state)
         self._copyValues(model)
         gates = model.gates([F.col(b) for b in bins])
-        mass = held.agg(*[F.sum(F.col("_w") * g).alias(f"g{i}") for i, g in enumerate(gates)]).first()
+        mass = cells.agg(*[F.sum(F.col("_w") * g).alias(f"g{i}") for i, g in enumerate(gates)]).first()
+        cells.unpersist()
         if any(not v or v <= 0 for v in mass):
             held.unpersist()
             raise UnsupportedPartition("every expert must get weight")
