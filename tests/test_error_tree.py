@@ -100,3 +100,22 @@ def test_parts_of_the_loss_kernel(spark):
     assert len(best) == 1 and best[0]["mean"] == max(r["mean"] for r in found if r["n"] >= 20) > df.agg(F.avg("loss")).first()[0]
     assert all(0 <= r["agreement"] <= 1 for r in found) and best[0]["agreement"] > 0.5
     assert not any(r["best"] for r in E.loss_kernel_parts(df, "id", ["a", "b"], "loss", 1000, k=2, landmarks=40, trees=2, depth=1).collect())
+
+
+def test_parts_are_routed_by_classes_of_equal_leaves(spark, monkeypatch):
+    df, seen, real, cells = table(spark), [], E.T.route, E.spectral_cells
+    monkeypatch.setattr(E.T, "route", lambda e, means, key: seen.append((key, e.select(key).distinct().count())) or real(e, means, key))
+    monkeypatch.setattr(E, "spectral_cells", lambda *a: seen.append(cells(*a).persist()) or seen[-1])
+    found = {r["cluster"]: r for r in E.loss_kernel_parts(df, "id", ["a", "b"], "loss", 20, k=3, landmarks=60, trees=3, depth=1).collect()}
+    labels, (key, n) = seen
+    assert key == "_codes" and n <= 8 < df.count()
+    # the same from the rows themselves
+    rows = labels.collect()
+    ones = {r["id"]: set(enumerate(r["_codes"])) for r in rows}
+    parts = {c: [r for r in rows if r["cluster"] == c] for c in {r["cluster"] for r in rows}}
+    weight = {c: {cell: sum(cell in ones[r["id"]] for r in held) / len(held) for cell in {x for r in held for x in ones[r["id"]]}} for c, held in parts.items()}
+    sent = {i: min(weight, key=lambda c: (-round(sum(weight[c].get(x, 0) for x in of), 10), c)) for i, of in ones.items()}
+    for c, held in parts.items():
+        assert found[c]["n"] == len(held) and found[c]["mean"] == pytest.approx(sum(r["loss"] for r in held) / len(held))
+        assert found[c]["agreement"] == pytest.approx(sum(sent[r["id"]] == c for r in held) / len(held))
+    labels.unpersist()

@@ -184,10 +184,15 @@ def loss_kernel_parts(rows: DataFrame, key: str, features: Sequence[str], loss:
     """
     held = rows.where(F.col(loss).isNotNull())
     model = fit_error_model(held, features, loss, trees, depth)
-    labels = spectral_cells(held, key, model.trees, landmarks, k, seed).persist()
-    embedded = T.embedding(held, key, model.trees)
-    sent = T.route(embedded, T.router(embedded, labels, key), key).withColumnRenamed("cluster", "sent")
-    cells = held.select(key, loss).join(labels, key).join(sent, key).groupBy("cluster").agg(F.count("*").alias("n"), F.avg(loss).alias("mean"), F.avg((F.col("sent") == F.col("cluster")).cast("double")).alias("agreement"))
+    # part and route follow from a row's leaves, so classes of equal ones stand for their rows
+    labels = spectral_cells(held, key, model.trees, landmarks, k, seed, [loss, "_codes"])
+    classes = labels.groupBy("_codes", "cluster").agg(F.count("*").alias("n"), F.sum(loss).alias("s")).persist()
+    embedded = classes.select("_codes", "cluster", "n", F.posexplode("_codes").alias("tree", "leaf"))
+    sizes = classes.groupBy("cluster").agg(F.sum("n").alias("k"))
+    means = embedded.groupBy("cluster", "tree", "leaf").agg(F.sum("n").alias("c")).join(F.broadcast(sizes), "cluster").select("cluster", "tree", "leaf", (F.col("c") / F.col("k")).alias("weight"))
+    sent = T.route(embedded.drop("cluster"), means, "_codes").withColumnRenamed("cluster", "sent")
+    agreed = F.sum(F.col("n") * (F.col("sent") == F.col("cluster")).cast("double")) / F.sum("n")
+    cells = classes.join(sent, "_codes").groupBy("cluster").agg(agreed.alias("agreement"), (F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n")).select("cluster", "n", "mean", "agreement")
     # one row a part
     top = cells.where(F.col("n") >= least).agg(F.max_by("cluster", F.struct(F.round("mean", 12), -F.col("cluster"))).alias("_top"))
     return cells.crossJoin(F.broadcast(top)).select("cluster", "n", "mean", F.coalesce(F.col("cluster") == F.col("_top"), F.lit(False)).alias("best"), "agreement")

@@ -20,8 +20,8 @@ from .models import fit_logistic
 MOST_GROUPS = 10_000
 
 
-def spectral_cells(rows: DataFrame, key: str, trees: Sequence, landmarks: int, k: int, seed: int = 0) -> DataFrame:
-    """key, cluster: Nystroem coordinates of the leaf kernel from a bounded set of landmark rows, then k-means.
+def spectral_cells(rows: DataFrame, key: str, trees: Sequence, landmarks: int, k: int, seed: int = 0, also: Sequence[str] = ()) -> DataFrame:
+    """key, cluster and the columns in `also` (_codes: the leaves): Nystroem coordinates of the leaf kernel from a bounded set of landmark rows, then k-means.
 
     The landmarks' kernel is decomposed on the driver; every row's coordinates are sums of literals over its leaves.
     """
@@ -40,13 +40,21 @@ def spectral_cells(rows: DataFrame, key: str, trees: Sequence, landmarks: int, k
 
     @F.pandas_udf("array<double>")
     def coordinates(codes):
-        return codes.map(lambda row: sum((table.get(int(leaf), none) for table, leaf in zip(tables, row, strict=True)), none).tolist())
+        known: dict[bytes, list[float]] = {}  # of a batch's distinct leaf vectors
+
+        def of(row):
+            name = row.tobytes()
+            if name not in known:
+                known[name] = sum((table.get(int(leaf), none) for table, leaf in zip(tables, row, strict=True)), none).tolist()
+            return known[name]
+
+        return codes.map(of)
 
     names = [f"_s{j}" for j in range(len(top))]
-    coded = coded.select(key, coordinates("_codes").alias("_s")).select(key, *[F.get("_s", F.lit(j)).alias(n) for j, n in enumerate(names)])
+    coded = coded.select(key, *also, coordinates("_codes").alias("_s")).select(key, *also, *[F.get("_s", F.lit(j)).alias(n) for j, n in enumerate(names)])
     from .models import kmeans
 
-    return kmeans(coded.select(key, *names), names, k, 2, seed).select(key, "cluster")
+    return kmeans(coded, names, k, 2, seed).select(key, *also, "cluster")
 
 
 def best_leaf(rows: DataFrame, loss: str, cell: Column, least: int) -> DataFrame:
