@@ -233,6 +233,21 @@ def test_suffix_dedup_of_a_passage_in_many_contexts(spark, monkeypatch):
     assert sorted(tuple(r)[:5] for r in suffix_sort.suffix_dedup(df).collect()) == want
 
 
+def test_suffix_dedup_of_planted_passages(spark):
+    """Every copy of a passage of 400 bytes goes, the first one too; one of over 50 words but 399 bytes stays; n_bytes is the input's size."""
+    dice = random.Random(11)
+    say = lambda k: "".join(dice.choice("abcdefgh ") for _ in range(k))
+    words = lambda k: " ".join(dice.choice("abcdefgh") * 6 for _ in range(60))[: k - 1] + "."
+    planted, short = words(400), words(399)
+    assert min(len(x.split()) for x in (planted, short)) > 50
+    texts = [say(900) + x + say(700) for x in (planted, short, "", planted, short, "", planted, "")]
+    df = frame(spark, texts, extra=False)
+    rows, by_id = sorted(suffix_sort.suffix_dedup(df).collect()), texts_by_id(df)
+    assert [r["n_bytes"] for r in rows] == [len(by_id[r["doc_id"]]) for r in rows]
+    assert {r["doc_id"]: r["text"] for r in rows} == {i: t.replace(planted, "") for i, t in by_id.items()}
+    assert sorted(r["n_removed"] for r in rows) == [0] * 5 + [400] * 3
+
+
 def test_stretches_of_segments(monkeypatch):
     """A long text taken in segments names the same windows."""
     dice = np.random.default_rng(2)
